@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op1_license_scan
 from .mix import op7_mix
+from .quality import op8_quality
+from .records import op10_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_mix": op7_mix}
+    return {f.__name__: f for f in (op1_license_scan, op7_mix, op8_quality, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
