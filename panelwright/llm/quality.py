@@ -15,9 +15,8 @@ from .common import cut, shingle_hashes, slices, table, texts_of, word_hashes, w
 
 #: Share of a group's rows that an estimate is fitted to, rounds of concentration, and rows below which groups of a language are pooled.
 SUBSET, ROUNDS, LEAST_ROWS = 0.75, 4, 200
-#: Squared distance beyond which a row is rejected. Statistics of text have heavier tails than a normal distribution, for which 45 with
-#: five variables is already about one in 10^8.
-REJECT = 120.0
+#: Squared distance beyond which a row is rejected: with five variables, about 1 in 10^7 rows of a normal distribution.
+REJECT = 40.0
 STATS = ("x0", "x1", "x2", "x3", "x4")
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long"
