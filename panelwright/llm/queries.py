@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cdc import op5_substring_dedup
+from .chat import op3_chat_format
 from .embed_dedup import op2_embedding_dedup
 from .license_scan import op1_license_scan
 from .minhash import op6_minhash
@@ -15,7 +17,7 @@ from .records import op10_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op6_minhash, op7_mix, op8_quality, op10_records)}
+    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_chat_format, op5_substring_dedup, op6_minhash, op7_mix, op8_quality, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
