@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
-and an insertion moves no other cut. Chunks are deduplicated by digest: the first occurrence (smallest doc_id, then position) stays. What
-is cut out are runs of consecutive repeated chunks with enough words; single chunks, which common phrases fill, are left alone."""
+A gear rolling hash over the last 16 bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
+and an insertion moves no other cut. As chunks of a few words repeat by chance, what is deduplicated by digest is, from each chunk on, as
+many chunks as hold WINDOW_WORDS words: a variable chunk of its own whose ends are content-defined. The first occurrence (smallest doc_id,
+then position) stays, and every chunk of a later one is cut out."""
 
 from __future__ import annotations
 
@@ -17,16 +18,16 @@ from pyspark.sql import functions as F
 from .common import _SPACE, cut, slices, table, texts_of, with_bitmap
 
 #: One word start in CUT_ONE_IN ends a chunk; bytes after which a chunk without a cut ends at the next character.
-CUT_ONE_IN, MOST_BYTES = 5, 512
-#: Words of consecutive repeated chunks from which they are cut out.
-RUN_WORDS = 25
+CUT_ONE_IN, MOST_BYTES = 4, 512
+#: Least words of the runs of chunks that are compared. A repeated passage of 51 words holds such a run but for one case in 800.
+WINDOW_WORDS = 15
 _GEAR = np.random.default_rng(19).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + G[byte] after each byte, which 32 bits limit to the last 32 bytes; by doubling the span five times."""
+    """The gear hash h = (h << 1) + G[byte] after each byte, over the last 16 bytes, by doubling the span four times."""
     h = _GEAR[data]
-    for k in range(5):
+    for k in range(4):
         step = 1 << k
         if step >= len(h):
             break
@@ -61,7 +62,8 @@ def cuts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text index, start and end within the text, words and digest (64 bits) of every chunk of every text, in order."""
+    """Text index, start and end within the text and words of every chunk of every text, in order; the number of chunks from each on that
+    hold WINDOW_WORDS words (0 if the text ends before)."""
     out = []
     for lo, hi in slices(texts):
         some = texts[lo:hi]
@@ -79,23 +81,30 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         head[1:] &= space[:-1]
         head[offsets[:-1][lens > 0]] = ~space[offsets[:-1][lens > 0]]
         words = np.concatenate(([0], np.cumsum(head)))
-        # white space at the end is not part of what is compared
-        digest = np.array([xxhash.xxh3_64_intdigest(joined[a:b].rstrip()) for a, b in zip(at.tolist(), end.tolist(), strict=True)], np.uint64)
-        out.append((doc + lo, at - offsets[doc], end - offsets[doc], words[end] - words[at], digest))
+        last = np.searchsorted(words[end], words[at] + WINDOW_WORDS)
+        inside = last < len(at)
+        inside[inside] = doc[last[inside]] == doc[inside]
+        out.append((doc + lo, at - offsets[doc], end - offsets[doc], words[end] - words[at], np.where(inside, last - np.arange(len(at)) + 1, 0)))
     if not out:
-        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+        return tuple([np.zeros(0, np.int64)] * 5)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks (digest, doc_id, nr, known). In a batch only the first chunk of a digest needs the other batches to be judged: later ones are
-    repeats already (known) and get a digest of their own place, so that a common passage does not gather in one task."""
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, doc_id, nr, known) of every run of chunks that is compared. In a batch only the first run of a digest needs the other
+    batches to be judged: later ones are repeats already (known) and get a digest of their own place, so that a common passage does not
+    gather in one task."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         texts = texts_of(batch.column("text"))
-        doc, _, _, _, digest = chunks_of([texts[i] for i in order])
+        texts = [texts[i] for i in order]
+        doc, at, end, _, span = chunks_of(texts)
         nr = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        runs = np.flatnonzero(span)
+        doc, nr, at, end = doc[runs], nr[runs], at[runs], end[runs + span[runs] - 1]
+        # white space at the end is not part of what is compared
+        digest = np.array([xxhash.xxh3_64_intdigest(texts[d][a:b].rstrip()) for d, a, b in zip(doc.tolist(), at.tolist(), end.tolist(), strict=True)], np.uint64)
         known = np.ones(len(doc), bool)
         known[np.unique(digest, return_index=True)[1]] = False
         doc_id = ids[order][doc]
@@ -104,28 +113,18 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc_id, pa.int64()), pa.array(nr.astype(np.int32)), pa.array(known)], names=["digest", "doc_id", "nr", "known"])
 
 
-def repeated_runs(words: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    """Which chunks of one text lie in a run of repeated chunks with RUN_WORDS words or more."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], repeated.astype(np.int8), [0]))))
-    gone = np.zeros(len(words), bool)
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if words[a:b].sum() >= RUN_WORDS:
-            gone[a:b] = True
-    return gone
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut out the runs of repeated chunks (column nrs) of each text."""
+    """Cut out the chunks of each text that lie in a repeated run (column nrs: where such runs start)."""
     for batch in batches:
         texts = texts_of(batch.column("text"))
-        doc, at, end, words, _ = chunks_of(texts)
+        doc, at, end, words, span = chunks_of(texts)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         new, gone_words, gone_chars = [], [], []
         for i, nrs in enumerate(batch.column("nrs").to_pylist()):
             own = slice(first[i], first[i + 1])
-            repeated = np.zeros(first[i + 1] - first[i], bool)
-            repeated[[k for k in nrs or () if k < len(repeated)]] = True
-            gone = repeated_runs(words[own], repeated)
+            starts = np.array([k for k in nrs or () if k < first[i + 1] - first[i]], np.int64)
+            edge = np.bincount(starts, minlength=first[i + 1] - first[i] + 1) - np.bincount(starts + span[own][starts], minlength=first[i + 1] - first[i] + 1)
+            gone = np.cumsum(edge)[:-1] > 0
             t = texts[i]
             left = b"".join(t[a:b] for a, b, g in zip(at[own].tolist(), end[own].tolist(), gone.tolist(), strict=True) if not g) if gone.any() else t
             new.append(left)
@@ -140,17 +139,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with text cut and two more columns, removed_words and removed_chars.
 
-    Of passages that repeat, in other documents or the same one, the first occurrence stays. Only documents with enough repeated words for
-    a run are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
+    Of passages that repeat, in other documents or the same one, the first occurrence stays. Only documents with a repeated run
+    are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
     null, empty ones empty; a text without white space is cut into chunks of MOST_BYTES; rows with a null doc_id stay as they are; rows that
     repeat a doc_id repeat their passages, but the first by text order keeps them only if the rows differ in doc_id, so ids should be
     unique; an empty table gives an empty result; further columns are kept, but those named nrs, removed_words and removed_chars are replaced."""
     docs = docs.drop("nrs", "removed_words", "removed_chars")
     key = F.col("doc_id").cast("long")
-    chunks = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(key.alias("doc_id"), "text").mapInArrow(_chunk_rows, "digest long, doc_id long, nr int, known boolean")
+    runs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(key.alias("doc_id"), "text").mapInArrow(_window_rows, "digest long, doc_id long, nr int, known boolean")
     later = F.row_number().over(Window.partitionBy("digest").orderBy("known", "doc_id", "nr")) > 1
-    repeats = chunks.withColumn("later", later).filter("later or known").select("doc_id", "nr")
-    # under three chunks hold RUN_WORDS words only rarely, but they may: every document with a repeated chunk is looked at
+    repeats = runs.withColumn("later", later).filter("later or known").select("doc_id", "nr")
     by_doc = cut(repeats.groupBy("doc_id").agg(F.collect_set("nr").alias("nrs")), "repeats")
     fields = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "text") + ", text string, removed_words long, removed_chars long"
