@@ -1,11 +1,72 @@
-"""Corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, SentencePiece ids."""
+"""Corpus pipeline over documents: quality rules, near-duplicates, repeated passages, mixing, SentencePiece ids.
 
-STAGES = []
+Every stage takes what the one before it kept and, but for the last, returns the columns of documents. SQL cannot express the stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelwright.llm import cdc, minhash, mix, pieces, quality
+from panelwright.llm.common import shared_path, without_ids
+from panelwright.plans.session import ship
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    ship(spark)
+    rejected = quality.quality_rules(docs).filter("not kept").select("doc_id")
+    return without_ids(docs, rejected).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    ship(spark)
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    return without_ids(docs, found.filter("not kept").select("doc_id")).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; documents of which nothing is left go."""
+    ship(spark)
+    left = cdc.substring_dedup(docs)
+    whole = (F.col("removed_words") == 0) | (F.length(F.trim("text")) > 0)
+    return left.filter(whole).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; of the last one of a shard, the words that it takes."""
+    ship(spark)
+    return mix.mixed_documents(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_ids, ids and whether decoding them gives the text."""
+    import public_tokenizers
+
+    ship(spark)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), path), path)
+    return both.select("doc_id", "source", (F.length("ids") / 2).cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written as Parquet to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        path = shared_path(spark, f"stage{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -103,3 +103,17 @@ def mix_sources(docs: DataFrame, *, seed: int = 7, block_words: int = BLOCK_WORD
 
 def op7_mix(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them whole, and those of which it takes a part with the first words of their text.
+
+    Rows that the mix leaves out go before any text moves; the others are joined with their share by doc_id, which should be unique: rows
+    that repeat one are each taken as often as the first of them."""
+    shares = mix_sources(docs, **options).filter("taken > 0 and doc_id is not null").select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
+    joined = docs.join(cut(shares, "shares").hint("merge"), "doc_id")
+    part = F.col("taken") % F.col("size")
+    words = F.array_join(F.expr(r"slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(taken % size as int))"), "")
+    whole = F.array_repeat(F.col("text"), F.expr("cast(taken div size as int)"))
+    texts = F.when(part > 0, F.array_append(whole, words)).otherwise(whole)
+    return joined.withColumn("text", F.explode(texts)).select(*docs.columns)
