@@ -10,6 +10,7 @@ that hold checksums stays meaningful.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -17,16 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, slices, table, texts_of
+from .common import cut, shared_path, table
 
 MASK_ADD = 0xA282EAD8
-#: Words whose ids a Python worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+#: Words, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PARTS = 700_000, 700_000
+#: Bytes of text whose words are told apart at once.
+ENCODE_BYTES = 16 << 20
+#: A word of letters with ASCII signs behind it that no contraction or special token holds.
+_LETTERS_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-%(-/:;=?@\[-`{}~]*)")
 READ_BYTES = 8 << 20
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -38,15 +44,19 @@ def masked_crc(data: bytes) -> int:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library whose normalizer and pre-tokenizer never join across ASCII white space:
-    the ids of a text are then those of its words in turn, so that each distinct word is encoded once."""
+    """Encodes texts with a tokenizer of the tokenizers library whose normalizer lower-cases and whose pre-tokenizer parts words at ASCII
+    white space, and letters from signs: the ids of a text are then those of its words in turn, and those of letters with signs behind
+    them are the ids of both in turn. Each distinct part is encoded once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -54,17 +64,58 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        words = [t.split() for t in texts]
+    def _single(self, some: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch(some, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in got]
+
+    def _letters(self, some: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded in one text and parted after each token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(some) or not len(ids) or after[-1] != len(ids):
+            return self._single(some)
+        data, cuts = ids.tobytes(), [0, *(4 * after).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Add words to known, by their parts where a word is letters and signs."""
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        two, letters, others = [], set(), set()
+        for w in words:
+            m = _LETTERS_SIGNS.fullmatch(w)
+            if m and (w.isascii() or m[1].decode().isalpha()):
+                body, signs = m[1].lower(), m[2]
+                two.append((w, body, signs))
+                letters.add(body)
+                if signs:
+                    others.add(signs)
+            else:
+                two.append((w, w, b""))
+                others.add(w)
+        for found, encode, step in ((letters, self._letters, 500), (others, self._single, 50_000)):
+            new = list(found - self.parts.keys())
+            for lo in range(0, len(new), step):
+                some = new[lo : lo + step]
+                self.parts.update(zip(some, encode([w.decode() for w in some]), strict=True))
+        self.known.update((w, self.parts[body] + self.parts[signs] if signs else self.parts[body]) for w, body, signs in two)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (u32) of each text. Words are split and told apart in Arrow; ids are gathered by word."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = list(set().union(*words) - self.known.keys())
-        for lo in range(0, len(new), 50_000):
-            some = new[lo : lo + 50_000]
-            got = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(some, got, strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        self._learn({w for w in words if w not in self.known} - {b""})
+        found = [self.known[w] if w else b"" for w in words]
+        size = np.array([len(x) // 4 for x in found], np.int32)
+        all_ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        word = coded.indices.to_numpy()
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(size[word], dtype=np.int32)))
+        ids = all_ids[np.repeat(starts[word] - ends[:-1], size[word]) + np.arange(ends[-1], dtype=np.int32)]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
@@ -98,10 +149,13 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
         at = tokens = records = 0
         with place.open_output_stream(drafts[0]) as rec, place.open_output_stream(drafts[1]) as idx:
             for batch in batches:
-                texts, doc_ids = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
-                for lo, hi in slices(texts):
-                    for doc_id, got in zip(doc_ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
-                        ids = np.frombuffer(got + struct.pack("<I", end_id), "<u4")
+                texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
+                sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+                at_bytes = np.searchsorted(sizes, np.arange(ENCODE_BYTES, sizes[-1] if len(sizes) else 0, ENCODE_BYTES)).tolist()
+                bounds = sorted({0, *at_bytes, len(texts)})
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                    for doc_id, some in zip(doc_ids[lo:hi], encoder.encode(texts.slice(lo, hi - lo)), strict=True):
+                        ids = np.append(some, np.uint32(end_id))
                         data = frame(doc_id, ids, encoder.width)
                         rec.write(data)
                         idx.write(struct.pack("<QQQq", at, len(data), tokens, doc_id or 0))
