@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIODS_PER_YEAR = 252
-by_symbol = Window.partitionBy("symbol").orderBy("date")
-by_date = Window.partitionBy("date")
+
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def last_rows(n: int):
     """The symbol's last n rows, the current one included."""
-    return by_symbol.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def full(agg: Column, of: Column, n: int, least: int | None = None) -> Column:
@@ -55,7 +61,7 @@ def ewm_mean(df: DataFrame, value: str, alpha: float, out: str, block: int = 128
     r = 1.0 - alpha
     while r ** -block > 1e150:
         block //= 2
-    rows = df.withColumn("n_", F.row_number().over(by_symbol) - 1).withColumn("b_", F.floor(F.col("n_") / block)).withColumn("j_", F.col("n_") % block)
+    rows = df.withColumn("n_", F.row_number().over(by_symbol()) - 1).withColumn("b_", F.floor(F.col("n_") / block)).withColumn("j_", F.col("n_") % block)
     inside = Window.partitionBy("symbol", "b_").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(r), -F.col("j_"))).otherwise(0.0)
     rows = rows.withColumn("num_", F.sum(F.coalesce(F.col(value), F.lit(0.0)) * weight).over(inside)).withColumn("den_", F.sum(weight).over(inside))

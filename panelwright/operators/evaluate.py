@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelwright.functions.windows import PERIODS_PER_YEAR, average_rank, ratio
 
@@ -114,7 +115,7 @@ def correlations(features: DataFrame, columns: list[str]) -> DataFrame:
 # --- overfitting -------------------------------------------------------------------------------------------------
 
 
-@F.udf("double")
+@F.udf(DoubleType())
 def normal_cdf(x):
     return None if x is None or math.isnan(x) else NormalDist().cdf(x)
 
@@ -170,7 +171,7 @@ def bootstrap(returns: DataFrame, resamples: int = 500, block: int = 20, seed: i
     draws = spark.range(resamples).withColumnRenamed("id", "k").crossJoin(F.broadcast(n)).select("k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("b"))
     draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "k", "b"), F.col("n"))).select("k", "n", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
     draws = draws.filter(F.col("b") * block + F.col("j") < F.col("n")).withColumn("i", (F.col("start") + F.col("j")) % F.col("n"))
-    each = draws.join(rows.hint("merge"), "i").groupBy("k").agg((F.exp(F.sum(F.log1p("r")) * PERIODS_PER_YEAR / F.count("*")) - 1).alias("a"), (F.avg("r") / F.stddev_samp("r") * PERIODS_PER_YEAR ** 0.5).alias("s"))
+    each = draws.join(rows.hint("merge"), "i").groupBy("k").agg((F.pow(F.greatest(F.product(1 + F.col("r")), F.lit(0.0)), PERIODS_PER_YEAR / F.count("*")) - 1).alias("a"), (F.avg("r") / F.stddev_samp("r") * PERIODS_PER_YEAR ** 0.5).alias("s"))
     qs = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     out = each.agg(F.percentile("a", qs).alias("a"), F.percentile("s", qs).alias("s"))
     return out.select(*[F.element_at(c, i + 1).alias(f"{name}_{p}") for c, name in (("a", "annual_return"), ("s", "sharpe")) for i, p in enumerate(("p05", "p50", "p95"))])

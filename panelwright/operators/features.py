@@ -23,14 +23,14 @@ def config_of(config: dict | None) -> dict:
 
 
 def k_return(k: int):
-    return ratio(F.col("close"), F.lag("close", k).over(by_symbol)) - 1
+    return ratio(F.col("close"), F.lag("close", k).over(by_symbol())) - 1
 
 
 def technical(panel: DataFrame, config: dict | None = None) -> DataFrame:
     """Per-symbol features of price and volume; a window that is not full gives null."""
     cfg = config_of(config)
     year = PERIODS_PER_YEAR ** 0.5
-    df = panel.withColumns({"ret_": k_return(1), "log_ret": F.log("close") - F.log(F.lag("close").over(by_symbol)), "dollar_": F.col("close") * F.col("volume")})
+    df = panel.withColumns({"ret_": k_return(1), "log_ret": F.log("close") - F.log(F.lag("close").over(by_symbol())), "dollar_": F.col("close") * F.col("volume")})
     cols = {f"ret_{k}": k_return(k) for k in cfg["return_lags"]}
     cols |= {f"vol_{w}": full(F.stddev_samp("ret_"), F.col("ret_"), w) * year for w in cfg["vol_windows"]}
     cols |= {f"ma_ratio_{w}": ratio(F.col("close"), full(F.avg("close"), F.col("close"), w)) - 1 for w in cfg["ma_windows"]}
@@ -53,10 +53,10 @@ def technical(panel: DataFrame, config: dict | None = None) -> DataFrame:
 
 def rsi(panel: DataFrame, window: int = 14) -> DataFrame:
     """(date, symbol, rsi) in [0, 1] by Wilder smoothing; null before window differences, and where there was no loss."""
-    diff = F.col("close") - F.lag("close").over(by_symbol)
+    diff = F.col("close") - F.lag("close").over(by_symbol())
     df = panel.select("date", "symbol", diff.alias("d_")).withColumns({"gain_": F.greatest("d_", F.lit(0.0)) + F.col("d_") * 0, "loss_": F.greatest(-F.col("d_"), F.lit(0.0)) + F.col("d_") * 0})
     df = ewm_mean(ewm_mean(df, "gain_", 1 / window, "up_"), "loss_", 1 / window, "down_")
-    seen = F.count("d_").over(by_symbol.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.count("d_").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return df.select("date", "symbol", F.when((seen >= window) & (F.col("down_") > 0), 1 - 1 / (1 + F.col("up_") / F.col("down_"))).alias("rsi"))
 
 
@@ -89,7 +89,7 @@ def market_regime(benchmark: DataFrame, window: int = 20, fast: int = 10, slow:
     df = df.withColumns({
         "bench_vol": full(F.stddev_samp("bench_ret"), F.col("bench_ret"), window) * PERIODS_PER_YEAR ** 0.5,
         "bench_trend": ratio(full(F.avg("close"), F.col("close"), fast), full(F.avg("close"), F.col("close"), slow)) - 1,
-        "n_": F.row_number().over(by_symbol)})
+        "n_": F.row_number().over(by_symbol())})
     df = df.select("symbol", "date", "n_", "bench_ret", "bench_vol", "bench_trend")
     vols = df.filter("bench_vol is not null")
     a, b = vols.alias("a"), vols.select("symbol", "n_", "bench_vol").alias("b")
@@ -106,7 +106,7 @@ def finite(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cross_sectional(features: DataFrame, columns: list[str]) -> DataFrame:
     """Adds <column>_rank: the percentile rank within the date."""
-    return features.withColumns({f"{c}_rank": pct_rank(F.col(c), by_date) for c in columns})
+    return features.withColumns({f"{c}_rank": pct_rank(F.col(c), by_date()) for c in columns})
 
 
 def build_features(panel: DataFrame, benchmark_symbol: str | None = None, config: dict | None = None) -> DataFrame:

@@ -65,8 +65,8 @@ def with_fill_date(decisions: DataFrame, panel: DataFrame, lag: int = 1) -> Data
 def lagged_inputs(panel: DataFrame, policy: Policy) -> DataFrame:
     """(date, symbol, open, adv, vol): mean volume and return deviation over the full lookback up to the session before."""
     a, v = policy.adv_lookback, policy.volatility_lookback
-    wa, wv = by_symbol.rowsBetween(-a, -1), by_symbol.rowsBetween(-v, -1)
-    df = panel.withColumn("r_", ratio(F.col("close"), F.lag("close").over(by_symbol)) - 1)
+    wa, wv = by_symbol().rowsBetween(-a, -1), by_symbol().rowsBetween(-v, -1)
+    df = panel.withColumn("r_", ratio(F.col("close"), F.lag("close").over(by_symbol())) - 1)
     return df.select("date", "symbol", "open", F.when(F.count("volume").over(wa) == a, F.avg("volume").over(wa)).alias("adv"), F.when(F.count("r_").over(wv) == v, F.stddev_samp("r_").over(wv)).alias("vol"))
 
 
@@ -109,7 +109,7 @@ def positions(fills: DataFrame, panel: DataFrame, cash: float) -> tuple[DataFram
     """(holdings, equity): per session and symbol shares, mark, value and weight; per session cash, market value and equity. fills:
     date, symbol, filled_shares, fill_price, commission. Sums over all earlier fills; marks are the last close."""
     flows = fills.groupBy("date", "symbol").agg(F.sum("filled_shares").alias("q"), F.sum(-F.col("filled_shares") * F.col("fill_price") - F.col("commission")).alias("flow"))
-    so_far = by_symbol.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     names = fills.select("symbol").distinct()
     grid = panel.select("date").distinct().join(names)
     held = grid.join(flows, ["date", "symbol"], "left").join(panel.select("date", "symbol", "close"), ["date", "symbol"], "left")
@@ -135,7 +135,7 @@ def curve(equity: DataFrame, fills: DataFrame, cash: float) -> DataFrame:
 def attribution(holdings: DataFrame, fills: DataFrame, panel: DataFrame) -> DataFrame:
     """Per session and symbol: overnight P&L of what was held, intraday P&L of what is held after the open's fills, trading cost, net."""
     px = panel.select("date", "symbol", "open", "close")
-    df = holdings.select("date", "symbol", "shares", "mark_price").withColumns({"held": F.coalesce(F.lag("shares").over(by_symbol), F.lit(0.0)), "last": F.lag("mark_price").over(by_symbol)})
+    df = holdings.select("date", "symbol", "shares", "mark_price").withColumns({"held": F.coalesce(F.lag("shares").over(by_symbol()), F.lit(0.0)), "last": F.lag("mark_price").over(by_symbol())})
     f = fills.groupBy("date", "symbol").agg(F.sum(F.col("filled_shares") * F.col("price") - F.col("filled_shares") * F.col("fill_price") - F.col("commission")).alias("drag"))
     df = df.join(px, ["date", "symbol"], "left").join(f, ["date", "symbol"], "left")
     night = F.col("held") * F.coalesce(F.coalesce("open", "mark_price") - F.col("last"), F.lit(0.0))

@@ -142,7 +142,7 @@ def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict]
     rows = data.filter("target is not null")
     spark, parts, weights = data.sparkSession, [], []
     ids = [r["window_id"] for r in windows.orderBy("window_id").collect()]
-    assigned = assign(rows, windows)
+    assigned = assign(rows, windows).persist()  # every fit reads it; the session's storage drops what it cannot hold
     for w in ids:
         train, test = (assigned.filter((F.col("window_id") == w) & (F.col("role") == role)) for role in ("train", "test"))
         for name, params in specs.items():
@@ -157,7 +157,7 @@ def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict]
 
 def run_purged_cv(data: DataFrame, folds: DataFrame, specs: dict[str, dict], columns: list[str], fold: str = "fold") -> DataFrame:
     """Predictions of every fold's test dates from its training dates. folds: (fold, date, role)."""
-    rows = data.filter("target is not null")
+    rows = data.filter("target is not null").persist()
     parts = []
     for k in [r[0] for r in folds.select(fold).distinct().orderBy(fold).collect()]:
         dates = folds.filter(F.col(fold) == k)

@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.windows import PERIODS_PER_YEAR, ratio
 
-in_time = Window.orderBy("date")
-so_far = in_time.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_time():
+    """A curve has a row per date: the only windows without a partition."""
+    return Window.orderBy("date")
+
+
+def so_far():
+    return in_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def drawdown(curve: DataFrame) -> DataFrame:
-    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far) - 1)
+    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far()) - 1)
 
 
 def trim_inactive(curve: DataFrame) -> DataFrame:
     """Rows from the first with exposure on; all, if there never was any."""
     active = (F.coalesce(F.col("gross_exposure"), F.lit(0.0)) > 0).cast("int")
-    df = curve.withColumns({"a_": F.max(active).over(so_far), "any_": F.max(active).over(Window.partitionBy())})
+    df = curve.withColumns({"a_": F.max(active).over(so_far()), "any_": F.max(active).over(Window.partitionBy())})
     return df.filter("a_ = 1 or any_ = 0").drop("a_", "any_")
 
 
@@ -58,7 +64,7 @@ def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:
     """Performance of the days of each regime (date, regime); drawdown compounds those days only."""
     df = trim_inactive(curve).join(regimes, "date").filter("regime is not null")
     w = Window.partitionBy("regime").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("e_", F.exp(F.sum(F.log1p("return")).over(w))).withColumn("dd_", F.col("e_") / F.max("e_").over(w) - 1)
+    df = df.withColumn("e_", F.product(1 + F.col("return")).over(w)).withColumn("dd_", F.col("e_") / F.max("e_").over(w) - 1)
     r = F.col("return")
     return df.groupBy("regime").agg(F.count("*").alias("n_days"), _annual().alias("annual_return"), (F.stddev_samp(r) * PERIODS_PER_YEAR ** 0.5).alias("annual_volatility"), (ratio(F.avg(r), F.stddev_samp(r)) * PERIODS_PER_YEAR ** 0.5).alias("sharpe"), F.min("dd_").alias("max_drawdown"), F.avg((r > 0).cast("double")).alias("hit_rate"))
 
@@ -87,7 +93,7 @@ def latest_betas(features: DataFrame) -> DataFrame:
 def drawdown_runs(curve: DataFrame) -> DataFrame:
     """Share of days under water and the longest run of them."""
     df = drawdown(curve).withColumn("u_", F.col("drawdown") < 0)
-    df = df.withColumn("g_", F.row_number().over(in_time) - F.sum(F.col("u_").cast("int")).over(so_far))
+    df = df.withColumn("g_", F.row_number().over(in_time()) - F.sum(F.col("u_").cast("int")).over(so_far()))
     runs = df.filter("u_").groupBy("g_").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"))
     return df.agg(F.avg(F.col("u_").cast("double")).alias("time_under_water")).crossJoin(runs).select("time_under_water", F.coalesce("longest", F.lit(0)).alias("longest_run"))
 
@@ -100,8 +106,8 @@ def borrow_drag(curve: DataFrame, borrow_bps: float, financing_bps: float) -> Da
     """The curve after borrow cost on shorts and financing on gross exposure over 1, both annual basis points."""
     short, cash = F.greatest((F.col("gross_exposure") - F.col("net_exposure")) / 2, F.lit(0.0)), F.greatest(F.col("gross_exposure") - 1, F.lit(0.0))
     df = curve.withColumn("r0_", F.col("return")).withColumn("return", F.col("return") - (short * borrow_bps + cash * financing_bps) / 1e4 / 252)
-    first = F.first("equity").over(in_time) / (1 + F.first("r0_").over(in_time))
-    return df.withColumn("equity", first * F.exp(F.sum(F.log1p("return")).over(so_far))).drop("r0_")
+    first = F.first("equity").over(in_time()) / (1 + F.first("r0_").over(in_time()))
+    return df.withColumn("equity", first * F.product(1 + F.col("return")).over(so_far())).drop("r0_")
 
 
 def readiness(metrics: DataFrame, *, minimum_days: int = 252, minimum_dsr: float = 0.95, maximum_pbo: float = 0.5, maximum_drawdown: float = 0.25, minimum_excess: float = 0.0, maximum_turnover: float = 0.5) -> DataFrame:

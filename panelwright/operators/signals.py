@@ -21,20 +21,20 @@ def build_signals(predictions: DataFrame, strategy: str = "long_short", *, quant
     """(date, symbol, prediction, signal), signal in [-1, 1]. Ties go by symbol."""
     p = F.col("prediction")
     df = predictions.select("date", "symbol", "prediction").filter(p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")))
-    n = F.count("*").over(by_date)
+    n = F.count("*").over(by_date())
     if strategy == "long_short":
         k = F.greatest(F.lit(1), F.floor(n * quantile))
-        rn = F.row_number().over(by_date.orderBy("prediction", "symbol"))
+        rn = F.row_number().over(by_date().orderBy("prediction", "symbol"))
         signal = F.when(n < 2, 0.0).when(rn > n - k, 1.0).when(rn <= k, -1.0).otherwise(0.0)
     elif strategy == "long_only_topk":
-        signal = F.when(F.row_number().over(by_date.orderBy(F.desc("prediction"), "symbol")) <= top_k, 1.0).otherwise(0.0)
+        signal = F.when(F.row_number().over(by_date().orderBy(F.desc("prediction"), "symbol")) <= top_k, 1.0).otherwise(0.0)
     elif strategy == "rank_weighted":
-        df = df.withColumn("c_", pct_rank(p, by_date) - 0.5)
-        varies = F.min(p).over(by_date) < F.max(p).over(by_date)
-        signal = F.when(varies, ratio(F.col("c_"), F.sum(F.abs("c_")).over(by_date))).otherwise(0.0)
+        df = df.withColumn("c_", pct_rank(p, by_date()) - 0.5)
+        varies = F.min(p).over(by_date()) < F.max(p).over(by_date())
+        signal = F.when(varies, ratio(F.col("c_"), F.sum(F.abs("c_")).over(by_date()))).otherwise(0.0)
     elif strategy == "confidence_weighted":
-        sd = F.stddev_pop(p).over(by_date)
-        z = ratio(p - F.avg(p).over(by_date), sd)
+        sd = F.stddev_pop(p).over(by_date())
+        z = ratio(p - F.avg(p).over(by_date()), sd)
         signal = F.when((n < 2) | (sd == 0), 0.0).otherwise(F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)) / clip)
     elif strategy == "threshold":
         signal = F.when(p > threshold, 1.0).when(F.lit(allow_short) & (p < -threshold), -1.0).otherwise(0.0)
@@ -60,13 +60,13 @@ def uncapped_weights(signals: DataFrame, vols: DataFrame | None = None, *, max_w
     df = signals.select("date", "symbol", "signal")
     if vols is not None:
         df = df.join(vols.select("date", "symbol", "vol"), ["date", "symbol"], "left").withColumn("vol", F.when(F.col("vol") != 0, F.col("vol")))
-        df = df.withColumn("signal", F.col("signal") / F.coalesce("vol", F.percentile("vol", 0.5).over(by_date), F.lit(1.0)))
+        df = df.withColumn("signal", F.col("signal") / F.coalesce("vol", F.percentile("vol", 0.5).over(by_date()), F.lit(1.0)))
     df = df.withColumn("x", F.coalesce("signal", F.lit(0.0)))
-    df = df.withColumns({"p_": F.sum(F.greatest("x", F.lit(0.0))).over(by_date), "m_": -F.sum(F.least("x", F.lit(0.0))).over(by_date)})
+    df = df.withColumns({"p_": F.sum(F.greatest("x", F.lit(0.0))).over(by_date()), "m_": -F.sum(F.least("x", F.lit(0.0))).over(by_date())})
     two = (F.col("p_") > 0) & (F.col("m_") > 0)
     side = F.when(F.col("x") > 0, ratio(F.col("x"), F.col("p_"))).when(F.col("x") < 0, ratio(F.col("x"), F.col("m_"))).otherwise(0.0)
     w = F.when(two, side * (max_gross / 2)).otherwise(F.coalesce(ratio(F.col("x"), F.col("p_") + F.col("m_")), F.lit(0.0)) * max_gross)
-    df = df.withColumn("w_", F.greatest(F.least(w, F.lit(max_weight)), F.lit(-max_weight))).withColumn("g_", F.sum(F.abs("w_")).over(by_date))
+    df = df.withColumn("w_", F.greatest(F.least(w, F.lit(max_weight)), F.lit(-max_weight))).withColumn("g_", F.sum(F.abs("w_")).over(by_date()))
     return df.select("date", "symbol", F.when(F.col("g_") > max_gross, F.col("w_") * max_gross / F.col("g_")).otherwise(F.col("w_")).alias("target_weight"))
 
 

@@ -42,7 +42,7 @@ def quality_report(panel: DataFrame) -> DataFrame:
     """Per symbol: first and last date, rows, sessions of the union calendar that are missing in between, null closes, rows without volume,
     returns beyond 40 % and the largest return in size."""
     calendar = dated(panel)
-    ret = F.abs(F.col("close") / F.lag("close").over(by_symbol) - 1)
+    ret = F.abs(F.col("close") / F.lag("close").over(by_symbol()) - 1)
     rows = panel.withColumn("r", ret).groupBy("symbol").agg(
         F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("rows"), F.count_if(F.col("close").isNull()).alias("null_close"),
         F.count_if(F.col("volume") == 0).alias("zero_volume"), F.count_if(F.col("r") > 0.40).alias("extreme_returns"), F.max("r").alias("max_abs_return"))
@@ -54,7 +54,7 @@ def quality_report(panel: DataFrame) -> DataFrame:
 
 def fill_missing(panel: DataFrame, limit: int = 5) -> DataFrame:
     """Prices carried forward over at most limit rows of a symbol; a missing volume is 0."""
-    w = by_symbol.rowsBetween(-limit, 0)
+    w = by_symbol().rowsBetween(-limit, 0)
     return panel.select("date", "symbol", *[F.coalesce(c, F.last(c, ignorenulls=True).over(w)).alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
