@@ -64,9 +64,9 @@ def batch_gate(decisions: DataFrame, limits: Limits = Limits(), kill_from: str |
 
 
 class Gate(StatefulProcessor):
-    """Per portfolio: the peak of equity, the kill switch, and the ids seen (kept for a time to live)."""
+    """Per portfolio: the peak of equity, the kill switch, and the ids seen (kept for a time to live, if one is given)."""
 
-    def __init__(self, limits: Limits, ttl_ms: int):
+    def __init__(self, limits: Limits, ttl_ms: int | None):
         self.limits, self.ttl_ms = limits, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -105,10 +105,11 @@ class Gate(StatefulProcessor):
         pass
 
 
-def stream_gate(events: DataFrame, limits: Limits = Limits(), ttl_days: int = 30) -> DataFrame:
+def stream_gate(events: DataFrame, limits: Limits = Limits(), ttl_days: int | None = None) -> DataFrame:
     """The gate over a stream of decisions and kill events (kind: decision or kill; portfolio, seq, ...). What needs no state is computed
-    before the shuffle by portfolio. Needs the RocksDB state store."""
+    before the shuffle by portfolio. Needs the RocksDB state store. With ttl_days ids are forgotten after so long, which needs a trigger that
+    goes on: state with a time to live keeps an availableNow query from ending."""
     df = observed(events).withColumn("stateless", F.array_compact(F.array(*stateless_reasons(limits))))
     rows = df.select("portfolio", "seq", F.coalesce("kind", F.lit("decision")).alias("kind"), "decision_id", "valid", "equity", "daily_return", "stateless")
     return rows.groupBy("portfolio").transformWithStateInPandas(
-        statefulProcessor=Gate(limits, ttl_days * 86_400_000), outputStructType="portfolio long, seq long, decision_id string, allowed boolean, reasons array<string>", outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=Gate(limits, ttl_days and ttl_days * 86_400_000), outputStructType="portfolio long, seq long, decision_id string, allowed boolean, reasons array<string>", outputMode="Append", timeMode="ProcessingTime" if ttl_days else "None")
