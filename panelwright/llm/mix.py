@@ -117,3 +117,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.array_repeat(F.col("text"), F.expr("cast(taken div size as int)"))
     texts = F.when(part > 0, F.array_append(whole, words)).otherwise(whole)
     return joined.withColumn("text", F.explode(texts)).select(*docs.columns)
+
+
+#: op7_mix by definition: every quotient of every source and shard is listed.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
+r AS (SELECT *, 2 * source_size AS most, 2 * source_size / weight AS ratio FROM w),
+l AS (SELECT *, (CAST({SHARE} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(most) OVER b, 0) AS DOUBLE)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+  FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT level AS open_level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR open_level * weight > most THEN CAST(most AS DOUBLE) ELSE open_level * weight END AS target, CAST(ceil(greatest(source_size, 1) / {SHARD_WORDS}) AS BIGINT) AS shards FROM l LEFT JOIN v ON true),
+n AS (SELECT CAST(round(sum(target) / {BLOCK_WORDS}) AS BIGINT) AS seats FROM t),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source) AS nr FROM t, LATERAL (SELECT unnest(generate_series(1, CAST(ceil(target / {BLOCK_WORDS}) AS BIGINT) + 20)) AS k) WHERE target > 0),
+sq AS (SELECT source, count(*) AS seats FROM q, n WHERE nr <= n.seats GROUP BY source),
+e AS (SELECT d.*, t.source_size, t.target, coalesce(sq.seats, 0) AS source_quota, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN sq ON sq.source IS NOT DISTINCT FROM d.source),
+h AS (SELECT source, shard, sum(size) AS shard_size, any_value(source_quota) AS seats FROM e GROUP BY source, shard),
+hq AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard) AS nr FROM h, LATERAL (SELECT unnest(generate_series(1, seats)) AS k) WHERE shard_size > 0),
+hs AS (SELECT source, shard, count(*) AS quota FROM hq WHERE nr <= seats GROUP BY source, shard),
+p AS (SELECT e.*, h.shard_size, least(coalesce(quota, 0) * {BLOCK_WORDS}, {MOST} * h.shard_size) AS words, sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM e JOIN h ON h.source IS NOT DISTINCT FROM e.source AND h.shard = e.shard LEFT JOIN hs ON hs.source IS NOT DISTINCT FROM e.source AND hs.shard = e.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN shard_size > 0 THEN (words // shard_size) * size + greatest(0, least(size, words % shard_size - (upto - size))) ELSE 0 END AS BIGINT) AS taken FROM p"""

@@ -12,7 +12,7 @@ from .embed_dedup import op2_embedding_dedup
 from .license_scan import op1_license_scan
 from .minhash import op6_minhash
 from .lm import op4_lm_score
-from .mix import op7_mix
+from .mix import OP7_SQL, op7_mix
 from .pieces import op9_sentencepiece
 from .quality import op8_quality
 from .records import op10_records
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix": OP7_SQL}
