@@ -15,7 +15,7 @@ from panelwright.plans.session import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text that is handled at once inside a task.
-SLICE_BYTES, SLICE_DOCS = 4 << 20, 4096
+SLICE_BYTES, SLICE_DOCS = 1 << 20, 4096
 
 _own_dir: dict[str, str] = {}
 
@@ -177,17 +177,51 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 # --- connected components ----------------------------------------------------------------------------------------
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties the nodes of a partition's edges to the smallest they reach within it; what is held is bounded by flushing."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    def flush() -> pa.RecordBatch:
+        pairs = [(u, find(u)) for u in list(root)]
+        root.clear()
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > CONTRACTED:
+            yield flush()
+    yield flush()
+
+
+#: Nodes that a worker ties together at once.
+CONTRACTED = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps: each node's neighbours are tied to the smallest of them, first those above the node,
-    then those below. A step is a partial minimum by node and a join; a hot node is split by adaptive execution. Nothing is collected
-    but two totals per round. Loops and repeated or null edges are dropped."""
-    spark = edges.sparkSession
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e, "edges")
-    seen = None
+    Each round first ties together what a partition holds, then takes a large-star and a small-star step: each node's neighbours are tied
+    to the smallest of them, first those above the node, then those below. A step is a partial minimum by node and a join; a hot node is
+    split by adaptive execution. Nothing is collected but two totals per round. Loops and repeated or null edges are dropped."""
+    e = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    totals = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     while True:
+        e = cut(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        before = totals(e)
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -195,9 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(tied.union(low).filter("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        if totals(e) == before:
             break
-        seen = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -19,6 +19,8 @@ BUCKETS, MANTISSA, VALUE_BITS = 256, 10, 44
 CHANCE = 0.1699 * 2.0**-MANTISSA
 #: Estimates this many standard errors below the threshold are still verified.
 SLACK = 4.0
+#: Best partners in other components that a document tries before all of them are.
+BEST = 4
 #: Members of a band's bucket that one task compares with one another at once.
 BLOCK = 2048
 
@@ -56,17 +58,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.sqrt(np.maximum(raw * (1 - raw), 0.05) / np.maximum(used, 1))
 
 
-def _sketch(n: int, rows: int):
+def band_keys(regs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of each band of registers, and whether any register of the band is used."""
     bands = BUCKETS // rows
     mult = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
+    banded = regs[:, : bands * rows].reshape(-1, bands, rows)
+    keys = np.zeros((len(regs), bands), np.uint64)
+    for k in range(rows):
+        keys += banded[:, :, k].astype(np.uint64) * mult[:, k]
+    return mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x51ED27)).view(np.int64), (banded > 0).any(-1)
+
 
+def _sketch(n: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             sizes, regs = registers(texts, n)
-            banded = regs[:, : bands * rows].reshape(-1, bands, rows)
-            keys = mix((banded.astype(np.uint64) * mult).sum(-1) + np.arange(bands, dtype=np.uint64) * np.uint64(0x51ED27)).view(np.int64)
-            some = (banded > 0).any(-1)
+            keys, some = band_keys(regs, rows)
             # the whole word sequence decides which texts are copies
             digest = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -113,19 +121,26 @@ def _linked(n: int, percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Of one block of a bucket, the pairs of a member outside the bucket's largest component (left) and any member of another component
-    whose estimate is near or over the threshold."""
+def _across(threshold: float, rows: int, best: int | None):
+    """Of one block of a bucket, the pairs of a member outside the bucket's largest component (left) and a member of another component
+    whose estimate is near or over the threshold: all of them, in the first band that both share, or the best few."""
 
     def run(block: pa.Table) -> pa.Table:
         ids, comp, left = (block.column(c).to_numpy() for c in ("node", "component", "left"))
         regs = _unpack(block.column("regs").combine_chunks())
+        keys, used = band_keys(regs, rows)
+        here = int(np.flatnonzero(keys[0] == block.column("band")[0].as_py())[0])
         right = np.flatnonzero(~left)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(left):
             others = right[comp[right] != comp[i]]
             j, se = estimate(regs[i], regs[others])
-            others = others[j + SLACK * se >= threshold]
+            near = j + SLACK * se >= threshold
+            others, j = others[near], j[near]
+            if best is not None:
+                others = others[np.lexsort((ids[others], -j))[:best]]
+            else:
+                others = others[((keys[others] == keys[i]) & used[i]).argmax(1) == here]
             out_a.append(np.full(len(others), ids[i]))
             out_b.append(ids[others])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -134,13 +149,13 @@ def _across(threshold: float):
     return run
 
 
-def across_components(placed: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket and lie in different components. placed: band, node, component. A bucket is dealt in blocks of
-    about BLOCK members by BLOCK members, so that no task holds a whole one."""
-    counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
-    heads = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("top"), F.sum("nodes").alias("nodes")).filter("all > top")
-    # buckets with the same members say the same: one of them is enough
-    heads = cut(heads.groupBy("nodes", "all").agg(F.min(F.struct("band", "major", "top")).alias("h")).select("h.*", "all"), "buckets")
+def across_components(members: DataFrame, comp: DataFrame, regs: DataFrame, threshold: float, best: int | None) -> DataFrame:
+    """Pairs (a, b) that share a bucket and lie in different components. members: band, doc_id. A bucket is dealt in blocks of about BLOCK
+    members by BLOCK members, so that no task holds a whole one."""
+    placed = members.select("band", F.col("doc_id").alias("node")).distinct().join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    heads = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("top")).filter("all > top")
+    heads = cut(heads, "buckets")
     each = placed.join(heads.hint("merge"), "band").join(regs.withColumnRenamed("doc_id", "node").hint("merge"), "node")
     each = each.withColumn("blocks", F.ceil(F.col("all") / BLOCK)).withColumn("lefts", F.ceil((F.col("all") - F.col("top")) / BLOCK))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
@@ -148,7 +163,7 @@ def across_components(placed: DataFrame, regs: DataFrame, threshold: float) -> D
     cols = ["band", "node", "component", "regs"]
     right = each.select(*cols, F.lit(False).alias("left"), own("blocks", 1).alias("i"), upto("lefts").alias("j"))
     left = each.filter("component <> major").select(*cols, F.lit(True).alias("left"), upto("blocks").alias("i"), own("lefts", 2).alias("j"))
-    return right.unionByName(left).groupBy("band", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
+    return right.unionByName(left).groupBy("band", "i", "j").applyInArrow(_across(threshold, band_rows(threshold), best), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,8 +182,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     component keeps its smallest doc_id.
 
     Copies (equal word sequences) are tied to their smallest id first and take no further part. The others meet in bands of registers.
-    Round 1 verifies each member of a bucket against its smallest; round 2 verifies, in buckets that still hold several components, all
-    pairs across components whose estimate allows it: pairs inside a component cannot change the result. No cap is set on buckets. Null
+    Round 1 verifies each member of a bucket against its smallest, round 2 each document's best partners (by estimate) in other components;
+    round 3 verifies, in buckets that still hold several components, all pairs across components whose estimate allows it: pairs inside a
+    component cannot change the result. No cap is set on buckets. Null
     and empty texts have no shingles and link with nothing; a null doc_id keeps itself (component null); rows that repeat a doc_id are one
     document, with the text of the smallest xxhash64; an empty table gives an empty result; other columns are not read."""
     threshold = percent / 100
@@ -191,11 +207,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     of = lambda c: regs.select(F.col("doc_id").alias(c), F.col("regs").alias(f"regs_{c}")).hint("merge")
     likely = cut(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "regs_a", "regs_b").mapInArrow(_likely(threshold), "a long, b long"), "pairs")
     links = cut(verify(likely, docs, shingle, percent), "links")
-    comp = cut(components(links), "components")
-    placed = members.select("band", F.col("doc_id").alias("node")).join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = across_components(placed.distinct(), regs, threshold)
-    more = cut(more.join(likely.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verify(more, docs, shingle, percent))
+    # each document's best partners in other components, then all that are left
+    for best in (BEST, None):
+        comp = cut(components(links), "components")
+        more = across_components(members, comp, regs, threshold, best)
+        more = cut(more.join(likely.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        links = links.union(cut(verify(more, docs, shingle, percent), "links"))
+        likely = likely.union(more)
     final = components(links)
     ids = classes.select("doc_id", F.col("rep").alias("node")).join(final.hint("merge"), "node", "left")
     ids = ids.select("doc_id", F.coalesce("component", "node").alias("component_id"))
