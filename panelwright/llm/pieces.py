@@ -22,7 +22,7 @@ _UNIT = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]")
 UNIT_BYTES = 512
 #: Score of a byte piece: worse than that of any other way.
 BYTE_SCORE = -1e6
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 #: Bytes of the units of one length that advance together.
 GROUP_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
