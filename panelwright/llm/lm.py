@@ -22,8 +22,8 @@ HEAD, SMALL, SLOTS, HIDDEN = 200_000, 512, 16, 16
 #: Languages with classes of their own (the most frequent in training), and frequency classes of each.
 LANGS, BANDS = 6, 4
 #: Streams that are trained together, steps that gradients reach back, learning rate; rounds of training and averaging, each over another
-#: one in ROUND_SHARE of the training documents.
-STREAMS, STEPS, RATE, ROUNDS, ROUND_SHARE = 128, 16, 0.01, 2, 8
+#: hash part of the training documents, so that every one of them is trained on once.
+STREAMS, STEPS, RATE, ROUNDS = 512, 16, 0.01, 2
 #: Counts that a worker gathers before it sends them on; documents and tokens that are scored together; rows of one softmax.
 FLUSH, SCORED_DOCS, SCORED_TOKENS, ROWS = 500_000, 8192, 8_000_000, 65_536
 WINDOW = 64
@@ -142,6 +142,16 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / total, logits - np.log(total)
 
 
+def _slots(p: dict, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Logits of all slots of each state's small class c, and the rows of every class."""
+    out = np.empty((len(c), SLOTS), h.dtype)
+    order = np.argsort(c, kind="stable")
+    rows = np.split(order, np.searchsorted(c[order], np.arange(1, len(p["Ws"]))))
+    for s, r in enumerate(rows):
+        out[r] = h[r] @ p["Ws"][s].T + p["bs"][s]
+    return out, rows
+
+
 def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log of each token's class, and of its slot or share in it; a tail word's share is not in it."""
     out = np.empty(len(tokens))
@@ -153,7 +163,7 @@ def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -
         in_slot = np.flatnonzero(slot >= 0)
         if len(in_slot):
             c = cls[in_slot]
-            _, logs = _softmax(np.matmul(p["Ws"][c], hh[in_slot][:, :, None])[:, :, 0] + p["bs"][c])
+            _, logs = _softmax(_slots(p, c, hh[in_slot])[0])
             some[in_slot] += logs[np.arange(len(c)), slot[in_slot]]
         out[lo : lo + ROWS] = some
     return out
@@ -180,20 +190,18 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, fresh: np.ndarray, target:
     k = np.flatnonzero(slot >= 0)
     if len(k):
         c = cls[k]
-        q, _ = _softmax(np.matmul(p["Ws"][c], hs[k][:, :, None])[:, :, 0] + p["bs"][c])
+        logits, rows_of = _slots(p, c, hs[k])
+        q, _ = _softmax(logits)
         q[np.arange(len(k)), slot[k]] -= 1
         q /= n
-        np.add.at(g["bs"], c, q)
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(v.n_small + 1))
-        for s in range(v.n_small):
-            rows = order[edges[s] : edges[s + 1]]
+        for s, rows in enumerate(rows_of):
             if len(rows):
-                g["Ws"][s] = q[rows].T @ hs[k[rows]]
+                g["Ws"][s], g["bs"][s] = q[rows].T @ hs[k[rows]], q[rows].sum(0)
                 dhs[k[rows]] += q[rows] @ p["Ws"][s]
     dhs = dhs.reshape(steps, b, HIDDEN)
     down = np.zeros((b, HIDDEN), np.float32)
     u_zr, u_c = p["U"][:, : 2 * HIDDEN], p["U"][:, 2 * HIDDEN :]
+    da = np.empty((steps, b, 3 * HIDDEN), dhs.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, r, c = kept[t]
         dh = dhs[t] + down
@@ -201,28 +209,34 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, fresh: np.ndarray, target:
         d_rh = da_c @ u_c.T
         da_zr = np.concatenate((dh * (c - before) * z * (1 - z), d_rh * before * r * (1 - r)), 1)
         down = (dh * (1 - z) + d_rh * r + da_zr @ u_zr.T) * ~fresh[t][:, None]
-        g["U"][:, : 2 * HIDDEN] += before.T @ da_zr
-        g["U"][:, 2 * HIDDEN :] += (r * before).T @ da_c
-        np.add.at(g["E"], v.input[x[t]], np.concatenate((da_zr, da_c), 1))
+        da[t, :, : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = da_zr, da_c
+    da = da.reshape(n, -1)
+    g["U"][:, : 2 * HIDDEN] = np.concatenate([k[0] for k in kept]).T @ da[:, : 2 * HIDDEN]
+    g["U"][:, 2 * HIDDEN :] = np.concatenate([k[2] * k[0] for k in kept]).T @ da[:, 2 * HIDDEN :]
+    inputs = v.input[x.ravel()]
+    order = np.argsort(inputs, kind="stable")
+    which, first = np.unique(inputs[order], return_index=True)
+    g["E"][which] = np.add.reduceat(da[order], first)
     return g, h, loss
 
 
 def train(p: dict, v: Vocabulary, tokens: np.ndarray) -> dict:
     """Adam over the tokens of whole documents (each ends with END), dealt into parallel streams; the state carries on from window to
-    window and starts anew at each document."""
+    window and starts anew at each document. What the streams leave over, less than a token each, is a last window of single steps."""
     end = v.index()[END]
     p = {k: x.copy() for k, x in p.items()}
     streams = max(1, min(STREAMS, len(tokens) // STEPS))
-    length = len(tokens) // streams
-    if length < 2:
-        return p
-    data = tokens[: streams * length].reshape(streams, length).T
+    whole = len(tokens) // streams * streams
+    # the input of a document's first word is the end before it, in a fresh state
+    before = np.append(end, tokens[:-1]).astype(tokens.dtype)
+    x, y = (t[:whole].reshape(streams, -1).T for t in (before, tokens))
+    windows = [(x[lo : lo + STEPS], y[lo : lo + STEPS]) for lo in range(0, len(x), STEPS)]
+    if whole < len(tokens):
+        windows.append((before[None, whole:], tokens[None, whole:]))
     m, s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     h = np.zeros((streams, HIDDEN), np.float32)
-    for i, lo in enumerate(range(0, length - 1, STEPS), 1):
-        x, y = data[lo : min(lo + STEPS, length - 1)], data[lo + 1 : min(lo + STEPS, length - 1) + 1]
-        # the input of a document's first word is the end before it, in a fresh state
-        g, h, _ = gradients(p, v, x, x == end, y, h)
+    for i, (x, y) in enumerate(windows, 1):
+        g, h, _ = gradients(p, v, x, x == end, y, h if x.shape[1] == len(h) else np.zeros((x.shape[1], HIDDEN), np.float32))
         for k in p:
             m[k] += 0.1 * (g[k] - m[k])
             s[k] += 0.01 * (g[k] ** 2 - s[k])
@@ -279,12 +293,12 @@ def _average(models: pa.Table) -> pa.Table:
 
 
 def fit(training: DataFrame, v: Vocabulary) -> dict:
-    """Weights after ROUNDS rounds: in each, every partition trains on its own documents from the same weights, and the results are
-    averaged, in 64 groups first. Only those 64 models reach the driver."""
+    """Weights after ROUNDS rounds, which part the training documents between them: in each, every partition trains on its own documents
+    from the same weights, and the results are averaged, in 64 groups first. Only those 64 models reach the driver."""
     spark, p = training.sparkSession, initial(v)
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((v, p))
-        own = training.filter(F.floor(crc(F.col("doc_id")) / 5) % ROUND_SHARE == k).select("text")
+        own = training.filter(F.floor(crc(F.col("doc_id")) / 5) % ROUNDS == k).select("text")
         models = own.mapInArrow(_train(shared), "model binary, n long").withColumn("g", F.pmod(F.xxhash64("model"), F.lit(64)))
         groups = models.groupBy("g").applyInArrow(_average, "model binary, n long").toArrow()
         if groups.num_rows:

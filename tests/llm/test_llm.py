@@ -128,6 +128,18 @@ def test_lm_gradients():
             assert abs((up - down) / 2e-5 - g[k].reshape(-1)[i]) < 1e-5
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    v = lm.Vocabulary([b"a", b"b", b"c", lm.END], np.array([9.0, 5.0, 3.0, 4.0]), np.array([0, 0, 0, 0]), 1, 6.0)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) // 5 % 8 > 1]
+    p = lm.fit(spark.createDataFrame([(i, "a b c a b") for i in ids], "doc_id long, text string").coalesce(1), v)
+    assert not np.allclose(p["W"], lm.initial(v)["W"])
+    seen, gradients = Counter(), lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda p, v, x, fresh, y, h: seen.update(y.ravel().tolist()) or gradients(p, v, x, fresh, y, h))
+    tokens = np.random.default_rng(1).integers(0, 5, 40_007).astype(np.int32)
+    lm.train(lm.initial(v), v, tokens)
+    assert seen == Counter(tokens.tolist())
+
+
 def test_substring_dedup(spark, none):
     rng = random.Random(4)
     fresh = lambda n: " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(n))
