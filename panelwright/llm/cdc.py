@@ -24,15 +24,19 @@ WINDOW_WORDS = 15
 _GEAR = np.random.default_rng(19).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + G[byte] after each byte, over the last 16 bytes, by doubling the span four times."""
+def gear(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The gear hash h = (h << 1) + G[byte] after each byte, over the last 16 bytes of the same text, by doubling the span four times. Texts
+    begin at first."""
     h = _GEAR[data]
     for k in range(4):
         step = 1 << k
         if step >= len(h):
             break
-        longer = h.copy()
-        longer[step:] += h[:-step] << np.uint32(step)
+        earlier = np.zeros_like(h)
+        earlier[step:] = h[:-step] << np.uint32(step)
+        at_start = (first[:, None] + np.arange(step)).ravel()
+        earlier[at_start[at_start < len(h)]] = 0
+        longer = h + earlier
         h = longer
     return h
 
@@ -45,7 +49,7 @@ def cuts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     word = np.flatnonzero(~space[1:] & space[:-1]) + 1
     if len(word):
         # the hash of what stands before the word
-        h = gear(data)
+        h = gear(data, first)
         start[word[(h[word - 1] ^ (h[word - 1] >> np.uint32(15))) % np.uint32(CUT_ONE_IN) == 0]] = True
     start[first] = True
     at = np.flatnonzero(start)

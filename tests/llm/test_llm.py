@@ -159,6 +159,17 @@ def test_cuts_survive_insertions():
     assert len(a & b) > 0.95 * len(a)
 
 
+def test_cuts_do_not_depend_on_other_texts():
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice('abcdef')}{rng.randint(0, 99)}" for _ in range(rng.choice([0, 1, 3, 40]))).encode() for _ in range(300)]
+    alone = [[x[1:] for x in zip(*(y.tolist() for y in cdc.chunks_of([t])), strict=True)] for t in texts]
+    for order in (list(range(300)), list(range(299, -1, -1))):
+        got = [[] for _ in texts]
+        for k, *rest in zip(*(y.tolist() for y in cdc.chunks_of([texts[i] for i in order])), strict=True):
+            got[order[k]].append(tuple(rest))
+        assert got == alone
+
+
 def brute_components(rows, n, percent):
     sets = {i: minhash.shingle_set((t or "").encode(), n) for i, t, *_ in rows}
     comp = {i: i for i in sets}
