@@ -2,7 +2,8 @@
 
 A gear rolling hash over the last 16 bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
 and an insertion moves no other cut. As chunks of a few words repeat by chance, what is deduplicated by digest is, from each chunk on, as
-many chunks as hold WINDOW_WORDS words: a variable chunk of its own whose ends are content-defined. The first occurrence (smallest doc_id,
+many chunks as hold WINDOW_WORDS words or RUN_BYTES bytes: a variable chunk of its own whose ends are content-defined. In long stretches
+without white space the hash decides at every character. What a text has left from its last run on, all of a short text, is compared too. The first occurrence (smallest doc_id,
 then position) stays, and every chunk of a later one is cut out."""
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import _SPACE, cut, slices, table, texts_of, with_bitmap
 
-#: One word start in CUT_ONE_IN ends a chunk; bytes after which a chunk without a cut ends at the next character.
-CUT_ONE_IN, MOST_BYTES = 4, 512
+#: One word start in CUT_ONE_IN ends a chunk; LONG_BYTES after the start of a word, one character in LONG_ONE_IN as well.
+CUT_ONE_IN, LONG_BYTES, LONG_ONE_IN = 4, 48, 16
 #: Least words of the runs of chunks that are compared. A repeated passage of 51 words holds such a run but for one case in 800.
-WINDOW_WORDS = 15
+#: Runs of longer words, as in text without spaces, end at RUN_BYTES.
+WINDOW_WORDS, RUN_BYTES = 15, 256
 _GEAR = np.random.default_rng(19).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -51,23 +53,21 @@ def cuts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
         # the hash of what stands before the word
         h = gear(data, first)
         start[word[(h[word - 1] ^ (h[word - 1] >> np.uint32(15))) % np.uint32(CUT_ONE_IN) == 0]] = True
+    where = np.arange(len(data), dtype=np.int32)
+    opened = np.where(space, where + 1, 0).astype(np.int32)
+    opened[first] = np.maximum(opened[first], first)
+    far = np.flatnonzero((where - np.maximum.accumulate(opened) >= LONG_BYTES) & (data & 0xC0 != 0x80))
+    if len(far):
+        h = gear(data, first)[far - 1]
+        start[far[(h ^ (h >> np.uint32(15))) % np.uint32(LONG_ONE_IN) == 0]] = True
     start[first] = True
-    at = np.flatnonzero(start)
-    end = np.append(at[1:], len(data))
-    extra = []
-    for k in np.flatnonzero(end - at > MOST_BYTES):
-        inner = np.arange(at[k] + MOST_BYTES, end[k], MOST_BYTES)
-        for x in inner:
-            while x < end[k] and data[x] & 0xC0 == 0x80:
-                x += 1
-            if x < end[k]:
-                extra.append(x)
-    return np.unique(np.concatenate((at, np.array(extra, np.int64)))) if extra else at
-
-
-def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.flatnonzero(start)
+
+
+def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Text index, start and end within the text and words of every chunk of every text, in order; the number of chunks from each on that
-    hold WINDOW_WORDS words (0 if the text ends before)."""
+    hold WINDOW_WORDS words or RUN_BYTES (0 if the text ends before); the number of chunks to the end of the text from its last such run
+    on, or of all if it has none (0 for other chunks, where the run itself reaches the end, and in texts without words)."""
     out = []
     for lo, hi in slices(texts):
         some = texts[lo:hi]
@@ -85,17 +85,25 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         head[1:] &= space[:-1]
         head[offsets[:-1][lens > 0]] = ~space[offsets[:-1][lens > 0]]
         words = np.concatenate(([0], np.cumsum(head)))
-        last = np.searchsorted(words[end], words[at] + WINDOW_WORDS)
+        last = np.minimum(np.searchsorted(words[end], words[at] + WINDOW_WORDS), np.searchsorted(end, at + RUN_BYTES))
         inside = last < len(at)
         inside[inside] = doc[last[inside]] == doc[inside]
-        out.append((doc + lo, at - offsets[doc], end - offsets[doc], words[end] - words[at], np.where(inside, last - np.arange(len(at)) + 1, 0)))
+        span = np.where(inside, last - np.arange(len(at)) + 1, 0)
+        head_of = np.searchsorted(doc, np.unique(doc))
+        stop = np.append(head_of[1:], len(doc))
+        tail = np.maximum(np.maximum.reduceat(np.where(span > 0, np.arange(len(at)), 0), head_of), head_of)
+        rest = np.zeros_like(span)
+        rest[tail] = np.where(words[end[stop - 1]] > words[at[head_of]], stop - tail, 0)
+        rest[rest == span] = 0
+        out.append((doc + lo, at - offsets[doc], end - offsets[doc], words[end] - words[at], span, rest))
     if not out:
-        return tuple([np.zeros(0, np.int64)] * 5)
+        return tuple([np.zeros(0, np.int64)] * 6)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, doc_id, nr, known) of every run of chunks that is compared. In a batch only the first run of a digest needs the other
+    """(digest, doc_id, nr, known) of every run of chunks that is compared; nr is twice the number of its first chunk, and one more if it
+    goes on to the end of the text. In a batch only the first run of a digest needs the other
     batches to be judged: later ones are repeats already (known) and get a digest of their own place, so that a common passage does not
     gather in one task."""
     for batch in batches:
@@ -103,10 +111,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ids, kind="stable")
         texts = texts_of(batch.column("text"))
         texts = [texts[i] for i in order]
-        doc, at, end, _, span = chunks_of(texts)
-        nr = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        runs = np.flatnonzero(span)
-        doc, nr, at, end = doc[runs], nr[runs], at[runs], end[runs + span[runs] - 1]
+        doc, at, end, _, span, rest = chunks_of(texts)
+        nr = 2 * (np.arange(len(doc)) - np.searchsorted(doc, doc))
+        both = np.stack((span, rest), 1).ravel()
+        runs = np.flatnonzero(both)
+        first = runs // 2
+        doc, nr, at, end = doc[first], nr[first] + runs % 2, at[first], end[first + both[runs] - 1]
         # white space at the end is not part of what is compared
         digest = np.array([xxhash.xxh3_64_intdigest(texts[d][a:b].rstrip()) for d, a, b in zip(doc.tolist(), at.tolist(), end.tolist(), strict=True)], np.uint64)
         known = np.ones(len(doc), bool)
@@ -121,13 +131,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut out the chunks of each text that lie in a repeated run (column nrs: where such runs start)."""
     for batch in batches:
         texts = texts_of(batch.column("text"))
-        doc, at, end, words, span = chunks_of(texts)
+        doc, at, end, words, span, rest = chunks_of(texts)
+        both = np.stack((span, rest), 1)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         new, gone_words, gone_chars = [], [], []
         for i, nrs in enumerate(batch.column("nrs").to_pylist()):
             own = slice(first[i], first[i + 1])
-            starts = np.array([k for k in nrs or () if k < first[i + 1] - first[i]], np.int64)
-            edge = np.bincount(starts, minlength=first[i + 1] - first[i] + 1) - np.bincount(starts + span[own][starts], minlength=first[i + 1] - first[i] + 1)
+            n = first[i + 1] - first[i]
+            nr = np.array([k for k in nrs or () if k < 2 * n], np.int64)
+            starts = nr // 2
+            edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + both[own][starts, nr % 2], minlength=n + 1)
             gone = np.cumsum(edge)[:-1] > 0
             t = texts[i]
             left = b"".join(t[a:b] for a, b, g in zip(at[own].tolist(), end[own].tolist(), gone.tolist(), strict=True) if not g) if gone.any() else t
@@ -145,7 +158,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     Of passages that repeat, in other documents or the same one, the first occurrence stays. Only documents with a repeated run
     are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
-    null, empty ones empty; a text without white space is cut into chunks of MOST_BYTES; rows with a null doc_id stay as they are; rows that
+    null, empty ones empty; a text that repeats another whole one goes, however short; one character that goes on and on is a single chunk;
+    rows with a null doc_id stay as they are; rows that
     repeat a doc_id repeat their passages, but the first by text order keeps them only if the rows differ in doc_id, so ids should be
     unique; an empty table gives an empty result; further columns are kept, but those named nrs, removed_words and removed_chars are replaced."""
     docs = docs.drop("nrs", "removed_words", "removed_chars")

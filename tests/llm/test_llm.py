@@ -170,6 +170,20 @@ def test_cuts_do_not_depend_on_other_texts():
         assert got == alone
 
 
+def test_substring_dedup_without_spaces(spark):
+    rng = random.Random(8)
+    cjk = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    passage, short, code = cjk(300), "only four words here", "".join(rng.choice("ABCDEFabcdef0189+/") for _ in range(2000))
+    a, b = cjk(200), cjk(200)
+    rows = [(1, cjk(150) + passage + cjk(150)), (2, a + passage + b), (3, short), (4, short), (5, code), (6, code), (7, cjk(400)), (8, "  "), (9, "  "), (10, "four other words here")]
+    long = " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(200))
+    rows += [(11, long), (12, long), (13, "日本"), (14, "日本"), (15, passage[:80])]
+    got = {r.doc_id: r.text for r in cdc.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    text = dict(rows)
+    assert all(got[i] == text[i] for i in (1, 3, 5, 7, 8, 9, 10, 11, 13))
+    assert got[4] == got[6] == got[12] == got[14] == "" and got[2].startswith(a) and got[2].endswith(b) and len(got[2]) < 500
+
+
 def brute_components(rows, n, percent):
     sets = {i: minhash.shingle_set((t or "").encode(), n) for i, t, *_ in rows}
     comp = {i: i for i in sets}
