@@ -13,14 +13,14 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label | keyword | signature over words that single spaces join. The order is the rules' order within a priority.
+#: label | keywords, one of which is in every match | signature over words that single spaces join. The order is the rules' order within a priority.
 NAMES = """
 apache-1.0 | apache | apache (?:software )?license (?:version )?1 0
 apache-1.1 | apache | apache (?:software )?license (?:version )?1 1
 apache-2.0 | apache | apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?
 apache-any | apache | apache (?:software )?licen[sc]e
 mit-0 | attribution | mit no attribution(?: license)?
-mit | mit | (?:mit|expat) licen[sc]e
+mit | mit expat | (?:mit|expat) licen[sc]e
 mit-x11 | x11 | (?:mit )?x11 license
 mit-text | permission | permission is hereby granted free of charge to any person obtaining a copy
 mit-cmu | cmu | cmu license
@@ -112,7 +112,7 @@ artistic-1.0 | artistic | artistic license (?:version |v)?1(?: 0)?
 artistic-2.0 | artistic | artistic license (?:version |v)?2(?: 0)?
 artistic-any | artistic | artistic licen[sc]e
 perl | perl | same terms as perl(?: itself)?
-python-2.0 | python | (?:python|psf) (?:software foundation )?license(?: (?:version |v)?2)?
+python-2.0 | python psf | (?:python|psf) (?:software foundation )?license(?: (?:version |v)?2)?
 php-3.01 | php | php license(?: (?:version |v)?3(?: 0?1)?)?
 ruby | ruby | ruby license
 postgresql | postgresql | postgresql licen[sc]e
@@ -145,16 +145,17 @@ FORMS = ((1, 1.0, IDENTIFIER), (2, 0.9, GRANT), (3, 0.6, ""))
 
 
 #: Prefilter over whole texts: a text without any of these substrings is not searched further. All but the last two lines come with nearly
-#: every rule's own words; the short names count only before a space or hyphen.
+#: every rule's own words. Each is part of one word, as anything but words may part two; CC_BY is asked for by a pattern of its own.
 HINTS = (
-    "licen", "spdx", "apache", "gpl", "bsd", "cc0", "cc by", "cc-by", "commons", "domain", "reserved", "proprietary", "hereby", "permission",
-    "redistribution", "unencumbered", "wtfpl", "zlib", "cddl", "eupl", "beerware", "openrail", "as perl", "fuck you",
-    "mpl ", "mpl-", "epl ", "epl-", "ofl ", "ofl-", "bsl ", "bsl-",
+    "licen", "spdx", "apache", "gpl", "bsd", "cc0", "commons", "domain", "reserved", "proprietary", "hereby", "permission",
+    "redistribution", "unencumbered", "wtfpl", "zlib", "cddl", "eupl", "beerware", "openrail", "perl", "fuck",
+    "mpl", "epl", "ofl", "bsl", "attribution",
 )
+CC_BY = f"cc{BETWEEN_WORDS}by"
 
 
 def rules() -> list[tuple[str, str, int, int, float, str]]:
-    """label, keyword, priority, order, confidence, regex: each signature in each form."""
+    """label, keywords, priority, order, confidence, regex: each signature in each form."""
     names = [[x.strip() for x in line.split(" | ")] for line in NAMES.strip().splitlines()]
     return [(label, key, p, i, sure, f"(?<= ){before}(?:{rx})(?= )") for i, (label, key, rx) in enumerate(names) for p, sure, before in FORMS]
 
@@ -166,7 +167,8 @@ def _literal(text: str) -> str:
 def _rules_by_keyword() -> tuple[str, list[str]]:
     keys: dict[str, list[str]] = {}
     for label, key, p, i, sure, rx in rules():
-        keys.setdefault(key, []).append(f"named_struct('label', '{label}', 'prio', {p}, 'nr', {i}, 'sure', {sure}D, 'rx', {_literal(rx)})")
+        for k in key.split():
+            keys.setdefault(k, []).append(f"named_struct('label', '{label}', 'prio', {p}, 'nr', {i}, 'sure', {sure}D, 'rx', {_literal(rx)})")
     return "map(" + ", ".join(f"'{k}', array({', '.join(v)})" for k, v in keys.items()) + ")", list(keys)
 
 
@@ -197,7 +199,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     base_rx = _literal("(?<= )(?:mit|apache|general public) license(?= )")
     low = docs.select("doc_id", lower_ascii(F.col("text")).alias("low"))
     # no rule matches a text without one of these; of several words only the first is asked for, since anything but words may part them
-    hit = F.lit(False)
+    hit = F.col("low").rlike(CC_BY)
     for hint in HINTS:
         hit = hit | F.contains(F.col("low"), F.lit(hint))
     marked = low.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(hit, words_joined(F.col("low"))).alias("t"))

@@ -56,6 +56,16 @@ def test_license_scan(spark, none):
     assert license_scan.license_scan(none).count() == 0 and len(license_scan.rules()) > 300
 
 
+def test_license_prefilters_lose_nothing(spark):
+    texts = ["cc by 4.0", "cc by-sa 4.0", "mpl 2.0", "epl 2.0", "ofl 1.1", "bsl 1.0", "same terms as perl", "mit no attribution", "expat license", "psf license", "psf software foundation licence", "do what the fuck you want to public license"]
+    texts = [t.replace(" ", sep) for t in texts for sep in (" ", "\n", "/", "_", " - ")]
+    got = {r.doc_id: r.detections for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        joined = " " + re.sub(license_scan.BETWEEN_WORDS, " ", t).strip() + " "
+        want = {label for label, _, _, _, _, rx in license_scan.rules() if re.search(rx, joined)}
+        assert bool(got[i]) == bool(want) and {d.label for d in got[i] or ()} <= want, t
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
