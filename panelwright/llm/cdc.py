@@ -3,8 +3,9 @@
 A gear rolling hash over the last 16 bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
 and an insertion moves no other cut. As chunks of a few words repeat by chance, what is deduplicated by digest is, from each chunk on, as
 many chunks as hold WINDOW_WORDS words or RUN_BYTES bytes: a variable chunk of its own whose ends are content-defined. In long stretches
-without white space the hash decides at every character. What a text has left from its last run on, all of a short text, is compared too. The first occurrence (smallest doc_id,
-then position) stays, and every chunk of a later one is cut out."""
+without white space the hash decides at every character. What a text has left from its last run on, all of a short text, is compared too. The
+first occurrence (smallest doc_id, then position) stays. Of a later one every chunk is cut out where such runs, one after another, cover
+LEAST_WORDS words or LEAST_BYTES bytes or the whole text: a single sentence that texts share, such as a license line, is left alone."""
 
 from __future__ import annotations
 
@@ -16,13 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACE, cut, slices, table, texts_of, with_bitmap
+from .common import _SPACE, bounded, claim, cut, fresh, quoted, schema_of, slices, table, texts_of, with_bitmap
 
 #: One word start in CUT_ONE_IN ends a chunk; LONG_BYTES after the start of a word, one character in LONG_ONE_IN as well.
 CUT_ONE_IN, LONG_BYTES, LONG_ONE_IN = 4, 48, 16
 #: Least words of the runs of chunks that are compared. A repeated passage of 51 words holds such a run but for one case in 800.
 #: Runs of longer words, as in text without spaces, end at RUN_BYTES.
 WINDOW_WORDS, RUN_BYTES = 15, 256
+#: Least words or bytes of what is cut out. Of a repeated passage of 51 words, the chunks inside it cover as much but for one case in 250.
+LEAST_WORDS, LEAST_BYTES = 25, 400
+#: Repeated runs that a task remembers, at most; beyond it, it starts anew.
+COMMON = 100_000
 _GEAR = np.random.default_rng(19).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -103,10 +108,12 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, doc_id, nr, known) of every run of chunks that is compared; nr is twice the number of its first chunk, and one more if it
-    goes on to the end of the text. In a batch only the first run of a digest needs the other
-    batches to be judged: later ones are repeats already (known) and get a digest of their own place, so that a common passage does not
-    gather in one task."""
-    for batch in batches:
+    goes on to the end of the text. Runs that repeat an earlier one (by doc_id and nr) of the same part of a batch, or one that repeats so
+    often that the task remembers it, are repeats already (known), whatever other tasks hold, and get a digest of their own place: a common
+    passage does not gather in one task."""
+    claim(None)
+    common: dict[int, tuple[int, int]] = {}
+    for batch in bounded(batches):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         texts = texts_of(batch.column("text"))
@@ -120,37 +127,65 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # white space at the end is not part of what is compared
         digest = np.array([xxhash.xxh3_64_intdigest(texts[d][a:b].rstrip()) for d, a, b in zip(doc.tolist(), at.tolist(), end.tolist(), strict=True)], np.uint64)
         known = np.ones(len(doc), bool)
-        known[np.unique(digest, return_index=True)[1]] = False
+        distinct, where, times = np.unique(digest, return_index=True, return_counts=True)
+        known[where] = False
         doc_id = ids[order][doc]
+        if len(common) > COMMON:
+            common = {}
+        again = np.isin(distinct, np.fromiter(common, np.uint64, len(common)))
+        for k in np.flatnonzero(again | (times > 1)).tolist():
+            i = where[k]
+            place = int(doc_id[i]), int(nr[i])
+            if common.get(int(distinct[k]), place) < place:
+                known[i] = True
+            else:
+                common[int(distinct[k])] = place
         digest = digest.view(np.int64).copy()
         digest[known] = doc_id[known] * np.int64(0x9E3779B1) + nr[known]
         yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc_id, pa.int64()), pa.array(nr.astype(np.int32)), pa.array(known)], names=["digest", "doc_id", "nr", "known"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _long_enough(gone: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """gone (by chunk of one text) without the stretches that are too short to be cut out."""
+    if gone.all():
+        return gone
+    edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
+    start, stop = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    n_words, n_bytes = (np.concatenate(([0], np.cumsum(x))) for x in (words, size))
+    out = gone.copy()
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        out[a:b] = n_words[b] - n_words[a] >= LEAST_WORDS or n_bytes[b] - n_bytes[a] >= LEAST_BYTES
+    return out
+
+
+def _remove(nrs_name: str):
     """Cut out the chunks of each text that lie in a repeated run (column nrs: where such runs start)."""
-    for batch in batches:
-        texts = texts_of(batch.column("text"))
-        doc, at, end, words, span, rest = chunks_of(texts)
-        both = np.stack((span, rest), 1)
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        new, gone_words, gone_chars = [], [], []
-        for i, nrs in enumerate(batch.column("nrs").to_pylist()):
-            own = slice(first[i], first[i + 1])
-            n = first[i + 1] - first[i]
-            nr = np.array([k for k in nrs or () if k < 2 * n], np.int64)
-            starts = nr // 2
-            edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + both[own][starts, nr % 2], minlength=n + 1)
-            gone = np.cumsum(edge)[:-1] > 0
-            t = texts[i]
-            left = b"".join(t[a:b] for a, b, g in zip(at[own].tolist(), end[own].tolist(), gone.tolist(), strict=True) if not g) if gone.any() else t
-            new.append(left)
-            gone_words.append(int(words[own][gone].sum()))
-            gone_chars.append(len(t.decode()) - len(left.decode()) if gone.any() else 0)
-        columns = {c: batch.column(c) for c in batch.schema.names if c not in ("nrs", "text")}
-        null = batch.column("text").is_null()
-        text = pa.array([None if n else x for n, x in zip(null.to_pylist(), new, strict=True)], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_pydict(columns | {"text": text, "removed_words": pa.array(gone_words, pa.int64()), "removed_chars": pa.array(gone_chars, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            texts = texts_of(batch.column("text"))
+            doc, at, end, words, span, rest = chunks_of(texts)
+            both = np.stack((span, rest), 1)
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            new, gone_words, gone_chars = [], [], []
+            for i, nrs in enumerate(batch.column(nrs_name).to_pylist()):
+                own = slice(first[i], first[i + 1])
+                n = first[i + 1] - first[i]
+                nr = np.array([k for k in nrs or () if k < 2 * n], np.int64)
+                starts = nr // 2
+                edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + both[own][starts, nr % 2], minlength=n + 1)
+                gone = _long_enough(np.cumsum(edge)[:-1] > 0, words[own], end[own] - at[own])
+                t = texts[i]
+                left = b"".join(t[a:b] for a, b, g in zip(at[own].tolist(), end[own].tolist(), gone.tolist(), strict=True) if not g) if gone.any() else t
+                new.append(left)
+                gone_words.append(int(words[own][gone].sum()))
+                gone_chars.append(len(t.decode()) - len(left.decode()) if gone.any() else 0)
+            null = batch.column("text").is_null()
+            text = pa.array([None if n else x for n, x in zip(null.to_pylist(), new, strict=True)], pa.binary()).cast(pa.string())
+            columns = {c: text if c == "text" else batch.column(c) for c in batch.schema.names if c != nrs_name}
+            yield pa.RecordBatch.from_pydict(columns | {"removed_words": pa.array(gone_words, pa.int64()), "removed_chars": pa.array(gone_chars, pa.int64())})
+
+    return run
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -161,22 +196,22 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     null, empty ones empty; a text that repeats another whole one goes, however short; one character that goes on and on is a single chunk;
     rows with a null doc_id stay as they are; rows that
     repeat a doc_id repeat their passages, but the first by text order keeps them only if the rows differ in doc_id, so ids should be
-    unique; an empty table gives an empty result; further columns are kept, but those named nrs, removed_words and removed_chars are replaced."""
-    docs = docs.drop("nrs", "removed_words", "removed_chars")
+    unique; an empty table gives an empty result; further columns are kept whatever their names, but those named removed_words and
+    removed_chars are replaced."""
+    docs = docs.drop("removed_words", "removed_chars")
     key = F.col("doc_id").cast("long")
     runs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(key.alias("doc_id"), "text").mapInArrow(_window_rows, "digest long, doc_id long, nr int, known boolean")
     later = F.row_number().over(Window.partitionBy("digest").orderBy("known", "doc_id", "nr")) > 1
     repeats = runs.withColumn("later", later).filter("later or known").select("doc_id", "nr")
-    by_doc = cut(repeats.groupBy("doc_id").agg(F.collect_set("nr").alias("nrs")), "repeats")
-    fields = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "text") + ", text string, removed_words long, removed_chars long"
-    marked = with_bitmap(docs.withColumn("doc_key_", key), by_doc.withColumnRenamed("doc_id", "doc_key_"), "doc_key_")
+    own, nrs, maybe = fresh(docs, "own", "nrs", "maybe")
+    by_doc = cut(repeats.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("nr").alias(nrs)), "repeats")
+    marked = with_bitmap(docs.withColumn(own, key), by_doc, maybe, own)
     none = F.lit(0).cast("long")
-    names = [f.name for f in fields] + ["removed_words", "removed_chars"]
-    sure = marked.filter("not maybe_in or doc_key_ is null").withColumn("removed_words", none).withColumn("removed_chars", none).select(*names)
-    joined = marked.filter("maybe_in and doc_key_ is not null").join(by_doc.withColumnRenamed("doc_id", "doc_key_").hint("merge"), "doc_key_", "left")
-    cut_out = joined.select(*[f.name for f in fields], "nrs").mapInArrow(_remove, schema)
-    return sure.unionByName(cut_out.select(*names))
+    names = [quoted(c) for c in docs.columns]
+    sure = marked.filter(~F.col(maybe) | F.col(own).isNull()).withColumn("removed_words", none).withColumn("removed_chars", none).select(*names, "removed_words", "removed_chars")
+    joined = marked.filter(F.col(maybe) & F.col(own).isNotNull()).join(by_doc.hint("merge"), own, "left").select(*names, nrs)
+    schema = ", ".join([*schema_of(docs), "removed_words long, removed_chars long"])
+    return sure.union(joined.mapInArrow(_remove(nrs), schema))
 
 
 def op5_substring_dedup(spark, sf_dir):

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.plans.session import ship
 
+#: Text that JVM and Python hand each other at once. Spark's own bound is a number of rows, which long texts make large.
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text that is handled at once inside a task.
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 4096
@@ -20,15 +24,27 @@ SLICE_BYTES, SLICE_DOCS = 1 << 20, 4096
 _own_dir: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its workers, and batches for Python bounded by bytes unless the user has set a bound."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(conf) == DEFAULT_BATCH:
+        spark.conf.set(conf, str(BATCH_BYTES))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one if all of Spark runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _own_dir.setdefault("dir", "file://" + (_own_dir.get("path") or tempfile.mkdtemp(prefix="shared-")))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        if "dir" not in _own_dir:
+            _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        found = _own_dir["dir"]
     return found.rstrip("/")
 
 
@@ -47,9 +63,37 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, each made from one of names: helper columns must not clash with those of a user."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(1, len(taken) + 2)) if n.lower() not in taken) for name in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(df: DataFrame, *, but: tuple[str, ...] = ()) -> list[str]:
+    """The columns of df, as a schema string has them."""
+    return [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in but]
+
+
 # --- text inside tasks -------------------------------------------------------------------------------------------
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts that slices() allows, so that what a task holds besides does not grow with a batch. At the end what is free goes
+    back to the system, since workers live on."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        for lo, hi in _ranges(sizes.tolist()):
+            yield batch.slice(lo, hi - lo)
+    release()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
@@ -57,14 +101,38 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts with at most SLICE_DOCS texts and, but for a single long text, SLICE_BYTES bytes."""
+    return _ranges([len(t) for t in texts])
+
+
+def _ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
     lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and (size + len(t) > SLICE_BYTES or i - lo >= SLICE_DOCS):
+    for i, n in enumerate(sizes):
+        if i > lo and (size + n > SLICE_BYTES or i - lo >= SLICE_DOCS):
             yield lo, i
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+#: How to drop what an operator remembers in a worker from task to task.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str | None) -> None:
+    """At the start of a task: drop what other operators have left in this worker, so that a reused worker holds one operator's memory."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 #: ASCII white space: space, tab to carriage return.
@@ -152,26 +220,29 @@ def shingle_hashes(hashes: np.ndarray, doc: np.ndarray, n_docs: int, n: int) ->
 ID_BITS = 23
 
 
-def with_bitmap(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with a column maybe_in: false only for rows whose key is surely not in ids (column key). The bitmap that is broadcast has
-    a fixed size bound (2^ID_BITS bits); with very many ids it tells less, never wrong."""
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << ID_BITS))
-    bits = ids.select(slot.alias("slot_")).groupBy(F.shiftright("slot_", 6).cast("int").alias("word_")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot_ & 63 as int))")).alias("bits_"))
-    out = docs.withColumn("slot_", slot).withColumn("word_", F.shiftright("slot_", 6).cast("int"))
+def with_bitmap(docs: DataFrame, ids: DataFrame, maybe: str, key: str = "doc_id") -> DataFrame:
+    """docs with a column maybe (a name that docs does not have): false only for rows whose key is surely not in ids (column key). The bitmap
+    that is broadcast has a fixed size bound (2^ID_BITS bits); with very many ids it tells less, never wrong."""
+    slot, word, bits = fresh(docs, "slot", "word", "bits")
+    place = F.pmod(F.xxhash64(F.col(quoted(key))), F.lit(1 << ID_BITS))
+    bit = F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")
+    words = ids.select(place.alias(slot)).groupBy(F.shiftright(slot, 6).cast("int").alias(word)).agg(F.bit_or(bit).alias(bits))
     return (
-        out.join(F.broadcast(bits), "word_", "left")
-        .withColumn("maybe_in", F.coalesce(F.expr("(bits_ & shiftleft(1L, cast(slot_ & 63 as int))) != 0"), F.lit(False)))
-        .drop("slot_", "word_", "bits_")
+        docs.withColumn(slot, place).withColumn(word, F.shiftright(slot, 6).cast("int"))
+        .join(F.broadcast(words), word, "left")
+        .withColumn(maybe, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)))
+        .drop(slot, word, bits)
     )
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids. Only rows that the bitmap leaves in doubt are shuffled with their texts. A null doc_id stays."""
-    marked = with_bitmap(docs, ids)
-    sure = marked.filter(~F.col("maybe_in")).drop("maybe_in")
-    left = marked.filter("maybe_in").drop("maybe_in").join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
-    return sure.unionByName(left.select(*sure.columns))
+    """docs whose doc_id is not in ids, all columns as they were. Only rows that the bitmap leaves in doubt are shuffled with their texts. A
+    null doc_id stays."""
+    (maybe,) = fresh(docs, "maybe")
+    marked = with_bitmap(docs, ids, maybe)
+    sure = marked.filter(~F.col(maybe)).drop(maybe)
+    left = marked.filter(maybe).drop(maybe).join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    return sure.unionByName(left.select(*[quoted(c) for c in sure.columns]))
 
 
 # --- connected components ----------------------------------------------------------------------------------------
@@ -215,13 +286,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node that it reaches.
 
     Each round first ties together what a partition holds, then takes a large-star and a small-star step: each node's neighbours are tied
-    to the smallest of them, first those above the node, then those below. A step is a partial minimum by node and a join; a hot node is
-    split by adaptive execution. Nothing is collected but two totals per round. Loops and repeated or null edges are dropped."""
+    to the smallest of them, first those above the node, then those below, until all edges are those of stars. A step is a partial minimum
+    by node and a join; a hot node is split by adaptive execution. Nothing is collected but one number per round. Loops and repeated or null
+    edges are dropped."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
-    totals = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     while True:
         e = cut(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-        before = totals(e)
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -229,7 +299,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(tied.union(low).filter("u <> v").distinct(), "edges")
-        if totals(e) == before:
+        # in stars, a node that has a smaller one has no other edge
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter("up > 1 or up > 0 and down > 0").agg(F.count("*")).first()[0] == 0:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

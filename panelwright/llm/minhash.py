@@ -1,18 +1,21 @@
 """MinHash near-duplicates: HyperMinHash registers, banded; a collision-corrected estimate of the Jaccard similarity, then full sets.
 
-Of the words' shingles each bucket (8 hash bits) keeps its smallest value in compressed form: its leading zeros and the bits that follow."""
+Of the words' shingles each bucket (8 hash bits) keeps its smallest value in compressed form: its leading zeros and the bits that follow. For
+the bands, but not for estimates, buckets that stay empty take the register of another one, so that bands of small sets are as selective as
+those of large ones."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, shingle_hashes, slices, table, texts_of, with_bitmap, word_hashes, words_of
+from .common import bounded, claim, components, cut, fresh, mix, shingle_hashes, slices, table, texts_of, with_bitmap, word_hashes, words_of
 
 BUCKETS, MANTISSA, VALUE_BITS = 256, 10, 44
 #: Registers that are unequal sets agree in by chance, with MANTISSA bits kept: the share for large sets.
@@ -22,7 +25,9 @@ SLACK = 4.0
 #: Best partners in other components that a document tries before all of them are.
 BEST = 4
 #: Members of a band's bucket that one task compares with one another at once.
-BLOCK = 2048
+BLOCK, BLOCK_HASHES = 2048, 1 << 21
+#: Buckets that an empty one asks in turn for its register, before it takes that of the next used one.
+_DONORS = np.random.default_rng(23).integers(0, BUCKETS, (24, BUCKETS))
 
 
 def band_rows(threshold: float) -> int:
@@ -50,6 +55,25 @@ def registers(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, out
 
 
+def dense(regs: np.ndarray) -> np.ndarray:
+    """Registers without empty buckets (but for empty sets). Whom a bucket asks does not depend on the set, so that two sets still agree in
+    each register with the probability of their similarity."""
+    out = regs.copy()
+    row, at = np.nonzero((regs == 0) & regs.any(1)[:, None])
+    for donors in _DONORS:
+        found = regs[row, donors[at]]
+        got = found > 0
+        out[row[got], at[got]] = found[got]
+        row, at = row[~got], at[~got]
+    if len(row):
+        some, inverse = np.unique(row, return_inverse=True)
+        twice = np.concatenate((regs[some], regs[some]), 1)
+        place = np.where(twice > 0, np.arange(2 * BUCKETS), 2 * BUCKETS)
+        following = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1]
+        out[row, at] = twice[inverse, following[inverse, at]]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard similarity of registers that stand against each other in the last axis, and its standard error."""
     used = ((a | b) > 0).sum(-1)
@@ -58,28 +82,30 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.sqrt(np.maximum(raw * (1 - raw), 0.05) / np.maximum(used, 1))
 
 
-def band_keys(regs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of each band of registers, and whether any register of the band is used."""
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """64-bit keys of each band of dense registers."""
     bands = BUCKETS // rows
     mult = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
     banded = regs[:, : bands * rows].reshape(-1, bands, rows)
     keys = np.zeros((len(regs), bands), np.uint64)
     for k in range(rows):
         keys += banded[:, :, k].astype(np.uint64) * mult[:, k]
-    return mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x51ED27)).view(np.int64), (banded > 0).any(-1)
+    return mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x51ED27)).view(np.int64)
 
 
 def _sketch(n: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim(None)
+        for batch in bounded(batches):
             texts = texts_of(batch.column("text"))
             sizes, regs = registers(texts, n)
-            keys, some = band_keys(regs, rows)
+            keys = band_keys(dense(regs), rows)
+            keys = keys[sizes > 0]
             # the whole word sequence decides which texts are copies
             digest = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32)), pa.array(keys[some]))],
+                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((sizes > 0) * keys.shape[1]))).astype(np.int32)), pa.array(keys.ravel()))],
                 names=["doc_id", "h", "n_shingles", "digest", "regs", "bands"])
 
     return run
@@ -95,7 +121,7 @@ def _likely(threshold: float):
             if not batch.num_rows:
                 continue
             j, se = estimate(_unpack(batch.column("regs_a")), _unpack(batch.column("regs_b")))
-            yield batch.filter(pa.array(j + SLACK * se >= threshold)).select(["a", "b"])
+            yield batch.filter(pa.array(j + SLACK * se >= threshold)).select(["a", "b", "ha", "hb"])
 
     return run
 
@@ -121,59 +147,112 @@ def _linked(n: int, percent: int):
     return run
 
 
-def _across(threshold: float, rows: int, best: int | None):
-    """Of one block of a bucket, the pairs of a member outside the bucket's largest component (left) and a member of another component
-    whose estimate is near or over the threshold: all of them, in the first band that both share, or the best few."""
+def _across(threshold: float, rows: int, percent: int, best: int | None):
+    """Of one block of a bucket, pairs of a member outside the bucket's largest component (left) and a member of another component whose
+    estimate is near or over the threshold. With best, each left member's best few of them; where those are not all, a row without ids names
+    the band. Without, all that the hashes of their full shingle sets link, in the first band that both share."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids, comp, left = (block.column(c).to_numpy() for c in ("node", "component", "left"))
+        ids, comp, left, size = (block.column(c).to_numpy() for c in ("node", "component", "left", "n_shingles"))
+        band = block.column("band")[0].as_py()
         regs = _unpack(block.column("regs").combine_chunks())
-        keys, used = band_keys(regs, rows)
-        here = int(np.flatnonzero(keys[0] == block.column("band")[0].as_py())[0])
+        keys = band_keys(dense(regs), rows)
+        here = int(np.flatnonzero(keys[0] == band)[0])
+        sets = [np.frombuffer(x or b"", np.uint64) for x in block.column("shingles").to_pylist()]
         right = np.flatnonzero(~left)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out_a, out_b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
         for i in np.flatnonzero(left):
-            others = right[comp[right] != comp[i]]
+            small, large = np.minimum(size[right], size[i]), np.maximum(size[right], size[i])
+            others = right[(comp[right] != comp[i]) & (100 * small >= percent * large)]
             j, se = estimate(regs[i], regs[others])
             near = j + SLACK * se >= threshold
             others, j = others[near], j[near]
             if best is not None:
+                more |= len(others) > best
                 others = others[np.lexsort((ids[others], -j))[:best]]
             else:
-                others = others[((keys[others] == keys[i]) & used[i]).argmax(1) == here]
+                others = others[(keys[others] == keys[i]).argmax(1) == here]
+                if len(others):
+                    both = _shared(sets[i], [sets[k] for k in others])
+                    others = others[100 * both >= percent * (size[others] + size[i] - both)]
             out_a.append(np.full(len(others), ids[i]))
             out_b.append(ids[others])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        n = len(a)
+        low, high = (pa.array(f(a, b).tolist() + [None] * more, pa.int64()) for f in (np.minimum, np.maximum))
+        return pa.table({"a": low, "b": high, "band": pa.array([None] * n + [band] * more, pa.int64())})
 
     return run
 
 
-def across_components(members: DataFrame, comp: DataFrame, regs: DataFrame, threshold: float, best: int | None) -> DataFrame:
-    """Pairs (a, b) that share a bucket and lie in different components. members: band, doc_id. A bucket is dealt in blocks of about BLOCK
-    members by BLOCK members, so that no task holds a whole one."""
-    placed = members.select("band", F.col("doc_id").alias("node")).distinct().join(comp.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    heads = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("top")).filter("all > top")
-    heads = cut(heads, "buckets")
-    each = placed.join(heads.hint("merge"), "band").join(regs.withColumnRenamed("doc_id", "node").hint("merge"), "node")
-    each = each.withColumn("blocks", F.ceil(F.col("all") / BLOCK)).withColumn("lefts", F.ceil((F.col("all") - F.col("top")) / BLOCK))
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of others has in common with one; all are sorted."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def across_components(members: DataFrame, regs: DataFrame, threshold: float, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) that share a bucket and lie in different components, and (null, null, band) for bands of which there are more. members:
+    node, component, bands (all or some of its bands); regs: doc_id, regs, n_shingles and shingles (hashes of the full set, needed without
+    best). A bucket is dealt in blocks of about BLOCK members, or BLOCK_HASHES of their hashes, by as many, so that no task holds a whole
+    one; what stands in regs is joined once for all buckets of a node."""
+    weight = F.length("shingles") / 8 if best is None else F.lit(0)
+    weights = regs.select(F.col("doc_id").alias("node"), F.coalesce(weight, F.lit(0)).alias("weight")).hint("merge")
+    placed = members.join(weights, "node").select("node", "component", "weight", F.explode("bands").alias("band"))
+    counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    heads = counts.groupBy("band").agg(F.max_by(F.struct("component", "n", "weight"), F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight")).filter("n > top.n")
+    parts = lambda n, weight: F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_HASHES))
+    heads = heads.select("band", F.col("top.component").alias("major"), parts(F.col("n"), F.col("weight")).alias("blocks"), parts(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("lefts"))
+    each = placed.join(cut(heads, "buckets").hint("merge"), "band")
+    each = each.groupBy("node", "component").agg(F.collect_list(F.struct("band", "major", "blocks", "lefts")).alias("places"))
+    each = each.join(regs.select(F.col("doc_id").alias("node"), "regs", "n_shingles", F.col("shingles") if best is None else F.lit(None).cast("binary").alias("shingles")).hint("merge"), "node")
+    fixed = ["node", "component", "regs", "n_shingles", "shingles"]
+    each = each.select(*fixed, F.explode("places").alias("place")).select(*fixed, "place.*")
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["band", "node", "component", "regs"]
-    right = each.select(*cols, F.lit(False).alias("left"), own("blocks", 1).alias("i"), upto("lefts").alias("j"))
-    left = each.filter("component <> major").select(*cols, F.lit(True).alias("left"), upto("blocks").alias("i"), own("lefts", 2).alias("j"))
-    return right.unionByName(left).groupBy("band", "i", "j").applyInArrow(_across(threshold, band_rows(threshold), best), "a long, b long").distinct()
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.alias("i"), j.alias("j"))
+    right = F.transform(upto("lefts"), lambda j: cell(False, own("blocks", 1), j))
+    left = F.when(F.col("component") != F.col("major"), F.transform(upto("blocks"), lambda i: cell(True, i, own("lefts", 2)))).otherwise(F.array())
+    dealt = each.select("band", *fixed, F.explode(F.concat(right, left)).alias("cell")).select("band", *fixed, "cell.*")
+    return dealt.groupBy("band", "i", "j").applyInArrow(_across(threshold, band_rows(threshold), percent, best), "a long, b long, band long")
+
+
+def _shingle_hashes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(None)
+        for batch in bounded(batches):
+            data, starts, ends, doc = words_of(texts_of(batch.column("text")))
+            h, d = shingle_hashes(word_hashes(data, starts, ends, fold=True), doc, batch.num_rows, n)
+            order = np.argsort(d, kind="stable")
+            bounds = np.searchsorted(d[order], np.arange(batch.num_rows + 1))
+            sets = [np.unique(h[order[lo:hi]]).tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sets, pa.binary())], names=["doc_id", "h", "shingles"])
+
+    return run
+
+
+def best_leaders(banded: DataFrame, salts: int) -> DataFrame:
+    """(doc_id, leader, n): documents with a smaller one that leads a bucket of theirs, and the number of such buckets. banded: band,
+    doc_id. A bucket is dealt by salts: each part has a leader, its smallest member, and the parts' leaders have one in turn, so that a
+    bucket that holds most documents is nowhere a single task's."""
+    upto = lambda *by: Window.partitionBy(*by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = banded.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int"))
+    parts = parts.withColumn("leader", F.first("doc_id").over(upto("band", "salt")))
+    wholes = parts.filter("doc_id = leader").select("band", "doc_id").withColumn("leader", F.first("doc_id").over(upto("band")))
+    led = parts.select("doc_id", "leader").union(wholes.select("doc_id", "leader")).filter("doc_id <> leader")
+    return led.groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Only texts of documents in a pair move."""
+    """The pairs (a, b, ha, hb) whose full shingle sets have 100 * intersection >= percent * union. docs: doc_id, text and h, the hash of the
+    text. Only texts of documents in a pair move."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = with_bitmap(docs.select("doc_id", "text"), ids).filter("maybe_in").drop("maybe_in")
-    texts = cut(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
-    full = pairs.join(side("b"), "b").join(side("a"), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, percent), "a long, b long")
+    (maybe,) = fresh(docs, "maybe")
+    texts = with_bitmap(docs, ids, maybe).filter(maybe).drop(maybe)
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}"), F.col("text").alias(f"text_{c}")).hint("merge")
+    full = pairs.join(side("b"), ["b", "hb"]).join(side("a"), ["a", "ha"])
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -182,40 +261,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     component keeps its smallest doc_id.
 
     Copies (equal word sequences) are tied to their smallest id first and take no further part. The others meet in bands of registers.
-    Round 1 verifies each member of a bucket against its smallest, round 2 each document's best partners (by estimate) in other components;
-    round 3 verifies, in buckets that still hold several components, all pairs across components whose estimate allows it: pairs inside a
-    component cannot change the result. No cap is set on buckets. Null
-    and empty texts have no shingles and link with nothing; a null doc_id keeps itself (component null); rows that repeat a doc_id are one
+    Round 1 verifies each document against the leader with which it shares most buckets, round 2 each document's best partners (by estimate)
+    in other components; round 3, in buckets where those were not all, all pairs across components whose estimate allows it, which hashes of
+    the full sets decide before texts do: pairs inside a component cannot change the result. No cap is set on buckets. Null and empty texts have no shingles and link with nothing; a null doc_id keeps itself (component null); rows that repeat a doc_id are one
     document, with the text of the smallest xxhash64; an empty table gives an empty result; other columns are not read."""
     threshold = percent / 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = docs.withColumn("h", F.xxhash64("text"))
-    sketch = cut(hashed.mapInArrow(_sketch(shingle, band_rows(threshold)), "doc_id long, h long, n_shingles long, digest binary, regs binary, bands array<long>"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    sketch = cut(docs.mapInArrow(_sketch(shingle, band_rows(threshold)), "doc_id long, h long, n_shingles long, digest binary, regs binary, bands array<long>"), "sketches")
     some = sketch.filter("n_shingles > 0 and doc_id is not null")
-    texts = some.groupBy("doc_id").agg(F.min_by("digest", "h").alias("digest"))
+    texts = some.groupBy("doc_id").agg(F.min(F.struct("h", "digest")).alias("t")).select("doc_id", "t.h", "t.digest")
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = cut(texts.join(first.hint("merge"), "digest").select("doc_id", "digest", "rep"), "classes")
-    reps = classes.filter("doc_id = rep").select("doc_id", "digest")
-    sketched = some.join(reps.hint("merge"), ["doc_id", "digest"], "left_semi")
-    banded = sketched.select("doc_id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
-    members = cut(banded.join(leaders.hint("merge"), "band"), "members")
-    # sketches of those that share a bucket with another document
-    met = members.select("doc_id").distinct()
-    regs = cut(sketched.select("doc_id", "regs").join(met.hint("merge"), "doc_id", "left_semi"), "regs")
-    pairs = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    of = lambda c: regs.select(F.col("doc_id").alias(c), F.col("regs").alias(f"regs_{c}")).hint("merge")
-    likely = cut(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "regs_a", "regs_b").mapInArrow(_likely(threshold), "a long, b long"), "pairs")
-    links = cut(verify(likely, docs, shingle, percent), "links")
-    # each document's best partners in other components, then all that are left
+    classes = cut(texts.join(first.hint("merge"), "digest").select("doc_id", "h", "rep"), "classes")
+    reps = classes.filter("doc_id = rep").select("doc_id", "h")
+    thin = some.select("doc_id", "h", "bands").join(reps.hint("merge"), ["doc_id", "h"], "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"])
+    led = cut(best_leaders(thin.select("doc_id", F.explode("bands").alias("band")), max(1, math.isqrt(classes.count()) // 8)), "leaders")
+    # those that share a bucket with another document: their registers, bands and texts are all that moves from here on
+    met = cut(led.select("doc_id").union(led.select("leader")).distinct(), "met")
+    (maybe,) = fresh(some, "maybe")
+    regs = with_bitmap(some, met, maybe).filter(maybe).select("doc_id", "h", "n_shingles", "regs", "bands", F.lit(None).cast("binary").alias("shingles"))
+    regs = cut(regs.join(met.hint("merge"), "doc_id", "left_semi").join(reps.hint("merge"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id"]), "regs")
+    of = lambda c: regs.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}"), F.col("regs").alias(f"regs_{c}")).hint("merge")
+    pairs = led.groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    tried = cut(pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_likely(threshold), "a long, b long, ha long, hb long"), "pairs")
+    comp = cut(components(verify(tried, docs, shingle, percent)), "components")
+    members = regs.select(F.col("doc_id").alias("node"), "bands")
+    hashes = lambda c: regs.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}")).hint("merge")
     for best in (BEST, None):
-        comp = cut(components(links), "components")
-        more = across_components(members, comp, regs, threshold, best)
-        more = cut(more.join(likely.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        links = links.union(cut(verify(more, docs, shingle, percent), "links"))
-        likely = likely.union(more)
-    final = components(links)
-    ids = classes.select("doc_id", F.col("rep").alias("node")).join(final.hint("merge"), "node", "left")
+        state = members.join(comp.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands")
+        found = cut(across_components(state, regs, threshold, percent, best), "across")
+        pairs = found.filter("a is not null").select("a", "b").distinct()
+        if best is not None:
+            pairs = pairs.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        more = cut(pairs.join(hashes("b"), "b").join(hashes("a"), "a").select("a", "b", "ha", "hb"), "pairs")
+        if not more.isEmpty():
+            # what a component holds stands for its links
+            stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = cut(components(stars.union(verify(more, docs, shingle, percent))), "components")
+        open_bands = found.filter("band is not null").select("band").distinct()
+        if open_bands.isEmpty():
+            break
+        # who is left, with the hashes of the full sets
+        left = members.select("node", F.explode("bands").alias("band")).join(open_bands.hint("merge"), "band", "left_semi")
+        members = cut(left.groupBy("node").agg(F.collect_list("band").alias("bands")), "members")
+        regs = regs.join(members.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+        (maybe,) = fresh(docs, "maybe")
+        whole = with_bitmap(docs, regs.select("doc_id"), maybe).filter(maybe).select("doc_id", "h", "text").mapInArrow(_shingle_hashes(shingle), "doc_id long, h long, shingles binary")
+        regs = cut(regs.drop("shingles").join(whole.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id"]), "regs")
+    ids = classes.select("doc_id", F.col("rep").alias("node")).join(comp.hint("merge"), "node", "left")
     ids = ids.select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return (
         sketch.select("doc_id", "n_shingles").join(ids.hint("merge"), "doc_id", "left")
