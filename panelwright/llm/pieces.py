@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by batched Viterbi over the pieces and scores of a model file.
 
-A text is split into units: a word with the space before it, or one other white-space character. Every distinct unit is segmented once a
-worker. Units of equal length advance together: at each position the hashes of all substrings that end there probe the sorted keys of the
-pieces, and the best sum of scores so far and its length are kept as a backpointer. Bytes that no piece covers fall back to byte pieces, so
-that decoding gives back every text; a literal U+2581 is bytes as well, as that character stands for a space in pieces."""
+A text, with a space before it where the model asks for one, is split into units: a word with the space before it, or one other white-space
+character. Every distinct unit is segmented once a worker. Units of equal length advance together: at each position the hashes of all
+substrings that end there probe the sorted keys of the pieces, and the best sum of scores so far and its length are kept as a backpointer.
+A long unit, as in text without spaces, goes by itself: all its substrings are probed block by block, and the sum is carried over what they
+hit. Bytes that no piece covers fall back to byte pieces, so that decoding gives back every text; a literal U+2581 is bytes as well, as that
+character stands for a space in pieces. The model's normalizer has to be the identity."""
 
 from __future__ import annotations
 
@@ -12,23 +14,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import CACHES, bounded, claim, schema_of, table, texts_of
 
 _UNIT = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]")
-#: A longer unit is segmented in parts of this many bytes.
-UNIT_BYTES = 512
+#: Units up to this many bytes advance together with others of their length.
+TOGETHER_BYTES = 512
 #: Score of a byte piece: worse than that of any other way.
 BYTE_SCORE = -1e6
-CACHE_UNITS = 300_000
-#: Bytes of the units of one length that advance together.
-GROUP_BYTES = 4 << 20
+#: Units that a worker remembers, and bytes of the longest of them.
+CACHE_UNITS, CACHE_BYTES = 200_000, 64
+#: Bytes of the units of one length that advance together, and positions of a long unit that are probed at once.
+GROUP_BYTES, PROBED = 4 << 20, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _CODE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
 _models: dict[str, "Pieces"] = {}
+CACHES["pieces"] = _models.clear
 
 
 class Pieces:
@@ -37,6 +42,9 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        #: Bytes of an id, and what stands before a text.
+        self.width = 2 if n <= 1 << 16 else 4
+        self.prefix = b" " if (model.encode("a", out_type=str) or [""])[0].startswith("▁") else b""
         self.bytes: list[bytes] = [b""] * n
         self.byte_id = np.zeros(256, np.int64)
         found: dict[bytes, tuple[float, int]] = {}
@@ -69,8 +77,10 @@ class Pieces:
         return h
 
     def segment(self, units: list[bytes]) -> list[bytes]:
-        """Piece ids (little-endian u16) of units of one length."""
+        """Piece ids (little-endian) of units of one length."""
         n, length = len(units), len(units[0])
+        if length > TOGETHER_BYTES:
+            return [self.segment_long(u) for u in units]
         data = np.frombuffer(b"".join(units), np.uint8).reshape(n, length)
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
@@ -78,7 +88,7 @@ class Pieces:
         power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(length, _BASE))))
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
-        back, piece = np.ones((length + 1, n), np.int16), np.zeros((length + 1, n), np.int64)
+        back, piece = np.ones((length + 1, n), np.int16), np.zeros((length + 1, n), np.int32)
         for j in range(1, length + 1):
             best[j], piece[j] = best[j - 1] + BYTE_SCORE, self.byte_id[data[:, j - 1]]
             for size in self.lengths[self.lengths <= j]:
@@ -88,83 +98,140 @@ class Pieces:
                 better = (self.keys[at] == h) & (score > best[j])
                 if better.any():
                     best[j][better], back[j][better], piece[j][better] = score[better], size, self.ids[at[better]]
-        out, count = np.zeros((n, length), "<u2"), np.zeros(n, np.int64)
+        out, count = np.zeros((n, length), f"<u{self.width}"), np.zeros(n, np.int64)
         pos, rows = np.full(n, length), np.arange(n)
         while len(rows):
             count[rows] += 1
             out[rows, length - count[rows]] = piece[pos[rows], rows]
             pos[rows] -= back[pos[rows], rows]
             rows = rows[pos[rows] > 0]
-        raw, width = out.tobytes(), 2 * length
-        return [raw[(k + 1) * width - 2 * c : (k + 1) * width] for k, c in enumerate(count.tolist())]
-
-    def learn(self, units: set[bytes]) -> None:
+        raw, row = out.tobytes(), self.width * length
+        found = [raw[(k + 1) * row - self.width * c : (k + 1) * row] for k, c in enumerate(count.tolist())]
+        # a hash that only looks like a piece's is found here, and its unit segmented by bytes
+        return [ids if self._joined(ids) == u else self.segment_long(u) for u, ids in zip(units, found, strict=True)]
+
+    def _hits(self, unit: bytes) -> Iterator[tuple[int, int, float, int]]:
+        """(end, length, score, id) of every substring that is a piece, by end and length."""
+        code = _CODE[np.frombuffer(unit, np.uint8)]
+        down = np.multiply.accumulate(np.full(len(unit), _INVERSE))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * down)))
+        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(unit), _BASE))))
+        for lo in range(1, len(unit) + 1, PROBED):
+            found = []
+            for size in self.lengths.tolist():
+                end = np.arange(max(lo, size), min(lo + PROBED, len(unit) + 1))
+                h = (sums[end] - sums[end - size]) * power[end]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == h)
+                found.append((end[hit], np.full(len(hit), size), self.scores[at[hit]], self.ids[at[hit]]))
+            end, size, score, i = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((size, end))
+            yield from zip(end[order].tolist(), size[order].tolist(), score[order].tolist(), i[order].tolist(), strict=True)
+
+    def segment_long(self, unit: bytes) -> bytes:
+        """Piece ids (little-endian) of one unit of any length."""
+        n = len(unit)
+        best, back, piece = [0.0] * (n + 1), [1] * (n + 1), [0] * (n + 1)
+        hits = self._hits(unit)
+        hit, byte_id = next(hits, None), self.byte_id[np.frombuffer(unit, np.uint8)].tolist()
+        for j in range(1, n + 1):
+            top, size, which = best[j - 1] + BYTE_SCORE, 1, byte_id[j - 1]
+            while hit and hit[0] == j:
+                _, k, score, i = hit
+                if best[j - k] + score > top and self.bytes[i] == unit[j - k : j]:
+                    top, size, which = best[j - k] + score, k, i
+                hit = next(hits, None)
+            best[j], back[j], piece[j] = top, size, which
+        out, j = [], n
+        while j:
+            out.append(piece[j])
+            j -= back[j]
+        return np.array(out[::-1], f"<u{self.width}").tobytes()
+
+    def learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each unit; short ones are remembered."""
         by_length: dict[int, list[bytes]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
+        long: dict[bytes, bytes] = {}
         for length, some in by_length.items():
             step = max(1, GROUP_BYTES // (16 * length))
             for lo in range(0, len(some), step):
                 part = some[lo : lo + step]
-                self.known.update(zip(part, self.segment(part), strict=True))
+                (self.known if length <= CACHE_BYTES else long).update(zip(part, self.segment(part), strict=True))
+        return long
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [_UNIT.findall(t) for t in texts]
-        for k, units in enumerate(split):
-            if any(len(u) > UNIT_BYTES for u in units):
-                split[k] = [u[a : a + UNIT_BYTES] for u in units for a in range(0, len(u), UNIT_BYTES)]
+        split = [_UNIT.findall(self.prefix + t) if t else [] for t in texts]
         if len(self.known) > CACHE_UNITS:
             self.known = {}
-        self.learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, units)) for units in split]
+        known, long = self.known, self.learn(set().union(*split) - self.known.keys())
+        if not long:
+            return [b"".join(map(known.__getitem__, units)) for units in split]
+        return [b"".join([known.get(u) or long[u] for u in units]) for units in split]
+
+    def _joined(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, f"<u{self.width}").tolist()))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u2").tolist()))
+        return self._joined(ids).removeprefix(self.prefix)
 
 
-def _encode(path: str):
+def _encode(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces, texts = Pieces.of(path), texts_of(batch.column("text"))
-            ids = [x for lo, hi in slices(texts) for x in pieces.encode(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
+        claim("pieces")
+        pieces = Pieces.of(path)
+        for batch in bounded(batches):
+            ids = pieces.encode(texts_of(batch.column("text")))
+            more = [pa.array(ids, pa.binary())]
+            if check:
+                more.append(pa.array([pieces.decode(x) for x in ids], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "ids", *["decoded"] * check])
 
     return run
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = Pieces.of(path)
-            text = pa.array([pieces.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.binary()).cast(pa.string())
+        claim("pieces")
+        pieces = Pieces.of(path)
+        for batch in bounded(batches, "ids"):
+            text = pa.array([pieces.decode(x) for x in texts_of(batch.column("ids"))], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
-def _schema(df: DataFrame, more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with the column ids: piece ids of the whole text, little-endian u16. Null and empty texts have no ids; repeated rows are
-    encoded each; an empty table gives an empty result; a column named ids is replaced, all others are kept. Every row is encoded by
-    itself: nothing is shuffled."""
+    """docs with the column ids: piece ids of the whole text, little-endian u16, or u32 where the model has more than 65,536 pieces. Null and
+    empty texts have no ids; repeated rows are encoded each; an empty table gives an empty result; a column named ids is replaced, all others
+    are kept. Every row is encoded by itself: nothing is shuffled."""
     docs = docs.drop("ids")
-    return docs.mapInArrow(_encode(model_path), _schema(docs, "ids binary"))
+    return docs.mapInArrow(_encode(model_path, False), ", ".join([*schema_of(docs), "ids binary"]))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """encoded with the column decoded, the text that its ids stand for. Null ids decode to an empty text."""
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(_decode(model_path), _schema(encoded, "decoded string"))
+    return encoded.mapInArrow(_decode(model_path), ", ".join([*schema_of(encoded), "decoded string"]))
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """docs with ids, as encode() gives them, and decoded, as decode() does, by one worker a task."""
+    docs = docs.drop("ids", "decoded")
+    return docs.mapInArrow(_encode(model_path, True), ", ".join([*schema_of(docs), "ids binary", "decoded string"]))
+
+
+def id_count(ids: str, model_path: str) -> Column:
+    """Number of ids in a column of encode()."""
+    return (F.length(ids) / Pieces.of(model_path).width).cast("long")
 
 
 def op9_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    both = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return both.select(
-        "doc_id", (F.length("ids") / 2).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"),
+        "doc_id", id_count("ids", path).alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
