@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,12 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes, slices, table, texts_of, word_hashes, words_of
+from .common import bounded, claim, cut, shingle_hashes, slices, table, texts_of, word_hashes, words_of
 
-#: Share of a group's rows that an estimate is fitted to, rounds of concentration, and rows below which groups of a language are pooled.
-SUBSET, ROUNDS, LEAST_ROWS = 0.75, 4, 200
+#: Share of a group's rows that an estimate is fitted to, and rows that a group needs for an estimate of its own.
+SUBSET, LEAST_ROWS = 0.75, 30
+#: Concentration steps of every start, and at most of the best one; a fall of the log determinant below which it has converged.
+FIRST_STEPS, MORE_STEPS, CONVERGED = 2, 12, 1e-4
+#: Rows of its language that a group's estimate is shrunk towards count as so many of its own.
+PRIOR_ROWS = 50
 #: Squared distance beyond which a row is rejected: with five variables, about 1 in 10^7 rows of a normal distribution.
 REJECT = 40.0
+#: Groups up to this number are broadcast with their estimates (some 400 bytes each); more are joined by sorting.
+BROADCAST_GROUPS = 10_000
 STATS = ("x0", "x1", "x2", "x3", "x4")
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long"
@@ -71,7 +78,8 @@ def _repeated(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    claim(None)
+    for batch in bounded(batches):
         stats = text_statistics(texts_of(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(v) for v in stats.values()], names=["doc_id", "lang", "source", *stats])
 
@@ -90,17 +98,47 @@ def transformed() -> list[Column]:
 
 # --- minimum covariance determinant ------------------------------------------------------------------------------
 
-#: Least spread of a statistic, so that one that hardly varies in a group does not make every small change an outlier.
+#: Least spread of the statistics, in any direction when each is measured in its own: below it, a difference of texts means nothing.
 FLOOR = np.array([0.5, 0.08, 0.08, 0.05, 0.03])
-PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
+P = len(STATS)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _EDGES = 16  # bins of a doubling of the squared distance
-FIT_SCHEMA = "group_lang string, group_source string, mu array<double>, inv array<double>, n long"
+KEYS = ["group_lang", "group_source"]
+FIT_SCHEMA = "group_lang string, group_source string, start int, mu array<double>, cov array<double>, inv array<double>, logdet double, n long"
+
+
+def _chi2(x: float, dof: int) -> float:
+    """Distribution function of chi-squared with 5 or 7 degrees of freedom."""
+    five = math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    return five - (math.sqrt(2 / math.pi) * x**2.5 * math.exp(-x / 2) / 15 if dof == 7 else 0.0)
+
+
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the inner share of normal rows that of all of them."""
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi2(mid, 5) < share else (low, mid)
+    return share / _chi2(low, 7)
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """cov with at least the spread FLOOR in every direction."""
+    values, vectors = np.linalg.eigh(cov / np.outer(FLOOR, FLOOR))
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * np.outer(FLOOR, FLOOR)
+
+
+def _fit_row(of: pd.DataFrame, start: int, mu: np.ndarray, cov: np.ndarray, n: int) -> pd.DataFrame:
+    cov = floored(cov)
+    return pd.DataFrame({
+        "group_lang": [of["group_lang"].iloc[0]], "group_source": [of["group_source"].iloc[0]], "start": [start], "mu": [mu.tolist()], "cov": [cov.ravel().tolist()],
+        "inv": [np.linalg.inv(cov).ravel().tolist()], "logdet": [float(np.linalg.slogdet(cov)[1])], "n": [n]})
 
 
 def _start(counts: pd.DataFrame) -> pd.DataFrame:
     """Medians and median deviations of one group from the counts of its bins (stat, bin, n)."""
     mu, sd = [], []
-    for k in range(len(STATS)):
+    for k in range(P):
         one = counts[counts["stat"] == k].sort_values("bin")
         x, n = one["bin"].to_numpy() / 128.0, one["n"].to_numpy()
         mid = x[np.searchsorted(np.cumsum(n), n.sum() / 2)]
@@ -108,81 +146,135 @@ def _start(counts: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(dev, kind="stable")
         sd.append(1.4826 * dev[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
         mu.append(mid)
-    var = np.maximum(sd, FLOOR) ** 2
-    total = int(counts[counts["stat"] == 0]["n"].sum())
-    return _fit_row(counts, np.array(mu), np.diag(1 / var), total)
+    return _fit_row(counts, 0, np.array(mu), np.diag(np.square(sd)), int(counts[counts["stat"] == 0]["n"].sum()))
+
+
+def _moments(columns: list[Column]) -> list[Column]:
+    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(columns)] + [F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i, j in PAIRS]
 
 
-def _fit_row(of: pd.DataFrame, mu: np.ndarray, inv: np.ndarray, n: int) -> pd.DataFrame:
-    return pd.DataFrame({"group_lang": [of["group_lang"].iloc[0]], "group_source": [of["group_source"].iloc[0]], "mu": [mu.tolist()], "inv": [inv.ravel().tolist()], "n": [n]})
+def _mean_cov(sums: dict[str, float], n: float) -> tuple[np.ndarray, np.ndarray]:
+    mu, cov = np.array([sums[f"s{i}"] for i in range(P)]) / n, np.zeros((P, P))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = sums[f"s{i}_{j}"] / n - mu[i] * mu[j]
+    return mu, cov
+
+
+def _other_starts(both: pd.DataFrame) -> pd.DataFrame:
+    """From moments of all rows of a group (start 1) and of their directions from the median (start 2): mean and covariance; and the median
+    with the directions' covariance, scaled to the medians' deviations."""
+    of, n = both.iloc[0], int(both["n"].iloc[0])
+    mu, cov = _mean_cov({c: of[c] for c in both.columns if c[0] == "s"}, n)
+    sign = np.zeros((P, P))
+    for i, j in PAIRS:
+        sign[i, j] = sign[j, i] = of[f"d{i}_{j}"] / n
+    sign *= np.trace(np.array(of["cov"]).reshape(P, P) / np.outer(FLOOR, FLOOR)) / max(np.trace(sign), 1e-12)
+    return pd.concat([_fit_row(both, 1, mu, cov, n), _fit_row(both, 2, np.array(of["mu"]), sign * np.outer(FLOOR, FLOOR), n)])
 
 
 def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
-    """One C-step of a group from the moments of its bins of squared distance: mean and covariance of the nearest SUBSET of its rows. The
-    covariance is scaled so that the median squared distance is that of a normal distribution with five variables."""
+    """One C-step of a group from the moments of its bins of squared distance: mean and covariance of the nearest SUBSET of its rows; of the
+    bin in which the subset ends, its share counts."""
     bins = bins.sort_values("bin")
-    n = bins["n"].to_numpy()
-    upto = np.searchsorted(np.cumsum(n), np.ceil(SUBSET * n.sum())) + 1
-    m = n[:upto].sum()
-    mu = np.array([bins[f"s{i}"].to_numpy()[:upto].sum() / m for i in range(len(STATS))])
-    cov = np.zeros((len(STATS),) * 2)
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = bins[f"s{i}_{j}"].to_numpy()[:upto].sum() / m - mu[i] * mu[j]
-    # consistency of a covariance from the inner SUBSET: 5 variables, 75 %
-    cov = 1.59 * cov + np.diag(FLOOR**2)
-    return _fit_row(bins, mu, np.linalg.inv(cov), int(n.sum()))
+    n = bins["n"].to_numpy().astype(float)
+    want = np.ceil(SUBSET * n.sum())
+    share = np.clip((want - (np.cumsum(n) - n)) / n, 0, 1)
+    sums = {c: float((bins[c].to_numpy() * share).sum()) for c in bins.columns if c[0] == "s" and c[1:2].isdigit()}
+    mu, cov = _mean_cov(sums, want)
+    return _fit_row(bins, int(bins["start"].iloc[0]), mu, consistency(SUBSET) * cov, int(n.sum()))
+
+
+def _shrunk(fit: pd.DataFrame) -> pd.DataFrame:
+    """The inverse of a group's covariance, shrunk towards that of its language, of which it is a part."""
+    for k in range(len(fit)):
+        if fit["own_cov"].iloc[k] is not None and fit["lang_cov"].iloc[k] is not None:
+            n = fit["own_n"].iloc[k]
+            cov = (n * np.array(fit["own_cov"].iloc[k]) + PRIOR_ROWS * np.array(fit["lang_cov"].iloc[k])) / (n + PRIOR_ROWS)
+            fit.at[fit.index[k], "inv"] = np.linalg.inv(cov.reshape(P, P)).ravel().tolist()
+    return fit
 
 
 def distance() -> Column:
     d = [F.col(x) - F.element_at("mu", i + 1) for i, x in enumerate(STATS)]
     out = F.lit(0.0)
     for i, j in PAIRS:
-        out = out + (1 if i == j else 2) * d[i] * d[j] * F.element_at("inv", i * len(STATS) + j + 1)
+        out = out + (1 if i == j else 2) * d[i] * d[j] * F.element_at("inv", i * P + j + 1)
     return F.greatest(out, F.lit(0.0))
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """A group's estimate beside each of its rows; groups are as many as there are sources, so neither side is broadcast unasked."""
-    return rows.join(fit.hint("merge"), ["group_lang", "group_source"], "left")
+def beside(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with few, a written table with a row for each group: broadcast if those are counted to be few, by sorting otherwise."""
+    return rows.join(few.hint("broadcast" if few.count() <= BROADCAST_GROUPS else "merge"), keys, how)
+
+
+def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    near = beside(rows, fit.select(*KEYS, "start", "mu", "inv"), KEYS).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * _EDGES))
+    sums = near.groupBy(*KEYS, "start", "bin").agg(F.count("*").alias("n"), *_moments([F.col(x) for x in STATS]))
+    return cut(sums.groupBy(*KEYS, "start").applyInPandas(_concentrate, FIT_SCHEMA), "fit")
 
 
 def robust_fit(rows: DataFrame) -> DataFrame:
-    """(group_lang, group_source, mu, inv, n): one estimate a group over all its rows. Deterministic: it starts from medians and median
-    deviations; each C-step sums moments per bin of distance (partial sums before the shuffle, whatever the size of a group) and keeps the
-    nearest bins that hold SUBSET of the rows."""
-    keys = ["group_lang", "group_source"]
-    binned = rows.select(*keys, F.posexplode(F.array(*[F.floor(F.col(x) * 128 + 0.5).cast("long") for x in STATS])).alias("stat", "bin"))
-    fit = cut(binned.groupBy(*keys, "stat", "bin").agg(F.count("*").alias("n")).groupBy(*keys).applyInPandas(_start, FIT_SCHEMA), "fit")
-    for _ in range(ROUNDS):
-        near = _with_fit(rows, fit).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * _EDGES))
-        moments = [F.sum(x).alias(f"s{i}") for i, x in enumerate(STATS)] + [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}_{j}") for i, j in PAIRS]
-        fit = cut(near.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *moments).groupBy(*keys).applyInPandas(_concentrate, FIT_SCHEMA), "fit")
+    """(group_lang, group_source, start, mu, cov, inv, logdet, n): the estimate of each group over all its rows (group_lang, group_source, x0 to
+    x4), a deterministic search for the minimum covariance determinant.
+
+    Three starts (medians with their deviations; mean and covariance; medians with the covariance of directions) take FIRST_STEPS
+    concentration steps each; the one with the least determinant goes on until no group's determinant falls any more. A step sums
+    moments by bin of distance, partially before the shuffle, whatever the size of a group."""
+    binned = rows.select(*KEYS, F.posexplode(F.array(*[F.floor(F.col(x) * 128 + 0.5).cast("long") for x in STATS])).alias("stat", "bin"))
+    first = cut(binned.groupBy(*KEYS, "stat", "bin").agg(F.count("*").alias("n")).groupBy(*KEYS).applyInPandas(_start, FIT_SCHEMA), "fit")
+    away = [(F.col(x) - F.element_at("mu", i + 1)) / float(FLOOR[i]) for i, x in enumerate(STATS)]
+    norm = sum((a * a for a in away[1:]), away[0] * away[0]) + 1e-9
+    ways = [F.sum(away[i] * away[j] / norm).alias(f"d{i}_{j}") for i, j in PAIRS]
+    sums = beside(rows, first.select(*KEYS, "mu"), KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"), *_moments([F.col(x) for x in STATS]), *ways)
+    others = sums.join(first.select(*KEYS, "mu", "cov").hint("merge"), KEYS).groupBy(*KEYS).applyInPandas(_other_starts, FIT_SCHEMA)
+    fit = cut(first.union(others), "fit")
+    for _ in range(FIRST_STEPS):
+        fit = _step(rows, fit)
+    names = fit.columns
+    fit = cut(fit.groupBy(*KEYS).agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("f")).select("f.*"), "fit")
+    for _ in range(MORE_STEPS):
+        after = _step(rows, fit)
+        fell = fit.select(*KEYS, F.col("logdet").alias("before")).join(after.hint("merge"), KEYS).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        fit = after
+        if fell is None or fell < CONVERGED:
+            break
     return fit
 
 
+def estimates(rows: DataFrame, least_rows: int) -> DataFrame:
+    """(lang_, source_, mu, inv) for each language and source in rows (lang_, source_, x0 to x4): its own estimate, shrunk towards its
+    language's, where it has least_rows rows; else its language's, else that of all rows, where they have as many; else null."""
+    levels = [("lang_", "source_"), ("lang_", None), (None, None)]
+    group = [F.struct(*[(F.col(c) if c else F.lit("*")).alias(k) for c, k in zip(level, KEYS, strict=True)]) for level in levels]
+    # a language with one source, or a corpus with one language, is estimated again at the next level: no case is told apart
+    leveled = rows.select(F.explode(F.array(*group)).alias("g"), *STATS).select("g.*", *STATS)
+    fit = cut(robust_fit(leveled).filter(F.col("n") >= least_rows), "fits")
+    side = lambda name: fit.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("mu", "cov", "inv", "n")]).hint("merge")
+    groups = rows.groupBy("lang_", "source_").agg(F.count("*").alias("rows_")).withColumns({"group_lang": F.col("lang_"), "group_source": F.col("source_"), "star": F.lit("*")})
+    all_ = groups.join(side("own"), KEYS, "left").drop(*KEYS)
+    all_ = all_.withColumns({"group_lang": F.col("lang_"), "group_source": F.col("star")}).join(side("lang"), KEYS, "left").drop(*KEYS)
+    all_ = all_.withColumns({"group_lang": F.col("star"), "group_source": F.col("star")}).join(side("all"), KEYS, "left").drop(*KEYS)
+    chosen = all_.select("lang_", "source_", "own_cov", "own_n", "lang_cov", F.coalesce("own_mu", "lang_mu", "all_mu").alias("mu"), F.coalesce("own_inv", "lang_inv", "all_inv").alias("inv"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    return cut(chosen.mapInPandas(lambda parts: (_shrunk(x) for x in parts), shape).select("lang_", "source_", "mu", "inv"), "estimates")
+
+
 def quality_rules(docs: DataFrame, *, reject: float = REJECT, least_rows: int = LEAST_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (squared, null without an estimate) and
     kept, one row per row of docs.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. The others are rejected if the squared robust
     distance of their statistics from those of their language and source is over reject; rows that failed do not take part in the
-    estimates. Language and source groups under least_rows rows are pooled by language, and languages' pools under it together; with less
-    than that in the last pool, nothing but the base rules rejects. Null texts have no words and fail; null languages and sources are
+    estimates. Language and source groups under least_rows rows are judged by their language's estimate, languages under it by that of all
+    rows; with less than that in all, nothing but the base rules rejects. Null texts have no words and fail; null languages and sources are
     values of their own; repeated rows count each; an empty table gives an empty result; other columns are not read."""
     stats = cut(docs.select("doc_id", "lang", "source", "text").mapInArrow(_measure, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, source string, {STAT_SCHEMA}"), "stats")
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    # a prefix keeps null apart from any text, and pools apart from both
+    # a prefix keeps null apart from any text, and "*" apart from both
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     rows = stats.select("*", *transformed(), name(F.col("lang")).alias("lang_"), name(F.col("source")).alias("source_"))
-    sizes = rows.filter("not base_failed").groupBy("lang_", "source_").agg(F.count("*").alias("rows_"))
-    pools = sizes.filter(F.col("rows_") < least_rows).groupBy("lang_").agg(F.sum("rows_").alias("pool_"))
-    groups = sizes.join(pools.hint("merge"), "lang_", "left").select(
-        "lang_", "source_",
-        F.when((F.col("rows_") >= least_rows) | (F.col("pool_") >= least_rows), F.col("lang_")).otherwise("pool").alias("group_lang"),
-        F.when(F.col("rows_") >= least_rows, F.col("source_")).otherwise("pool").alias("group_source"))
-    rows = rows.join(cut(groups, "groups").hint("merge"), ["lang_", "source_"], "left")
-    fit = robust_fit(rows.filter("not base_failed")).filter(F.col("n") >= least_rows)
-    judged = _with_fit(rows, fit).withColumn("distance", F.when(F.col("mu").isNotNull() & ~F.col("base_failed"), distance()))
+    judged = beside(rows, estimates(rows.filter("not base_failed"), least_rows), ["lang_", "source_"], "left")
+    judged = judged.withColumn("distance", F.when(F.col("mu").isNotNull() & ~F.col("base_failed"), distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reject)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), "lang", "source")
 
