@@ -24,18 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, table
+from .common import CACHES, bounded, claim, cut, shared_path, table
 
 MASK_ADD = 0xA282EAD8
 #: Words, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PARTS = 700_000, 700_000
+CACHE_WORDS, CACHE_PARTS = 500_000, 500_000
 #: Bytes of text whose words are told apart at once.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 4 << 20
 #: A word of letters with ASCII signs behind it that no contraction or special token holds.
 _LETTERS_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-%(-/:;=?@\[-`{}~]*)")
-READ_BYTES = 8 << 20
+#: Records that stand one after another are read at once up to this many bytes; entries of an index that are held together.
+READ_BYTES, ENTRIES = 4 << 20, 8192
+#: One entry of an index: offset and length of a record, ids before it in the file, doc_id.
+ENTRY = np.dtype([("at", "<u8"), ("length", "<u8"), ("before", "<u8"), ("doc_id", "<i8")])
 
 _encoders: dict[str, "WordEncoder"] = {}
+CACHES["records"] = _encoders.clear
 
 
 def masked_crc(data: bytes) -> int:
@@ -124,22 +128,58 @@ def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
 
 
+def parse(data: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids (u32) of one framed record; damage raises ValueError."""
+    if len(data) < 12 or masked_crc(data[:8]) != struct.unpack_from("<I", data, 8)[0]:
+        raise ValueError("damaged record length")
+    n = struct.unpack_from("<Q", data)[0]
+    payload = data[12 : 12 + n]
+    if len(data) != n + 16 or masked_crc(payload) != struct.unpack_from("<I", data, 12 + n)[0]:
+        raise ValueError("damaged record")
+    doc_id, null, width, count = struct.unpack_from("<qBBQ", payload)
+    return None if null else doc_id, np.frombuffer(payload, f"<u{width}", count, 18).astype("<u4")
+
+
 def unframe(stream) -> Iterator[tuple[int | None, np.ndarray]]:
-    """doc_id and ids (u32) of every record of an open file; damage raises ValueError."""
+    """doc_id and ids (u32) of every record of an open file, front to back, without an index; damage raises ValueError."""
     while head := stream.read(12):
         if len(head) < 12 or masked_crc(head[:8]) != struct.unpack("<I", head[8:])[0]:
             raise ValueError("damaged record length")
-        n = struct.unpack("<Q", head[:8])[0]
-        body = stream.read(n + 4)
-        payload = body[:n]
-        if len(body) < n + 4 or masked_crc(payload) != struct.unpack("<I", body[n:])[0]:
-            raise ValueError("damaged record")
-        doc_id, null, width, count = struct.unpack_from("<qBBQ", payload)
-        yield None if null else doc_id, np.frombuffer(payload, f"<u{width}", count, 18).astype("<u4")
+        yield parse(head + stream.read(struct.unpack("<Q", head[:8])[0] + 4))
+
+
+def index_of(place: fs.FileSystem, root: str, part: int) -> Iterator[np.ndarray]:
+    """The entries of a file's index, ENTRIES at a time."""
+    with place.open_input_stream(f"{root}/part-{part:07d}.idx") as stream:
+        while data := stream.read(ENTRIES * ENTRY.itemsize):
+            if len(data) % ENTRY.itemsize:
+                raise ValueError("damaged index")
+            yield np.frombuffer(data, ENTRY)
+
+
+def records_at(place: fs.FileSystem, root: str, part: int, entries: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids (u32) of the records of a file that entries name, in their order, whatever that is. What stands together in the file is
+    read at once; an entry that does not fit its record raises ValueError."""
+    with place.open_input_file(f"{root}/part-{part:07d}.rec") as file:
+        lo = 0
+        while lo < len(entries):
+            hi, start = lo + 1, int(entries["at"][lo])
+            end = start + int(entries["length"][lo])
+            while hi < len(entries) and int(entries["at"][hi]) == end and end + int(entries["length"][hi]) - start <= READ_BYTES:
+                end, hi = end + int(entries["length"][hi]), hi + 1
+            file.seek(start)
+            data = file.read(end - start)
+            for at, length, _, doc_id in entries[lo:hi].tolist():
+                found, ids = parse(data[at - start : at - start + length])
+                if (found or 0) != doc_id:
+                    raise ValueError("index and record differ")
+                yield found, ids
+            lo = hi
 
 
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("records")
         encoder, part = WordEncoder.of(tokenizer_path), TaskContext.get().partitionId()
         place, root = fs.FileSystem.from_uri(folder)
         place.create_dir(root, recursive=True)
@@ -172,41 +212,73 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     files part-0000000.rec, ... with their .idx; returns the manifest (part, records, tokens, bytes), one row per file.
 
     Texts are dealt by ranges of doc_id before they are encoded; rows with the same doc_id come in the order of a hash of the text, and a
-    null doc_id first. A null or empty text has the end id only; repeated rows are written each; an empty table gives empty files."""
+    null doc_id first. A null or empty text has the end id only; repeated rows are written each; an empty table gives empty files; other
+    columns are not read."""
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h_")).repartitionByRange("doc_id", "h_").sortWithinPartitions("doc_id", "h_", "text")
     return cut(ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer_path, end_id), "part int, records long, tokens long, bytes long"), "manifest")
 
 
+_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for part, start in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                with place.open_input_stream(f"{root}/part-{part:07d}.rec", buffer_size=READ_BYTES) as stream:
-                    for doc_id, ids in unframe(stream):
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start += len(ids)
-                        if len(rows) == 20_000:
-                            yield _rows(rows)
-                            rows = []
-                yield _rows(rows)
+                for entries in index_of(place, root, part):
+                    rows = [(doc_id, start + before, len(ids), zlib.crc32(ids.tobytes())) for before, (doc_id, ids) in zip(entries["before"].tolist(), records_at(place, root, part, entries), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND)
 
     return read
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def placed(manifest: DataFrame) -> DataFrame:
+    """part and start (ids in all files before it) of the files that hold records, dealt one by one. The window has a row per file."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).filter("records > 0").select("part", "start")
+    return files.repartition(max(1, min(4096, manifest.count())), "part")
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record in folder. The first start of a file comes
-    from the manifest's totals, one row per file."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).filter("records > 0").select("part", "start")
-    files = max(1, min(4096, manifest.count()))
-    return placed.repartition(files, "part").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every record in folder, found through the index files."""
+    return placed(manifest).mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _indexer(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                for entries in index_of(place, root, part):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(entries), part, np.int32))} | {c: pa.array(entries[c].astype(np.int64)) for c in ENTRY.names})
+
+    return read
+
+
+def _fetcher(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            part, asked = batch.column("part").to_numpy(), np.empty(batch.num_rows, ENTRY)
+            for c in ENTRY.names:
+                asked[c] = batch.column(c).to_numpy()
+            turns = np.flatnonzero(np.diff(part, prepend=-1))
+            for lo, hi in zip(turns.tolist(), [*turns[1:].tolist(), len(part)], strict=True):
+                for k in range(lo, hi, 256):
+                    found = list(records_at(place, root, int(part[k]), asked[k : min(k + 256, hi)]))
+                    ids = pa.array([x.tobytes() for _, x in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), ids], names=["doc_id", "ids"])
+
+    return read
+
+
+def shuffled_records(manifest: DataFrame, folder: str, seed: int, partitions: int) -> DataFrame:
+    """doc_id and ids (little-endian u32) of every record in folder, dealt and ordered by a hash of seed and place: only index entries are
+    shuffled, and each record is read at its offset. The same seed gives the same order."""
+    entries = placed(manifest).select("part").mapInArrow(_indexer(folder), "part int, at long, length long, before long, doc_id long")
+    dealt = entries.withColumn("key", F.xxhash64(F.lit(seed), "part", "at")).repartition(partitions, "key").sortWithinPartitions("key")
+    return dealt.drop("key").mapInArrow(_fetcher(folder), "doc_id long, ids binary")
 
 
 def op10_records(spark, sf_dir):
