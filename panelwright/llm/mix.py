@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, quoted, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Total of the mix and bound of one source, as multiples of sizes.
 SHARE, MOST = 1.5, 2
-#: Words of a block, and words of a shard at which a source gets another one.
-BLOCK_WORDS, SHARD_WORDS = 16, 4_000_000
+#: Words of a block; words of a shard, about, and most shards of a source: beyond that, its shards grow.
+BLOCK_WORDS, SHARD_WORDS, MOST_SHARDS = 16, 100_000, 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, *, seed: int = 7, block_words: int = BLOCK_WORD
     A source's target becomes a number of equal blocks; sources get blocks, and shards of a source theirs, by Sainte-Laguë. The
     documents of a shard stand in a seeded order (md5 of seed and id), as a stream that is cut into blocks; a quota takes whole passes
     over the stream and then the first blocks of the next one, so that a document's words are taken at most twice. A shard holds about
-    shard_words words, so a hot source is dealt over many. Null texts and texts without words have size 0 and take 0; a null source is
+    shard_words words, so a hot source is dealt over many; windows run over one row per source or, by source, per shard. Null texts and texts without words have size 0 and take 0; a null source is
     a source, and comes last; repeated rows count each; an empty table gives an empty result. Column names other than doc_id, text and
     source are not read."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, *, seed: int = 7, block_words: int = BLOCK_WORD
     seats = F.greatest(F.round(F.sum("target").over(everything) / block_words), F.lit(0)).cast("long")
     quotas = sainte_lague(targets.withColumn("seats", seats), [], "target", "seats", ["source"]).withColumnRenamed("quota", "source_quota").drop("seats")
     # sources are few: one row each, written out so that the joins below know their size
-    quotas = cut(quotas.withColumn("shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)), "quotas")
+    quotas = cut(quotas.withColumn("shards", F.least(F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words), F.lit(MOST_SHARDS))), "quotas")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     dealt = (
@@ -108,15 +108,16 @@ def op7_mix(spark, sf_dir):
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them whole, and those of which it takes a part with the first words of their text.
 
-    Rows that the mix leaves out go before any text moves; the others are joined with their share by doc_id, which should be unique: rows
-    that repeat one are each taken as often as the first of them."""
-    shares = mix_sources(docs, **options).filter("taken > 0 and doc_id is not null").select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
-    joined = docs.join(cut(shares, "shares").hint("merge"), "doc_id")
-    part = F.col("taken") % F.col("size")
-    words = F.array_join(F.expr(r"slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(taken % size as int))"), "")
-    whole = F.array_repeat(F.col("text"), F.expr("cast(taken div size as int)"))
-    texts = F.when(part > 0, F.array_append(whole, words)).otherwise(whole)
-    return joined.withColumn("text", F.explode(texts)).select(*docs.columns)
+    Rows that the mix leaves out go before any text moves; the others are joined with their share by doc_id, which should be unique: of rows
+    that repeat one, each is taken as often as the one of them that the mix takes most (by taken, then size). Rows with a null doc_id are
+    not taken; columns keep their names and values, whatever they are called."""
+    size, taken = fresh(docs, "size", "taken")
+    shares = mix_sources(docs, **options).filter("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("taken", "size")).alias("s"))
+    joined = docs.join(cut(shares.select("doc_id", F.col("s.size").alias(size), F.col("s.taken").alias(taken)), "shares").hint("merge"), "doc_id")
+    words = F.array_join(F.expr(rf"slice(regexp_extract_all(text, r'[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast({taken} % {size} as int))"), "")
+    whole = F.array_repeat(F.col("text"), F.expr(f"cast({taken} div {size} as int)"))
+    texts = F.when(F.col(taken) % F.col(size) > 0, F.array_append(whole, words)).otherwise(whole)
+    return joined.withColumn("text", F.explode(texts)).select(*[quoted(c) for c in docs.columns])
 
 
 #: op7_mix by definition: every quotient of every source and shard is listed.
@@ -128,7 +129,7 @@ r AS (SELECT *, 2 * source_size AS most, 2 * source_size / weight AS ratio FROM
 l AS (SELECT *, (CAST({SHARE} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(most) OVER b, 0) AS DOUBLE)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
   FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT level AS open_level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR open_level * weight > most THEN CAST(most AS DOUBLE) ELSE open_level * weight END AS target, CAST(ceil(greatest(source_size, 1) / {SHARD_WORDS}) AS BIGINT) AS shards FROM l LEFT JOIN v ON true),
+t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR open_level * weight > most THEN CAST(most AS DOUBLE) ELSE open_level * weight END AS target, CAST(least(ceil(greatest(source_size, 1) / {SHARD_WORDS}), {MOST_SHARDS}) AS BIGINT) AS shards FROM l LEFT JOIN v ON true),
 n AS (SELECT CAST(round(sum(target) / {BLOCK_WORDS}) AS BIGINT) AS seats FROM t),
 q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source) AS nr FROM t, LATERAL (SELECT unnest(generate_series(1, CAST(ceil(target / {BLOCK_WORDS}) AS BIGINT) + 20)) AS k) WHERE target > 0),
 sq AS (SELECT source, count(*) AS seats FROM q, n WHERE nr <= n.seats GROUP BY source),
