@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import CACHES, bounded, claim, table, texts_of
 
 MARKS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 #: Texts are encoded in runs of about this many bytes.
 RUN_BYTES = 1 << 20
 _tokenizers: dict = {}
+CACHES["chat"] = _tokenizers.clear
 
 
 def escape(text: bytes) -> bytes:
@@ -46,10 +47,11 @@ def tokenizer(path: str):
 
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("chat")
         t = tokenizer(path)
         first = t.get_vocab_size()
         start, sep, end = (struct.pack("<I", first + k) for k in range(3))
-        for batch in batches:
+        for batch in bounded(batches):
             contents = [escape(x) for c in ("role", "text") for x in texts_of(batch.column(c))]
             ids: list[bytes] = []
             lo = size = 0
@@ -112,15 +114,18 @@ def _read_back(path: str, conv_type: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("chat")
         t = tokenizer(path)
         first = t.get_vocab_size()
         now, done = None, []
-        for batch in batches:
+        for batch in bounded(batches, "ids"):
             texts, spans = [], []
             for data, start, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("ids", "start", "loss_from", "loss_to")), strict=True):
                 ids = np.frombuffer(data, "<u4")
-                a, b, c = np.flatnonzero(ids >= first)
-                assert (ids[[a, b, c]] == first + np.arange(3)).all() and a == 0 and c == len(ids) - 1
+                marks = np.flatnonzero(ids >= first)
+                if ids[marks].tolist() != [first, first + 1, first + 2] or marks[0] != 0 or marks[2] != len(ids) - 1:
+                    raise ValueError("not a turn: it must have its three marks in their places")
+                _, b, c = marks
                 texts += [ids[1:b].tolist(), ids[b + 1 : c].tolist(), ids[lo - start : hi - start].tolist()]
                 spans.append(hi > lo)
             read = t.decode_batch(texts, skip_special_tokens=False)

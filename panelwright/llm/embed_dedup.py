@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import claim, components, cut, table
 
 #: Projections that deal cells, and those whose collisions are counted.
 CELL_DIMS, COUNTED = 3, 24
@@ -25,6 +25,8 @@ CELL_SIGMAS, COUNT_SIGMAS, LOST = 4.5, 2.0, 1e-6
 #: Queries and candidates that one task compares at most, about.
 BLOCK = 4096
 STEP = 512
+#: Pairs whose cosine is verified at once.
+PAIRS = 1 << 15
 SEED = 11
 
 
@@ -89,11 +91,29 @@ def _deal(cosine: float):
     return run
 
 
+def _tie(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ties the nodes x and y of every link in root (the smallest node each is known to reach, changed in place); returns the places of
+    links that say as much about components as all of them: about one for every node that a link ties to a smaller one."""
+    used = []
+    at = np.arange(len(x))
+    while len(at := at[root[x[at]] != root[y[at]]]):
+        high, low = np.maximum(root[x[at]], root[y[at]]), np.minimum(root[x[at]], root[y[at]])
+        up = np.arange(len(root))
+        np.minimum.at(up, high, low)
+        hooked = np.flatnonzero(up[high] == low)
+        used.append(at[hooked[np.unique(high[hooked], return_index=True)[1]]])
+        while (up[up] != up).any():
+            up = up[up]
+        root[:] = up[root]
+    return np.concatenate(used) if used else np.zeros(0, np.int64)
+
+
 def _compare(cosine: float):
     """Links of the queries of one block with its candidates: per query their number of copies and, for components, a few edges."""
     least = least_collisions()
 
     def run(block: pa.Table) -> pa.Table:
+        claim(None)
         ids, size = block.column("vec_id").to_numpy(), block.column("copies").to_numpy()
         is_query = block.column("query").to_numpy()
         dim = block.column("dim")[0].as_py()
@@ -105,16 +125,9 @@ def _compare(cosine: float):
         queries = np.flatnonzero(is_query)
         queries = queries[np.argsort(proj[queries, 0], kind="stable")]
         vd, pd_ = v[data], proj[data]
-        linked, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        at = {int(i): k for k, i in enumerate(ids)}
-        edges = []
+        linked = np.zeros(len(ids), np.int64)
+        distinct, node = np.unique(ids, return_inverse=True)
+        root, edges = np.arange(len(distinct)), [np.zeros((0, 2), np.int64)]
         for lo in range(0, len(queries), STEP):
             q = queries[lo : lo + STEP]
             a = np.searchsorted(pd_[:, 0], proj[q[0], 0] - wide)
@@ -125,20 +138,18 @@ def _compare(cosine: float):
                 for k in range(1, proj.shape[1]):
                     hits += np.abs(proj[q, k][:, None] - pd_[d, k][None, :]) <= half
                 i, j = np.nonzero((hits >= least) & (ids[q][:, None] != ids[data[d]][None, :]))
-                close = np.einsum("nd,nd->n", v[q[i]], vd[d][j]) >= cosine
-                i, j = q[i[close]], data[d][j[close]]
-                np.add.at(linked, i, size[j])
-                # a spanning forest of the links found here says as much about components as all of them
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    rx, ry = find(at[int(ids[x])]), find(at[int(ids[y])])
-                    if rx != ry:
-                        root[rx] = ry
-                        edges.append((ids[x], ids[y]))
+                for part in range(0, len(i), PAIRS):  # so that a cloud of near copies takes no more memory than others
+                    x, y = i[part : part + PAIRS], j[part : part + PAIRS]
+                    close = np.einsum("nd,nd->n", v[q[x]], vd[d][y]) >= cosine
+                    x, y = q[x[close]], data[d][y[close]]
+                    np.add.at(linked, x, size[y])
+                    kept = _tie(root, node[x], node[y])
+                    edges.append(np.stack((ids[x[kept]], ids[y[kept]]), 1))
         q = queries[linked[queries] > 0]
-        n = len(q)
+        n, edge = len(q), np.concatenate(edges)
         return pa.table({
-            "vec_id": pa.array(np.concatenate((ids[q], np.array([e[0] for e in edges], np.int64)))), "other": pa.array([None] * n + [int(e[1]) for e in edges], pa.int64()),
-            "links": pa.array(np.concatenate((linked[q], np.zeros(len(edges), np.int64))))})
+            "vec_id": pa.array(np.concatenate((ids[q], edge[:, 0]))), "other": pa.array([None] * n + edge[:, 1].tolist(), pa.int64()),
+            "links": pa.array(np.concatenate((linked[q], np.zeros(len(edge), np.int64))))})
 
     return run
 

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, table, texts_of
+from .common import bounded, claim, cut, table, texts_of
 
 #: Words with counts that each worker holds, at most; words in small classes, and their number in one; units of the state.
 HEAD, SMALL, SLOTS, HIDDEN = 200_000, 512, 16, 16
@@ -24,6 +25,8 @@ LANGS, BANDS = 6, 4
 #: Streams that are trained together, steps that gradients reach back, learning rate; rounds of training and averaging, each over another
 #: hash part of the training documents, so that every one of them is trained on once.
 STREAMS, STEPS, RATE, ROUNDS = 512, 16, 0.01, 2
+#: Windows that a partition's streams have at least; fewer tokens go in fewer streams.
+LEAST_WINDOWS = 64
 #: Counts that a worker gathers before it sends them on; documents and tokens that are scored together; rows of one softmax.
 FLUSH, SCORED_DOCS, SCORED_TOKENS, ROWS = 500_000, 8192, 8_000_000, 65_536
 WINDOW = 64
@@ -48,8 +51,9 @@ def _count(langs: list[str]):
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *[pa.array([c.get(w, 0) for w in words], pa.int64()) for c in counts]], names=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         counts = [Counter() for _ in range(len(langs) + 1)]
-        for batch in batches:
+        for batch in bounded(batches):
             for text, lang in zip(texts_of(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 own = counts[slot.get(lang, len(langs))]
                 own.update(text.lower().split())
@@ -225,7 +229,7 @@ def train(p: dict, v: Vocabulary, tokens: np.ndarray) -> dict:
     window and starts anew at each document. What the streams leave over, less than a token each, is a last window of single steps."""
     end = v.index()[END]
     p = {k: x.copy() for k, x in p.items()}
-    streams = max(1, min(STREAMS, len(tokens) // STEPS))
+    streams = max(1, min(STREAMS, len(tokens) // (STEPS * LEAST_WINDOWS)))
     whole = len(tokens) // streams * streams
     # the input of a document's first word is the end before it, in a fresh state
     before = np.append(end, tokens[:-1]).astype(tokens.dtype)
@@ -264,11 +268,12 @@ def _unflat(like: dict, data: bytes) -> dict:
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         v, p = shared.value
         index, parts, held = v.index(), [], 0
         end = np.array([index[END]], np.int32)
         models: list[tuple[bytes, int]] = []
-        for batch in batches:
+        for batch in bounded(batches):
             for text in texts_of(batch.column("text")):
                 parts += [numbers(v, index, text.lower().split()), end]
                 held += len(parts[-2]) + 1
@@ -337,39 +342,45 @@ def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _score(shared, log_total: float):
+def _score(shared, log_total: float, doc_type: pa.DataType):
     names = ["rid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
 
+    def scored(v: Vocabulary, p: dict, base: np.ndarray, counted: np.ndarray, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """rows: rid, doc_id, tokens and tail words of each document. A row per document, and one per document and tail word."""
+        rid, doc_id, docs, rare = zip(*rows, strict=True)
+        n, kind = len(rows), doc_type
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rid, pa.int64()), pa.array(doc_id, kind), pa.array([f"\n{i}" for i in rid]), pa.array(np.zeros(n, np.int64)),
+             pa.array([len(d) for d in docs], pa.int64()), pa.array([int(counted[d].sum()) for d in docs], pa.int64()), pa.array([base[d].sum() for d in docs], pa.float64()),
+             pa.array(score_documents(p, v, list(docs)) / math.log(10))], names=names)
+        for lo in range(0, n, 1024):
+            some = range(lo, min(lo + 1024, n))
+            of = [i for i in some for _ in rare[i]]
+            m = len(of)
+            zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rid[i] for i in of], pa.int64()), pa.array([doc_id[i] for i in of], kind), pa.array([w for i in some for w in rare[i]], pa.binary()).cast(pa.string()),
+                 pa.array([k for i in some for k in rare[i].values()], pa.int64()), zero, zero, none, none], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lm")
         v, p = shared.value
         index, tail = v.index(), len(v.words)
         base = np.append(np.log10(v.counts + 0.5) - log_total, 0.0)
         counted = np.append(v.counts >= 1, False)
-        for batch in batches:
-            texts, ids, doc_ids = texts_of(batch.column("text")), batch.column("rid"), batch.column("doc_id")
-            lo = 0
-            while lo < len(texts):
-                docs, rare, hi, held = [], [], lo, 0
-                while hi < len(texts) and hi - lo < SCORED_DOCS and held < SCORED_TOKENS:
-                    words = texts[hi].lower().split()
-                    docs.append(np.append(numbers(v, index, words), index[END]))
-                    rare.append(Counter([words[k] for k in np.flatnonzero(docs[-1] == tail).tolist()]))
-                    held, hi = held + len(docs[-1]), hi + 1
-                n = hi - lo
-                scores = score_documents(p, v, docs) / math.log(10)
-                sums = [base[d].sum() for d in docs]
-                known = [int(counted[d].sum()) for d in docs]
-                some = pa.array(np.arange(lo, hi))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(some), doc_ids.take(some), pa.array([f"\n{i}" for i in ids.take(some).to_pylist()]), pa.array(np.zeros(n, np.int64)),
-                     pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores)], names=names)
-                of = pa.array(np.repeat(np.arange(lo, hi), [len(c) for c in rare]))
-                m = len(of)
-                zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(of), doc_ids.take(of), pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string()), pa.array([k for c in rare for k in c.values()], pa.int64()),
-                     zero, zero, none, none], names=names)
-                lo = hi
+        rows, held = [], 0
+        # documents advance together whatever batches they come in, as each step of the longest costs the same for one as for many
+        for batch in bounded(batches):
+            for rid, doc_id, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                words = text.lower().split()
+                tokens = np.append(numbers(v, index, words), index[END])
+                rows.append((rid, doc_id, tokens, Counter([words[k] for k in np.flatnonzero(tokens == tail).tolist()])))
+                held += len(tokens)
+                if len(rows) >= SCORED_DOCS or held >= SCORED_TOKENS:
+                    yield from scored(v, p, base, counted, rows)
+                    rows, held = [], 0
+        if rows:
+            yield from scored(v, p, base, counted, rows)
 
     return run
 
@@ -405,7 +416,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     tail_total = math.log10(total - known + 0.5 * (types - head.num_rows + 1))
     kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")).mapInArrow(
-        _score(shared, log_total), f"rid long, doc_id {kind}, word string, tf long, n_tokens long, n_known long, base double, score double")
+        _score(shared, log_total, to_arrow_type(docs.schema["doc_id"].dataType)), f"rid long, doc_id {kind}, word string, tf long, n_tokens long, n_known long, base double, score double")
     found = scored.join(counts.filter(~in_head).select("word", "c").hint("merge"), "word", "left")
     seen = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     sums = found.groupBy("rid").agg(
