@@ -56,6 +56,30 @@ def test_license_scan(spark, none):
     assert license_scan.license_scan(none).count() == 0 and len(license_scan.rules()) > 300
 
 
+def brute_license(text):
+    low = (text or "").translate(str.maketrans(common.UPPER, common.LOWER))
+    joined = " " + re.sub(license_scan.BETWEEN_WORDS, " ", low).strip() + " "
+    found = []
+    for label, _, prio, nr, sure, rx in license_scan.rules():
+        for m in re.finditer(rx, joined):
+            lo = joined[: m.start()].strip().count(" ") + bool(joined[: m.start()].strip())
+            found.append((lo, lo + len(m[0].split()), prio, nr, label, sure))
+    over = lambda d, e: e[0] <= d[0] and d[1] <= e[1] and (e[2] < d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[1] - e[0] == d[1] - d[0] and e[3] < d[3]))
+    kept = [d for d in found if not any(over(d, e) for e in found)]
+    base = [label for phrase, label in license_scan.BASE.items() if f" {phrase} " in joined]
+    return ",".join(sorted({*base, *(d[4] for d in kept)})), max((d[5] for d in kept), default=0.0), sorted((d[4], d[0], d[1]) for d in kept)
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(14)
+    parts = ["mit license", "Apache License, Version 2.0", "licensed under the", "GNU General\nPublic License version 3", "SPDX-License-Identifier: BSD-3-Clause", "lesser general public license v2.1", "released under CC BY-SA 4.0", "cc_by", "4.0", "same terms as\nPerl itself", "all rights reserved", "creative commons attribution share-alike", "MIT No Attribution", "the", "of Wort", "Mozilla Public License", "2.0", "ofl/1.1", "zlib", "python license", "permission is hereby granted, free of charge, to any person obtaining a copy", "license"]
+    texts = [rng.choice([" ", "\n", ", "]).join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(250)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score, kept = brute_license(t)
+        assert (got[i].labels, got[i].score, sorted((d.label, d.first, d.end) for d in got[i].detections or ())) == (labels, score, kept), t
+
+
 def test_license_prefilters_lose_nothing(spark):
     texts = ["cc by 4.0", "cc by-sa 4.0", "mpl 2.0", "epl 2.0", "ofl 1.1", "bsl 1.0", "same terms as perl", "mit no attribution", "expat license", "psf license", "psf software foundation licence", "do what the fuck you want to public license"]
     texts = [t.replace(" ", sep) for t in texts for sep in (" ", "\n", "/", "_", " - ")]
@@ -87,6 +111,22 @@ def test_embeddings(spark):
     assert embed_dedup.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_tie():
+    rng = np.random.default_rng(4)
+    for n, m in ((50, 20), (300, 400), (2000, 1500), (40, 1500)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        root = np.arange(n)
+        kept = np.concatenate([lo + embed_dedup._tie(root, x[lo : lo + 300], y[lo : lo + 300]) for lo in range(0, m, 300)])
+        again = np.arange(n)
+        embed_dedup._tie(again, x[kept], y[kept])
+        want = np.arange(n)
+        for _ in range(n):
+            low = np.minimum(want[x], want[y])
+            np.minimum.at(want, x, low)
+            np.minimum.at(want, y, low)
+        assert (root == want).all() and (again == want).all() and len(kept) < n
+
+
 def test_chat(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "<\\| <| é\n<|im_start|>"), (1, 1, "assistant", None), (2, None, None, ""), (None, 3, "assistant", "x" * 3000)]
@@ -138,6 +178,33 @@ def test_lm_gradients():
             assert abs((up - down) / 2e-5 - g[k].reshape(-1)[i]) < 1e-5
 
 
+def test_lm_probabilities_add_up():
+    counts = np.array([9.0, 5.0, 3.0, 4.0] + [2.0] * 900)
+    words = [b"a", b"b", b"c", lm.END] + [f"w{i}".encode() for i in range(900)]
+    v = lm.Vocabulary(words, counts, np.arange(904) % 3, 3, 60.0)
+    p = {k: x.astype(float) * 3 for k, x in lm.initial(v).items()}
+    p["bs"] = lm.initial(v)["bs"].astype(float)
+    every = np.arange(905)
+    for h in np.random.default_rng(1).normal(size=(5, lm.HIDDEN)):
+        assert abs(np.exp(lm.log_probability(p, v, np.repeat(h[None], 905, 0), every)).sum() - 1) < 1e-6
+
+
+def test_lm_gains_on_held_out_documents(spark):
+    """In a language whose next word follows from the one before, the model scores unseen documents far over word frequencies."""
+    rng = random.Random(7)
+
+    def text():
+        w = [rng.randint(0, 29)]
+        for _ in range(120):
+            w.append((w[-1] * 7 + 3 + (rng.random() < 0.1)) % 30)
+        return " ".join(f"n{x}" for x in w)
+
+    got = lm.lm_scores(spark.createDataFrame([(i, text(), "en") for i in range(1500)], "doc_id long, text string, lang string").repartition(2)).toPandas()
+    held = got[got.held_out]
+    assert len(held) > 200 and (held.score > held.base_score).mean() > 0.98
+    assert (held.score / held.n_tokens).mean() > (held.base_score / held.n_tokens).mean() + 0.25
+
+
 def test_lm_trains_on_every_document(spark, monkeypatch):
     v = lm.Vocabulary([b"a", b"b", b"c", lm.END], np.array([9.0, 5.0, 3.0, 4.0]), np.array([0, 0, 0, 0]), 1, 6.0)
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) // 5 % 8 > 1]
@@ -162,6 +229,54 @@ def test_substring_dedup(spark, none):
     assert cdc.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_leaves_short_repeats(spark):
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(n))
+    line, passage = fresh(18), [fresh(51) for _ in range(20)]
+    rows = [(i, fresh(60) + " " + line + " " + passage[i] + " " + fresh(60)) for i in range(20)] + [(20 + i, fresh(60) + " " + passage[i] + " " + fresh(60)) for i in range(20)]
+    rows += [(40 + i, fresh(50) + " " + line + " " + fresh(50)) for i in range(20)]
+    got = {r.doc_id: r for r in cdc.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows if i < 20 or i >= 40)
+    assert sum(got[i].removed_words >= 25 for i in range(20, 40)) >= 19
+
+
+def test_common_runs_of_a_task():
+    """Every run but the first of each digest is a repeat, whatever the order and size of the batches."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    shared = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(5)]
+    docs = [(i, " ".join([" ".join(rng.choice(words) for _ in range(30)), rng.choice(shared), " ".join(rng.choice(words) for _ in range(30))])) for i in range(120)]
+    rng.shuffle(docs)
+
+    def repeats(size):
+        out = []
+        for lo in range(0, len(docs), size):
+            out.append(pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs[lo : lo + size]]), pa.array([d[1] for d in docs[lo : lo + size]])], names=["doc_id", "text"]))
+        rows = [r for b in cdc._window_rows(iter(out)) for r in b.to_pylist()]
+        first, later = {}, {(r["doc_id"], r["nr"]) for r in rows if r["known"]}
+        for r in sorted((r for r in rows if not r["known"]), key=lambda r: (r["doc_id"], r["nr"])):
+            if r["digest"] in first:
+                later.add((r["doc_id"], r["nr"]))
+            first.setdefault(r["digest"], r)
+        return later, sum(not r["known"] for r in rows)
+
+    whole, one = repeats(120), repeats(7)
+    assert whole[0] == one[0] and len(whole[0]) > 200 and one[1] < 1.2 * whole[1]
+
+
+def test_clashing_columns(spark):
+    """Helper columns never clash with those of a user, whatever they are called."""
+    names = ["slot", "slot_", "word", "word_", "bits", "bits_", "maybe", "maybe_in", "maybe_", "own", "own_", "nrs", "size", "taken", "part_", "doc_key_", "h", "h_", "a b"]
+    rows = [(i, f"alpha beta gamma {i % 3} " * 30, "en", "s", 7, *range(len(names))) for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{common.quoted(n)} int" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    same = lambda out: all([r[n] for n in names] == list(range(len(names))) for r in out)
+    for out in (cdc.substring_dedup(df), mix.mixed_documents(df, block_words=4), common.without_ids(df, df.filter("doc_id < 3").select("doc_id")), pieces.round_trip(df, public_tokenizers.path("piece_bpe_32k.model"))):
+        found = out.collect()
+        assert found and set(df.columns) - {"text"} <= set(out.columns) and same(found)
+    assert minhash.near_duplicates(df).count() == quality.quality_rules(df).count() == lm.lm_scores(df).count() == license_scan.license_scan(df).count() == 12
+
+
 def test_cuts_survive_insertions():
     text = " ".join(f"word{i * i % 997}" for i in range(400)).encode()
     parts = lambda t: {t[a:b] for a, b in zip(*(x.tolist() for x in cdc.chunks_of([t])[1:3]), strict=True)}
@@ -219,6 +334,34 @@ def test_minhash(spark, docs, none):
     assert any(comp[i] != i for i in comp) and minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_of_short_texts(spark):
+    """Chains and clouds of texts of 3 to 80 words around the threshold, against all pairs."""
+    rng = random.Random(21)
+    rows, base = [], [[f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 4, 6, 9, 15, 30, 50, 80]))] for _ in range(40)]
+    for i in range(400):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 400)}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(2000, "w1 w2"), (2001, "W1  w2"), (2002, "w1 w2 w1 w2 w1 w2"), (2003, "w1 w2 w1 w2 w1 w2 w1 w2"), (2004, "w1")]
+    for n, percent in ((3, 85), (5, 80)):
+        comp, sizes = brute_components(rows, n, percent)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=n, percent=percent).collect()
+        assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (comp[i], sizes[i]) for i in comp}
+
+
+def test_dense_registers_agree_as_sets_do():
+    rng = random.Random(22)
+    same = []
+    for _ in range(300):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(22)]
+        regs = minhash.registers([" ".join(w).encode(), " ".join([*w[:-2], "x", "y"]).encode()], 3)[1]
+        d = minhash.dense(regs)
+        assert (d > 0).all() and (d[regs > 0] == regs[regs > 0]).all()
+        same.append((d[0] == d[1]).mean())
+    assert abs(np.mean(same) - 18 / 22) < 0.02 and not minhash.dense(np.zeros((2, minhash.BUCKETS), np.uint16)).any()
+
+
 def test_estimate_is_near_the_truth():
     a = [f"a{i} b{i} c{i}" for i in range(300)]
     _, regs = minhash.registers([" ".join(a).encode(), " ".join(a[:270]).encode()], 3)
@@ -237,6 +380,23 @@ def test_mix(spark, docs, none):
     assert sum(len(r.text.encode().split()) for r in mix.mixed_documents(docs, block_words=4).collect()) == got.taken.sum()
 
 
+def test_mix_over_many_shards(spark, tmp_path):
+    """The SQL twin lists every quotient of every shard; small shards make many of them."""
+    import duckdb
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([0, 1, 5, 40, 90]))), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(900)] + [(5, "x y", "en", "a", 0), (None, "null id here", "en", "b", 0), (901, None, "en", "c", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mix.mix_sources(spark.read.parquet(str(tmp_path / "documents.parquet")), shard_words=500)
+    assert got.select("source", "shard").distinct().count() > 30
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(mix.OP7_SQL.replace(f"/ {100_000})", "/ 500)")).fetchall()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    ours = [tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken").collect()]
+    assert [(*r[:3], round(r[3], 6), r[4]) for r in sorted(ours, key=key)] == [(*r[:3], round(r[3], 6), r[4]) for r in sorted(want, key=key)]
+
+
 def test_sainte_lague(spark):
     votes = [53, 24, 23, 1, 0, 600]
     got = {r.p: r.quota for r in mix.sainte_lague(spark.createDataFrame(list(enumerate(votes)), "p int, votes long").withColumn("seats", mix.F.lit(21)), [], "votes", "seats", ["p"]).collect()}
@@ -265,26 +425,83 @@ def test_robust_fit_rejects_outliers(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
     rows = [(i, " ".join(word() + ("###" if i % 50 == 7 else "") for _ in range(rng.randint(80, 160))), "en", "s") for i in range(300)]
-    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_rows=100).collect()
-    assert {r.doc_id for r in got if not r.kept} == {i for i in range(300) if i % 50 == 7}
+    rows += [(300 + i, " ".join(word() for _ in range(100)), "en", f"rare{i}") for i in range(5)] + [(305, "### " * 10 + " ".join("###" + word() for _ in range(90)), "xx", None)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {i for i in range(300) if i % 50 == 7} | {305}
+    assert all(r.distance is not None for r in got if not r.base_failed)
 
 
-def test_pieces(spark, docs):
+def mcd(x, starts, steps=60):
+    """Least log determinant that concentration reaches from many random subsets."""
+    h, best = math.ceil(quality.SUBSET * len(x)), (np.inf, None)
+    rng = np.random.default_rng(0)
+    for _ in range(starts):
+        some = x[rng.choice(len(x), quality.P + 3, replace=False)]
+        for _ in range(steps):
+            mu, cov = some.mean(0), np.cov(some.T, bias=True) + 1e-9 * np.eye(quality.P)
+            d = np.einsum("ni,ij,nj->n", x - mu, np.linalg.inv(cov), x - mu)
+            some = x[np.argsort(d, kind="stable")[:h]]
+        best = min(best, (np.linalg.slogdet(np.cov(some.T, bias=True))[1], tuple(some.mean(0))))
+    return best
+
+
+def test_least_determinant(spark):
+    """The deterministic search finds what many random starts find, also with a fifth of the rows far off, in one place or in many."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for g in range(4):
+        a = np.linalg.qr(rng.normal(size=(5, 5)))[0] * [1.0, 1.5, 2.0, 2.5, 3.0]
+        x = rng.normal(size=(400, 5)) @ a.T  # far over the floors
+        x[:80] += np.array([0, 30, 8, -25, 12.0]) * (1 if g % 2 else rng.normal(size=(80, 1)))
+        sets[f"g{g}"] = x
+        rows += [(f"g{g}", "s", *map(float, r)) for r in x]
+    fit = quality.robust_fit(spark.createDataFrame(rows, "group_lang string, group_source string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()
+    for r in fit:
+        least, mu = mcd(sets[r.group_lang], 60)
+        ours = r.logdet - quality.P * math.log(quality.consistency(quality.SUBSET))
+        assert ours < least + 0.05 and np.allclose(r.mu, mu, atol=0.5), (r.group_lang, ours, least)
+    assert len(fit) == 4 and abs(quality.consistency(0.75) - 1.41) < 0.02
+
+
+def best_path(p, unit):
+    table = {}
+    for s, i in zip(p.scores.tolist(), p.ids.tolist(), strict=True):
+        table[p.bytes[i]] = s, i
+    best = [0.0] + [-math.inf] * len(unit)
+    longest = max(map(len, table))
+    for j in range(1, len(unit) + 1):
+        best[j] = best[j - 1] + pieces.BYTE_SCORE
+        for k in range(1, min(j, longest) + 1):
+            if unit[j - k : j] in table:
+                best[j] = max(best[j], best[j - k] + table[unit[j - k : j]][0])
+    score = lambda ids: sum(table[p.bytes[i]][0] if table.get(p.bytes[i], (0, -1))[1] == i else pieces.BYTE_SCORE for i in ids)
+    return best[-1], score
+
+
+def test_pieces(spark, docs, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     p = pieces.Pieces.of(path)
-    table = {p.bytes[i]: (s, i) for s, i in zip(p.scores.tolist(), p.ids.tolist())}
-    for unit in (b"hello", " straße".encode(), "日本".encode(), b"\xf0\x9f\x8e\x89", b"aaaaaaaaa"):
-        best, back = [0.0] + [-math.inf] * len(unit), [None] * (len(unit) + 1)
-        for j in range(1, len(unit) + 1):
-            best[j], back[j] = best[j - 1] + pieces.BYTE_SCORE, 1
-            for k in range(1, j + 1):
-                if unit[j - k : j] in table and best[j - k] + table[unit[j - k : j]][0] > best[j]:
-                    best[j], back[j] = best[j - k] + table[unit[j - k : j]][0], k
+    rng = random.Random(2)
+    long = ["".join(chr(rng.choice([0x4E00 + rng.randint(0, 500), 0x3042 + rng.randint(0, 60), 0x61 + rng.randint(0, 25)])) for _ in range(2500)).encode(), b"https://" + b"a1/" * 700, b"\xf0\x9f\x8e\x89" * 300]
+    monkeypatch.setattr(pieces, "PROBED", 1000)
+    for unit in (b"hello", " straße".encode(), "日本".encode(), b"\xf0\x9f\x8e\x89", b"aaaaaaaaa", *long):
+        best, score = best_path(p, unit)
         ids = np.frombuffer(p.segment([unit])[0], "<u2").tolist()
-        assert b"".join(p.bytes[i] for i in ids) == unit
-        assert abs(sum(table[p.bytes[i]][0] if p.bytes[i] in table and i == table[p.bytes[i]][1] else pieces.BYTE_SCORE for i in ids) - best[-1]) < 1e-6
+        assert b"".join(p.bytes[i] for i in ids) == unit and abs(score(ids) - best) < 1e-6 * max(1, abs(best))
+    assert [p.bytes[i] for i in np.frombuffer(p.encode([b"hello world"])[0], "<u2")][0] == b" h"
+    texts = [t or "" for _, t, *_ in corpus()] + [" lead", "▁x", long[0].decode()]
+    coded = p.encode([t.encode() for t in texts])
+    assert [p.decode(x).decode() for x in coded] == texts
+    p.width = 4
+    try:
+        p.known = {}
+        wide = p.encode([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in wide] == [np.frombuffer(x, "<u2").tolist() for x in coded] and [p.decode(x).decode() for x in wide] == texts
+    finally:
+        p.width, p.known = 2, {}
     rows = pieces.decode(pieces.encode(docs, path), path).collect()
     assert all(r.decoded == (r.text or "") for r in rows) and len(rows) == 60
+    assert {(r.doc_id, bytes(r.ids), r.decoded) for r in rows} == {(r.doc_id, bytes(r.ids), r.decoded) for r in pieces.round_trip(docs, path).collect()}
 
 
 def test_records(spark, docs, none):
@@ -293,11 +510,16 @@ def test_records(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t, start = Tokenizer.from_file(path), 0
     folder = common.shared_path(spark, "records")
-    got = {r.doc_id: r for r in records.read_records(records.write_records(docs, path, 2, folder), folder).collect()}
+    manifest = records.write_records(docs, path, 2, folder)
+    got = {r.doc_id: r for r in records.read_records(manifest, folder).collect()}
     for i, text, *_ in corpus():
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    for seed in (1, 2):
+        mixed = [(r.doc_id, zlib.crc32(bytes(r.ids))) for r in records.shuffled_records(manifest, folder, seed, 3).collect()]
+        assert mixed != sorted(mixed) and dict(mixed) == {i: r.ids_crc32 for i, r in got.items()} and len(mixed) == 60
+        assert mixed == [(r.doc_id, zlib.crc32(bytes(r.ids))) for r in records.shuffled_records(manifest, folder, seed, 3).collect()]
     empty = common.shared_path(spark, "records")
     assert records.read_records(records.write_records(none, path, 2, empty), empty).count() == 0
 
@@ -314,12 +536,56 @@ def test_damaged_records_are_found():
             list(records.unframe(io.BytesIO(bytes(bad))))
 
 
+def test_records_through_the_index(tmp_path):
+    from pyarrow import fs
+
+    place, root, rng = fs.LocalFileSystem(), str(tmp_path), np.random.default_rng(3)
+    want, entries, at, before = [], [], 0, 0
+    with open(f"{root}/part-0000000.rec", "wb") as f:
+        for i in range(200):
+            ids = rng.integers(0, 60000, 100_000 if i == 50 else rng.integers(0, 30)).astype(np.uint32)
+            data = records.frame(None if i == 9 else i, ids, 4 if i % 2 else 2)
+            f.write(data)
+            entries.append((at, len(data), before, 0 if i == 9 else i))
+            want.append((None if i == 9 else i, ids.tolist()))
+            at, before = at + len(data), before + len(ids)
+    index = np.array(entries, records.ENTRY)
+    index.tofile(f"{root}/part-0000000.idx")
+    read = lambda e: [(i, x.tolist()) for i, x in records.records_at(place, root, 0, e)]
+    assert [x for e in records.index_of(place, root, 0) for x in read(e)] == want
+    with open(f"{root}/part-0000000.rec", "rb") as f:
+        assert [(i, x.tolist()) for i, x in records.unframe(f)] == want
+    for order in (rng.permutation(200), rng.choice(200, 17), [199, 0, 0, 1]):
+        assert read(index[order]) == [want[k] for k in order]
+    for field, change in (("at", 3), ("length", -2), ("doc_id", 1)):
+        bad = index.copy()
+        bad[field][7] = int(bad[field][7]) + change
+        with pytest.raises((ValueError, OverflowError)):
+            read(bad)
+    (tmp_path / "part-0000001.idx").write_bytes(b"x" * 40)
+    with pytest.raises(ValueError):
+        list(records.index_of(place, root, 1))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_pipeline_stages_on_hard_tables(spark, none):
+    import corpus_pipeline
+
+    hard = [(None if i % 9 == 0 else i % 40, t, None, None if i % 2 else "s", None, i) for i, t in enumerate((HARD + ["many words " * 40, " ".join(f"w{k}" for k in range(90))]) * 5)]
+    for df in (none, spark.createDataFrame(hard, DOCS)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "")
+            rows = out.collect()
+            assert df is not none or not rows
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == corpus_pipeline.COLUMNS
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
