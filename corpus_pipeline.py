@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import cdc, minhash, mix, pieces, quality
-from panelwright.llm.common import shared_path, without_ids
-from panelwright.plans.session import ship
+from panelwright.llm.common import prepared, shared_path, without_ids
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -17,21 +16,21 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    ship(spark)
+    prepared(spark)
     rejected = quality.quality_rules(docs).filter("not kept").select("doc_id")
     return without_ids(docs, rejected).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    ship(spark)
+    prepared(spark)
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     return without_ids(docs, found.filter("not kept").select("doc_id")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; documents of which nothing is left go."""
-    ship(spark)
+    prepared(spark)
     left = cdc.substring_dedup(docs)
     whole = (F.col("removed_words") == 0) | (F.length(F.trim("text")) > 0)
     return left.filter(whole).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
@@ -39,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of the last one of a shard, the words that it takes."""
-    ship(spark)
+    prepared(spark)
     return mix.mixed_documents(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
 
 
@@ -47,10 +46,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_ids, ids and whether decoding them gives the text."""
     import public_tokenizers
 
-    ship(spark)
+    prepared(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), path), path)
-    return both.select("doc_id", "source", (F.length("ids") / 2).cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+    both = pieces.round_trip(docs.select("doc_id", "source", "text"), path)
+    return both.select("doc_id", "source", pieces.id_count("ids", path).alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
 STAGES = [
