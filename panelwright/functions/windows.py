@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +55,51 @@ def dated(df: DataFrame, column: str = "date") -> DataFrame:
     return days.withColumn("idx", F.row_number().over(Window.orderBy(column)) - 1)
 
 
-def ewm_mean(df: DataFrame, value: str, alpha: float, out: str, block: int = 128) -> DataFrame:
-    """Adds out: the bias-adjusted exponential mean of value along each symbol; null values take no weight but time goes on.
-
-    A long series is dealt into blocks of rows: inside a block sums of x r^-j, times r^j; before it, the totals of up to 8 earlier blocks,
-    each decayed by its distance. Everything is a window over (symbol) or (symbol, block)."""
-    r = 1.0 - alpha
-    while r ** -block > 1e150:
-        block //= 2
-    rows = df.withColumn("n_", F.row_number().over(by_symbol()) - 1).withColumn("b_", F.floor(F.col("n_") / block)).withColumn("j_", F.col("n_") % block)
-    inside = Window.partitionBy("symbol", "b_").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(r), -F.col("j_"))).otherwise(0.0)
-    rows = rows.withColumn("num_", F.sum(F.coalesce(F.col(value), F.lit(0.0)) * weight).over(inside)).withColumn("den_", F.sum(weight).over(inside))
-    # totals of whole blocks, seen from their end
-    last = rows.groupBy("symbol", "b_").agg(*[(F.max_by(c, "j_") * F.pow(F.lit(r), F.max("j_"))).alias(t) for c, t in (("num_", "tn_"), ("den_", "td_"))], F.max("j_").alias("m_"))
-    order = Window.partitionBy("symbol").orderBy("b_")
-    for c in ("tn_", "td_"):
-        last = last.withColumn(f"c{c}", sum((F.coalesce(F.lag(c, k).over(order), F.lit(0.0)) * (r ** (block * (k - 1))) for k in range(1, 9)), F.lit(0.0)))
-    rows = rows.join(last.select("symbol", "b_", "ctn_", "ctd_").hint("merge"), ["symbol", "b_"])
-    decay = F.pow(F.lit(r), F.col("j_"))
-    top = F.col("num_") * decay + F.col("ctn_") * decay * r
-    low = F.col("den_") * decay + F.col("ctd_") * decay * r
-    return rows.withColumn(out, F.when(low > 0, top / low)).drop("n_", "b_", "j_", "num_", "den_", "ctn_", "ctd_")
+def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """Adds a column for each entry out: (value, alpha) of means: the bias-adjusted exponential mean of value along each symbol; null values
+    take no weight but time goes on, and after the first value the mean is never null again.
+
+    With r = 1 - alpha, sums of value r^-j over the first j rows of a block of rows, times r^j, are sums of value decayed by age. A block is
+    as long as r^-j stays far from overflow (r^-length up to 1e100), so that what stands before the block before a row's own weighs less
+    than 1e-100: a row adds the total of one earlier block, and the result is exact for any span. Windows over the symbol only: one
+    exchange for all means, which keep its order."""
+    rows = df.withColumn("n_", F.row_number().over(by_symbol()) - 1)
+    earlier = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    for out, (value, alpha) in means.items():
+        if not 0 < alpha <= 1:
+            raise ValueError("alpha must be in (0, 1]")
+        x, r = F.col(value), 1.0 - alpha
+        if r == 0:  # nothing but the latest value counts
+            rows = rows.withColumn(out, F.last(x, ignorenulls=True).over(so_far))
+            continue
+        length = max(1, min(1 << 40, int(100 * math.log(10) / -math.log(r)))) if r < 1 else 1 << 40
+        rows = rows.withColumns({"b_": F.floor(F.col("n_") / length), "j_": F.col("n_") % length})
+        inside = Window.partitionBy("symbol", "b_").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        weight = F.when(x.isNotNull(), F.pow(F.lit(r), -F.col("j_"))).otherwise(0.0)
+        decay = F.pow(F.lit(r), F.col("j_"))
+        rows = rows.withColumns({"top_": F.sum(F.coalesce(x, F.lit(0.0)) * weight).over(inside) * decay, "low_": F.sum(weight).over(inside) * decay})
+        total = lambda c: F.coalesce(F.last(F.when(F.col("j_") == length - 1, F.col(c)), ignorenulls=True).over(earlier), F.lit(0.0))  # noqa: E731, B023
+        rows = rows.withColumns({"top_": F.col("top_") + total("top_") * decay * r, "low_": F.col("low_") + total("low_") * decay * r})
+        rows = rows.withColumn(out, F.last(F.when(F.col("low_") > 1e-250, F.col("top_") / F.col("low_")), ignorenulls=True).over(so_far)).drop("b_", "j_", "top_", "low_")
+    return rows.drop("n_")
+
+
+def expanding_rank(df: DataFrame, value: str, out: str, count: str) -> DataFrame:
+    """Adds out: the rank, ties averaged, of each non-null value among the symbol's values up to it, as a share of their number (count).
+
+    Instead of every earlier value, a row meets halves: at each level the values are parted by position into blocks of 1, 2, 4, ...; the
+    smaller ones in the left half of a block are counted for those in its right half, by a window in the order of values. A row takes part
+    once a level, so that the work grows as n log n."""
+    some = df.filter(F.col(value).isNotNull()).select("symbol", "date", F.col(value).alias("v_"), (F.row_number().over(by_symbol()) - 1).alias("n_"))
+    levels = F.expr("sequence(0, cast(floor(log2(greatest(all_ - 1, 1))) as int))")
+    parts = some.withColumn("all_", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).withColumn("level", F.explode(levels))
+    parts = parts.withColumns({"half": F.expr("shiftright(n_, level) & 1"), "block": F.expr("shiftright(n_, level + 1)")})
+    order = Window.partitionBy("symbol", "level", "block").orderBy("v_")
+    left = F.when(F.col("half") == 0, 1).otherwise(0)
+    upto, equal = (F.sum(left).over(order.rangeBetween(lo, Window.currentRow)) for lo in (Window.unboundedPreceding, Window.currentRow))
+    met = parts.withColumns({"upto": upto, "equal": equal}).filter("half = 1")
+    sums = met.groupBy("symbol", "date").agg(F.sum(F.col("upto") - F.col("equal")).alias("less_"), F.sum("equal").alias("equal_"))
+    ranks = some.join(sums.hint("merge"), ["symbol", "date"], "left").select(
+        "symbol", "date", (F.col("n_") + 1).alias(count), ((F.coalesce("less_", F.lit(0)) + (F.coalesce("equal_", F.lit(0)) + 2) / 2) / (F.col("n_") + 1)).alias(out))
+    return df.join(ranks.hint("merge"), ["symbol", "date"], "left")

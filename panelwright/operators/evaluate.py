@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from panelwright.functions.windows import PERIODS_PER_YEAR, average_rank, ratio
 
@@ -25,22 +25,34 @@ def _corr(a: str, b: str):
     return F.when((F.coalesce(F.stddev_pop(a), F.lit(0.0)) > 0) & (F.coalesce(F.stddev_pop(b), F.lit(0.0)) > 0), F.corr(a, b))
 
 
+def with_ranks(df: DataFrame, p: str, t: str, by: list[str]) -> DataFrame:
+    """Adds the average ranks of two columns within their group as whole numbers: doubled, less n + 1, so that each adds up to zero and sums of
+    products carry no rounding (up to groups of some 20,000)."""
+    w = Window.partitionBy(*by)
+    whole = lambda c: 2 * average_rank(F.col(c), w) - F.count(F.lit(1)).over(w) - 1
+    return df.withColumns({"rp_": whole(p), "rt_": whole(t)})
+
+
+def _rank_corr():
+    """Correlation of the ranks of with_ranks(), null where a side does not vary; exactly 0 where they are uncorrelated."""
+    own = lambda c: F.sum(F.col(c) * F.col(c))
+    return F.when((own("rp_") > 0) & (own("rt_") > 0), F.sum(F.col("rp_") * F.col("rt_")) / (F.sqrt(own("rp_")) * F.sqrt(own("rt_"))))
+
+
 def regression_metrics(predictions: DataFrame, by: list[str], p: str = "prediction", t: str = "target") -> DataFrame:
     """Per group: n, mse, mae, r2, directional accuracy, IC and rank IC over finite pairs."""
-    w = Window.partitionBy(*by)
-    df = _pairs(predictions, p, t).withColumns({"rp_": average_rank(F.col(p), w), "rt_": average_rank(F.col(t), w)})
+    df = with_ranks(_pairs(predictions, p, t), p, t, by)
     e = F.col(t) - F.col(p)
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.when(F.var_pop(t) > 0, 1 - F.sum(e * e) / (F.var_pop(t) * F.count("*"))).alias("r2"),
-        F.avg((F.signum(t) == F.signum(p)).cast("double")).alias("directional_accuracy"), _corr(p, t).alias("ic"), _corr("rp_", "rt_").alias("rank_ic"))
+        F.avg((F.signum(t) == F.signum(p)).cast("double")).alias("directional_accuracy"), _corr(p, t).alias("ic"), _rank_corr().alias("rank_ic"))
 
 
 def ic_by_date(predictions: DataFrame, p: str = "prediction", t: str = "target", by: str = "model") -> DataFrame:
     """Pearson and Spearman correlation of prediction and target per model and date."""
-    w = Window.partitionBy(by, "date")
-    df = _pairs(predictions, p, t).withColumns({"rp_": average_rank(F.col(p), w), "rt_": average_rank(F.col(t), w)})
-    return df.groupBy(by, "date").agg(F.count("*").alias("n"), _corr(p, t).alias("ic"), _corr("rp_", "rt_").alias("rank_ic"))
+    df = with_ranks(_pairs(predictions, p, t), p, t, [by, "date"])
+    return df.groupBy(by, "date").agg(F.count("*").alias("n"), _corr(p, t).alias("ic"), _rank_corr().alias("rank_ic"))
 
 
 def quantile_returns(predictions: DataFrame, q: int = 5, p: str = "prediction", t: str = "target") -> DataFrame:
@@ -65,7 +77,7 @@ def newey_west(series: DataFrame, value: str, by: list[str], order: str = "date"
     b = df.select(*by, F.col("e_").alias("f_"), "rn_")
     gammas = a.join(b.hint("merge"), [*by, "rn_"]).groupBy(*by, "lag").agg((F.avg(F.col("e_") * F.col("f_")) * 2 * (1 - F.first("lag") / (F.first("lags_") + 1))).alias("g")).groupBy(*by).agg(F.sum("g").alias("g"))
     var = F.col("g0") + F.coalesce("g", F.lit(0.0))
-    return base.join(gammas, by, "left").select(*by, "n", "mean", F.when((F.col("n") > 2) & (var > 0), F.col("mean") / F.sqrt(var / F.col("n"))).alias("t_stat"))
+    return base.join(gammas.hint("merge"), by, "left").select(*by, "n", "mean", F.when((F.col("n") > 2) & (var > 0), F.col("mean") / F.sqrt(var / F.col("n"))).alias("t_stat"))
 
 
 def ic_summary(ics: DataFrame, column: str = "rank_ic", by: str = "model") -> DataFrame:
@@ -73,12 +85,12 @@ def ic_summary(ics: DataFrame, column: str = "rank_ic", by: str = "model") -> Da
     some = ics.filter(F.col(column).isNotNull())
     a = some.groupBy(by).agg(F.count("*").alias("n_dates"), F.avg(column).alias("mean_ic"), F.stddev_samp(column).alias("std_ic"), F.avg((F.col(column) > 0).cast("double")).alias("positive_share"))
     t = newey_west(some, column, [by]).select(by, "t_stat")
-    return a.join(t, by).withColumn("icir", ratio(F.col("mean_ic"), F.col("std_ic")))
+    return a.join(t.hint("merge"), by).withColumn("icir", ratio(F.col("mean_ic"), F.col("std_ic")))
 
 
 def ic_decay(predictions: DataFrame, labels: DataFrame, horizons: list[int]) -> DataFrame:
     """(model, horizon, n_dates, mean_ic, t_stat) of the rank IC at each horizon, over dates with three names or more."""
-    df = predictions.select("model", "date", "symbol", "prediction").join(labels.select("date", "symbol", *[f"fwd_ret_{h}" for h in horizons]), ["date", "symbol"], "left")
+    df = predictions.select("model", "date", "symbol", "prediction").join(labels.select("date", "symbol", *[f"fwd_ret_{h}" for h in horizons]).hint("merge"), ["date", "symbol"], "left")
     long = df.unpivot(["model", "date", "symbol", "prediction"], [f"fwd_ret_{h}" for h in horizons], "horizon", "target").withColumn("horizon", F.regexp_extract("horizon", r"(\d+)$", 1).cast("int"))
     ics = ic_by_date(long.withColumn("model", F.concat_ws("|", "model", "horizon")), by="model").filter("n >= 3 and rank_ic is not null")
     t = newey_west(ics, "rank_ic", ["model"])
@@ -115,9 +127,18 @@ def correlations(features: DataFrame, columns: list[str]) -> DataFrame:
 # --- overfitting -------------------------------------------------------------------------------------------------
 
 
-@F.udf(DoubleType())
+#: A rational approximation of the normal distribution to double precision (Hart 1968), by powers from the highest.
+_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_LOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
 def normal_cdf(x):
-    return None if x is None or math.isnan(x) else NormalDist().cdf(x)
+    """Distribution function of the standard normal, by SQL functions; null for null and NaN. Beyond 7 in size a continued fraction."""
+    a = F.abs(x)
+    power = lambda c: reduce(lambda t, k: t * a + k, c[1:], F.lit(c[0]))
+    far = reduce(lambda t, k: a + k / t, (4, 3, 2, 1), a + 0.65) * 2.506628274631
+    tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, power(_TOP) / power(_LOW)).otherwise(1 / far)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x > 0, 1 - tail).otherwise(tail))
 
 
 def expected_max_sharpe(n_trials: int, variance: float) -> float:
@@ -164,12 +185,12 @@ def overfitting_probability(matrix: DataFrame, n_blocks: int = 8) -> DataFrame:
 
 def bootstrap(returns: DataFrame, resamples: int = 500, block: int = 20, seed: int = 7) -> DataFrame:
     """One row: 5, 50 and 95 % of the annual return and Sharpe ratio over circular moving-block resamples of (date, r), whose starts are
-    hashes of seed, resample and block."""
+    hashes (md5) of seed, resample and block."""
     spark = returns.sparkSession
     rows = returns.filter("r is not null").withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = rows.agg(F.count("*").alias("n"))
     draws = spark.range(resamples).withColumnRenamed("id", "k").crossJoin(F.broadcast(n)).select("k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("b"))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "k", "b"), F.col("n"))).select("k", "n", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
+    draws = draws.withColumn("start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))).select("k", "n", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
     draws = draws.filter(F.col("b") * block + F.col("j") < F.col("n")).withColumn("i", (F.col("start") + F.col("j")) % F.col("n"))
     each = draws.join(rows.hint("merge"), "i").groupBy("k").agg((F.pow(F.greatest(F.product(1 + F.col("r")), F.lit(0.0)), PERIODS_PER_YEAR / F.count("*")) - 1).alias("a"), (F.avg("r") / F.stddev_samp("r") * PERIODS_PER_YEAR ** 0.5).alias("s"))
     qs = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
@@ -178,10 +199,10 @@ def bootstrap(returns: DataFrame, resamples: int = 500, block: int = 20, seed: i
 
 
 def placebo(predictions: DataFrame, seed: int = 7) -> DataFrame:
-    """Predictions dealt anew among the names of each model and date."""
+    """Predictions dealt anew among the names of each model and date, in the order of md5 of seed, date and symbol."""
     w = Window.partitionBy("model", "date")
     a = predictions.drop("prediction").withColumn("n_", F.row_number().over(w.orderBy("symbol")))
-    b = predictions.select("model", "date", "prediction", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "date", "symbol"), "symbol")).alias("n_"))
+    b = predictions.select("model", "date", "prediction", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string"), "symbol")), "symbol")).alias("n_"))
     return a.join(b.hint("merge"), ["model", "date", "n_"]).drop("n_")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import PERIODS_PER_YEAR, by_date, by_symbol, ewm_mean, full, last_rows, pct_rank, ratio
+from panelwright.functions.windows import PERIODS_PER_YEAR, by_date, by_symbol, ewm_means, expanding_rank, full, last_rows, pct_rank, ratio
 
+#: Daily bars.
 DEFAULTS = {
-    "return_lags": [1, 5, 20], "vol_windows": [5, 20], "ma_windows": [5, 20], "momentum_windows": [5, 20], "rsi_window": 14, "macd": {"fast": 12, "slow": 26, "signal": 9},
-    "bollinger_window": 20, "mean_reversion_window": 5, "volume_window": 20, "drawdown_window": 60, "rolling_sharpe_window": 20, "beta_window": 20,
-    "regime_vol_window": 20, "regime_trend_fast": 10, "regime_trend_slow": 30, "cross_sectional": True,
+    "return_lags": [1, 5, 20], "vol_windows": [5, 20, 60], "ma_windows": [10, 20, 50, 200], "momentum_windows": [20, 60, 120], "rsi_window": 14, "macd": {"fast": 12, "slow": 26, "signal": 9},
+    "bollinger_window": 20, "mean_reversion_window": 5, "volume_window": 20, "drawdown_window": 252, "rolling_sharpe_window": 60, "beta_window": 60,
+    "regime_vol_window": 20, "regime_trend_fast": 50, "regime_trend_slow": 200, "cross_sectional": True,
 }
 RANKED = ["ret_1", "ret_5", "vol_20", "momentum_20", "volume_z"]
 
@@ -51,51 +52,59 @@ def technical(panel: DataFrame, config: dict | None = None) -> DataFrame:
     return df.drop("ret_", "dollar_", "wret_")
 
 
-def rsi(panel: DataFrame, window: int = 14) -> DataFrame:
-    """(date, symbol, rsi) in [0, 1] by Wilder smoothing; null before window differences, and where there was no loss."""
-    diff = F.col("close") - F.lag("close").over(by_symbol())
-    df = panel.select("date", "symbol", diff.alias("d_")).withColumns({"gain_": F.greatest("d_", F.lit(0.0)) + F.col("d_") * 0, "loss_": F.greatest(-F.col("d_"), F.lit(0.0)) + F.col("d_") * 0})
-    df = ewm_mean(ewm_mean(df, "gain_", 1 / window, "up_"), "loss_", 1 / window, "down_")
+def with_rsi(panel: DataFrame, window: int = 14) -> DataFrame:
+    """Adds rsi in [0, 1] by Wilder smoothing; null before window differences, and where there was no loss."""
+    df = panel.withColumn("d_", F.col("close") - F.lag("close").over(by_symbol()))
+    df = df.withColumns({"gain_": F.greatest("d_", F.lit(0.0)) + F.col("d_") * 0, "loss_": F.greatest(-F.col("d_"), F.lit(0.0)) + F.col("d_") * 0})
+    df = ewm_means(df, {"up_": ("gain_", 1 / window), "down_": ("loss_", 1 / window)})
     seen = F.count("d_").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("date", "symbol", F.when((seen >= window) & (F.col("down_") > 0), 1 - 1 / (1 + F.col("up_") / F.col("down_"))).alias("rsi"))
+    return df.withColumn("rsi", F.when((seen >= window) & (F.col("down_") > 0), 1 - 1 / (1 + F.col("up_") / F.col("down_")))).drop("d_", "gain_", "loss_", "up_", "down_")
+
+
+def rsi(panel: DataFrame, window: int = 14) -> DataFrame:
+    """(date, symbol, rsi)."""
+    return with_rsi(panel.select("date", "symbol", "close"), window).select("date", "symbol", "rsi")
+
+
+def with_macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Adds macd, macd_signal and macd_hist, all as shares of the close."""
+    df = ewm_means(panel, {"f_": ("close", 2 / (fast + 1)), "s_": ("close", 2 / (slow + 1))}).withColumn("m_", F.col("f_") - F.col("s_"))
+    df = ewm_means(df, {"g_": ("m_", 2 / (signal + 1))})
+    return df.withColumns({"macd": ratio(F.col("m_"), F.col("close")), "macd_signal": ratio(F.col("g_"), F.col("close")), "macd_hist": ratio(F.col("m_") - F.col("g_"), F.col("close"))}).drop("f_", "s_", "m_", "g_")
 
 
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """(date, symbol, macd, macd_signal, macd_hist), all as shares of the close."""
-    df = panel.select("date", "symbol", "close")
-    for n, span in (("f_", fast), ("s_", slow)):
-        df = ewm_mean(df, "close", 2 / (span + 1), n)
-    df = ewm_mean(df.withColumn("m_", F.col("f_") - F.col("s_")), "m_", 2 / (signal + 1), "g_")
-    return df.select("date", "symbol", ratio(F.col("m_"), F.col("close")).alias("macd"), ratio(F.col("g_"), F.col("close")).alias("macd_signal"), ratio(F.col("m_") - F.col("g_"), F.col("close")).alias("macd_hist"))
+    """(date, symbol, macd, macd_signal, macd_hist)."""
+    return with_macd(panel.select("date", "symbol", "close"), fast, slow, signal).select("date", "symbol", "macd", "macd_signal", "macd_hist")
 
 
-def benchmark_features(panel: DataFrame, benchmark: DataFrame, window: int = 20) -> DataFrame:
+def benchmark_features(panel: DataFrame, benchmark: DataFrame, window: int = 60) -> DataFrame:
     """(date, symbol, beta, benchmark_corr): rolling regression on the benchmark's return of the same date. The benchmark has a row per
     date, so the join is by key, not broadcast."""
     own = panel.select("date", "symbol", k_return(1).alias("r_"))
     bench = benchmark.select("date", k_return(1).alias("b_"))
-    df = own.join(bench, "date", "left").withColumns({"x_": F.when(F.col("b_").isNotNull(), F.col("r_")), "y_": F.when(F.col("r_").isNotNull(), F.col("b_"))})
+    return with_beta(own.join(bench.hint("merge"), "date", "left"), window).select("date", "symbol", "beta", "benchmark_corr")
+
+
+def with_beta(df: DataFrame, window: int) -> DataFrame:
+    """Adds beta and benchmark_corr of the returns r_ on those of the benchmark, b_."""
+    df = df.withColumns({"x_": F.when(F.col("b_").isNotNull(), F.col("r_")), "y_": F.when(F.col("r_").isNotNull(), F.col("b_"))})
     over = last_rows(window)
     ok = F.count("x_").over(over) >= window
     cov, var = F.covar_samp("x_", "y_").over(over), F.var_samp("y_").over(over)
     sx = F.stddev_samp("x_").over(over)
-    return df.select("date", "symbol", F.when(ok & (var > 0), cov / var).alias("beta"), F.when(ok & (var > 0) & (sx > 0), cov / F.sqrt(var) / sx).alias("benchmark_corr"))
+    return df.withColumns({"beta": F.when(ok & (var > 0), cov / var), "benchmark_corr": F.when(ok & (var > 0) & (sx > 0), cov / F.sqrt(var) / sx)}).drop("x_", "y_")
 
 
-def market_regime(benchmark: DataFrame, window: int = 20, fast: int = 10, slow: int = 30) -> DataFrame:
+def market_regime(benchmark: DataFrame, window: int = 20, fast: int = 50, slow: int = 200) -> DataFrame:
     """(date, bench_ret, bench_vol, vol_percentile, bench_trend, high_vol_regime) of one benchmark series. The expanding percentile ranks
-    each volatility among those up to it, ties averaged, from 3 * window values on: a self-join on position, for a single series only."""
+    each volatility among those up to it, ties averaged, from 3 * window values on."""
     df = benchmark.withColumn("bench_ret", k_return(1))
     df = df.withColumns({
         "bench_vol": full(F.stddev_samp("bench_ret"), F.col("bench_ret"), window) * PERIODS_PER_YEAR ** 0.5,
-        "bench_trend": ratio(full(F.avg("close"), F.col("close"), fast), full(F.avg("close"), F.col("close"), slow)) - 1,
-        "n_": F.row_number().over(by_symbol())})
-    df = df.select("symbol", "date", "n_", "bench_ret", "bench_vol", "bench_trend")
-    vols = df.filter("bench_vol is not null")
-    a, b = vols.alias("a"), vols.select("symbol", "n_", "bench_vol").alias("b")
-    ranks = a.join(b.hint("merge"), F.expr("a.symbol = b.symbol and b.n_ <= a.n_")).groupBy("a.symbol", "a.date").agg(
-        ((F.count_if(F.expr("b.bench_vol < a.bench_vol")) + (F.count_if(F.expr("b.bench_vol = a.bench_vol")) + 1) / 2) / F.count("*")).alias("p_"), F.count("*").alias("c_"))
-    out = df.join(ranks, ["symbol", "date"], "left").withColumn("vol_percentile", F.when(F.col("c_") >= 3 * window, F.col("p_")))
+        "bench_trend": ratio(full(F.avg("close"), F.col("close"), fast), full(F.avg("close"), F.col("close"), slow)) - 1})
+    df = expanding_rank(df.select("symbol", "date", "bench_ret", "bench_vol", "bench_trend"), "bench_vol", "p_", "c_")
+    out = df.withColumn("vol_percentile", F.when(F.col("c_") >= 3 * window, F.col("p_")))
     return out.select("date", "bench_ret", "bench_vol", "vol_percentile", "bench_trend", F.coalesce((F.col("vol_percentile") > 0.75).cast("double"), F.lit(0.0)).alias("high_vol_regime"))
 
 
@@ -110,15 +119,16 @@ def cross_sectional(features: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def build_features(panel: DataFrame, benchmark_symbol: str | None = None, config: dict | None = None) -> DataFrame:
-    """The feature panel without the benchmark: one lazy plan."""
+    """The feature panel without the benchmark: one lazy plan. What the benchmark gives is joined once, by date, before the symbols'
+    windows, so that all of these share one exchange."""
     cfg = config_of(config)
     rows = panel.filter(F.col("symbol") != benchmark_symbol) if benchmark_symbol else panel
-    out = technical(rows, cfg).drop("open", "high", "low")
-    out = out.join(rsi(rows, cfg["rsi_window"]), ["date", "symbol"]).join(macd(rows, **cfg["macd"]), ["date", "symbol"])
     if benchmark_symbol:
         bench = panel.filter(F.col("symbol") == benchmark_symbol)
-        out = out.join(benchmark_features(rows, bench, cfg["beta_window"]), ["date", "symbol"], "left")
-        out = out.join(market_regime(bench, cfg["regime_vol_window"], cfg["regime_trend_fast"], cfg["regime_trend_slow"]), "date", "left")
+        regime = market_regime(bench, cfg["regime_vol_window"], cfg["regime_trend_fast"], cfg["regime_trend_slow"])
+        rows = rows.join(regime.withColumn("b_", F.col("bench_ret")).hint("merge"), "date", "left").withColumn("r_", k_return(1))
+        rows = with_beta(rows, cfg["beta_window"]).drop("r_", "b_")
+    out = with_macd(with_rsi(technical(rows, cfg), cfg["rsi_window"]), **cfg["macd"]).drop("open", "high", "low")
     numbers = [c for c, t in out.dtypes if t == "double" and c not in ("close", "volume")]
     out = finite(out, numbers).drop("close", "volume")
     return cross_sectional(out, [c for c in RANKED if c in out.columns]) if cfg["cross_sectional"] else out
@@ -153,7 +163,7 @@ def filtered_probabilities(returns: DataFrame, params: DataFrame) -> DataFrame:
                  w -> named_struct('p', if(w.a + w.b > 0, w.b / (w.a + w.b), s.p), 'out', array_append(s.out, named_struct('date', x.date, 'stress', if(w.a + w.b > 0, w.b / (w.a + w.b), s.p)))))[0],
       s -> s.out)"""
     rows = returns.filter("r is not null").groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("rows"))
-    return rows.join(params, "series").select("series", F.explode(F.expr(fold)).alias("o")).select("series", "o.date", "o.stress")
+    return rows.join(params.hint("merge"), "series").select("series", F.explode(F.expr(fold)).alias("o")).select("series", "o.date", "o.stress")
 
 
 def causal_stress(returns: DataFrame, params: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ def causal_stress(returns: DataFrame, params: DataFrame) -> DataFrame:
     nxt = F.lead("block_start").over(Window.partitionBy("series").orderBy("block_start"))
     blocks = params.withColumn("block_end", nxt)
     keyed = blocks.withColumn("own", F.concat_ws("|", "series", F.col("block_start").cast("string")))
-    rows = returns.join(keyed.select("series", "own", "block_end"), "series").filter("block_end is null or date < block_end")
+    rows = returns.join(keyed.select("series", "own", "block_end").hint("merge"), "series").filter("block_end is null or date < block_end")
     found = filtered_probabilities(rows.select(F.col("own").alias("series"), "date", "r"), keyed.drop("series", "block_start", "block_end").withColumnRenamed("own", "series"))
     back = keyed.select(F.col("own").alias("own_"), F.col("series").alias("s_"), "block_start", "block_end")
-    return found.join(back, F.col("series") == F.col("own_")).filter("date >= block_start and (block_end is null or date < block_end)").select(F.col("s_").alias("series"), "date", "stress")
+    return found.join(back.hint("merge"), F.col("series") == F.col("own_")).filter("date >= block_start and (block_end is null or date < block_end)").select(F.col("s_").alias("series"), "date", "stress")

@@ -43,9 +43,16 @@ def linear_costs(turnover: DataFrame, costs: Costs) -> DataFrame:
 def decision_targets(weights: DataFrame, every: int) -> DataFrame:
     """Each every-th decision date as a complete snapshot: a symbol without a row has target 0. Symbols and dates are dimensions of the
     table itself; the product of the two is the snapshot's size."""
-    days = dated(weights).filter(F.col("idx") % every == 0).select("date")
-    grid = days.join(weights.select("symbol").distinct())
-    return grid.join(weights, ["date", "symbol"], "left").select("date", "symbol", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"))
+    days = dated(weights).filter(F.col("idx") % every == 0).withColumn("idx", (F.col("idx") / every).cast("long"))
+    grid = on_sessions(weights.select("symbol").distinct().withColumn("first", F.lit(0).cast("long")), days)
+    return grid.join(weights.hint("merge"), ["date", "symbol"], "left").select("date", "symbol", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"))
+
+
+def on_sessions(names: DataFrame, days: DataFrame) -> DataFrame:
+    """names (with first, a position) on every session from its first on: a sequence of positions for each, joined with the calendar (date, idx
+    without gaps) by position."""
+    last = days.agg(F.max("idx")).scalar()
+    return names.withColumn("idx", F.explode(F.when(F.col("first") <= last, F.sequence(F.col("first"), last)))).drop("first").join(days.hint("merge"), "idx").drop("idx")
 
 
 def unknown_targets(weights: DataFrame, panel: DataFrame) -> DataFrame:
@@ -107,18 +114,21 @@ def trades(fills: DataFrame) -> DataFrame:
 
 def positions(fills: DataFrame, panel: DataFrame, cash: float) -> tuple[DataFrame, DataFrame]:
     """(holdings, equity): per session and symbol shares, mark, value and weight; per session cash, market value and equity. fills:
-    date, symbol, filled_shares, fill_price, commission. Sums over all earlier fills; marks are the last close."""
+    date, symbol, filled_shares, fill_price, commission. A symbol is held from its first fill on, equity stands for every session. Sums over
+    all earlier fills; marks are the last close."""
     flows = fills.groupBy("date", "symbol").agg(F.sum("filled_shares").alias("q"), F.sum(-F.col("filled_shares") * F.col("fill_price") - F.col("commission")).alias("flow"))
     so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    names = fills.select("symbol").distinct()
-    grid = panel.select("date").distinct().join(names)
-    held = grid.join(flows, ["date", "symbol"], "left").join(panel.select("date", "symbol", "close"), ["date", "symbol"], "left")
+    days = dated(panel)
+    firsts = fills.groupBy("symbol").agg(F.min("date").alias("date")).join(days.hint("merge"), "date").select("symbol", F.col("idx").cast("long").alias("first"))
+    grid = on_sessions(firsts, days.withColumn("idx", F.col("idx").cast("long")))
+    held = grid.join(flows.hint("merge"), ["date", "symbol"], "left").join(panel.select("date", "symbol", "close").hint("merge"), ["date", "symbol"], "left")
     held = held.select("date", "symbol", F.sum(F.coalesce("q", F.lit(0.0))).over(so_far).alias("shares"), F.last("close", ignorenulls=True).over(so_far).alias("mark_price"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
     held = held.withColumn("market_value", F.col("shares") * F.coalesce("mark_price", F.lit(0.0)))
     daily = held.groupBy("date").agg(F.sum("flow").alias("flow"), F.sum("market_value").alias("market_value"), F.sum(F.abs("market_value")).alias("gross"))
+    daily = days.select("date").join(daily.hint("merge"), "date", "left").fillna(0.0, ["flow", "market_value", "gross"])
     equity = daily.withColumn("cash", cash + F.sum("flow").over(Window.orderBy("date"))).withColumn("equity", F.col("cash") + F.col("market_value"))
     equity = equity.select("date", "cash", "market_value", "gross", "equity")
-    holdings = held.join(equity.select("date", "equity"), "date").select("date", "symbol", "shares", "mark_price", "market_value", ratio(F.col("market_value"), F.col("equity")).alias("weight"))
+    holdings = held.join(equity.select("date", "equity").hint("merge"), "date").select("date", "symbol", "shares", "mark_price", "market_value", ratio(F.col("market_value"), F.col("equity")).alias("weight"))
     return holdings, equity
 
 
@@ -126,7 +136,7 @@ def curve(equity: DataFrame, fills: DataFrame, cash: float) -> DataFrame:
     """Per session: return, equity, turnover (traded value over the equity before), costs and exposures."""
     t = fills.groupBy("date").agg(F.sum(F.abs(F.col("filled_shares") * F.col("fill_price"))).alias("traded"), F.sum(F.col("commission") + F.col("spread_cost") + F.col("slippage_cost") + F.col("impact_cost")).alias("transaction_cost"))
     before = F.coalesce(F.lag("equity").over(Window.orderBy("date")), F.lit(cash))
-    df = equity.join(t, "date", "left").withColumn("before", before)
+    df = equity.join(t.hint("merge"), "date", "left").withColumn("before", before)
     return df.select(
         "date", (F.col("equity") / F.col("before") - 1).alias("return"), "equity", (F.coalesce("traded", F.lit(0.0)) / F.col("before")).alias("turnover"), F.coalesce("transaction_cost", F.lit(0.0)).alias("transaction_cost"),
         ratio(F.col("gross"), F.col("equity")).alias("gross_exposure"), ratio(F.col("market_value"), F.col("equity")).alias("net_exposure"), (F.col("gross") > 0).alias("active"))
@@ -137,7 +147,7 @@ def attribution(holdings: DataFrame, fills: DataFrame, panel: DataFrame) -> Data
     px = panel.select("date", "symbol", "open", "close")
     df = holdings.select("date", "symbol", "shares", "mark_price").withColumns({"held": F.coalesce(F.lag("shares").over(by_symbol()), F.lit(0.0)), "last": F.lag("mark_price").over(by_symbol())})
     f = fills.groupBy("date", "symbol").agg(F.sum(F.col("filled_shares") * F.col("price") - F.col("filled_shares") * F.col("fill_price") - F.col("commission")).alias("drag"))
-    df = df.join(px, ["date", "symbol"], "left").join(f, ["date", "symbol"], "left")
+    df = df.join(px.hint("merge"), ["date", "symbol"], "left").join(f.hint("merge"), ["date", "symbol"], "left")
     night = F.col("held") * F.coalesce(F.coalesce("open", "mark_price") - F.col("last"), F.lit(0.0))
     day = F.col("shares") * F.coalesce(F.col("mark_price") - F.coalesce("open", "mark_price"), F.lit(0.0))
     cost = -F.coalesce("drag", F.lit(0.0))
@@ -148,7 +158,7 @@ def reconcile(attributed: DataFrame, equity: DataFrame, cash: float, tolerance:
     """Sessions on which the symbols' net P&L does not add up to the change of equity: must be empty."""
     change = equity.select("date", (F.col("equity") - F.coalesce(F.lag("equity").over(Window.orderBy("date")), F.lit(cash))).alias("change"), "equity")
     sums = attributed.groupBy("date").agg(F.sum("net_pnl").alias("pnl"))
-    return change.join(sums, "date", "left").withColumn("gap", F.abs(F.col("change") - F.coalesce("pnl", F.lit(0.0)))).filter(F.col("gap") > tolerance * F.greatest(F.lit(1.0), F.abs("equity")))
+    return change.join(sums.hint("merge"), "date", "left").withColumn("gap", F.abs(F.col("change") - F.coalesce("pnl", F.lit(0.0)))).filter(F.col("gap") > tolerance * F.greatest(F.lit(1.0), F.abs("equity")))
 
 
 def risk_scale(equity: DataFrame, *, vol_target: float | None = None, lookback: int = 20, max_leverage: float = 1.5, drawdown_deleverage: float | None = None, drawdown_cut: float = 0.5) -> DataFrame:
@@ -194,10 +204,9 @@ def replay(panel: DataFrame, targets: DataFrame, scenarios: DataFrame, *, cash:
     panel: date, symbol, open, close, adv; targets: portfolio, date, symbol, target_weight (complete snapshots); scenarios: scenario,
     cost_bps, cap (null: none). A portfolio's panel becomes one array of days, each an array over its sorted symbols; the SQL fold runs over
     it with the state (cash, shares), and every portfolio and scenario is a task of its own. Prices that are missing carry no trade."""
-    names = targets.select("portfolio", "symbol").distinct()
+    names = targets.select("portfolio", "symbol").distinct().withColumn("first", F.lit(0).cast("long"))
     fills = with_fill_date(targets, panel, lag).select("portfolio", "symbol", F.col("fill_date").alias("date"), "target_weight")
-    days = panel.select("date").distinct()
-    grid = names.join(days).join(panel, ["date", "symbol"], "left").join(fills, ["portfolio", "date", "symbol"], "left")
+    grid = on_sessions(names, dated(panel).withColumn("idx", F.col("idx").cast("long"))).join(panel.hint("merge"), ["date", "symbol"], "left").join(fills.hint("merge"), ["portfolio", "date", "symbol"], "left")
     w = Window.partitionBy("portfolio", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumns({"mark": F.last("close", ignorenulls=True).over(w), "px": F.coalesce("open", F.last("close", ignorenulls=True).over(w))})
     row = F.struct("symbol", F.coalesce("px", F.lit(0.0)).alias("px"), F.coalesce("mark", F.lit(0.0)).alias("mark"), F.coalesce("adv", F.lit(0.0)).alias("adv"), F.coalesce(F.col("open") > 0, F.lit(False)).alias("ok"), "target_weight")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.plans.session import cut
+
 from .evaluate import regression_metrics
 from .splits import assign
 
@@ -19,7 +22,7 @@ ID = ["date", "symbol"]
 
 def supervised(features: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     """Features beside the target, matched by date and symbol."""
-    return features.join(labels.select(*ID, F.col(target).alias("target")), ID)
+    return features.join(labels.select(*ID, F.col(target).alias("target")).hint("merge"), ID)
 
 
 # --- baselines: projections and one aggregation over all windows ---------------------------------------------------
@@ -36,7 +39,7 @@ def momentum_baseline(rows: DataFrame, feature: str, scale: float = 1.0) -> Data
 def historical_mean(assigned: DataFrame) -> DataFrame:
     """Test rows of every window with the mean training target of the window."""
     means = assigned.filter("role = 'train'").groupBy("window_id").agg(F.avg("target").alias("prediction"))
-    return assigned.filter("role = 'test'").join(means, "window_id")
+    return assigned.filter("role = 'test'").join(means.hint("merge"), "window_id")
 
 
 # --- fitted models -------------------------------------------------------------------------------------------------
@@ -120,7 +123,56 @@ def register(name: str, fit: Callable[..., Fitted]) -> None:
 # --- ensembles ------------------------------------------------------------------------------------------------------
 
 
-def ic_weights(validation: DataFrame, floor: float = 0.0) -> DataFrame:
+@dataclass
+class Ensemble:
+    """Fitted members and their weights."""
+
+    members: list[tuple[str, object]]
+    weights: list[float]
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        names = [f"prediction_{i}_" for i in range(len(self.members))]
+        for name, (_, m) in zip(names, self.members, strict=True):
+            rows = m.predict(rows).withColumnRenamed("prediction", name)
+        return rows.withColumn("prediction", sum((w * F.col(n) for w, n in zip(self.weights, names, strict=True)), F.lit(0.0))).drop(*names)
+
+    def importance(self) -> list[tuple[str, float]]:
+        """Mean over the members, each scaled to a total of one; members without any are left out."""
+        scaled = []
+        for _, m in self.members:
+            own = dict(m.importance())
+            if sum(own.values()) > 0:
+                scaled.append({c: v / sum(own.values()) for c, v in own.items()})
+        return [(c, sum(x.get(c, 0.0) for x in scaled) / len(scaled)) for c in scaled[0]] if scaled else []
+
+
+def last_share(rows: DataFrame, share: float, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """rows before, and within, their last share by date and symbol (least rows at least). Positions are counts of earlier dates and places
+    within a date; the window over dates has a row per date."""
+    days = rows.groupBy("date").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.orderBy("date")) - F.col("n_"))
+    placed = rows.join(days.select("date", "before_").hint("merge"), "date").withColumn("at_", F.col("before_") + F.row_number().over(Window.partitionBy("date").orderBy("symbol")))
+    n = rows.count()
+    edge = n - max(least, int(n * share))
+    return tuple(placed.filter(c).select(*rows.columns) for c in (F.col("at_") <= edge, F.col("at_") > edge))
+
+
+def ensemble(train, columns, members: dict[str, dict], weighting: str = "ic", share: float = 0.2, floor: float = 0.05):
+    """Members (name to parameters), equally weighted or by their rank IC on the last share of the training rows, by date, on which they
+    are not fitted; then all are fitted again on all rows. Under 50 rows the weights are equal."""
+    if not members or weighting not in ("equal", "ic"):
+        raise ValueError("an ensemble needs members, and equal or ic weighting")
+    weights = {k: 1 / len(members) for k in members}
+    if weighting == "ic" and train.count() >= 50:
+        early, late = last_share(train, share)
+        tried = [REGISTRY[k](early, columns, **params).predict(late).select(*ID, F.lit(k).alias("model"), "target", "prediction") for k, params in members.items()]
+        weights = {r["model"]: r["weight"] for r in ic_weights(reduce(DataFrame.unionByName, tried), floor).collect()}
+    return Ensemble([(k, REGISTRY[k](train, columns, **params)) for k, params in members.items()], [weights[k] for k in members])
+
+
+register("ensemble", ensemble)
+
+
+def ic_weights(validation: DataFrame, floor: float = 0.05) -> DataFrame:
     """(model, weight): non-negative rank IC plus a floor, adding up to one; equal if none is positive. Under 10 rows, or without variation,
     a model's IC counts as 0."""
     ic = regression_metrics(validation, ["model"]).select("model", F.when((F.col("n") >= 10) & F.col("rank_ic").isNotNull(), F.greatest("rank_ic", F.lit(0.0))).otherwise(0.0).alias("w")).withColumn("w", F.col("w") + floor)
@@ -142,7 +194,7 @@ def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict]
     rows = data.filter("target is not null")
     spark, parts, weights = data.sparkSession, [], []
     ids = [r["window_id"] for r in windows.orderBy("window_id").collect()]
-    assigned = assign(rows, windows).persist()  # every fit reads it; the session's storage drops what it cannot hold
+    assigned = cut(assign(rows, windows), "assigned")  # every fit reads it
     for w in ids:
         train, test = (assigned.filter((F.col("window_id") == w) & (F.col("role") == role)) for role in ("train", "test"))
         for name, params in specs.items():
@@ -157,7 +209,7 @@ def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict]
 
 def run_purged_cv(data: DataFrame, folds: DataFrame, specs: dict[str, dict], columns: list[str], fold: str = "fold") -> DataFrame:
     """Predictions of every fold's test dates from its training dates. folds: (fold, date, role)."""
-    rows = data.filter("target is not null").persist()
+    rows = cut(data.filter("target is not null"), "rows")
     parts = []
     for k in [r[0] for r in folds.select(fold).distinct().orderBy(fold).collect()]:
         dates = folds.filter(F.col(fold) == k)

@@ -57,7 +57,7 @@ def monthly_returns(curve: DataFrame) -> DataFrame:
     """Compounded return per calendar month between the first and last; a month without rows has 0."""
     months = curve.groupBy(F.last_day("date").alias("date")).agg((F.product(1 + F.col("return")) - 1).alias("return"))
     span = curve.agg(F.trunc(F.min("date"), "month").alias("a"), F.trunc(F.max("date"), "month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("m")).select(F.last_day("m").alias("date"))
-    return span.join(months, "date", "left").select("date", F.coalesce("return", F.lit(0.0)).alias("return"))
+    return span.join(months.hint("merge"), "date", "left").select("date", F.coalesce("return", F.lit(0.0)).alias("return"))
 
 
 def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -110,12 +110,18 @@ def borrow_drag(curve: DataFrame, borrow_bps: float, financing_bps: float) -> Da
     return df.withColumn("equity", first * F.product(1 + F.col("return")).over(so_far())).drop("r0_")
 
 
-def readiness(metrics: DataFrame, *, minimum_days: int = 252, minimum_dsr: float = 0.95, maximum_pbo: float = 0.5, maximum_drawdown: float = 0.25, minimum_excess: float = 0.0, maximum_turnover: float = 0.5) -> DataFrame:
+def readiness(metrics: DataFrame, *, minimum_days: int = 252, minimum_dsr: float = 0.95, maximum_pbo: float = 0.5, maximum_drawdown: float = 0.25, minimum_excess: float = 0.0, maximum_turnover: float = 0.5, more: dict[str, str] | None = None) -> DataFrame:
     """decision and failed gates per row of metrics (n_days, deflated_sharpe_prob, pbo, max_drawdown, annual_excess_return, average_turnover,
-    point_in_time_complete, accounting_reconciled, stress_passed); what is unknown fails."""
+    point_in_time_complete, accounting_reconciled, stress_passed); what is unknown fails. more: further gates by name, each a boolean column."""
     gates = {
         "holdout_sample": F.col("n_days") >= minimum_days, "deflated_sharpe": F.col("deflated_sharpe_prob") >= minimum_dsr, "selection_bias": F.col("pbo") <= maximum_pbo,
         "drawdown": F.col("max_drawdown") >= -maximum_drawdown, "benchmark_excess": F.col("annual_excess_return") >= minimum_excess, "turnover": F.col("average_turnover") <= maximum_turnover,
         "point_in_time_evidence": F.col("point_in_time_complete"), "accounting_reconciliation": F.col("accounting_reconciled"), "stress_scenarios": F.col("stress_passed")}
+    for name, column in (more or {}).items():
+        if not name.strip() or name in gates:
+            raise ValueError(f"invalid or repeated gate: {name!r}")
+        if dict(metrics.dtypes).get(column) != "boolean":
+            raise ValueError(f"gate {name!r} needs a boolean column")
+        gates[name] = F.col(column)
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(k)) for k, g in sorted(gates.items())]))
     return metrics.withColumn("failed_gates", failed).withColumn("decision", F.when(F.size("failed_gates") == 0, "READY_FOR_PAPER").otherwise("NOT_READY"))

@@ -51,7 +51,7 @@ def regime_filter(signals: DataFrame, features: DataFrame, column: str = "hmm_st
     per_date = features.filter(F.col(col).isNotNull()).groupBy("date").agg(F.min_by(col, "symbol" if "symbol" in features.columns else "date").alias("s_"))
     stress = F.least(F.greatest(F.coalesce("s_", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     scale = F.when(stress <= max_stress, 1 - stress).otherwise(0.0)
-    return signals.join(per_date, "date", "left").withColumn("signal", F.col("signal") * scale).drop("s_")
+    return signals.join(per_date.hint("merge"), "date", "left").withColumn("signal", F.col("signal") * scale).drop("s_")
 
 
 def uncapped_weights(signals: DataFrame, vols: DataFrame | None = None, *, max_weight: float = 0.10, max_gross: float = 1.0) -> DataFrame:
@@ -59,7 +59,7 @@ def uncapped_weights(signals: DataFrame, vols: DataFrame | None = None, *, max_w
     when both are there, clipped by name, then scaled down to the gross."""
     df = signals.select("date", "symbol", "signal")
     if vols is not None:
-        df = df.join(vols.select("date", "symbol", "vol"), ["date", "symbol"], "left").withColumn("vol", F.when(F.col("vol") != 0, F.col("vol")))
+        df = df.join(vols.select("date", "symbol", "vol").hint("merge"), ["date", "symbol"], "left").withColumn("vol", F.when(F.col("vol") != 0, F.col("vol")))
         df = df.withColumn("signal", F.col("signal") / F.coalesce("vol", F.percentile("vol", 0.5).over(by_date()), F.lit(1.0)))
     df = df.withColumn("x", F.coalesce("signal", F.lit(0.0)))
     df = df.withColumns({"p_": F.sum(F.greatest("x", F.lit(0.0))).over(by_date()), "m_": -F.sum(F.least("x", F.lit(0.0))).over(by_date())})

@@ -26,7 +26,7 @@ def walk_forward(dates: DataFrame, *, min_train: int, test: int, step: int, emba
     if max_windows is not None:
         w = w.filter(F.col("window_id") < max_windows)
     for key, name in (("ts", "train_start"), ("te", "train_end"), ("s", "test_start"), ("e", "test_end")):
-        w = w.join(idx.select(F.col("idx").alias(key), F.col("date").alias(name)), key)
+        w = w.join(idx.select(F.col("idx").alias(key), F.col("date").alias(name)).hint("merge"), key)
     return w.select("window_id", "train_start", "train_end", "test_start", "test_end")
 
 
@@ -63,13 +63,13 @@ def combinatorial(dates: DataFrame, groups: int, test_groups: int, purge: int =
     combos = spark.createDataFrame([(i, list(c)) for i, c in enumerate(itertools.combinations(range(groups), test_groups))], "split_id int, chosen array<int>")
     days = _folds(dates, groups)
     blocks = days.groupBy("fold").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    near = combos.select("split_id", F.explode("chosen").alias("fold")).join(blocks, "fold").select("split_id", "fold", "lo", "hi")
+    near = combos.select("split_id", F.explode("chosen").alias("fold")).join(blocks.hint("merge"), "fold").select("split_id", "fold", "lo", "hi")
     # combinations of a few groups: hundreds of rows beside the dates
     hit = days.select("date", "idx").join(F.broadcast(near), F.col("idx").between(F.col("lo") - purge, F.col("hi") + purge + embargo))
     roles = hit.groupBy("split_id", "date").agg(F.max(F.col("idx").between(F.col("lo"), F.col("hi"))).alias("test"))
     every = days.select("date").crossJoin(F.broadcast(combos))
     role = F.when(F.col("test"), "test").when(F.col("test").isNull(), "train")
-    return every.join(roles, ["split_id", "date"], "left").withColumn("role", role).filter("role is not null").select(
+    return every.join(roles.hint("merge"), ["split_id", "date"], "left").withColumn("role", role).filter("role is not null").select(
         "split_id", F.concat_ws(",", F.col("chosen").cast("array<string>")).alias("test_groups"), "date", "role")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable
 
@@ -20,6 +21,7 @@ from .tables import CASH, CURVE, FILLS, PRED, S, WEIGHTS, avg_rank, full, pct, r
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_RAW: dict[str, str] = {}  # the same without rounding, for queries that are made of others
 
 
 SHIFT = 0.000137
@@ -39,7 +41,8 @@ def query(name: str, ctes: str = "", select: str = "", doubles: str = "", digits
         if select:
             names = doubles.split()
             replace = f" REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE){f' + {SHIFT}' if digits == 3 else ''}, {digits}) + 0 AS {c}' for c in names)})" if names else ""
-            _SQL[name] = f"WITH {ctes + ',' if ctes else ''} result_ AS ({select}) SELECT *{replace} FROM result_"
+            start = f"WITH RECURSIVE {ctes + ',' if ctes else ''} result_ AS ({select}) SELECT *"
+            _SQL[name], _RAW[name] = f"{start}{replace} FROM result_", f"{start} FROM result_"
         return f
 
     return add
@@ -56,7 +59,8 @@ def oracle_sql() -> dict[str, str]:
 # --- sources and contracts -----------------------------------------------------------------------------------------
 
 
-@query("bars", BARS_SQL, "SELECT * FROM panel", "open high low close volume")
+# a price is a two-decimal amount over a quantity up to 50: where that ends, it does so within seven decimals, so that eight never tie
+@query("bars", BARS_SQL, "SELECT * FROM panel", "open high low close volume", digits=8)
 def _(spark, d):
     return t.panel(spark, d)
 
@@ -75,9 +79,14 @@ def _(spark, d):
     return contract.violations(p.withColumns({"close": F.when(day % 3 != 0, F.col("close")), "volume": F.when(day % 4 != 0, F.col("volume")), "high": F.when(day % 7 == 0, F.col("low") - 1).otherwise(F.col("high"))}))
 
 
-@query("panel_wide", BARS_SQL, """SELECT date, max(close) FILTER (symbol = 'NATION_10') AS "NATION_10", max(close) FILTER (symbol = 'NATION_13') AS "NATION_13", max(close) FILTER (symbol = 'BENCH') AS "BENCH" FROM panel GROUP BY date""", '"NATION_10" "NATION_13" "BENCH"')
+ALL_NAMES = [*sorted(f"NATION_{i}" for i in range(25)), "BENCH"]
+
+
+@query("panel_wide", BARS_SQL, "SELECT date, " + ", ".join(f"max(close) FILTER (symbol = '{n}') AS \"{n}\"" for n in ALL_NAMES) + " FROM panel GROUP BY date", " ".join(f'"{n}"' for n in ALL_NAMES))
 def _(spark, d):
-    return contract.to_wide(t.panel(spark, d), ["NATION_10", "NATION_13", "BENCH"])
+    # the symbols are those of a table of 25 rows
+    found = sorted(r[0] for r in table(spark, d, "nation").select("n_name").distinct().collect())
+    return contract.to_wide(t.panel(spark, d), [*found, BENCHMARK])
 
 
 @query("quality_report", BARS_SQL, f"""SELECT symbol, min(date) AS start, max(date) AS "end", count(*) AS "rows", (SELECT count(DISTINCT date) FROM panel q WHERE q.date BETWEEN min(r.date) AND max(r.date)) - count(*) AS missing_sessions,
@@ -132,6 +141,12 @@ def _(spark, d):
     return p.join(F.broadcast(last), "date", "left_semi").select("symbol", "model", "date", "prediction")
 
 
+#: Feature windows of the queries: weekly bars over seven years are too few for the defaults, which are those of daily bars.
+CONFIG = {
+    "vol_windows": [5, 20], "ma_windows": [5, 20], "momentum_windows": [5, 20], "drawdown_window": 60, "rolling_sharpe_window": 20, "beta_window": 20, "regime_trend_fast": 10, "regime_trend_slow": 30,
+}
+
+
 # --- features and labels ----------------------------------------------------------------------------------------------
 
 
@@ -141,19 +156,19 @@ YEAR = "sqrt(252)"
 
 @query("features_returns", TECH, f"SELECT date, symbol, r AS ret_1, r5 AS ret_5, close / nullif(lag(close, 20) {S}, 0) - 1 AS ret_20, ln(close) - ln(lag(close) {S}) AS log_ret, ({full('stddev_samp(r)', 'r', 5)}) * {YEAR} AS vol_5, ({full('stddev_samp(r)', 'r', 20)}) * {YEAR} AS vol_20, r5 AS momentum_5 FROM r_", "ret_1 ret_5 ret_20 log_ret vol_5 vol_20 momentum_5")
 def _(spark, d):
-    return features.technical(t.names(spark, d)).select("date", "symbol", "ret_1", "ret_5", "ret_20", "log_ret", "vol_5", "vol_20", "momentum_5")
+    return features.technical(t.names(spark, d), CONFIG).select("date", "symbol", "ret_1", "ret_5", "ret_20", "log_ret", "vol_5", "vol_20", "momentum_5")
 
 
 @query("features_levels", TECH, f"""SELECT date, symbol, close / nullif({full('avg(close)', 'close', 5)}, 0) - 1 AS ma_ratio_5, close / nullif({full('avg(close)', 'close', 20)}, 0) - 1 AS ma_ratio_20,
   (close - ({full('avg(close)', 'close', 20)})) / nullif(2 * ({full('stddev_samp(close)', 'close', 20)}), 0) AS bollinger_z, close / nullif({full('max(close)', 'close', 60, 20)}, 0) - 1 AS drawdown,
   ({full('avg(r)', 'r', 20)}) / nullif({full('stddev_samp(r)', 'r', 20)}, 0) * {YEAR} AS rolling_sharpe, (r5 - ({full('avg(r5)', 'r5', 60)})) / nullif({full('stddev_samp(r5)', 'r5', 60)}, 0) AS mean_reversion_z FROM r_""", "ma_ratio_5 ma_ratio_20 bollinger_z drawdown rolling_sharpe mean_reversion_z")
 def _(spark, d):
-    return features.technical(t.names(spark, d)).select("date", "symbol", "ma_ratio_5", "ma_ratio_20", "bollinger_z", "drawdown", "rolling_sharpe", "mean_reversion_z")
+    return features.technical(t.names(spark, d), CONFIG).select("date", "symbol", "ma_ratio_5", "ma_ratio_20", "bollinger_z", "drawdown", "rolling_sharpe", "mean_reversion_z")
 
 
 @query("features_volume", TECH, f"""SELECT date, symbol, (volume - ({full('avg(volume)', 'volume', 20)})) / nullif({full('stddev_samp(volume)', 'volume', 20)}, 0) AS volume_z, volume / nullif({full('avg(volume)', 'volume', 20)}, 0) AS volume_ratio, ln(1 + close * volume) AS log_dollar_volume FROM r_""", "volume_z volume_ratio log_dollar_volume")
 def _(spark, d):
-    return features.technical(t.names(spark, d)).select("date", "symbol", "volume_z", "volume_ratio", "log_dollar_volume")
+    return features.technical(t.names(spark, d), CONFIG).select("date", "symbol", "volume_z", "volume_ratio", "log_dollar_volume")
 
 
 def _ewm(x: str, alpha: str) -> str:
@@ -190,7 +205,7 @@ REGIME = f"""{BARS_SQL}, q_ AS (SELECT *, close / nullif(lag(close) {S}, 0) - 1
 
 @query("market_regime", REGIME, "SELECT * FROM regime", "bench_ret bench_vol vol_percentile bench_trend high_vol_regime")
 def _(spark, d):
-    return features.market_regime(t.bench(spark, d))
+    return features.market_regime(t.bench(spark, d), 20, 10, 30)
 
 
 @query("features_cross_section", TECH, f"SELECT date, symbol, {pct('r', 'date')} AS ret_1_rank, {pct('r5', 'date')} AS ret_5_rank FROM r_", "ret_1_rank ret_5_rank")
@@ -199,9 +214,16 @@ def _(spark, d):
     return features.cross_sectional(features.finite(f, ["ret_1", "ret_5"]), ["ret_1", "ret_5"]).select("date", "symbol", "ret_1_rank", "ret_5_rank")
 
 
-@query("feature_panel")
+_PARTS = {"a_": "features_returns", "l_": "features_levels", "v_": "features_volume", "s_": "features_rsi", "m_": "features_macd", "b_": "features_beta", "g_": "market_regime"}
+_OWN = "ret_1 ret_5 ret_20 log_ret vol_5 vol_20 momentum_5 momentum_20 ma_ratio_5 ma_ratio_20 bollinger_z drawdown rolling_sharpe mean_reversion_z volume_z volume_ratio log_dollar_volume rsi macd macd_signal macd_hist beta benchmark_corr bench_ret bench_vol vol_percentile bench_trend high_vol_regime"
+_RANKS = ["ret_1", "ret_5", "vol_20", "momentum_20", "volume_z"]
+
+
+@query("feature_panel", ", ".join(f"{k} AS ({_RAW[q]})" for k, q in _PARTS.items()) + """, j_ AS (SELECT a_.*, a_.ret_20 AS momentum_20, l_.* EXCLUDE (date, symbol), v_.* EXCLUDE (date, symbol), s_.rsi, m_.* EXCLUDE (date, symbol), b_.* EXCLUDE (date, symbol), g_.* EXCLUDE (date)
+  FROM a_ JOIN l_ USING (date, symbol) JOIN v_ USING (date, symbol) JOIN s_ USING (date, symbol) JOIN m_ USING (date, symbol) JOIN b_ USING (date, symbol) LEFT JOIN g_ USING (date))""",
+       f"SELECT date, symbol, {', '.join(_OWN.split())}, {', '.join(f'{pct(c, 'date')} AS {c}_rank' for c in _RANKS)} FROM j_", f"{_OWN} {' '.join(f'{c}_rank' for c in _RANKS)}")
 def _(spark, d):
-    return features.build_features(t.panel(spark, d), BENCHMARK)
+    return features.build_features(t.once(spark, d), BENCHMARK, CONFIG)
 
 
 @query("scaled_features", f"{TECH}, f_ AS (SELECT avg(r) AS m, stddev_samp(r) AS s, avg(r5) AS m5, stddev_samp(r5) AS s5 FROM r_ WHERE date < DATE '1997-01-01')",
@@ -305,14 +327,14 @@ MODEL_FEATURES = ["ret_1", "ret_5", "momentum_20", "vol_5", "volume_z"]
 
 
 def _modelled(spark, d):
-    f = features.technical(t.names(spark, d)).select("date", "symbol", *MODEL_FEATURES)
+    f = features.technical(t.names(spark, d), CONFIG).select("date", "symbol", *MODEL_FEATURES)
     return models.supervised(f, build_labels(t.names(spark, d), None, (5,), 5), "fwd_ret_5")
 
 
 @query("walk_forward_models")
 def _(spark, d):
     w = splits.walk_forward(t.names(spark, d).select("date"), min_train=150, test=100, step=100, embargo=5, max_horizon=5)
-    p, _ = models.run_walk_forward(_modelled(spark, d), w, {"ridge": {"alpha": 10.0}, "elastic_net": {"alpha": 0.001}, "random_forest": {"trees": 5, "depth": 3}}, MODEL_FEATURES)
+    p, _ = models.run_walk_forward(_modelled(spark, d), w, {"ridge": {"alpha": 10.0}, "elastic_net": {"alpha": 0.001}, "random_forest": {}, "ensemble": {"members": {"ridge": {}, "elastic_net": {}}}}, MODEL_FEATURES)
     return evaluate.regression_metrics(p, ["model", "window_id"])
 
 
@@ -340,13 +362,18 @@ def _(spark, d):
     return evaluate.select_candidate(evaluate.regression_metrics(t.predictions(spark, d), ["model"]))
 
 
-@query("selected_model", PRED, "SELECT model, count(*) AS n FROM pred WHERE model = 'momentum' GROUP BY model")
+@query("selected_model", f"{PRED}, all_ AS (SELECT * REPLACE (CASE model WHEN 'momentum' THEN 'ridge' ELSE 'gradient_boosting' END AS model) FROM pred UNION ALL SELECT date, symbol, 'baseline_mean', 0, target FROM pred WHERE model = 'momentum' AND date < DATE '1995-01-01')",
+       """SELECT model, count(*) AS n FROM all_ WHERE model = (SELECT model FROM (SELECT DISTINCT model FROM all_) ORDER BY CASE model WHEN 'ensemble' THEN 0 WHEN 'gradient_boosting' THEN 1 WHEN 'ridge' THEN 2 ELSE 3 END, model LIMIT 1) GROUP BY model""")
 def _(spark, d):
-    return signals.select_model(t.predictions(spark, d)).groupBy("model").agg(F.count("*").alias("n"))
+    p = t.predictions(spark, d)
+    named = p.withColumn("model", F.when(F.col("model") == "momentum", "ridge").otherwise("gradient_boosting"))
+    mean = p.filter("model = 'momentum' and date < '1995-01-01'").withColumns({"model": F.lit("baseline_mean"), "prediction": F.lit(0.0)})
+    return signals.select_model(named.unionByName(mean)).groupBy("model").agg(F.count("*").alias("n"))
 
 
-ICS = f"""{PRED}, i_ AS (SELECT *, {avg_rank('prediction', 'model, date')} AS rp, {avg_rank('target', 'model, date')} AS rt FROM pred),
-  ics AS (SELECT model, date, count(*) AS n, CASE WHEN stddev_pop(prediction) > 0 AND stddev_pop(target) > 0 THEN corr(prediction, target) END AS ic, CASE WHEN stddev_pop(rp) > 0 AND stddev_pop(rt) > 0 THEN corr(rp, rt) END AS rank_ic FROM i_ GROUP BY model, date)"""
+# ranks doubled and centred are whole numbers: a correlation of zero is exactly zero on both sides
+ICS = f"""{PRED}, i_ AS (SELECT *, 2 * {avg_rank('prediction', 'model, date')} - count(*) OVER (PARTITION BY model, date) - 1 AS rp, 2 * {avg_rank('target', 'model, date')} - count(*) OVER (PARTITION BY model, date) - 1 AS rt FROM pred),
+  ics AS (SELECT model, date, count(*) AS n, CASE WHEN stddev_pop(prediction) > 0 AND stddev_pop(target) > 0 THEN corr(prediction, target) END AS ic, CASE WHEN sum(rp * rp) > 0 AND sum(rt * rt) > 0 THEN sum(rp * rt) / (sqrt(sum(rp * rp)) * sqrt(sum(rt * rt))) END AS rank_ic FROM i_ GROUP BY model, date)"""
 
 
 @query("ic_by_date", ICS, "SELECT * FROM ics", "ic rank_ic")
@@ -420,20 +447,37 @@ def _(spark, d):
     return evaluate.overfitting_probability(r.join(whole, "date"), 6)
 
 
-@query("deflated_sharpe")
+def _cdf(x: str) -> str:
+    """The normal distribution as evaluate.normal_cdf computes it."""
+    horner = lambda c: functools.reduce(lambda acc, k: f"({acc} * abs({x}) + {k})", c[1:], str(c[0]))
+    far = functools.reduce(lambda acc, k: f"(abs({x}) + {k} / {acc})", (4, 3, 2, 1), f"(abs({x}) + 0.65)")
+    tail = f"exp(-abs({x}) * abs({x}) / 2) * CASE WHEN abs({x}) < 7.07106781186547 THEN {horner(evaluate._TOP)} / {horner(evaluate._LOW)} ELSE 1 / ({far} * 2.506628274631) END"
+    return f"CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+@query("deflated_sharpe", f"""{TECH}, m0_ AS (SELECT symbol, r, avg(r) OVER (PARTITION BY symbol) AS m FROM r_ WHERE r IS NOT NULL),
+  m1_ AS (SELECT symbol, count(*) AS n, first(m) AS m, stddev_samp(r) AS s, avg((r - m) ** 3) / pow(var_pop(r), 1.5) AS g3, avg((r - m) ** 4) / var_pop(r) ** 2 AS g4 FROM m0_ GROUP BY symbol),
+  m2_ AS (SELECT *, m / nullif(s, 0) AS sharpe, sqrt(1.0 / (n - 1)) * {evaluate.expected_max_sharpe(25, 1.0)} AS threshold FROM m1_),
+  m3_ AS (SELECT *, sqrt(n - 1) / sqrt(1 - g3 * sharpe + (g4 - 1) / 4 * sharpe ** 2) AS unit FROM m2_), m4_ AS (SELECT *, sharpe * unit AS z0, (sharpe - threshold) * unit AS z1 FROM m3_)""",
+       f"SELECT symbol, n, sharpe, sharpe * {YEAR} AS annual_sharpe, threshold, {_cdf('z0')} AS psr, {_cdf('z1')} AS deflated_sharpe_prob FROM m4_", "sharpe annual_sharpe threshold psr deflated_sharpe_prob")
 def _(spark, d):
     r = t.names(spark, d).select("symbol", features.k_return(1).alias("r")).filter("r is not null")
     return evaluate.deflated_sharpe(r, ["symbol"], 25)
 
 
-@query("bootstrap_intervals")
+@query("bootstrap_intervals", f"""{CURVE}, s0_ AS (SELECT "return" AS r, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM curve WHERE "return" IS NOT NULL), n_ AS (SELECT max(n) AS n FROM s0_),
+  k_ AS (SELECT k, b, n, CAST('0x' || substr(md5('7|' || k || '|' || b), 1, 8) AS BIGINT) % n AS start FROM n_, range(100) a(k), LATERAL (SELECT unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b)),
+  j_ AS (SELECT k, (start + j) % n AS i FROM k_, range(20) c(j) WHERE b * 20 + j < n),
+  e_ AS (SELECT k, pow(greatest(product(1 + r), 0), 252.0 / count(*)) - 1 AS a, avg(r) / stddev_samp(r) * {YEAR} AS s FROM j_ JOIN s0_ USING (i) GROUP BY k)""",
+       "SELECT " + ", ".join(f"quantile_cont({c}, {q}) AS {name}_{p}" for c, name in (("a", "annual_return"), ("s", "sharpe")) for q, p in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))) + " FROM e_", "annual_return_p05 annual_return_p50 annual_return_p95 sharpe_p05 sharpe_p50 sharpe_p95")
 def _(spark, d):
     return evaluate.bootstrap(t.curve(spark, d).select("date", F.col("return").alias("r")), 100, 20)
 
 
-@query("placebo", PRED, "SELECT model, date, count(*) AS n, sum(prediction) AS total FROM pred GROUP BY model, date", "total")
+@query("placebo", f"""{PRED}, x_ AS (SELECT *, row_number() OVER (PARTITION BY model, date ORDER BY symbol) AS own, row_number() OVER (PARTITION BY model, date ORDER BY md5('7|' || date || '|' || symbol), symbol) AS dealt FROM pred)""",
+       "SELECT a.date, a.symbol, a.model, b.prediction, a.target FROM x_ a JOIN x_ b ON b.model = a.model AND b.date = a.date AND b.dealt = a.own", "prediction target")
 def _(spark, d):
-    return evaluate.placebo(t.predictions(spark, d)).groupBy("model", "date").agg(F.count("*").alias("n"), F.sum("prediction").alias("total"))
+    return evaluate.placebo(t.predictions(spark, d)).select("date", "symbol", "model", "prediction", "target")
 
 
 @query("trial_ledger")
@@ -463,7 +507,7 @@ _signal("threshold", "CASE WHEN prediction > 0.1 THEN 1 WHEN prediction < -0.1 T
 
 @query("regime_filter", f"{REGIME}, {WEIGHTS.replace(BARS_SQL + ',', '')}", "SELECT s.date, symbol, signal * CASE WHEN coalesce(high_vol_regime, 0) <= 0.7 THEN 1 - coalesce(high_vol_regime, 0) ELSE 0 END AS signal FROM sig s LEFT JOIN regime r ON r.date = s.date", "signal")
 def _(spark, d):
-    return signals.regime_filter(signals.build_signals(t.one_model(spark, d)), features.market_regime(t.bench(spark, d))).select("date", "symbol", "signal")
+    return signals.regime_filter(signals.build_signals(t.one_model(spark, d)), features.market_regime(t.bench(spark, d), 20, 10, 30)).select("date", "symbol", "signal")
 
 
 @query("portfolio_weights", WEIGHTS, "SELECT * FROM weights", "target_weight")
@@ -477,7 +521,7 @@ def _(spark, d):
   s3_ AS (SELECT *, greatest(least(CASE WHEN p > 0 AND m > 0 THEN CASE WHEN x > 0 THEN x / p WHEN x < 0 THEN x / m ELSE 0 END * 0.5 ELSE coalesce(x / nullif(p + m, 0), 0) END, 0.1), -0.1) AS w FROM s2_)""",
        "SELECT date, symbol, CASE WHEN g > 1 THEN w / g ELSE w END AS target_weight FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY date) AS g FROM s3_)", "target_weight")
 def _(spark, d):
-    f = features.technical(t.names(spark, d)).select("date", "symbol", "vol_20")
+    f = features.technical(t.names(spark, d), CONFIG).select("date", "symbol", "vol_20")
     return signals.construct_portfolio(signals.build_signals(t.one_model(spark, d)), f, {"max_weight": 0.1, "max_gross_exposure": 1.0})
 
 
@@ -511,7 +555,7 @@ def _(spark, d):
 
 @query("holdings", CURVE, "SELECT v.date, symbol, shares, mark_price, v.market_value, v.market_value / nullif(equity, 0) AS weight FROM values_ v JOIN equity e ON e.date = v.date", "shares mark_price market_value weight", digits=3)
 def _(spark, d):
-    return t.books(spark, d)[0]
+    return t.Books(spark, d).holdings
 
 
 @query("equity_curve", CURVE, 'SELECT * REPLACE (CAST(active AS INTEGER) AS active) FROM curve', '"return" equity turnover transaction_cost gross_exposure net_exposure benchmark_return', digits=3)
@@ -525,19 +569,24 @@ ATTRIBUTION = f"""{CURVE}, a0_ AS (SELECT *, coalesce(lag(shares) {S}, 0) AS hel
 
 @query("pnl_attribution", ATTRIBUTION, "SELECT *, overnight_pnl + intraday_pnl - trading_cost AS net_pnl FROM attr_", "overnight_pnl intraday_pnl trading_cost net_pnl", digits=3)
 def _(spark, d):
-    return ledger.attribution(t.books(spark, d)[0], t.fills(spark, d), t.names(spark, d))
+    return t.Books(spark, d).attribution()
 
 
 @query("pnl_by_symbol", ATTRIBUTION, "SELECT symbol, sum(overnight_pnl + intraday_pnl - trading_cost) AS net_pnl, sum(trading_cost) AS trading_cost FROM attr_ GROUP BY symbol", "net_pnl trading_cost", digits=3)
 def _(spark, d):
-    a = ledger.attribution(t.books(spark, d)[0], t.fills(spark, d), t.names(spark, d))
-    return a.groupBy("symbol").agg(F.sum("net_pnl").alias("net_pnl"), F.sum("trading_cost").alias("trading_cost"))
+    return t.Books(spark, d).attribution().groupBy("symbol").agg(F.sum("net_pnl").alias("net_pnl"), F.sum("trading_cost").alias("trading_cost"))
+
 
+RECONCILED = f"""{ATTRIBUTION}, tampered_ AS (SELECT date, CASE WHEN extract('day' FROM date) = 7 THEN 1.5 ELSE 0.0 END AS wrong FROM curve),
+  pnl_ AS (SELECT date, sum(overnight_pnl + intraday_pnl - trading_cost) AS pnl FROM attr_ GROUP BY date), gaps_ AS (SELECT b.date, equity, abs(equity - prev - coalesce(pnl, 0) - wrong) AS gap FROM before_ b JOIN tampered_ t ON t.date = b.date LEFT JOIN pnl_ p ON p.date = b.date)"""
 
-@query("reconciliation", CURVE, "SELECT date FROM curve WHERE false")
+
+@query("reconciliation", RECONCILED, "SELECT date, gap FROM gaps_ WHERE gap > 1e-6 * greatest(1.0, abs(equity))", "gap", digits=3)
 def _(spark, d):
-    h, e = t.books(spark, d)
-    return ledger.reconcile(ledger.attribution(h, t.fills(spark, d), t.names(spark, d)), e, CASH).select("date")
+    """Attributed P&L against the change of equity, with 1.5 too much on every seventh of a month: those sessions, and no others, are found."""
+    at = t.Books(spark, d)
+    wrong = at.panel.filter(F.dayofmonth("date") == 7).select("date").distinct().select("date", F.lit("?").alias("symbol"), *[F.lit(0.0).alias(c) for c in ("overnight_pnl", "intraday_pnl", "trading_cost")], F.lit(1.5).alias("net_pnl"))
+    return ledger.reconcile(at.attribution().unionByName(wrong), at.equity, CASH).select("date", "gap")
 
 
 @query("risk_scale", CURVE, """SELECT date, CASE WHEN count("return") OVER w >= 2 AND stddev_samp("return") OVER w > 0 THEN least(0.2 / (stddev_samp("return") OVER w * sqrt(252)), 1.5) ELSE 1 END * CASE WHEN equity / max(equity) OVER (ORDER BY date) - 1 < -0.1 THEN 0.5 ELSE 1 END AS risk_scale
@@ -625,22 +674,28 @@ def _(spark, d):
 @query("regime_performance", f"{ACTIVE}, {REGIME.replace(BARS_SQL + ',', '')}, j_ AS (SELECT l.date, r, CASE WHEN high_vol_regime > 0.5 THEN 'stress' ELSE 'calm' END AS regime FROM live_ l JOIN regime USING (date)), e_ AS (SELECT *, product(1 + r) OVER (PARTITION BY regime ORDER BY date) AS e FROM j_), k_ AS (SELECT *, e / max(e) OVER (PARTITION BY regime ORDER BY date) - 1 AS dd FROM e_)".replace("q_ AS", "qr_ AS").replace("FROM q_", "FROM qr_"),
        "SELECT regime, count(*) AS n_days, pow(product(1 + r), 252.0 / count(*)) - 1 AS annual_return, stddev_samp(r) * sqrt(252) AS annual_volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM k_ GROUP BY regime", "annual_return annual_volatility sharpe max_drawdown hit_rate")
 def _(spark, d):
-    regimes = features.market_regime(t.bench(spark, d)).select("date", F.when(F.col("high_vol_regime") > 0.5, "stress").otherwise("calm").alias("regime"))
+    regimes = features.market_regime(t.bench(spark, d), 20, 10, 30).select("date", F.when(F.col("high_vol_regime") > 0.5, "stress").otherwise("calm").alias("regime"))
     return risk.by_regime(t.curve(spark, d), regimes)
 
 
 @query("exposure_summary", CURVE, "SELECT sum(abs(w)) AS gross_exposure, sum(w) AS net_exposure, count(*) FILTER (w <> 0) AS n_positions, max(abs(w)) AS max_abs_weight, sum(w * w) / nullif(sum(abs(w)) ** 2, 0) AS hhi_concentration FROM (SELECT v.market_value / nullif(equity, 0) AS w FROM values_ v JOIN equity e USING (date) WHERE date = (SELECT max(date) FROM equity))", "gross_exposure net_exposure max_abs_weight hhi_concentration")
 def _(spark, d):
-    return risk.exposure(t.books(spark, d)[0].select("date", "symbol", "weight"))
+    return risk.exposure(t.Books(spark, d).holdings.select("date", "symbol", "weight"))
+
+
+@query("latest_betas", f"beta_ AS ({_RAW['features_beta']})", "SELECT symbol, arg_max(beta, date) AS beta FROM beta_ WHERE beta IS NOT NULL GROUP BY symbol", "beta")
+def _(spark, d):
+    p = t.once(spark, d)
+    return risk.latest_betas(features.benchmark_features(t.names(spark, d, p), t.bench(spark, d, p), 20))
 
 
-@query("stress_scenarios", f"""{CURVE}, l_ AS (SELECT symbol, arg_max(v.market_value / nullif(equity, 0), date) AS w FROM values_ v JOIN equity e USING (date) GROUP BY symbol), z_ AS (SELECT symbol, 0.5 + length(symbol) / 10.0 AS beta FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol < 'NATION_15'),
+@query("stress_scenarios", f"""{CURVE}, l_ AS (SELECT symbol, arg_max(v.market_value / nullif(equity, 0), date) AS w FROM values_ v JOIN equity e USING (date) GROUP BY symbol), z_ AS ({_RAW['latest_betas']}),
   o_ AS (SELECT sum(w * coalesce(beta, 1)) AS portfolio_beta, sum(abs(w)) AS gross_exposure, sum(w) AS net_exposure FROM l_ LEFT JOIN z_ USING (symbol))""",
        "SELECT scenario, market_shock, portfolio_beta, portfolio_beta * market_shock AS estimated_portfolio_return, gross_exposure, net_exposure FROM o_, (VALUES ('market -10%', -0.1), ('market +5%', 0.05)) s(scenario, market_shock)", "market_shock portfolio_beta estimated_portfolio_return gross_exposure net_exposure")
 def _(spark, d):
     s = spark.createDataFrame([("market -10%", -0.1), ("market +5%", 0.05)], "scenario string, market_shock double")
-    betas = t.names(spark, d).select("symbol").distinct().filter("symbol < 'NATION_15'").withColumn("beta", 0.5 + F.length("symbol") / 10.0)
-    return risk.stress(t.books(spark, d)[0].select("date", "symbol", "weight"), s, betas)
+    at = t.Books(spark, d)
+    return risk.stress(at.holdings.select("date", "symbol", "weight"), s, risk.latest_betas(features.benchmark_features(at.panel, at.bench, 20)))
 
 
 @query("drawdown_runs", f"""{CURVE}, u_ AS (SELECT date, equity / max(equity) OVER (ORDER BY date) - 1 < 0 AS u FROM curve), g_ AS (SELECT u, row_number() OVER (ORDER BY date) - sum(CASE WHEN u THEN 1 ELSE 0 END) OVER (ORDER BY date) AS g FROM u_)""",
@@ -718,9 +773,16 @@ def _(spark, d):
     return gate.batch_gate(decisions(spark, d), limits).select("portfolio", "seq", "decision_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("regime_probability")
+_DENS = "exp(-0.5 * pow((r - {mu}) / {sd}, 2)) / {sd}"
+
+
+@query("regime_probability", f"""{TECH}, fit_ AS (SELECT symbol AS series, avg(r) AS mu, stddev_samp(r) * 0.5 AS sd0, stddev_samp(r) * 1.5 AS sd1 FROM r_ WHERE date < DATE '1997-01-01' AND r IS NOT NULL GROUP BY symbol HAVING stddev_samp(r) > 0),
+  y_ AS (SELECT series, date, {_DENS.format(mu='mu', sd='sd0')} AS d0, {_DENS.format(mu='mu', sd='sd1')} AS d1, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM r_ JOIN fit_ ON series = symbol WHERE r IS NOT NULL),
+  f_(series, date, i, p) AS (SELECT series, date, i, CASE WHEN 0.7 * d0 + 0.3 * d1 > 0 THEN 0.3 * d1 / (0.7 * d0 + 0.3 * d1) ELSE 0.3 END FROM y_ WHERE i = 1
+    UNION ALL SELECT series, date, i, CASE WHEN a + b > 0 THEN b / (a + b) ELSE p END FROM (SELECT y_.series, y_.date, y_.i, f_.p, ((1 - p) * 0.95 + p * (1 - 0.9)) * d0 AS a, ((1 - p) * (1 - 0.95) + p * 0.9) * d1 AS b FROM f_ JOIN y_ ON y_.series = f_.series AND y_.i = f_.i + 1))""",
+       "SELECT series, date, p AS stress FROM f_", "stress")
 def _(spark, d):
-    r = t.names(spark, d).select(F.col("symbol").alias("series"), "date", features.k_return(1).alias("r"))
+    r = t.names(spark, d, t.once(spark, d)).select(F.col("symbol").alias("series"), "date", features.k_return(1).alias("r"))
     fit = r.filter("date < '1997-01-01' and r is not null").groupBy("series").agg(F.avg("r").alias("mu0"), F.stddev_samp("r").alias("sd")).filter("sd > 0")
     p = fit.select("series", "mu0", F.col("mu0").alias("mu1"), (F.col("sd") * 0.5).alias("sd0"), (F.col("sd") * 1.5).alias("sd1"), F.lit(0.95).alias("p00"), F.lit(0.9).alias("p11"), F.lit(0.3).alias("pi1"))
     return features.filtered_probabilities(r, p)

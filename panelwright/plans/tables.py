@@ -11,6 +11,8 @@ from panelwright.operators.features import k_return
 from panelwright.operators.labels import build_labels
 from panelwright.sources.adapter import BARS_SQL, BENCHMARK, bars
 
+from .session import cut
+
 CASH = 1_000_000.0
 COSTS = ledger.Costs(1.0, 1.0, 2.0)
 POLICY = ledger.Policy(adv_lookback=4, volatility_lookback=4, max_participation_rate=0.10, impact_coefficient=0.05)
@@ -21,51 +23,69 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d)
 
 
-def names(spark: SparkSession, d: str) -> DataFrame:
-    return bars(spark, d).filter(F.col("symbol") != BENCHMARK)
+def once(spark: SparkSession, d: str) -> DataFrame:
+    """The panel, written out, for queries whose plan reads it in many places."""
+    return cut(bars(spark, d), "panel")
+
+
+# p, where a query has it: its panel
+
 
+def names(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return (panel(spark, d) if p is None else p).filter(F.col("symbol") != BENCHMARK)
 
-def bench(spark: SparkSession, d: str) -> DataFrame:
-    return bars(spark, d).filter(F.col("symbol") == BENCHMARK)
 
+def bench(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return (panel(spark, d) if p is None else p).filter(F.col("symbol") == BENCHMARK)
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+
+def predictions(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """Two rules against the return of the next five bars; rows without target or signal are left out."""
-    rows = names(spark, d).select("date", "symbol", "close", k_return(5).alias("m"), k_return(1).alias("r"), (F.lead("close", 5).over(by_symbol()) / F.col("close") - 1).alias("target"))
+    rows = names(spark, d, p).select("date", "symbol", "close", k_return(5).alias("m"), k_return(1).alias("r"), (F.lead("close", 5).over(by_symbol()) / F.col("close") - 1).alias("target"))
     rows = rows.filter("m is not null and r is not null and target is not null")
     return rows.select("date", "symbol", "target", F.explode(F.array(F.struct(F.lit("momentum").alias("model"), F.col("m").alias("prediction")), F.struct(F.lit("reversal").alias("model"), (-F.col("r")).alias("prediction")))).alias("p")).select("date", "symbol", "p.model", "p.prediction", "target")
 
 
-def one_model(spark: SparkSession, d: str) -> DataFrame:
-    return predictions(spark, d).filter("model = 'momentum'")
+def one_model(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return predictions(spark, d, p).filter("model = 'momentum'")
 
 
-def weights(spark: SparkSession, d: str) -> DataFrame:
-    return signals.uncapped_weights(signals.build_signals(one_model(spark, d)))
+def weights(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return signals.uncapped_weights(signals.build_signals(one_model(spark, d, p)))
 
 
-def orders(spark: SparkSession, d: str) -> DataFrame:
-    p = names(spark, d)
-    t = ledger.with_fill_date(ledger.decision_targets(weights(spark, d), EVERY), p)
+def orders(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    own = names(spark, d, p)
+    t = ledger.with_fill_date(ledger.decision_targets(cut(weights(spark, d, p), "weights"), EVERY), own)
     t = t.select(F.col("fill_date").alias("date"), "symbol", (F.col("target_weight") - F.coalesce(F.lag("target_weight").over(by_symbol()), F.lit(0.0))).alias("dw"), F.col("date").alias("decision_date"), "target_weight")
-    x = ledger.lagged_inputs(p, POLICY).select("date", "symbol", F.col("open").alias("price"), "adv", "vol")
-    rows = t.filter("dw <> 0").join(x, ["date", "symbol"], "left")
+    x = ledger.lagged_inputs(own, POLICY).select("date", "symbol", F.col("open").alias("price"), "adv", "vol")
+    rows = t.filter("dw <> 0").join(x.hint("merge"), ["date", "symbol"], "left")
     return rows.select("date", "symbol", "decision_date", "target_weight", F.coalesce(F.col("dw") * CASH / F.col("price"), F.lit(0.0)).alias("requested_shares"), "price", "adv", "vol", F.lit(CASH).alias("pretrade_equity"))
 
 
-def fills(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.fill(orders(spark, d), COSTS, POLICY)
+def fills(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    return ledger.fill(orders(spark, d, once(spark, d) if p is None else p), COSTS, POLICY)
+
+
+class Books:
+    """Panel, fills, holdings and equity, each written once for all that a query reads from them."""
 
+    def __init__(self, spark: SparkSession, d: str):
+        whole = once(spark, d)
+        self.panel, self.bench = names(spark, d, whole), bench(spark, d, whole)
+        self.fills = cut(fills(spark, d, whole), "fills")
+        holdings, equity = ledger.positions(self.fills, self.panel, CASH)
+        self.holdings, self.equity = holdings, cut(equity, "equity")
 
-def books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return ledger.positions(fills(spark, d), names(spark, d), CASH)
+    def attribution(self) -> DataFrame:
+        return ledger.attribution(self.holdings, self.fills, self.panel)
 
 
-def curve(spark: SparkSession, d: str) -> DataFrame:
-    f = fills(spark, d)
-    _, equity = ledger.positions(f, names(spark, d), CASH)
-    b = bench(spark, d).select("date", k_return(1).alias("benchmark_return"))
-    return ledger.curve(equity, f, CASH).join(b, "date", "left").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0)))
+def curve(spark: SparkSession, d: str, books: Books | None = None) -> DataFrame:
+    """A row per session."""
+    at = books or Books(spark, d)
+    b = at.bench.select("date", k_return(1).alias("benchmark_return"))
+    return cut(ledger.curve(at.equity, at.fills, CASH).join(b.hint("merge"), "date", "left").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0))), "curve")
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
@@ -127,11 +147,11 @@ fills AS (SELECT date, symbol, decision_date, target_weight, requested_shares, p
 
 CURVE = f"""{FILLS},
 flows_ AS (SELECT date, symbol, sum(filled_shares) AS q, sum(-filled_shares * fill_price - commission) AS flow FROM fills GROUP BY date, symbol),
-grid_ AS (SELECT d.date, s.symbol, f.q, coalesce(f.flow, 0) AS flow, b.close, b.open FROM (SELECT DISTINCT date FROM bars) d CROSS JOIN (SELECT DISTINCT symbol FROM fills) s
+grid_ AS (SELECT d.date, s.symbol, f.q, coalesce(f.flow, 0) AS flow, b.close, b.open FROM (SELECT DISTINCT date FROM bars) d JOIN (SELECT symbol, min(date) AS since FROM fills GROUP BY symbol) s ON d.date >= since
   LEFT JOIN flows_ f ON f.date = d.date AND f.symbol = s.symbol LEFT JOIN bars b ON b.date = d.date AND b.symbol = s.symbol),
 held_ AS (SELECT date, symbol, flow, open, sum(coalesce(q, 0)) OVER w AS shares, last_value(close IGNORE NULLS) OVER w AS mark_price FROM grid_ WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 values_ AS (SELECT *, shares * coalesce(mark_price, 0) AS market_value FROM held_),
-daily_ AS (SELECT date, sum(flow) AS flow, sum(market_value) AS market_value, sum(abs(market_value)) AS gross FROM values_ GROUP BY date),
+daily_ AS (SELECT d.date, coalesce(sum(flow), 0) AS flow, coalesce(sum(market_value), 0) AS market_value, coalesce(sum(abs(market_value)), 0) AS gross FROM (SELECT DISTINCT date FROM bars) d LEFT JOIN values_ v ON v.date = d.date GROUP BY d.date),
 equity AS (SELECT date, {CASH} + sum(flow) OVER (ORDER BY date) AS cash, market_value, gross, {CASH} + sum(flow) OVER (ORDER BY date) + market_value AS equity FROM daily_),
 paid_ AS (SELECT date, sum(abs(filled_shares * fill_price)) AS traded, sum(commission + spread_cost + slippage_cost + impact_cost) AS cost FROM fills GROUP BY date),
 before_ AS (SELECT e.*, coalesce(lag(equity) OVER (ORDER BY e.date), {CASH}) AS prev, traded, cost FROM equity e LEFT JOIN paid_ p ON p.date = e.date),

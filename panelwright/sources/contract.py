@@ -96,10 +96,10 @@ def decision_panel(rows: DataFrame) -> DataFrame:
     day; a row meets its own day and takes the first close that is not before it."""
     closes = rows.groupBy("date").agg(F.max("effective_at").alias("close_at"))
     days = closes.groupBy(F.to_date("close_at").alias("day")).agg(F.array_sort(F.collect_list(F.struct("close_at", "date"))).alias("closes"))
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).join(rows.agg(F.min(F.to_date("available_at")).alias("c"))).select(
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).withColumn("c", rows.agg(F.min(F.to_date("available_at"))).scalar()).select(
         F.explode(F.sequence(F.least("a", "c"), "b")).alias("day"))
     later = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    calendar = span.join(days, "day", "left").withColumn("next", F.last(F.element_at("closes", 1), ignorenulls=True).over(later))
+    calendar = span.join(days.hint("merge"), "day", "left").withColumn("next", F.last(F.element_at("closes", 1), ignorenulls=True).over(later))
     met = rows.withColumn("day", F.to_date("available_at")).join(calendar.hint("merge"), "day")
     first = F.coalesce(F.expr("try_element_at(filter(closes, c -> c.close_at >= available_at), 1)"), F.col("next"))
     return met.withColumn("decision", first).filter("decision is not null").withColumn("decision_date", F.col("decision.date")).drop("day", "closes", "next", "decision")

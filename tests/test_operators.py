@@ -35,9 +35,39 @@ def test_features_do_not_look_ahead(spark, walk):
     pd.testing.assert_frame_equal(a, b)
 
 
-def test_ewm_equals_pandas(walk):
-    got = features.ewm_mean(walk.filter("symbol = 'AAA'"), "close", 0.3, "e", block=16).orderBy("date").toPandas()
-    assert np.allclose(got["e"], got["close"].ewm(alpha=0.3).mean(), rtol=1e-12)
+def test_ewm_equals_pandas(spark):
+    rng = np.random.default_rng(8)
+    rows = [(days(3000)[i], s, None if s == "b" and (i < 3 or i % 7 == 2) else float(x)) for s in "ab" for i, x in enumerate(100 + np.cumsum(rng.normal(size=3000)))]
+    spans = {"short": 2 / 27, "mid": 2 / 201, "long": 2 / 1001, "longest": 2 / 3001, "quick": 0.99, "last": 1.0}
+    df = spark.createDataFrame(rows, "date date, symbol string, v double")
+    got = windows.ewm_means(df, {k: ("v", a) for k, a in spans.items()}).toPandas()
+    for s in "ab":
+        one = got[got.symbol == s].sort_values("date")
+        for k, a in spans.items():
+            want = one["v"].ffill() if a == 1 else one["v"].ewm(alpha=a).mean()
+            assert np.allclose(one[k], want, rtol=1e-9, equal_nan=True), (s, k)
+    with pytest.raises(ValueError):
+        windows.ewm_means(df, {"x": ("v", 0.0)})
+
+
+def test_expanding_rank_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(days(300)[i], s, None if rng.random() < 0.1 else float(rng.integers(0, 25))) for s, n in (("a", 300), ("b", 37), ("c", 1)) for i in range(n)]
+    got = windows.expanding_rank(spark.createDataFrame(rows, "date date, symbol string, v double"), "v", "p", "n").toPandas()
+    for s in "abc":
+        seen = []
+        for r in got[got.symbol == s].sort_values("date").itertuples():
+            if np.isnan(r.v):
+                assert np.isnan(r.p)
+                continue
+            seen.append(r.v)
+            x = np.array(seen)
+            assert r.n == len(x) and abs(r.p - ((x < r.v).sum() + ((x == r.v).sum() + 1) / 2) / len(x)) < 1e-12
+
+
+def test_rank_correlation_of_zero_is_zero(spark):
+    p = spark.createDataFrame([("m", days(1)[0], a, b) for a, b in ((1.1, 0.3), (1.1, 0.1), (2.7, 0.1), (2.7, 0.3), (5.3, 0.2))], "model string, date date, prediction double, target double")
+    assert evaluate.ic_by_date(p).first().rank_ic == 0.0
 
 
 def test_labels_are_forward_returns(walk):
