@@ -1,13 +1,16 @@
 """Hand-worked cases and properties of the operators."""
 
 import datetime as dt
+import hashlib
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import capacity, evaluate, features, ledger, models, signals, splits
+from panelwright.functions import windows
+from panelwright.operators import capacity, evaluate, features, ledger, models, risk, signals, splits
 from panelwright.operators.labels import build_labels
 from panelwright.sources import contract, panels
 
@@ -144,7 +147,13 @@ def test_positions_reconcile(spark):
     panel = spark.createDataFrame([(d, s, 10.0 + i, 10.5 + i) for i, d in enumerate(days(4)) for s in ("A", "B")], "date date, symbol string, open double, close double")
     fills = spark.createDataFrame([(days(4)[0], "A", 5.0, 10.0, 10.01, 0.1), (days(4)[2], "A", -2.0, 12.0, 11.99, 0.1), (days(4)[1], "B", -3.0, 11.0, 10.98, 0.1)], "date date, symbol string, filled_shares double, price double, fill_price double, commission double")
     held, equity = ledger.positions(fills, panel, 1000.0)
-    assert ledger.reconcile(ledger.attribution(held, fills, panel), equity, 1000.0).count() == 0
+    attributed = ledger.attribution(held, fills, panel)
+    assert ledger.reconcile(attributed, equity, 1000.0).count() == 0
+    assert [r.date for r in ledger.reconcile(attributed.withColumn("net_pnl", F.col("net_pnl") + F.when(F.col("date") == days(4)[2], 0.01).otherwise(0.0)), equity, 1000.0).collect()] == [days(4)[2]]
+    # every session has an equity, a symbol is held from its first fill on
+    assert equity.count() == 4 and {(r.symbol, r.n) for r in held.groupBy("symbol").agg(F.count("*").alias("n")).collect()} == {("A", 4), ("B", 3)}
+    late = ledger.positions(fills.filter("symbol = 'B'"), panel, 1000.0)[1].orderBy("date").first()
+    assert (late.date, late.equity, late.market_value) == (days(4)[0], 1000.0, 0.0)
 
 
 def test_capacity_curve(spark):
@@ -164,6 +173,82 @@ def test_ridge_equals_normal_equations(spark):
     assert np.allclose(m.model.coefficients.toArray(), w, atol=1e-6)
 
 
+def fitted_rows(spark, n=300):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 3)) * [1, 5, 0.2] + 2
+    y = x @ [0.5, -0.1, 2] + rng.normal(size=n)
+    return x, y, spark.createDataFrame([(days(n)[i // 3], f"s{i % 3}", *map(float, x[i]), float(y[i])) for i in range(n)], "date date, symbol string, a double, b double, c double, target double")
+
+
+def test_lasso_and_elastic_net_satisfy_their_conditions(spark):
+    """At the optimum of mean squared error / 2 + l1 |w| + l2 |w|^2 / 2 the gradient balances the penalty."""
+    x, y, data = fitted_rows(spark)
+    z = (x - x.mean(0)) / x.std(0)
+    for fit, l1, l2 in ((models.lasso(data, ["a", "b", "c"], alpha=0.45), 0.45, 0.0), (models.elastic_net(data, ["a", "b", "c"], alpha=0.4, l1_ratio=0.5), 0.2, 0.2)):
+        w = fit.model.coefficients.toArray()
+        pull = z.T @ (y - y.mean() - z @ w) / len(y) - l2 * w
+        assert (np.abs(pull) <= l1 + 1e-5).all() and np.allclose(pull[w != 0], l1 * np.sign(w[w != 0]), atol=1e-4)
+    assert (models.lasso(data, ["a", "b", "c"], alpha=0.45).model.coefficients.toArray() == 0).any()
+
+
+def test_ensemble_weighs_on_its_last_rows(spark):
+    x, y, data = fitted_rows(spark)
+    columns = ["a", "b", "c"]
+    early, late = models.last_share(data, 0.2)
+    assert (early.count(), late.count()) == (240, 60) and early.agg(F.max("date")).first()[0] <= late.agg(F.min("date")).first()[0]
+    members = {"ridge": {"alpha": 1.0}, "gradient_boosting": {"rounds": 3, "depth": 2}}
+    e = models.ensemble(data, columns, members)
+    ics = []
+    for k, params in members.items():
+        p = models.REGISTRY[k](early, columns, **params).predict(late).select("prediction", "target").toPandas()
+        ics.append(max(p["prediction"].rank().corr(p["target"].rank()), 0) + 0.05)
+    assert np.allclose(e.weights, np.array(ics) / sum(ics), atol=1e-9) and e.weights[0] != e.weights[1]
+    out = e.predict(data).orderBy("date", "symbol").toPandas()
+    parts = [m.predict(data).orderBy("date", "symbol").toPandas()["prediction"] for _, m in e.members]
+    assert np.allclose(out["prediction"], e.weights[0] * parts[0] + e.weights[1] * parts[1]) and abs(sum(v for _, v in e.importance()) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        models.ensemble(data, columns, {})
+
+
+def test_sharpe_probabilities(spark):
+    rng = np.random.default_rng(6)
+    r = rng.standard_t(5, 250) * 0.01 + 0.0008
+    got = evaluate.deflated_sharpe(spark.createDataFrame([("s", float(x)) for x in r], "s string, r double"), ["s"], 25).first()
+    z, sharpe = (r - r.mean()) / r.std(), r.mean() / r.std(ddof=1)
+    unit = np.sqrt(len(r) - 1) / np.sqrt(1 - (z**3).mean() * sharpe + ((z**4).mean() - 1) / 4 * sharpe**2)
+    top = np.sqrt(1 / (len(r) - 1)) * evaluate.expected_max_sharpe(25, 1.0)
+    assert abs(got.sharpe - sharpe) < 1e-12 and abs(got.psr - NormalDist().cdf(sharpe * unit)) < 1e-9 and abs(got.deflated_sharpe_prob - NormalDist().cdf((sharpe - top) * unit)) < 1e-9
+    xs = [float(x) for x in np.linspace(-12, 12, 97)] + [float("nan"), None]
+    found = [row[0] for row in spark.createDataFrame([(x,) for x in xs], "x double").select(evaluate.normal_cdf(F.col("x"))).collect()]
+    assert np.allclose(found[:97], [NormalDist().cdf(x) for x in xs[:97]], rtol=1e-9, atol=1e-15) and found[97:] == [None, None]
+
+
+def test_named_gates(spark):
+    row = spark.createDataFrame([(300, 0.99, 0.1, -0.1, 0.05, 0.2, True, True, True, False)], "n_days int, deflated_sharpe_prob double, pbo double, max_drawdown double, annual_excess_return double, average_turnover double, point_in_time_complete boolean, accounting_reconciled boolean, stress_passed boolean, signed_off boolean")
+    assert risk.readiness(row).first().decision == "READY_FOR_PAPER"
+    assert risk.readiness(row, more={"review": "signed_off"}).first().failed_gates == ["review"]
+    for more in ({"drawdown": "signed_off"}, {" ": "signed_off"}, {"review": "n_days"}):
+        with pytest.raises(ValueError):
+            risk.readiness(row, more=more)
+
+
+def test_placebo_moves_rows(spark):
+    rows = [("m", d, f"s{i}", float(i)) for d in days(6) for i in range(9)]
+    got = evaluate.placebo(spark.createDataFrame(rows, "model string, date date, symbol string, prediction double")).toPandas()
+    assert len(got) == 54 and (got["prediction"] != got["symbol"].str[1:].astype(float)).mean() > 0.6
+    assert (got.groupby("date")["prediction"].apply(sorted).apply(lambda x: x == [float(i) for i in range(9)])).all() and got.groupby("symbol")["prediction"].nunique().max() > 1
+
+
+def test_causal_stress_uses_parameters_of_its_block(spark):
+    rng = np.random.default_rng(10)
+    r = spark.createDataFrame([("x", d, float(v)) for d, v in zip(days(40), rng.normal(0, 0.02, 40))], "series string, date date, r double")
+    names = "series string, mu0 double, mu1 double, sd0 double, sd1 double, p00 double, p11 double, pi1 double"
+    one, two = ("x", 0.0, 0.0, 0.01, 0.03, 0.95, 0.9, 0.3), ("x", 0.0, 0.0, 0.005, 0.05, 0.8, 0.7, 0.5)
+    got = features.causal_stress(r, spark.createDataFrame([(*one, days(40)[0]), (*two, days(40)[25])], names + ", block_start date")).orderBy("date").toPandas()
+    a, b = (features.filtered_probabilities(r, spark.createDataFrame([p], names)).orderBy("date").toPandas()["stress"] for p in (one, two))
+    assert len(got) == 40 and np.allclose(got["stress"], np.concatenate((a[:25], b[25:])))
+
+
 def test_newey_west_and_overfitting(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0.05, 1, 200)
@@ -189,3 +274,10 @@ def test_validation_and_sources(spark, walk, tmp_path):
     folder = panels.write_run({"panel": walk}, str(tmp_path), "run1")
     manifest = spark.createDataFrame([("none.parquet", 1, "x")], "path string, rows long, sha256 string")
     assert {r.rule for r in panels.bundle_integrity(spark, folder, manifest).collect()} == {"missing", "surplus"}
+    with pytest.raises(Exception, match="exists"):
+        panels.write_run({"panel": walk}, str(tmp_path), "run1")
+    part = next((tmp_path / "run1" / "panel").glob("*.parquet"))
+    whole, n = hashlib.sha256(part.read_bytes()).hexdigest(), spark.read.parquet(str(part)).count()
+    for rows, sha, want in ((n, whole, set()), (n + 1, whole, {"rows"}), (n, "0" * 64, {"sha256"})):
+        found = panels.bundle_integrity(spark, str(part.parent), spark.createDataFrame([(part.name, rows, sha)], "path string, rows long, sha256 string"))
+        assert {r.rule for r in found.filter(F.col("path") == part.name).collect()} == want
