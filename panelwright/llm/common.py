@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.plans.session import ship
+from panelwright.plans.session import cut as cut, shared_path as shared_path, ship
 
 #: Text that JVM and Python hand each other at once. Spark's own bound is a number of rows, which long texts make large.
 BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
@@ -21,8 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text that is handled at once inside a task.
 SLICE_BYTES, SLICE_DOCS = 1 << 20, 4096
 
-_own_dir: dict[str, str] = {}
-
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with this package on its workers, and batches for Python bounded by bytes unless the user has set a bound."""
@@ -36,29 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one if all of Spark runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        if "dir" not in _own_dir:
-            _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="shared-")
-        found = _own_dir["dir"]
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later steps start from the files, also after an executor is lost."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
