@@ -152,12 +152,12 @@ def expected_max_sharpe(n_trials: int, variance: float) -> float:
 def deflated_sharpe(returns: DataFrame, by: list[str], n_trials: int, trial_variance: float | None = None) -> DataFrame:
     """Per group: n, the per-period Sharpe ratio and its probability of exceeding 0 and the expected maximum of n_trials. The normal
     distribution is evaluated on the aggregated rows, one a group."""
-    one = returns.groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.skewness("r").alias("g3"), (F.kurtosis("r") + 3).alias("g4"))
-    one = one.withColumn("sharpe", ratio(F.col("m"), F.col("s")))
+    one = returns.groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("m_"), F.stddev_samp("r").alias("s_"), F.skewness("r").alias("g3_"), (F.kurtosis("r") + 3).alias("g4_"))
+    one = one.withColumn("sharpe", ratio(F.col("m_"), F.col("s_")))
     var = F.lit(trial_variance) if trial_variance is not None else 1 / (F.col("n") - 1)
     unit = expected_max_sharpe(n_trials, 1.0)
     one = one.withColumn("threshold", F.sqrt(var) * unit)
-    z = lambda c: (F.col("sharpe") - c) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("g3") * F.col("sharpe") + (F.col("g4") - 1) / 4 * F.col("sharpe") ** 2)
+    z = lambda c: (F.col("sharpe") - c) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("g3_") * F.col("sharpe") + (F.col("g4_") - 1) / 4 * F.col("sharpe") ** 2)
     return one.select(*by, "n", "sharpe", (F.col("sharpe") * PERIODS_PER_YEAR ** 0.5).alias("annual_sharpe"), "threshold", normal_cdf(z(F.lit(0.0))).alias("psr"), normal_cdf(z(F.col("threshold"))).alias("deflated_sharpe_prob"))
 
 
