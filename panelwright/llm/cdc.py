@@ -4,8 +4,9 @@ A gear rolling hash over the last 16 bytes decides at every word start whether a
 and an insertion moves no other cut. As chunks of a few words repeat by chance, what is deduplicated by digest is, from each chunk on, as
 many chunks as hold WINDOW_WORDS words or RUN_BYTES bytes: a variable chunk of its own whose ends are content-defined. In long stretches
 without white space the hash decides at every character. What a text has left from its last run on, all of a short text, is compared too. The
-first occurrence (smallest doc_id, then position) stays. Of a later one every chunk is cut out where such runs, one after another, cover
-LEAST_WORDS words or LEAST_BYTES bytes or the whole text: a single sentence that texts share, such as a license line, is left alone."""
+document that has it first (smallest doc_id) stays whole. From later ones every chunk is cut out where such runs, one after another, cover
+LEAST_WORDS words or LEAST_BYTES bytes or the whole text: a single sentence that texts share, such as a license line, is left alone, and so is
+what repeats inside one document only, as a refrain does."""
 
 from __future__ import annotations
 
@@ -108,11 +109,11 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, doc_id, nr, known) of every run of chunks that is compared; nr is twice the number of its first chunk, and one more if it
-    goes on to the end of the text. Runs that repeat an earlier one (by doc_id and nr) of the same part of a batch, or one that repeats so
-    often that the task remembers it, are repeats already (known), whatever other tasks hold, and get a digest of their own place: a common
-    passage does not gather in one task."""
+    goes on to the end of the text. Runs that an earlier document has, in the same part of a batch or, for those that come up again and
+    again, among what the task has seen, are repeats already (known), whatever other tasks hold, and get a digest of their own place: a
+    common passage does not gather in one task."""
     claim(None)
-    common: dict[int, tuple[int, int]] = {}
+    common: dict[int, int] = {}  # digest to the first document that the task has seen it in
     for batch in bounded(batches):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
@@ -126,20 +127,15 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, nr, at, end = doc[first], nr[first] + runs % 2, at[first], end[first + both[runs] - 1]
         # white space at the end is not part of what is compared
         digest = np.array([xxhash.xxh3_64_intdigest(texts[d][a:b].rstrip()) for d, a, b in zip(doc.tolist(), at.tolist(), end.tolist(), strict=True)], np.uint64)
-        known = np.ones(len(doc), bool)
-        distinct, where, times = np.unique(digest, return_index=True, return_counts=True)
-        known[where] = False
         doc_id = ids[order][doc]
+        distinct, where, of, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        home = doc_id[where]
         if len(common) > COMMON:
             common = {}
         again = np.isin(distinct, np.fromiter(common, np.uint64, len(common)))
         for k in np.flatnonzero(again | (times > 1)).tolist():
-            i = where[k]
-            place = int(doc_id[i]), int(nr[i])
-            if common.get(int(distinct[k]), place) < place:
-                known[i] = True
-            else:
-                common[int(distinct[k])] = place
+            home[k] = common[int(distinct[k])] = min(common.get(int(distinct[k]), home[k]), int(home[k]))
+        known = doc_id > home[of]
         digest = digest.view(np.int64).copy()
         digest[known] = doc_id[known] * np.int64(0x9E3779B1) + nr[known]
         yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc_id, pa.int64()), pa.array(nr.astype(np.int32)), pa.array(known)], names=["digest", "doc_id", "nr", "known"])
@@ -191,17 +187,15 @@ def _remove(nrs_name: str):
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with text cut and two more columns, removed_words and removed_chars.
 
-    Of passages that repeat, in other documents or the same one, the first occurrence stays. Only documents with a repeated run
-    are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
+    Of passages that repeat across documents, those of the document with the smallest doc_id stay. Only documents with a run that an earlier
+    one has are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
     null, empty ones empty; a text that repeats another whole one goes, however short; one character that goes on and on is a single chunk;
-    rows with a null doc_id stay as they are; rows that
-    repeat a doc_id repeat their passages, but the first by text order keeps them only if the rows differ in doc_id, so ids should be
-    unique; an empty table gives an empty result; further columns are kept whatever their names, but those named removed_words and
+    rows with a null doc_id stay as they are; rows that repeat a doc_id are one document; an empty table gives an empty result; further columns are kept whatever their names, but those named removed_words and
     removed_chars are replaced."""
     docs = docs.drop("removed_words", "removed_chars")
     key = F.col("doc_id").cast("long")
     runs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(key.alias("doc_id"), "text").mapInArrow(_window_rows, "digest long, doc_id long, nr int, known boolean")
-    later = F.row_number().over(Window.partitionBy("digest").orderBy("known", "doc_id", "nr")) > 1
+    later = F.col("doc_id") > F.first("doc_id").over(Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     repeats = runs.withColumn("later", later).filter("later or known").select("doc_id", "nr")
     own, nrs, maybe = fresh(docs, "own", "nrs", "maybe")
     by_doc = cut(repeats.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("nr").alias(nrs)), "repeats")

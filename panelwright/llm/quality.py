@@ -17,7 +17,7 @@ from .common import bounded, claim, cut, shingle_hashes, slices, table, texts_of
 #: Share of a group's rows that an estimate is fitted to, and rows that a group needs for an estimate of its own.
 SUBSET, LEAST_ROWS = 0.75, 30
 #: Concentration steps of every start, and at most of the best one; a fall of the log determinant below which it has converged.
-FIRST_STEPS, MORE_STEPS, CONVERGED = 2, 12, 1e-4
+FIRST_STEPS, MORE_STEPS, CONVERGED = 2, 6, 1e-3
 #: Rows of its language that a group's estimate is shrunk towards count as so many of its own.
 PRIOR_ROWS = 50
 #: Squared distance beyond which a row is rejected: with five variables, about 1 in 10^7 rows of a normal distribution.
@@ -104,7 +104,7 @@ P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _EDGES = 16  # bins of a doubling of the squared distance
 KEYS = ["group_lang", "group_source"]
-FIT_SCHEMA = "group_lang string, group_source string, start int, mu array<double>, cov array<double>, inv array<double>, logdet double, n long"
+FIT_SCHEMA = "group_lang string, group_source string, start int, mu array<double>, cov array<double>, inv array<double>, logdet double, fell double, n long"
 
 
 def _chi2(x: float, dof: int) -> float:
@@ -128,11 +128,12 @@ def floored(cov: np.ndarray) -> np.ndarray:
     return (vectors * np.maximum(values, 1.0)) @ vectors.T * np.outer(FLOOR, FLOOR)
 
 
-def _fit_row(of: pd.DataFrame, start: int, mu: np.ndarray, cov: np.ndarray, n: int) -> pd.DataFrame:
+def _fit_row(of: pd.DataFrame, start: int, mu: np.ndarray, cov: np.ndarray, n: int, before: float = np.inf) -> pd.DataFrame:
     cov = floored(cov)
+    logdet = float(np.linalg.slogdet(cov)[1])
     return pd.DataFrame({
         "group_lang": [of["group_lang"].iloc[0]], "group_source": [of["group_source"].iloc[0]], "start": [start], "mu": [mu.tolist()], "cov": [cov.ravel().tolist()],
-        "inv": [np.linalg.inv(cov).ravel().tolist()], "logdet": [float(np.linalg.slogdet(cov)[1])], "n": [n]})
+        "inv": [np.linalg.inv(cov).ravel().tolist()], "logdet": [logdet], "fell": [before - logdet], "n": [n]})
 
 
 def _start(counts: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +182,7 @@ def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
     share = np.clip((want - (np.cumsum(n) - n)) / n, 0, 1)
     sums = {c: float((bins[c].to_numpy() * share).sum()) for c in bins.columns if c[0] == "s" and c[1:2].isdigit()}
     mu, cov = _mean_cov(sums, want)
-    return _fit_row(bins, int(bins["start"].iloc[0]), mu, consistency(SUBSET) * cov, int(n.sum()))
+    return _fit_row(bins, int(bins["start"].iloc[0]), mu, consistency(SUBSET) * cov, int(n.sum()), bins["before"].iloc[0])
 
 
 def _shrunk(fit: pd.DataFrame) -> pd.DataFrame:
@@ -202,19 +203,19 @@ def distance() -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
-def beside(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with few, a written table with a row for each group: broadcast if those are counted to be few, by sorting otherwise."""
-    return rows.join(few.hint("broadcast" if few.count() <= BROADCAST_GROUPS else "merge"), keys, how)
+def strategy(groups: DataFrame) -> str:
+    """How rows are joined with groups, a written table with a row for each: broadcast if they are counted to be few, by sorting otherwise."""
+    return "broadcast" if groups.count() <= BROADCAST_GROUPS else "merge"
 
 
-def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    near = beside(rows, fit.select(*KEYS, "start", "mu", "inv"), KEYS).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * _EDGES))
-    sums = near.groupBy(*KEYS, "start", "bin").agg(F.count("*").alias("n"), *_moments([F.col(x) for x in STATS]))
+def _step(rows: DataFrame, fit: DataFrame, how: str) -> DataFrame:
+    near = rows.join(fit.select(*KEYS, "start", "mu", "inv", "logdet").hint(how), KEYS).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * _EDGES))
+    sums = near.groupBy(*KEYS, "start", "bin").agg(F.count("*").alias("n"), F.max("logdet").alias("before"), *_moments([F.col(x) for x in STATS]))
     return cut(sums.groupBy(*KEYS, "start").applyInPandas(_concentrate, FIT_SCHEMA), "fit")
 
 
 def robust_fit(rows: DataFrame) -> DataFrame:
-    """(group_lang, group_source, start, mu, cov, inv, logdet, n): the estimate of each group over all its rows (group_lang, group_source, x0 to
+    """(group_lang, group_source, start, mu, cov, inv, logdet, fell, n): the estimate of each group over all its rows (group_lang, group_source, x0 to
     x4), a deterministic search for the minimum covariance determinant.
 
     Three starts (medians with their deviations; mean and covariance; medians with the covariance of directions) take FIRST_STEPS
@@ -225,17 +226,17 @@ def robust_fit(rows: DataFrame) -> DataFrame:
     away = [(F.col(x) - F.element_at("mu", i + 1)) / float(FLOOR[i]) for i, x in enumerate(STATS)]
     norm = sum((a * a for a in away[1:]), away[0] * away[0]) + 1e-9
     ways = [F.sum(away[i] * away[j] / norm).alias(f"d{i}_{j}") for i, j in PAIRS]
-    sums = beside(rows, first.select(*KEYS, "mu"), KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"), *_moments([F.col(x) for x in STATS]), *ways)
+    how = strategy(first)
+    sums = rows.join(first.select(*KEYS, "mu").hint(how), KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"), *_moments([F.col(x) for x in STATS]), *ways)
     others = sums.join(first.select(*KEYS, "mu", "cov").hint("merge"), KEYS).groupBy(*KEYS).applyInPandas(_other_starts, FIT_SCHEMA)
     fit = cut(first.union(others), "fit")
     for _ in range(FIRST_STEPS):
-        fit = _step(rows, fit)
+        fit = _step(rows, fit, how)
     names = fit.columns
     fit = cut(fit.groupBy(*KEYS).agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("f")).select("f.*"), "fit")
     for _ in range(MORE_STEPS):
-        after = _step(rows, fit)
-        fell = fit.select(*KEYS, F.col("logdet").alias("before")).join(after.hint("merge"), KEYS).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        fit = after
+        fit = _step(rows, fit, how)
+        fell = fit.agg(F.max("fell")).first()[0]
         if fell is None or fell < CONVERGED:
             break
     return fit
@@ -250,11 +251,12 @@ def estimates(rows: DataFrame, least_rows: int) -> DataFrame:
     leveled = rows.select(F.explode(F.array(*group)).alias("g"), *STATS).select("g.*", *STATS)
     fit = cut(robust_fit(leveled).filter(F.col("n") >= least_rows), "fits")
     side = lambda name: fit.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("mu", "cov", "inv", "n")]).hint("merge")
-    groups = rows.groupBy("lang_", "source_").agg(F.count("*").alias("rows_")).withColumns({"group_lang": F.col("lang_"), "group_source": F.col("source_"), "star": F.lit("*")})
+    groups = rows.groupBy("lang_", "source_").agg(F.count("*").alias("rows_")).withColumns({"group_lang": F.col("lang_"), "group_source": F.col("source_")})
     all_ = groups.join(side("own"), KEYS, "left").drop(*KEYS)
-    all_ = all_.withColumns({"group_lang": F.col("lang_"), "group_source": F.col("star")}).join(side("lang"), KEYS, "left").drop(*KEYS)
-    all_ = all_.withColumns({"group_lang": F.col("star"), "group_source": F.col("star")}).join(side("all"), KEYS, "left").drop(*KEYS)
-    chosen = all_.select("lang_", "source_", "own_cov", "own_n", "lang_cov", F.coalesce("own_mu", "lang_mu", "all_mu").alias("mu"), F.coalesce("own_inv", "lang_inv", "all_inv").alias("inv"))
+    all_ = all_.join(side("lang").filter("group_source = '*'").drop("group_source").withColumnRenamed("group_lang", "lang_"), "lang_", "left")
+    rest = fit.filter("group_lang = '*'").select(F.struct("mu", "inv")).scalar()  # one row, or none
+    all_ = all_.withColumn("rest", rest)
+    chosen = all_.select("lang_", "source_", "own_cov", "own_n", "lang_cov", F.coalesce("own_mu", "lang_mu", "rest.mu").alias("mu"), F.coalesce("own_inv", "lang_inv", "rest.inv").alias("inv"))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields)
     return cut(chosen.mapInPandas(lambda parts: (_shrunk(x) for x in parts), shape).select("lang_", "source_", "mu", "inv"), "estimates")
 
@@ -273,7 +275,8 @@ def quality_rules(docs: DataFrame, *, reject: float = REJECT, least_rows: int =
     # a prefix keeps null apart from any text, and "*" apart from both
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     rows = stats.select("*", *transformed(), name(F.col("lang")).alias("lang_"), name(F.col("source")).alias("source_"))
-    judged = beside(rows, estimates(rows.filter("not base_failed"), least_rows), ["lang_", "source_"], "left")
+    chosen = estimates(rows.filter("not base_failed"), least_rows)
+    judged = rows.join(chosen.hint(strategy(chosen)), ["lang_", "source_"], "left")
     judged = judged.withColumn("distance", F.when(F.col("mu").isNotNull() & ~F.col("base_failed"), distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reject)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), "lang", "source")
