@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+# fixed values: names and defaults of the limits
 @dataclass(frozen=True)
 class Limits:
     maximum_data_age_seconds: float = 4 * 86400.0
