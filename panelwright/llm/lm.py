@@ -139,21 +139,23 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return h + z * (c - h), z, r, c
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1, keepdims=True)
-    return e / total, logits - np.log(total)
+def _log_share(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at its place which. logits are overwritten."""
+    top = logits.max(1)
+    picked = logits[np.arange(len(which)), which] - top
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
-def _slots(p: dict, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Logits of all slots of each state's small class c, and the rows of every class."""
+def _slots(p: dict, c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Logits of all slots of each state's small class c."""
     out = np.empty((len(c), SLOTS), h.dtype)
     order = np.argsort(c, kind="stable")
     rows = np.split(order, np.searchsorted(c[order], np.arange(1, len(p["Ws"]))))
     for s, r in enumerate(rows):
         out[r] = h[r] @ p["Ws"][s].T + p["bs"][s]
-    return out, rows
+    return out
 
 
 def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -162,62 +164,78 @@ def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -
     for lo in range(0, len(tokens), ROWS):
         t, hh = tokens[lo : lo + ROWS], h[lo : lo + ROWS]
         cls, slot = v.cls[t], v.slot[t]
-        _, logs = _softmax(hh @ p["W"] + p["b"])
-        some = logs[np.arange(len(t)), cls] + v.log_share[t]
+        some = _log_share(hh @ p["W"] + p["b"], cls) + v.log_share[t]
         in_slot = np.flatnonzero(slot >= 0)
         if len(in_slot):
-            c = cls[in_slot]
-            _, logs = _softmax(_slots(p, c, hh[in_slot])[0])
-            some[in_slot] += logs[np.arange(len(c)), slot[in_slot]]
+            some[in_slot] += _log_share(_slots(p, cls[in_slot], hh[in_slot]), slot[in_slot])
         out[lo : lo + ROWS] = some
     return out
 
 
+def _probabilities(logits: np.ndarray) -> np.ndarray:
+    """Softmax in place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
+
+
 def gradients(p: dict, v: Vocabulary, x: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Mean gradients over one window (steps by streams) that starts in state h, its last state, and the mean loss of the classes."""
     steps, b = x.shape
     n = steps * b
-    kept, states = [], []
+    kept, hs = [], np.empty((steps, b, HIDDEN), h.dtype)
+    inputs = v.input[x]
     for t in range(steps):
-        before = h * ~fresh[t][:, None]
-        h, z, r, c = step(p, v.input[x[t]], before)
+        before = np.where(fresh[t][:, None], h.dtype.type(0), h)
+        h, z, r, c = step(p, inputs[t], before)
         kept.append((before, z, r, c))
-        states.append(h)
-    hs, y = np.concatenate(states), target.ravel()
+        hs[t] = h
+    hs, y = hs.reshape(n, HIDDEN), target.ravel()
     cls, slot = v.cls[y], v.slot[y]
-    probs, logs = _softmax(hs @ p["W"] + p["b"])
-    loss = -float(logs[np.arange(n), cls].mean())
+    probs = _probabilities(hs @ p["W"] + p["b"])
+    loss = -float(np.log(probs[np.arange(n), cls] + 1e-30).mean())
     probs[np.arange(n), cls] -= 1
-    probs /= n
-    g = {"W": hs.T @ probs, "b": probs.sum(0), "E": np.zeros_like(p["E"]), "U": np.zeros_like(p["U"]), "Ws": np.zeros_like(p["Ws"]), "bs": np.zeros_like(p["bs"])}
+    g = {"W": hs.T @ probs / n, "b": probs.sum(0) / n, "E": np.zeros_like(p["E"]), "U": np.zeros_like(p["U"]), "Ws": np.zeros_like(p["Ws"]), "bs": np.zeros_like(p["bs"])}
     dhs = probs @ p["W"].T
     k = np.flatnonzero(slot >= 0)
     if len(k):
-        c = cls[k]
-        logits, rows_of = _slots(p, c, hs[k])
-        q, _ = _softmax(logits)
+        # in order of their classes, so that those of one class stand together
+        k = k[np.argsort(cls[k], kind="stable")]
+        bounds = np.searchsorted(cls[k], np.arange(len(p["Ws"]) + 1)).tolist()
+        own, back = hs[k], np.empty((len(k), HIDDEN), hs.dtype)
+        q = np.empty((len(k), SLOTS), hs.dtype)
+        for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if hi > lo:
+                np.matmul(own[lo:hi], p["Ws"][s].T, out=q[lo:hi])
+                q[lo:hi] += p["bs"][s]
+        _probabilities(q)
         q[np.arange(len(k)), slot[k]] -= 1
-        q /= n
-        for s, rows in enumerate(rows_of):
-            if len(rows):
-                g["Ws"][s], g["bs"][s] = q[rows].T @ hs[k[rows]], q[rows].sum(0)
-                dhs[k[rows]] += q[rows] @ p["Ws"][s]
+        for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if hi > lo:
+                g["Ws"][s], g["bs"][s] = q[lo:hi].T @ own[lo:hi] / n, q[lo:hi].sum(0) / n
+                np.matmul(q[lo:hi], p["Ws"][s], out=back[lo:hi])
+        dhs[k] += back
     dhs = dhs.reshape(steps, b, HIDDEN)
-    down = np.zeros((b, HIDDEN), np.float32)
-    u_zr, u_c = p["U"][:, : 2 * HIDDEN], p["U"][:, 2 * HIDDEN :]
-    da = np.empty((steps, b, 3 * HIDDEN), dhs.dtype)
+    dhs /= n
+    down = np.zeros((b, HIDDEN), h.dtype)
+    u_zr, u_c = p["U"][:, : 2 * HIDDEN].T.copy(), p["U"][:, 2 * HIDDEN :].T.copy()
+    da, rh = np.empty((steps, b, 3 * HIDDEN), dhs.dtype), np.empty((steps, b, HIDDEN), dhs.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, r, c = kept[t]
         dh = dhs[t] + down
-        da_c = dh * z * (1 - c * c)
-        d_rh = da_c @ u_c.T
-        da_zr = np.concatenate((dh * (c - before) * z * (1 - z), d_rh * before * r * (1 - r)), 1)
-        down = (dh * (1 - z) + d_rh * r + da_zr @ u_zr.T) * ~fresh[t][:, None]
-        da[t, :, : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = da_zr, da_c
+        da_z, da_r, da_c = (da[t, :, i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
+        np.multiply(dh * z, 1 - c * c, out=da_c)
+        d_rh = da_c @ u_c
+        np.multiply(dh * (c - before), z * (1 - z), out=da_z)
+        np.multiply(d_rh * before, r * (1 - r), out=da_r)
+        np.multiply(r, before, out=rh[t])
+        down = dh * (1 - z) + d_rh * r + da[t, :, : 2 * HIDDEN] @ u_zr
+        down[fresh[t]] = 0
     da = da.reshape(n, -1)
     g["U"][:, : 2 * HIDDEN] = np.concatenate([k[0] for k in kept]).T @ da[:, : 2 * HIDDEN]
-    g["U"][:, 2 * HIDDEN :] = np.concatenate([k[2] * k[0] for k in kept]).T @ da[:, 2 * HIDDEN :]
-    inputs = v.input[x.ravel()]
+    g["U"][:, 2 * HIDDEN :] = rh.reshape(n, HIDDEN).T @ da[:, 2 * HIDDEN :]
+    inputs = inputs.ravel()
     order = np.argsort(inputs, kind="stable")
     which, first = np.unique(inputs[order], return_index=True)
     g["E"][which] = np.add.reduceat(da[order], first)

@@ -137,6 +137,26 @@ def test_chat(spark):
     assert got[2].n_turns == 1 and got[None].loss_chars == 3000
 
 
+def test_chat_of_hard_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    names = ["ids", "n_ids", "start", "turn_no", "loss_from", "chars"]
+    schema = "conv_id string, turn int, role string, text string, " + ", ".join(f"{n} int" for n in names)
+    clash = [1] * len(names)
+    long = [("long", i, "assistant" if i % 2 else "user", f"turn {i} <|im_end|> " + "ä" * (i % 7), *clash) for i in range(3000)]
+    rows = [("tie", 1, "user", "b", *clash), ("tie", 1, "assistant", "z", *clash), ("tie", 1, "user", "a", *clash), ("tie", 1, "user", "a", *clash), *long]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    got = {r.conv_id: r for r in chat.read_chat(chat.format_chat(df, path), path).collect()}
+    for key in ("tie", "long"):
+        said = sorted((r[:4] for r in rows if r[0] == key), key=lambda r: (r[1], r[2], r[3]))
+        assert got[key].n_turns == len(said) and got[key].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in said).encode()).hexdigest()
+        loss = "".join(r[3] for r in said if r[2] == "assistant")
+        assert got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[key].loss_chars == len(loss)
+    assert chat.read_chat(chat.format_chat(df.limit(0), path), path).count() == 0
+    damaged = chat.format_chat(df.filter("conv_id = 'tie'"), path).withColumn("ids", mix.F.expr("substring(ids, 5, length(ids))"))
+    with pytest.raises(Exception, match="not a turn"):
+        chat.read_chat(damaged, path).collect()
+
+
 def test_lm(spark, docs):
     got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
     counts = Counter()
