@@ -179,7 +179,9 @@ def embedding_near_duplicates(vectors: DataFrame, *, cosine: float = 0.98) -> Da
     data = dealt.join(counts.hint("merge"), ["label", "dim", *cell]).select("label", "dim", *cell, "vec_id", "unit", "copies", F.lit(False).alias("query"), block("blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     asked = dealt.select("label", "dim", "vec_id", "unit", "copies", F.explode(probes).alias("p")).select("label", "dim", "p.*", "vec_id", "unit", "copies")
     query = asked.join(counts.hint("merge"), ["label", "dim", *cell]).select("label", "dim", *cell, "vec_id", "unit", "copies", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), block("blocks").alias("j"))
-    found = data.unionByName(query).groupBy("label", "dim", *cell, "i", "j").applyInArrow(_compare(cosine), "vec_id long, other long, links long")
+    # dealt by block: as the joins above deal by cell, all blocks of a hot one would else stay in one task
+    dealt_out = data.unionByName(query).repartition("label", "dim", *cell, "i", "j")
+    found = dealt_out.groupBy("label", "dim", *cell, "i", "j").applyInArrow(_compare(cosine), "vec_id long, other long, links long")
     found = cut(found, "found")
     links = found.filter("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
     comp = components(found.filter("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
