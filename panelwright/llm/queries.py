@@ -12,6 +12,7 @@ from .embed_dedup import op2_embedding_dedup
 from .license_scan import op1_license_scan
 from .minhash import op6_minhash
 from .lm import op4_lm_score
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mix import OP7_SQL, op7_mix
 from .pieces import op9_sentencepiece
 from .quality import op8_quality
@@ -19,8 +20,8 @@ from .records import op10_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_chat_format, op4_lm_score, op5_substring_dedup, op6_minhash, op7_mix, op8_quality, op9_sentencepiece, op10_records)}
+    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_chat_format, op4_lm_score, op5_substring_dedup, op6_minhash, op7_mix, op8_quality, op9_sentencepiece, op10_records, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": OP7_SQL}
+    return {"op7_mix": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
