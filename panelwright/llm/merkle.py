@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.ranks import BROADCAST_GROUPS, running_totals
@@ -36,15 +36,13 @@ def leaf_digest(text: Column) -> Column:
 def _steps(nodes: DataFrame) -> DataFrame:
     """nodes (tree, pos, node, n, ...; n: nodes of the tree at this level) with up (the parent's position), step and, for first children,
     parent. A run is a window partition, so that a tree of any size is many tasks."""
-    slot = F.col("pos") % ARITY
-    length = F.least(F.lit(ARITY), F.col("n") - (F.col("pos") - slot))
-    order = Window.partitionBy("tree", "up").orderBy("pos")
-    left = [F.when(slot >= k, F.lag("node", k).over(order)) for k in range(ARITY - 1, 0, -1)]
-    right = [F.when(slot + k < length, F.lead("node", k).over(order)) for k in range(1, ARITY)]
-    names = [f"left{k}" for k in range(ARITY - 1, 0, -1)], [f"right{k}" for k in range(1, ARITY)]
-    near = nodes.withColumn("up", F.floor(F.col("pos") / ARITY)).withColumns(dict(zip(names[0] + names[1], left + right, strict=True)))
-    before, after = (F.concat(*[F.coalesce(c, F.lit("")) for c in side]) for side in names)
-    return near.select(*nodes.columns, "up", F.concat(before, F.lit(OWN), after, F.lit(END)).alias("step"), F.when(slot == 0, sha(F.concat("node", after))).alias("parent"))
+    over = "OVER (PARTITION BY tree, up ORDER BY pos)"
+    left = {f"left{k}": f"CASE WHEN slot >= {k} THEN lag(node, {k}) {over} END" for k in range(ARITY - 1, 0, -1)}
+    right = {f"right{k}": f"CASE WHEN slot + {k} < length THEN lead(node, {k}) {over} END" for k in range(1, ARITY)}
+    placed = nodes.selectExpr("*", f"pos % {ARITY} AS slot", f"floor(pos / {ARITY}) AS up").selectExpr("*", f"least({ARITY}, n - (pos - slot)) AS length")
+    near = placed.selectExpr("*", *[f"{x} AS {name}" for name, x in (left | right).items()])
+    before, after = ("concat(" + ", ".join(f"coalesce({name}, '')" for name in side) + ")" for side in (left, right))
+    return near.selectExpr(*nodes.columns, "up", f"concat({before}, '{OWN}', {after}, '{END}') AS step", f"CASE WHEN slot = 0 THEN sha2(concat(node, {after}), 256) END AS parent")
 
 
 def climb(leaves: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:

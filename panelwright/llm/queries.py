@@ -17,10 +17,11 @@ from .mix import OP7_SQL, op7_mix
 from .pieces import op9_sentencepiece
 from .quality import op8_quality
 from .records import op10_records
+from .whiten import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_chat_format, op4_lm_score, op5_substring_dedup, op6_minhash, op7_mix, op8_quality, op9_sentencepiece, op10_records, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_license_scan, op2_embedding_dedup, op3_chat_format, op4_lm_score, op5_substring_dedup, op6_minhash, op7_mix, op8_quality, op9_sentencepiece, op10_records, op11_whitening, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
