@@ -55,7 +55,8 @@ def features(parts: list[bytes]) -> np.ndarray:
     data, starts, ends, owner = words_of(parts)
     of = np.repeat(np.arange(n), lens + 1)  # each part is followed by a space
     kinds = _CLASS[data]
-    pairs = np.bincount(of[:-1] * (CLASSES * CLASSES) + kinds[:-1] * CLASSES + kinds[1:], minlength=n * CLASSES * CLASSES).reshape(n, -1)
+    cells = of[:-1] * (CLASSES * CLASSES) + kinds[:-1] * CLASSES + kinds[1:]
+    pairs = np.bincount(cells[of[:-1] == of[1:]], minlength=n * CLASSES * CLASSES).reshape(n, -1)
     hashes = word_hashes(data, starts, ends, fold=True)
     count = np.bincount(owner, minlength=n)
     words = np.bincount(owner * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, -1)
@@ -65,7 +66,7 @@ def features(parts: list[bytes]) -> np.ndarray:
     some, size = np.maximum(count, 1), np.maximum(lens, 1)
     letters = np.bincount(owner, ends - starts, minlength=n)
     out = np.empty((n, WIDTH))
-    out[:, : CLASSES * CLASSES] = np.sqrt(pairs / (size + 1)[:, None])
+    out[:, : CLASSES * CLASSES] = np.sqrt(pairs / size[:, None])
     out[:, CLASSES * CLASSES : -STATISTICS] = np.sqrt(words / some[:, None])
     out[:, -3], out[:, -2], out[:, -1] = repeated / some, np.minimum(letters / some / 32, 1), np.minimum(lens / (2 * PASSAGE), 1)
     return np.round(255 * out).astype(np.uint8)
