@@ -28,9 +28,17 @@ def _same(a: list[str], b: list[str]) -> Column:
     return F.expr(" and ".join(f"{_q(x)} <=> {_q(y)}" for x, y in zip(a, b, strict=True)) or "true")
 
 
+def _join_groups(df: DataFrame, other: DataFrame, by: list[str], hint: str = "merge") -> DataFrame:
+    """df with the other columns of other, by the columns by; null equals null."""
+    taken = {c.lower() for c in [*df.columns, *other.columns]}
+    names = [f"g{i}_" + "_" * max(map(len, taken)) for i in range(len(by))]
+    side = other.select(*[F.col(_q(c)).alias(g) for c, g in zip(by, names, strict=True)], *[_q(c) for c in other.columns if c not in by])
+    return df.join(F.broadcast(side) if hint == "broadcast" else side.hint(hint), _same(by, names)).drop(*names)
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
-    """df with out: the total of weight (rows, if None) over the rows of its group by that stand before it in order. by: columns without
-    nulls; ties in order stand in an order of their own, so that order should be a key.
+    """df with out: the total of weight (rows, if None) over the rows of its group by that stand before it in order. Null groups count
+    as one; ties in order stand in an order of their own, so that order should be a key.
 
     Rows are dealt by ranges of (by, order), written, and numbered within their range; a range's start is a running total over one row per
     range and group. A hot group is as many ranges as it needs, so that a task holds one range, however large the group."""
@@ -45,13 +53,13 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], out: str, wei
     earlier = Window.partitionBy(*[_q(c) for c in by]).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn(start, F.coalesce(F.sum(start).over(earlier), F.lit(0)))
     inside = Window.partitionBy(*own).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(starts.hint("merge"), [*by, part])
+    joined = _join_groups(placed, starts, [*by, part])
     return joined.withColumn(out, F.col(start) + F.coalesce(F.sum(w).over(inside), F.lit(0))).select(*[F.col(_q(c)) for c in df.columns], out)
 
 
 def doubled_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """df with out (long): the average rank of value within its group, doubled, less n + 1, so that it is a whole number and adds up to zero
-    over a group. by and value without nulls.
+    over a group. Null groups count as one; value without nulls.
 
     Equal values are counted first, so that a tie of any size is one row of the ranking; a row finds its rank by (by, value)."""
     n, before, total = _free(df, "n", "before", "total")
@@ -59,8 +67,9 @@ def doubled_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
     ties = df.groupBy(*cols, _q(value)).agg(F.count("*").alias(n))
     ranked = running_totals(ties, by, [value], before, n)
     size = ties.groupBy(*cols).agg(F.sum(n).alias(total))
-    ranked = ranked.join(_sized(size, BROADCAST_GROUPS), by).select(*cols, _q(value), (2 * F.col(before) + F.col(n) - F.col(total)).alias(out))
-    return df.join(ranked.hint("merge"), [*by, value])
+    few = size.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    ranked = _join_groups(ranked, size, by, "broadcast" if few else "merge").select(*cols, _q(value), (2 * F.col(before) + F.col(n) - F.col(total)).alias(out))
+    return _join_groups(df, ranked, [*by, value])
 
 
 def _sized(df: DataFrame, most: int) -> DataFrame:

@@ -10,7 +10,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import doubled_ranks, exact_percentiles
 from panelwright.functions.windows import PERIODS_PER_YEAR, average_rank, ratio
+from panelwright.plans.session import cut
 
 EULER = 0.5772156649015329
 
@@ -26,22 +28,26 @@ def _corr(a: str, b: str):
 
 
 def with_ranks(df: DataFrame, p: str, t: str, by: list[str]) -> DataFrame:
-    """Adds the average ranks of two columns within their group as whole numbers: doubled, less n + 1, so that each adds up to zero and sums of
-    products carry no rounding (up to groups of some 20,000)."""
+    """Adds the average ranks of two columns within their group, a cross-section, as whole numbers: doubled, less n + 1, so that each adds up
+    to zero and sums of products carry no rounding."""
     w = Window.partitionBy(*by)
     whole = lambda c: 2 * average_rank(F.col(c), w) - F.count(F.lit(1)).over(w) - 1
     return df.withColumns({"rp_": whole(p), "rt_": whole(t)})
 
 
 def _rank_corr():
-    """Correlation of the ranks of with_ranks(), null where a side does not vary; exactly 0 where they are uncorrelated."""
-    own = lambda c: F.sum(F.col(c) * F.col(c))
-    return F.when((own("rp_") > 0) & (own("rt_") > 0), F.sum(F.col("rp_") * F.col("rt_")) / (F.sqrt(own("rp_")) * F.sqrt(own("rt_"))))
+    """Correlation of ranks as of with_ranks(), null where a side does not vary; exactly 0 where they are uncorrelated. Sums are of whole
+    numbers of 38 digits, enough for groups of 10^12 rows."""
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    of = lambda a, b: F.sum(whole(a) * whole(b)).cast("double")
+    return F.when((of("rp_", "rp_") > 0) & (of("rt_", "rt_") > 0), of("rp_", "rt_") / (F.sqrt(of("rp_", "rp_")) * F.sqrt(of("rt_", "rt_"))))
 
 
 def regression_metrics(predictions: DataFrame, by: list[str], p: str = "prediction", t: str = "target") -> DataFrame:
-    """Per group: n, mse, mae, r2, directional accuracy, IC and rank IC over finite pairs."""
-    df = with_ranks(_pairs(predictions, p, t), p, t, by)
+    """Per group: n, mse, mae, r2, directional accuracy, IC and rank IC over finite pairs. A group is all history of a model: its ranks come
+    from ranges of values, not from a window over the group."""
+    df = cut(_pairs(predictions, p, t).select(*by, p, t), "pairs")  # read by both rankings
+    df = doubled_ranks(doubled_ranks(df, by, p, "rp_"), by, t, "rt_")
     e = F.col(t) - F.col(p)
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
@@ -57,12 +63,15 @@ def ic_by_date(predictions: DataFrame, p: str = "prediction", t: str = "target",
 
 def quantile_returns(predictions: DataFrame, q: int = 5, p: str = "prediction", t: str = "target") -> DataFrame:
     """Mean, median and count of the target by the prediction's quantile within its date. Edges are interpolated linearly, repeated ones
-    dropped, bins closed on the right; dates with under two distinct predictions are left out."""
+    dropped, bins closed on the right; dates with under two distinct predictions are left out. Edges are those of a cross-section; medians are
+    selected from all history."""
     edges = predictions.filter(f"{p} is not null and {t} is not null").groupBy("date").agg(
         F.array_distinct(F.percentile(p, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("edges"), F.count_distinct(p).alias("d")).filter("d >= 2")
     df = predictions.filter(f"{p} is not null and {t} is not null").join(edges.hint("merge"), "date")
     bin_ = F.greatest(F.size(F.filter("edges", lambda x: x < F.col(p))), F.lit(1))
-    return df.withColumn("quantile", bin_).groupBy("quantile").agg(F.avg(t).alias("mean_target"), F.percentile(t, 0.5).alias("median_target"), F.count("*").alias("n"))
+    df = cut(df.select(F.col(t).alias("target"), bin_.alias("quantile")), "quantiles")
+    medians = exact_percentiles(df, ["quantile"], "target", [0.5], "median_target").drop("share")
+    return df.groupBy("quantile").agg(F.avg("target").alias("mean_target"), F.count("*").alias("n")).join(medians.hint("merge"), "quantile").select("quantile", "mean_target", "median_target", "n")
 
 
 def newey_west(series: DataFrame, value: str, by: list[str], order: str = "date") -> DataFrame:

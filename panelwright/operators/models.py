@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import exact_percentiles
 from panelwright.plans.session import cut
 
 from .evaluate import regression_metrics
@@ -68,7 +69,9 @@ class Fitted:
 
 def _prepare(train: DataFrame, columns: list[str]) -> dict:
     """Exact medians, then mean and population deviation after imputation; the label's deviation and count. One row reaches the driver."""
-    med = train.agg(*[F.coalesce(F.percentile(F.when(~F.isnan(c), F.col(c)), 0.5), F.lit(0.0)).alias(f"{c}_med") for c in columns]).first().asDict()
+    long = train.select(*columns).unpivot([], columns, "feature", "x").filter(~F.isnan("x"))
+    found = {r["feature"]: r["percentile"] for r in exact_percentiles(long, ["feature"], "x", [0.5]).collect()}
+    med = {f"{c}_med": found.get(c, 0.0) for c in columns}
     filled = {c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(med[f"{c}_med"])) for c in columns}
     sd = lambda x: F.when(F.stddev_pop(x) > 0, F.stddev_pop(x)).otherwise(1.0)
     rest = train.agg(F.count("*").alias("n_"), F.coalesce(F.stddev_samp("target"), F.lit(0.0)).alias("sd_y_"), *[y for c, x in filled.items() for y in (F.avg(x).alias(f"{c}_mean"), sd(x).alias(f"{c}_sd"))]).first().asDict()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import dated
+from panelwright.plans.session import cut
 
 
 def walk_forward(dates: DataFrame, *, min_train: int, test: int, step: int, embargo: int, scheme: str = "expanding", max_horizon: int | None = None, max_windows: int | None = None) -> DataFrame:
@@ -16,7 +17,7 @@ def walk_forward(dates: DataFrame, *, min_train: int, test: int, step: int, emba
         raise ValueError("embargo must not be negative, scheme expanding or rolling")
     if max_horizon is not None and embargo < max_horizon:
         raise ValueError("the embargo must cover the label horizon")
-    idx = dated(dates)
+    idx = cut(dated(dates), "calendar")  # read at each end of a window
     n = idx.agg((F.max("idx") + 1).alias("n"))
     first = min_train + embargo
     starts = n.filter(F.col("n") > first).select("n", F.explode(F.sequence(F.lit(first), F.col("n") - 1, F.lit(step))).alias("s"))
@@ -30,11 +31,24 @@ def walk_forward(dates: DataFrame, *, min_train: int, test: int, step: int, emba
     return w.select("window_id", "train_start", "train_end", "test_start", "test_end")
 
 
+def roles(dates: DataFrame, windows: DataFrame) -> DataFrame:
+    """(date, window_id, role) of every distinct date inside a window's training or test range; a date in both trains.
+
+    The ends of the windows take their places in the calendar, and a range is the sequence of its places: an equi-join with the calendar,
+    where rows would meet windows by comparison. A table of dates and windows, without the rows."""
+    ends = windows.select("window_id", F.explode(F.array(*[
+        F.struct(F.lit(role).alias("role"), F.col(f"{role}_start").alias("lo"), F.col(f"{role}_end").alias("hi")) for role in ("train", "test")])).alias("r")).select("window_id", "r.*")
+    ends = cut(ends.filter("lo <= hi"), "ends")
+    days = cut(dated(dates.select("date").union(ends.select("lo")).union(ends.select("hi"))), "calendar")
+    at = lambda c: days.select(F.col("date").alias(c), F.col("idx").alias(f"{c}_at")).hint("merge")
+    spans = ends.join(at("lo"), "lo").join(at("hi"), "hi").select("window_id", "role", F.explode(F.sequence("lo_at", "hi_at")).alias("idx"))
+    met = spans.hint("merge").join(days.hint("merge"), "idx")
+    return met.groupBy("date", "window_id").agg(F.max("role").alias("role"))  # train comes after test
+
+
 def assign(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of each window with their role; a row may belong to many. Windows are a few dozen rows that splits make."""
-    role = F.when(F.col("date").between(F.col("train_start"), F.col("train_end")), "train").otherwise("test")
-    hit = F.col("date").between(F.col("train_start"), F.col("train_end")) | F.col("date").between(F.col("test_start"), F.col("test_end"))
-    return rows.join(F.broadcast(windows), hit).withColumn("role", role).drop("train_start", "train_end", "test_start", "test_end")
+    """Rows of each window with their role; a row may belong to many, a row of both ranges trains."""
+    return rows.join(cut(roles(rows, windows), "roles").hint("merge"), "date").select(*rows.columns, "window_id", "role")
 
 
 def _folds(dates: DataFrame, k: int) -> DataFrame:

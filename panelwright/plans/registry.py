@@ -272,7 +272,9 @@ def _(spark, d):
 
 @query("walk_forward_rows", f"{WINDOWS}, p_ AS (SELECT * FROM bars)", "SELECT window_id, CASE WHEN date BETWEEN train_start AND train_end THEN 'train' ELSE 'test' END AS role, count(*) AS n FROM bars JOIN windows ON date BETWEEN train_start AND train_end OR date BETWEEN test_start AND test_end GROUP BY 1, 2")
 def _(spark, d):
-    return splits.assign(t.names(spark, d), windows(spark, d)).groupBy("window_id", "role").agg(F.count("*").alias("n"))
+    own = t.names(spark, d, t.once(spark, d)).select("date", "symbol")
+    w = splits.walk_forward(own, min_train=100, test=52, step=52, embargo=5, scheme="rolling", max_horizon=5)
+    return splits.assign(own, w).groupBy("window_id", "role").agg(F.count("*").alias("n"))
 
 
 FOLDS = f"{DAYS}, f_ AS (SELECT date, idx, ntile(5) OVER (ORDER BY idx) - 1 AS fold FROM days_), b_ AS (SELECT fold, min(idx) AS lo, max(idx) AS hi FROM f_ GROUP BY fold)"
