@@ -1,4 +1,4 @@
-"""Models on pyspark.ml and baselines; walk-forward and cross-validation drivers that fit one model a window."""
+"""Baselines, models on pyspark.ml for one training set, and the drivers that fit models on the windows of a split."""
 
 from __future__ import annotations
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from panelwright.functions.ranks import exact_percentiles
 from panelwright.plans.session import cut
 
+from . import linear as linear_windows
 from .evaluate import regression_metrics
-from .splits import assign
+from .splits import roles
 
 ID = ["date", "symbol"]
 
@@ -116,6 +117,7 @@ def gradient_boosting(train, columns, rounds: int = 300, depth: int = 4, rate: f
 
 
 REGISTRY: dict[str, Callable[..., Fitted]] = {"linear": linear, "ridge": ridge, "lasso": lasso, "elastic_net": elastic_net, "random_forest": random_forest, "gradient_boosting": gradient_boosting}
+_OWN = dict(REGISTRY)
 
 
 def register(name: str, fit: Callable[..., Fitted]) -> None:
@@ -191,35 +193,43 @@ def combine(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 # --- drivers ----------------------------------------------------------------------------------------------------------
 
 
-def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(predictions, importances): every model of specs (name to parameters) is fitted on each window's training rows and predicts its test
-    rows. The loop is over a few windows and models; each fit and prediction is a Spark job over all rows."""
-    rows = data.filter("target is not null")
+def _split(specs: dict[str, dict]) -> tuple[list[linear_windows.Spec], dict[str, dict]]:
+    """Linear models, which all windows share, and the others."""
+    own = {k: v for k, v in specs.items() if k in linear_windows.KINDS and REGISTRY[k] is _OWN[k]}
+    return [linear_windows.spec(k, k, **v) for k, v in own.items()], {k: v for k, v in specs.items() if k not in own}
+
+
+def run_roles(data: DataFrame, roles: DataFrame, specs: dict[str, dict], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions, importances): every model of specs (name to parameters) is fitted on the training dates of each window of roles
+    (window_id, date, role) and predicts its test rows. Linear models are fitted for all windows at once; the others, and models that a
+    user registers, a window at a time, each fit a few jobs over its rows."""
+    linears, others = _split(specs)
+    rows = cut(data.filter("target is not null"), "rows")
+    roles = cut(roles.select("window_id", "date", "role"), "roles")
     spark, parts, weights = data.sparkSession, [], []
-    ids = [r["window_id"] for r in windows.orderBy("window_id").collect()]
-    assigned = cut(assign(rows, windows), "assigned")  # every fit reads it
-    for w in ids:
-        train, test = (assigned.filter((F.col("window_id") == w) & (F.col("role") == role)) for role in ("train", "test"))
-        for name, params in specs.items():
-            m = REGISTRY[name](train, columns, **params)
-            parts.append(m.predict(test).select(*ID, F.lit(name).alias("model"), F.col("window_id"), "target", "prediction"))
-            weights += [(name, w, c, v) for c, v in m.importance()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, spark.createDataFrame(weights, "model string, window_id int, feature string, importance double")
+    if linears:
+        p, w = linear_windows.run_linear(rows, roles, linears, columns)
+        parts.append(p)
+        weights.append(w)
+    if others:
+        found = []
+        assigned = cut(rows.join(roles.hint("merge"), "date"), "assigned")  # every fit reads it
+        for w in [r["window_id"] for r in roles.select("window_id").distinct().orderBy("window_id").collect()]:
+            train, test = (assigned.filter((F.col("window_id") == w) & (F.col("role") == role)) for role in ("train", "test"))
+            for name, params in others.items():
+                m = REGISTRY[name](train, columns, **params)
+                parts.append(m.predict(test).select(*ID, F.lit(name).alias("model"), "window_id", "target", "prediction"))
+                found += [(name, w, c, v) for c, v in m.importance()]
+        weights.append(spark.createDataFrame(found, f"model string, window_id {dict(roles.dtypes)['window_id']}, feature string, importance double"))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, weights)
+
+
+def run_walk_forward(data: DataFrame, windows: DataFrame, specs: dict[str, dict], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """run_roles() over walk-forward windows."""
+    return run_roles(data, roles(data.filter("target is not null"), windows), specs, columns)
 
 
 def run_purged_cv(data: DataFrame, folds: DataFrame, specs: dict[str, dict], columns: list[str], fold: str = "fold") -> DataFrame:
     """Predictions of every fold's test dates from its training dates. folds: (fold, date, role)."""
-    rows = cut(data.filter("target is not null"), "rows")
-    parts = []
-    for k in [r[0] for r in folds.select(fold).distinct().orderBy(fold).collect()]:
-        dates = folds.filter(F.col(fold) == k)
-        train, test = (rows.join(dates.filter(F.col("role") == role).select("date"), "date", "left_semi") for role in ("train", "test"))
-        for name, params in specs.items():
-            parts.append(REGISTRY[name](train, columns, **params).predict(test).select(*ID, F.lit(name).alias("model"), F.lit(k).alias(fold), "target", "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    p, _ = run_roles(data, folds.select(F.col(fold).alias("window_id"), "date", "role"), specs, columns)
+    return p.withColumnRenamed("window_id", fold)

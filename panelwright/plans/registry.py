@@ -17,6 +17,7 @@ from panelwright.sources.adapter import BARS_SQL, BENCHMARK, table, ticks
 from panelwright.streaming import gate
 
 from . import tables as t
+from .session import cut
 from .tables import CASH, CURVE, FILLS, PRED, S, WEIGHTS, avg_rank, full, pct, rows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,22 +329,81 @@ def _(spark, d):
 MODEL_FEATURES = ["ret_1", "ret_5", "momentum_20", "vol_5", "volume_z"]
 
 
-def _modelled(spark, d):
-    f = features.technical(t.names(spark, d), CONFIG).select("date", "symbol", *MODEL_FEATURES)
-    return models.supervised(f, build_labels(t.names(spark, d), None, (5,), 5), "fwd_ret_5")
+TWO = ["ret_1", "ret_5"]
 
 
-@query("walk_forward_models")
+def _fitted_sql(windows: str, models: dict[str, str]) -> str:
+    """CTEs up to fits_ and pred_: models (name to penalty on the diagonal, given n) by normal equations over two standardized features with
+    medians for missing values. windows: roles_ (window_id, date, role) in SQL."""
+    one = lambda x: f"(coalesce({x}, m_{x}) - a_{x}) / s_{x}"
+    solved = " UNION ALL ".join(
+        f"SELECT window_id, '{name}' AS model, y, ((g22 + {l2}) * h1 - g12 * h2) / ((g11 + {l2}) * (g22 + {l2}) - g12 * g12) AS w1, ((g11 + {l2}) * h2 - g12 * h1) / ((g11 + {l2}) * (g22 + {l2}) - g12 * g12) AS w2 FROM gram_" for name, l2 in models.items())
+    return f"""{windows}, rows_ AS (SELECT date, symbol, r, r5, lead(close, 5) {S} / nullif(close, 0) - 1 AS target FROM r_),
+all_ AS (SELECT x.*, window_id, role FROM rows_ x JOIN roles_ USING (date) WHERE target IS NOT NULL), train_ AS (SELECT * FROM all_ WHERE role = 'train'),
+med_ AS (SELECT window_id, coalesce(median(r), 0) AS m_r, coalesce(median(r5), 0) AS m_r5 FROM train_ GROUP BY window_id),
+std_ AS (SELECT window_id, m_r, m_r5, avg(coalesce(r, m_r)) AS a_r, stddev_pop(coalesce(r, m_r)) AS s_r, avg(coalesce(r5, m_r5)) AS a_r5, stddev_pop(coalesce(r5, m_r5)) AS s_r5, avg(target) AS y FROM train_ JOIN med_ USING (window_id) GROUP BY ALL),
+gram_ AS (SELECT window_id, y, count(*) AS n, avg({one('r')} * {one('r')}) AS g11, avg({one('r')} * {one('r5')}) AS g12, avg({one('r5')} * {one('r5')}) AS g22, avg({one('r')} * (target - y)) AS h1, avg({one('r5')} * (target - y)) AS h2 FROM train_ JOIN std_ USING (window_id) GROUP BY ALL),
+fits_ AS ({solved}),
+pred_ AS (SELECT date, symbol, window_id, model, target, f.y + {one('r')} * w1 + {one('r5')} * w2 AS prediction FROM all_ JOIN std_ s USING (window_id) JOIN fits_ f USING (window_id) WHERE role = 'test')"""
+
+
+def _metrics_sql(by: str) -> str:
+    return f"""SELECT {by}, count(*) AS n, avg((target - prediction) ** 2) AS mse, avg(abs(target - prediction)) AS mae, 1 - sum((target - prediction) ** 2) / (var_pop(target) * count(*)) AS r2,
+  avg(CASE WHEN sign(target) = sign(prediction) THEN 1.0 ELSE 0.0 END) AS directional_accuracy, corr(prediction, target) AS ic, corr(rp, rt) AS rank_ic
+  FROM (SELECT *, {avg_rank('prediction', by)} AS rp, {avg_rank('target', by)} AS rt FROM pred_) GROUP BY {by}"""
+
+
+MODEL_DAYS = "days_ AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))"
+EXPANDING = f"""{TECH}, {MODEL_DAYS}, w_ AS (SELECT CAST(i AS INTEGER) AS window_id, 155 + 100 * i AS s FROM range(0, 20) r(i) WHERE 155 + 100 * i < (SELECT max(n) FROM days_)),
+roles_ AS (SELECT window_id, date, CASE WHEN idx < s THEN 'train' ELSE 'test' END AS role FROM days_, w_ WHERE idx <= s - 6 OR idx BETWEEN s AND s + 99)"""
+THREE = f"""{TECH}, {MODEL_DAYS}, f_ AS (SELECT date, idx, ntile(3) OVER (ORDER BY idx) - 1 AS fold FROM days_), b_ AS (SELECT fold, min(idx) AS lo, max(idx) AS hi FROM f_ GROUP BY fold),
+roles_ AS (SELECT CAST(b_.fold AS INTEGER) AS window_id, f_.date, CASE WHEN idx BETWEEN lo AND hi THEN 'test' ELSE 'train' END AS role FROM f_, b_ WHERE idx BETWEEN lo AND hi OR NOT idx BETWEEN lo - 5 AND hi + 5 + 2)"""
+
+
+def _expanding(own: DataFrame) -> DataFrame:
+    return splits.walk_forward(own.select("date"), min_train=150, test=100, step=100, embargo=5, max_horizon=5)
+
+
+def _modelled(own: DataFrame, columns: list[str]) -> DataFrame:
+    f = features.technical(own, CONFIG).select("date", "symbol", *columns)
+    return cut(models.supervised(f, build_labels(own, None, (5,), 5), "fwd_ret_5"), "modelled")
+
+
+@query("walk_forward_models", _fitted_sql(EXPANDING, {"linear": "0", "ridge": "10.0 / n"}), _metrics_sql("model, window_id"), "mse mae r2 directional_accuracy ic rank_ic")
+def _(spark, d):
+    own = t.names(spark, d, t.once(spark, d))
+    p, _ = models.run_walk_forward(_modelled(own, TWO), _expanding(own), {"linear": {}, "ridge": {"alpha": 10.0}}, TWO)
+    return evaluate.regression_metrics(p, ["model", "window_id"])
+
+
+@query("purged_cv_models", _fitted_sql(THREE, {"linear": "0"}), f"SELECT * EXCLUDE (window_id), window_id AS fold FROM ({_metrics_sql('model, window_id')})", "mse mae r2 directional_accuracy ic rank_ic")
+def _(spark, d):
+    own = t.names(spark, d, t.once(spark, d))
+    folds = splits.purged_kfold(own.select("date"), 3, purge=5, embargo=2)
+    return evaluate.regression_metrics(models.run_purged_cv(_modelled(own, TWO), folds, {"linear": {}}, TWO), ["model", "fold"])
+
+
+@query("model_importances", _fitted_sql(EXPANDING, {"linear": "0", "ridge": "10.0 / n"}), "SELECT model, window_id, 'ret_1' AS feature, abs(w1) AS importance FROM fits_ UNION ALL SELECT model, window_id, 'ret_5', abs(w2) FROM fits_", "importance")
+def _(spark, d):
+    own = t.names(spark, d, t.once(spark, d))
+    _, w = models.run_walk_forward(_modelled(own, TWO), _expanding(own), {"linear": {}, "ridge": {"alpha": 10.0}}, TWO)
+    return w
+
+
+@query("walk_forward_ensembles")
 def _(spark, d):
-    w = splits.walk_forward(t.names(spark, d).select("date"), min_train=150, test=100, step=100, embargo=5, max_horizon=5)
-    p, _ = models.run_walk_forward(_modelled(spark, d), w, {"ridge": {"alpha": 10.0}, "elastic_net": {"alpha": 0.001}, "random_forest": {}, "ensemble": {"members": {"ridge": {}, "elastic_net": {}}}}, MODEL_FEATURES)
+    own = t.names(spark, d, t.once(spark, d))
+    p, _ = models.run_walk_forward(_modelled(own, MODEL_FEATURES), _expanding(own), {"ridge": {"alpha": 10.0}, "elastic_net": {"alpha": 0.001}, "random_forest": {}, "ensemble": {"members": {"ridge": {}, "elastic_net": {}}}}, MODEL_FEATURES)
     return evaluate.regression_metrics(p, ["model", "window_id"])
 
 
-@query("purged_cv_models")
+@query("baseline_zero", f"{WINDOWS}, rows_ AS (SELECT date, lead(close, 5) {S} / nullif(close, 0) - 1 AS target FROM bars)",
+       "SELECT window_id, count(*) AS n, avg(target ** 2) AS mse, avg(abs(target)) AS mae FROM rows_ JOIN windows ON date BETWEEN test_start AND test_end WHERE target IS NOT NULL GROUP BY window_id", "mse mae")
 def _(spark, d):
-    folds = splits.purged_kfold(t.names(spark, d).select("date"), 3, purge=5, embargo=2)
-    return evaluate.regression_metrics(models.run_purged_cv(_modelled(spark, d), folds, {"linear": {}}, MODEL_FEATURES), ["model", "fold"])
+    own = t.names(spark, d, t.once(spark, d))
+    w = splits.walk_forward(own.select("date"), min_train=100, test=52, step=52, embargo=5, scheme="rolling", max_horizon=5)
+    rows = build_labels(own, None, (5,), 5).select("date", "symbol", F.col("fwd_ret_5").alias("target")).filter("target is not null")
+    return evaluate.regression_metrics(models.zero_baseline(splits.assign(rows, w).filter("role = 'test'")), ["window_id"]).select("window_id", "n", "mse", "mae")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------------
