@@ -16,6 +16,7 @@ from panelwright.functions.ranks import exact_percentiles
 from panelwright.plans.session import cut
 
 from . import linear as linear_windows
+from . import trees as tree_windows
 from .evaluate import regression_metrics
 from .splits import roles
 
@@ -193,24 +194,25 @@ def combine(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 # --- drivers ----------------------------------------------------------------------------------------------------------
 
 
-def _split(specs: dict[str, dict]) -> tuple[list[linear_windows.Spec], dict[str, dict]]:
-    """Linear models, which all windows share, and the others."""
-    own = {k: v for k, v in specs.items() if k in linear_windows.KINDS and REGISTRY[k] is _OWN[k]}
-    return [linear_windows.spec(k, k, **v) for k, v in own.items()], {k: v for k, v in specs.items() if k not in own}
+def _of_kind(specs: dict[str, dict], kinds: tuple[str, ...]) -> dict[str, dict]:
+    """Models of these kinds that a user has not registered anew."""
+    return {k: v for k, v in specs.items() if k in kinds and REGISTRY[k] is _OWN[k]}
 
 
 def run_roles(data: DataFrame, roles: DataFrame, specs: dict[str, dict], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(predictions, importances): every model of specs (name to parameters) is fitted on the training dates of each window of roles
-    (window_id, date, role) and predicts its test rows. Linear models are fitted for all windows at once; the others, and models that a
-    user registers, a window at a time, each fit a few jobs over its rows."""
-    linears, others = _split(specs)
+    (window_id, date, role) and predicts its test rows. Linear models and trees are fitted for all windows at once; ensembles, and models
+    that a user registers, a window at a time, each fit a few jobs over its rows."""
+    linears, grown = _of_kind(specs, linear_windows.KINDS), _of_kind(specs, tree_windows.KINDS)
+    others = {k: v for k, v in specs.items() if k not in linears and k not in grown}
     rows = cut(data.filter("target is not null"), "rows")
     roles = cut(roles.select("window_id", "date", "role"), "roles")
     spark, parts, weights = data.sparkSession, [], []
-    if linears:
-        p, w = linear_windows.run_linear(rows, roles, linears, columns)
-        parts.append(p)
-        weights.append(w)
+    for own, kind, run in ((linears, linear_windows, linear_windows.run_linear), (grown, tree_windows, tree_windows.run_trees)):
+        if own:
+            p, w = run(rows, roles, [kind.spec(k, k, **v) for k, v in own.items()], columns)
+            parts.append(p.select(*ID, "model", "window_id", "target", "prediction"))
+            weights.append(w)
     if others:
         found = []
         assigned = cut(rows.join(roles.hint("merge"), "date"), "assigned")  # every fit reads it

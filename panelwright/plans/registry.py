@@ -397,6 +397,13 @@ def _(spark, d):
     return evaluate.regression_metrics(p, ["model", "window_id"])
 
 
+@query("walk_forward_boosting")
+def _(spark, d):
+    own = t.names(spark, d, t.once(spark, d))
+    p, w = models.run_walk_forward(_modelled(own, MODEL_FEATURES), _expanding(own), {"gradient_boosting": {"rounds": 10, "rate": 0.2}}, MODEL_FEATURES)
+    return evaluate.regression_metrics(p, ["model", "window_id"]).join(w.groupBy("model", "window_id").agg(F.max_by("feature", "importance").alias("leading_feature")).hint("merge"), ["model", "window_id"])
+
+
 @query("baseline_zero", f"{WINDOWS}, rows_ AS (SELECT date, lead(close, 5) {S} / nullif(close, 0) - 1 AS target FROM bars)",
        "SELECT window_id, count(*) AS n, avg(target ** 2) AS mse, avg(abs(target)) AS mae FROM rows_ JOIN windows ON date BETWEEN test_start AND test_end WHERE target IS NOT NULL GROUP BY window_id", "mse mae")
 def _(spark, d):
