@@ -10,6 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.choices import combinations
 from panelwright.functions.ranks import doubled_ranks, exact_percentiles
 from panelwright.functions.windows import PERIODS_PER_YEAR, average_rank, ratio
 from panelwright.plans.session import cut
@@ -170,16 +171,16 @@ def deflated_sharpe(returns: DataFrame, by: list[str], n_trials: int, trial_vari
     return one.select(*by, "n", "sharpe", (F.col("sharpe") * PERIODS_PER_YEAR ** 0.5).alias("annual_sharpe"), "threshold", normal_cdf(z(F.lit(0.0))).alias("psr"), normal_cdf(z(F.col("threshold"))).alias("deflated_sharpe_prob"))
 
 
-def overfitting_probability(matrix: DataFrame, n_blocks: int = 8) -> DataFrame:
+def overfitting_probability(matrix: DataFrame, n_blocks: int = 16, max_combinations: int | None = None, seed: int = 7) -> DataFrame:
     """One row: combinations, the share of them in which the strategy that is best in one half of the blocks ranks in the lower half in
     the other, and the mean logit. matrix: (date, strategy, r), every strategy on every date. Sums and sums of squares per block and
-    strategy are all that the combinations read."""
-    spark = matrix.sparkSession
+    strategy are all that the combinations read. Where there are more than max_combinations, those with the least hashes count."""
     days = matrix.select("date").distinct().withColumn("block", F.ntile(n_blocks).over(Window.orderBy("date")) - 1)
-    parts = matrix.join(days, "date").groupBy("block", "strategy").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
-    combos = list(itertools.combinations(range(n_blocks), n_blocks // 2))
-    table = spark.createDataFrame([(i, b, b in c) for i, c in enumerate(combos) for b in range(n_blocks)], "combo int, block int, inside boolean")
-    half = parts.join(F.broadcast(table), "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    parts = cut(matrix.join(days.hint("merge"), "date").groupBy("block", "strategy").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss")), "blocks")
+    chosen = combinations(matrix.sparkSession, n_blocks, n_blocks // 2, max_combinations, seed)
+    # a row per combination and block, on the side where the block stands
+    table = chosen.select("combo", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "chosen").select("combo", "block", F.array_contains("chosen", F.col("block")).alias("inside"))
+    half = table.hint("merge").join(parts.hint("merge"), "block").groupBy("combo", "strategy", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     sharpe = mean / F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(1e-18)))
     both = half.groupBy("combo", "strategy").agg(F.max(F.when(F.col("inside"), sharpe)).alias("i"), F.max(F.when(~F.col("inside"), sharpe)).alias("o"))
@@ -194,14 +195,37 @@ def overfitting_probability(matrix: DataFrame, n_blocks: int = 8) -> DataFrame:
 
 def bootstrap(returns: DataFrame, resamples: int = 500, block: int = 20, seed: int = 7) -> DataFrame:
     """One row: 5, 50 and 95 % of the annual return and Sharpe ratio over circular moving-block resamples of (date, r), whose starts are
-    hashes (md5) of seed, resample and block."""
+    hashes (md5) of seed, resample and block.
+
+    Sums of r, r^2 and log(1 + r), and the numbers of losses that leave nothing or less, up to each position make a block of a resample the
+    difference of two rows, and that of a block that goes past the end the sum of two differences. r is centred for the squares."""
     spark = returns.sparkSession
-    rows = returns.filter("r is not null").withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    n = rows.agg(F.count("*").alias("n"))
-    draws = spark.range(resamples).withColumnRenamed("id", "k").crossJoin(F.broadcast(n)).select("k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("b"))
-    draws = draws.withColumn("start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))).select("k", "n", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"))
-    draws = draws.filter(F.col("b") * block + F.col("j") < F.col("n")).withColumn("i", (F.col("start") + F.col("j")) % F.col("n"))
-    each = draws.join(rows.hint("merge"), "i").groupBy("k").agg((F.pow(F.greatest(F.product(1 + F.col("r")), F.lit(0.0)), PERIODS_PER_YEAR / F.count("*")) - 1).alias("a"), (F.avg("r") / F.stddev_samp("r") * PERIODS_PER_YEAR ** 0.5).alias("s"))
+    known = returns.filter("r is not null")
+    totals = known.agg(F.count("*").alias("n"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("mean")).first()
+    n, centre = totals["n"], totals["mean"]
+    if not n:
+        return spark.createDataFrame([(None,) * 6], ", ".join(f"{name}_{p} double" for name in ("annual_return", "sharpe") for p in ("p05", "p50", "p95")))
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    e, growth = F.col("r") - centre, 1 + F.col("r")
+    upto = known.select(
+        F.row_number().over(Window.orderBy("date")).alias("i"), F.sum(e).over(before).alias("s"), F.sum(e * e).over(before).alias("ss"), F.sum(F.when(growth != 0, F.log(F.abs(growth))).otherwise(0.0)).over(before).alias("g"),
+        F.sum((growth < 0).cast("int")).over(before).alias("minus"), F.sum((growth == 0).cast("int")).over(before).alias("zero"))
+    zero = spark.range(1).select(F.lit(0).alias("i"), *[F.lit(0.0).alias(c) for c in ("s", "ss", "g")], *[F.lit(0).cast("long").alias(c) for c in ("minus", "zero")])
+    upto = cut(upto.unionByName(zero), "prefix")
+    blocks = -(-n // block)
+    draws = spark.range(resamples).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("k").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n))
+    length = F.least(F.lit(block), F.lit(n) - F.col("b") * block)
+    draws = draws.select("k", start.alias("lo"), length.alias("length"))
+    # ends of differences with their signs: past the end, whole rounds and what is left of the last
+    hi = F.col("lo") + F.col("length")
+    ends = draws.select("k", F.explode(F.array(
+        F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("i")), F.struct(F.lit(1).alias("sign"), (hi % n).alias("i")), F.struct(F.floor(hi / n).cast("int").alias("sign"), F.lit(n).cast("long").alias("i")))).alias("e")).select("k", "e.*").filter("sign <> 0")
+    signed = lambda c: F.sum(F.col("sign") * F.col(c)).alias(c)
+    each = ends.groupBy("k", "i").agg(F.sum("sign").alias("sign")).hint("merge").join(upto.hint("merge"), "i").groupBy("k").agg(*[signed(c) for c in ("s", "ss", "g", "minus", "zero")])
+    total = F.when(F.col("zero") > 0, 0.0).when(F.col("minus") % 2 == 1, 0.0).otherwise(F.exp("g"))
+    mean, var = centre + F.col("s") / n, (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1) if n > 1 else F.lit(None).cast("double")
+    each = each.select((F.pow(total, PERIODS_PER_YEAR / n) - 1).alias("a"), (mean / F.when(var > 1e-24, F.sqrt(var)) * PERIODS_PER_YEAR ** 0.5).alias("s"))
     qs = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
     out = each.agg(F.percentile("a", qs).alias("a"), F.percentile("s", qs).alias("s"))
     return out.select(*[F.element_at(c, i + 1).alias(f"{name}_{p}") for c, name in (("a", "annual_return"), ("s", "sharpe")) for i, p in enumerate(("p05", "p50", "p95"))])

@@ -150,29 +150,3 @@ def sequences(features: DataFrame, columns: list[str], length: int) -> DataFrame
     """(date, symbol, window): the last length rows of the columns (null as 0), only where there are so many."""
     w = F.collect_list(F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns])).over(last_rows(length))
     return features.select("date", "symbol", w.alias("window")).filter(F.size("window") == length)
-
-
-def filtered_probabilities(returns: DataFrame, params: DataFrame) -> DataFrame:
-    """(series, date, stress) of a two-state Gaussian regime model with given parameters (series, mu0, mu1, sd0, sd1, p00, p11, pi1): the
-    forward recursion only, so that no later return counts. The fold runs over each series' ordered array."""
-    dens = lambda mu, sd: f"exp(-0.5 * pow((x.r - {mu}) / {sd}, 2)) / {sd}"
-    fold = f"""aggregate(rows,
-      named_struct('p', pi1, 'out', cast(array() as array<struct<date: date, stress: double>>)),
-      (s, x) -> transform(array(named_struct('a', (if(size(s.out) = 0, 1 - s.p, (1 - s.p) * p00 + s.p * (1 - p11))) * {dens('mu0', 'sd0')},
-                                             'b', (if(size(s.out) = 0, s.p, (1 - s.p) * (1 - p00) + s.p * p11)) * {dens('mu1', 'sd1')})),
-                 w -> named_struct('p', if(w.a + w.b > 0, w.b / (w.a + w.b), s.p), 'out', array_append(s.out, named_struct('date', x.date, 'stress', if(w.a + w.b > 0, w.b / (w.a + w.b), s.p)))))[0],
-      s -> s.out)"""
-    rows = returns.filter("r is not null").groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("rows"))
-    return rows.join(params.hint("merge"), "series").select("series", F.explode(F.expr(fold)).alias("o")).select("series", "o.date", "o.stress")
-
-
-def causal_stress(returns: DataFrame, params: DataFrame) -> DataFrame:
-    """As filtered_probabilities, with parameters known per block of dates: params has block_start besides; a date uses the last block that
-    starts at or before it, and the recursion runs over the whole history up to it."""
-    nxt = F.lead("block_start").over(Window.partitionBy("series").orderBy("block_start"))
-    blocks = params.withColumn("block_end", nxt)
-    keyed = blocks.withColumn("own", F.concat_ws("|", "series", F.col("block_start").cast("string")))
-    rows = returns.join(keyed.select("series", "own", "block_end").hint("merge"), "series").filter("block_end is null or date < block_end")
-    found = filtered_probabilities(rows.select(F.col("own").alias("series"), "date", "r"), keyed.drop("series", "block_start", "block_end").withColumnRenamed("own", "series"))
-    back = keyed.select(F.col("own").alias("own_"), F.col("series").alias("s_"), "block_start", "block_end")
-    return found.join(back.hint("merge"), F.col("series") == F.col("own_")).filter("date >= block_start and (block_end is null or date < block_end)").select(F.col("s_").alias("series"), "date", "stress")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.choices import combinations
 from panelwright.functions.windows import dated
 from panelwright.plans.session import cut
 
@@ -73,17 +72,18 @@ def combinatorial(dates: DataFrame, groups: int, test_groups: int, purge: int =
     """(split_id, test_groups, date, role) for every choice of test groups."""
     if not 0 < test_groups < groups:
         raise ValueError("need 0 < test_groups < groups")
-    spark = dates.sparkSession
-    combos = spark.createDataFrame([(i, list(c)) for i, c in enumerate(itertools.combinations(range(groups), test_groups))], "split_id int, chosen array<int>")
-    days = _folds(dates, groups)
+    combos = cut(combinations(dates.sparkSession, groups, test_groups).select(F.col("combo").cast("int").alias("split_id"), "chosen"), "choices")
+    days = cut(_folds(dates, groups), "days")
     blocks = days.groupBy("fold").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
     near = combos.select("split_id", F.explode("chosen").alias("fold")).join(blocks.hint("merge"), "fold").select("split_id", "fold", "lo", "hi")
-    # combinations of a few groups: hundreds of rows beside the dates
-    hit = days.select("date", "idx").join(F.broadcast(near), F.col("idx").between(F.col("lo") - purge, F.col("hi") + purge + embargo))
-    roles = hit.groupBy("split_id", "date").agg(F.max(F.col("idx").between(F.col("lo"), F.col("hi"))).alias("test"))
-    every = days.select("date").crossJoin(F.broadcast(combos))
+    # each test group's dates and those near it, by position
+    reach = near.withColumn("idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - purge), F.col("hi") + purge + embargo)))
+    reach = reach.groupBy("split_id", "idx").agg(F.max(F.col("idx").between(F.col("lo"), F.col("hi"))).alias("test"))
+    count = days.count()
+    every = combos.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count else combos.withColumn("idx", F.lit(0))
     role = F.when(F.col("test"), "test").when(F.col("test").isNull(), "train")
-    return every.join(roles.hint("merge"), ["split_id", "date"], "left").withColumn("role", role).filter("role is not null").select(
+    met = every.join(reach.hint("merge"), ["split_id", "idx"], "left").hint("merge").join(days.select("date", "idx").hint("merge"), "idx")
+    return met.withColumn("role", role).filter("role is not null").select(
         "split_id", F.concat_ws(",", F.col("chosen").cast("array<string>")).alias("test_groups"), "date", "role")
 
 

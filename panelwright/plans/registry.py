@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_symbol
-from panelwright.operators import capacity, evaluate, features, ledger, models, risk, signals, splits
+from panelwright.operators import capacity, evaluate, features, ledger, models, regimes, risk, signals, splits
 from panelwright.operators.labels import build_labels
 from panelwright.sources import contract
 from panelwright.sources.adapter import BARS_SQL, BENCHMARK, table, ticks
@@ -499,12 +498,13 @@ def _(spark, d):
     return evaluate.correlations(t.names(spark, d).withColumns({"ret_1": features.k_return(1), "ret_5": features.k_return(5)}), ["ret_1", "ret_5", "volume"])
 
 
-_COMBOS = ", ".join(f"({i}, {b}, {str(b in c).lower()})" for i, c in enumerate(itertools.combinations(range(6), 3)) for b in range(6))
+# block b is bit 15 - b, so that larger numbers are earlier choices
+_COMBOS = """c_ AS (SELECT combo, block, mask >> (15 - block) & 1 = 1 AS inside FROM (SELECT * FROM (SELECT mask, row_number() OVER (ORDER BY mask DESC) - 1 AS combo FROM range(65536) m(mask) WHERE bit_count(mask) = 8) ORDER BY md5('7|' || combo), combo LIMIT 2000), range(16) b(block))"""
 
 
 @query("overfitting_probability", f"""{BARS_SQL}, s_ AS (SELECT date, symbol AS strategy, close / nullif(lag(close) {S}, 0) - 1 AS r FROM bars), k_ AS (SELECT date FROM s_ WHERE r IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)),
-  d_ AS (SELECT date, ntile(6) OVER (ORDER BY date) - 1 AS block FROM k_), p_ AS (SELECT block, strategy, count(*) AS n, sum(r) AS s, sum(r * r) AS ss FROM s_ JOIN d_ USING (date) GROUP BY 1, 2),
-  h_ AS (SELECT combo, strategy, inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM p_ JOIN (VALUES {_COMBOS}) c(combo, block, inside) USING (block) GROUP BY 1, 2, 3),
+  d_ AS (SELECT date, ntile(16) OVER (ORDER BY date) - 1 AS block FROM k_), {_COMBOS}, p_ AS (SELECT block, strategy, count(*) AS n, sum(r) AS s, sum(r * r) AS ss FROM s_ JOIN d_ USING (date) GROUP BY 1, 2),
+  h_ AS (SELECT combo, strategy, inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM p_ JOIN c_ USING (block) GROUP BY 1, 2, 3),
   x_ AS (SELECT combo, strategy, inside, (s / n) / sqrt(greatest(ss / n - (s / n) ** 2, 1e-18)) AS q FROM h_),
   b_ AS (SELECT combo, strategy, max(q) FILTER (inside) AS i, max(q) FILTER (NOT inside) AS o FROM x_ GROUP BY 1, 2),
   w_ AS (SELECT combo, row_number() OVER (PARTITION BY combo ORDER BY i DESC, strategy) AS best, count(*) OVER (PARTITION BY combo ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank, count(*) OVER (PARTITION BY combo) AS k FROM b_),
@@ -513,7 +513,7 @@ def _(spark, d):
     r = t.names(spark, d).select("date", F.col("symbol").alias("strategy"), features.k_return(1).alias("r"))
     n = r.agg(F.count_distinct("strategy").alias("k"))
     whole = r.filter("r is not null").groupBy("date").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).filter("c = k").select("date")
-    return evaluate.overfitting_probability(r.join(whole, "date"), 6)
+    return evaluate.overfitting_probability(r.join(whole.hint("merge"), "date"), 16, 2000)
 
 
 def _cdf(x: str) -> str:
@@ -535,12 +535,12 @@ def _(spark, d):
 
 
 @query("bootstrap_intervals", f"""{CURVE}, s0_ AS (SELECT "return" AS r, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM curve WHERE "return" IS NOT NULL), n_ AS (SELECT max(n) AS n FROM s0_),
-  k_ AS (SELECT k, b, n, CAST('0x' || substr(md5('7|' || k || '|' || b), 1, 8) AS BIGINT) % n AS start FROM n_, range(100) a(k), LATERAL (SELECT unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b)),
+  k_ AS (SELECT k, b, n, CAST('0x' || substr(md5('7|' || k || '|' || b), 1, 8) AS BIGINT) % n AS start FROM n_, range(500) a(k), LATERAL (SELECT unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS b)),
   j_ AS (SELECT k, (start + j) % n AS i FROM k_, range(20) c(j) WHERE b * 20 + j < n),
   e_ AS (SELECT k, pow(greatest(product(1 + r), 0), 252.0 / count(*)) - 1 AS a, avg(r) / stddev_samp(r) * {YEAR} AS s FROM j_ JOIN s0_ USING (i) GROUP BY k)""",
        "SELECT " + ", ".join(f"quantile_cont({c}, {q}) AS {name}_{p}" for c, name in (("a", "annual_return"), ("s", "sharpe")) for q, p in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))) + " FROM e_", "annual_return_p05 annual_return_p50 annual_return_p95 sharpe_p05 sharpe_p50 sharpe_p95")
 def _(spark, d):
-    return evaluate.bootstrap(t.curve(spark, d).select("date", F.col("return").alias("r")), 100, 20)
+    return evaluate.bootstrap(t.curve(spark, d).select("date", F.col("return").alias("r")), 500, 20)
 
 
 @query("placebo", f"""{PRED}, x_ AS (SELECT *, row_number() OVER (PARTITION BY model, date ORDER BY symbol) AS own, row_number() OVER (PARTITION BY model, date ORDER BY md5('7|' || date || '|' || symbol), symbol) AS dealt FROM pred)""",
@@ -854,7 +854,29 @@ def _(spark, d):
     r = t.names(spark, d, t.once(spark, d)).select(F.col("symbol").alias("series"), "date", features.k_return(1).alias("r"))
     fit = r.filter("date < '1997-01-01' and r is not null").groupBy("series").agg(F.avg("r").alias("mu0"), F.stddev_samp("r").alias("sd")).filter("sd > 0")
     p = fit.select("series", "mu0", F.col("mu0").alias("mu1"), (F.col("sd") * 0.5).alias("sd0"), (F.col("sd") * 1.5).alias("sd1"), F.lit(0.95).alias("p00"), F.lit(0.9).alias("p11"), F.lit(0.3).alias("pi1"))
-    return features.filtered_probabilities(r, p)
+    return regimes.filtered_probabilities(r, p)
+
+
+def _refit_sql() -> str:
+    """The recursion from the start of history under each refit's parameters, of which the dates in force are kept."""
+    return f"""{TECH}, at_ AS (SELECT CAST(x AS DATE) AS since, CAST(lead(x) OVER (ORDER BY x) AS DATE) AS until FROM (VALUES ('1996-01-01'), ('1997-01-06'), ('1998-01-05')) v(x)),
+  fit_ AS (SELECT symbol AS series, since, any_value(until) AS until, avg(r) AS mu, stddev_samp(r) * 0.5 AS sd0, stddev_samp(r) * 1.5 AS sd1 FROM r_ JOIN at_ ON date < since WHERE r IS NOT NULL GROUP BY symbol, since HAVING stddev_samp(r) > 0),
+  next_ AS (SELECT *, lead(since) OVER (PARTITION BY series ORDER BY since) AS stop FROM fit_),
+  y_ AS (SELECT series, since, stop, date, {_DENS.format(mu='mu', sd='sd0')} AS d0, {_DENS.format(mu='mu', sd='sd1')} AS d1, row_number() OVER (PARTITION BY series, since ORDER BY date) AS i FROM r_ JOIN next_ ON series = symbol WHERE r IS NOT NULL AND (stop IS NULL OR date < stop)),
+  f_(series, since, date, i, p) AS (SELECT series, since, date, i, CASE WHEN 0.7 * d0 + 0.3 * d1 > 0 THEN 0.3 * d1 / (0.7 * d0 + 0.3 * d1) ELSE 0.3 END FROM y_ WHERE i = 1
+    UNION ALL SELECT series, since, date, i, CASE WHEN a + b > 0 THEN b / (a + b) ELSE p END FROM (SELECT y_.series, y_.since, y_.date, y_.i, f_.p, ((1 - p) * 0.95 + p * (1 - 0.9)) * d0 AS a, ((1 - p) * (1 - 0.95) + p * 0.9) * d1 AS b
+      FROM f_ JOIN y_ ON y_.series = f_.series AND y_.since = f_.since AND y_.i = f_.i + 1))"""
+
+
+@query("regime_refits", _refit_sql(), "SELECT series, date, p AS stress FROM f_ WHERE date >= since", "stress")
+def _(spark, d):
+    """Means and deviations of all returns before each refit."""
+    r = cut(t.names(spark, d, t.once(spark, d)).select(F.col("symbol").alias("series"), "date", features.k_return(1).alias("r")), "returns")
+    at = F.explode(F.array(*[F.lit(x).cast("date") for x in ("1996-01-01", "1997-01-06", "1998-01-05")]))
+    seen = r.filter("r is not null").withColumn("block_start", at).filter("date < block_start")
+    fit = seen.groupBy("series", "block_start").agg(F.avg("r").alias("mu0"), F.stddev_samp("r").alias("sd")).filter("sd > 0")
+    p = fit.select("series", "block_start", "mu0", F.col("mu0").alias("mu1"), (F.col("sd") * 0.5).alias("sd0"), (F.col("sd") * 1.5).alias("sd1"), F.lit(0.95).alias("p00"), F.lit(0.9).alias("p11"), F.lit(0.3).alias("pi1"))
+    return regimes.causal_stress(r, p)
 
 
 # --- flagship ----------------------------------------------------------------------------------------------------------------------

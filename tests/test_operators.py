@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import windows
-from panelwright.operators import capacity, evaluate, features, ledger, models, risk, signals, splits
+from panelwright.operators import capacity, evaluate, features, ledger, models, regimes, risk, signals, splits
 from panelwright.operators.labels import build_labels
 from panelwright.sources import contract, panels
 
@@ -84,7 +84,7 @@ def test_sequences_and_regime_probability(spark, walk):
     assert s.count() == 3 * 86
     r = walk.select(F.col("symbol").alias("series"), "date", features.k_return(1).alias("r"))
     p = spark.createDataFrame([(n, 0.0, 0.0, 0.005, 0.02, 0.95, 0.9, 0.3) for n in ("AAA", "BBB")], "series string, mu0 double, mu1 double, sd0 double, sd1 double, p00 double, p11 double, pi1 double")
-    got = features.filtered_probabilities(r, p).filter("series = 'AAA'").orderBy("date").toPandas()
+    got = regimes.filtered_probabilities(r, p).filter("series = 'AAA'").orderBy("date").toPandas()
     x = r.filter("series = 'AAA' and r is not null").orderBy("date").toPandas()["r"]
     prob, out = 0.3, []
     for i, v in enumerate(x):
@@ -244,8 +244,8 @@ def test_causal_stress_uses_parameters_of_its_block(spark):
     r = spark.createDataFrame([("x", d, float(v)) for d, v in zip(days(40), rng.normal(0, 0.02, 40))], "series string, date date, r double")
     names = "series string, mu0 double, mu1 double, sd0 double, sd1 double, p00 double, p11 double, pi1 double"
     one, two = ("x", 0.0, 0.0, 0.01, 0.03, 0.95, 0.9, 0.3), ("x", 0.0, 0.0, 0.005, 0.05, 0.8, 0.7, 0.5)
-    got = features.causal_stress(r, spark.createDataFrame([(*one, days(40)[0]), (*two, days(40)[25])], names + ", block_start date")).orderBy("date").toPandas()
-    a, b = (features.filtered_probabilities(r, spark.createDataFrame([p], names)).orderBy("date").toPandas()["stress"] for p in (one, two))
+    got = regimes.causal_stress(r, spark.createDataFrame([(*one, days(40)[0]), (*two, days(40)[25])], names + ", block_start date")).orderBy("date").toPandas()
+    a, b = (regimes.filtered_probabilities(r, spark.createDataFrame([p], names)).orderBy("date").toPandas()["stress"] for p in (one, two))
     assert len(got) == 40 and np.allclose(got["stress"], np.concatenate((a[:25], b[25:])))
 
 
