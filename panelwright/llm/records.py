@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -50,7 +51,8 @@ def masked_crc(data: bytes) -> int:
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose normalizer lower-cases and whose pre-tokenizer parts words at ASCII
     white space, and letters from signs: the ids of a text are then those of its words in turn, and those of letters with signs behind
-    them are the ids of both in turn. Each distinct part is encoded once."""
+    them are the ids of both in turn. Letters are what the normalizer (NFC, lower case) leaves as letters: some become a letter and a
+    mark, which joins the signs, so that their words go whole. Each distinct part is encoded once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,7 +90,7 @@ class WordEncoder:
         two, letters, others = [], set(), set()
         for w in words:
             m = _LETTERS_SIGNS.fullmatch(w)
-            if m and (w.isascii() or m[1].decode().isalpha()):
+            if m and (w.isascii() or unicodedata.normalize("NFC", m[1].decode()).lower().isalpha()):
                 body, signs = m[1].lower(), m[2]
                 two.append((w, body, signs))
                 letters.add(body)

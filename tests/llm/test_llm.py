@@ -546,6 +546,23 @@ def test_records(spark, docs, none):
     assert records.read_records(records.write_records(none, path, 2, empty), empty).count() == 0
 
 
+def test_every_letter_before_and_after_signs():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), records.WordEncoder(path)
+    letters = [chr(c) for c in range(0x80, 0x30000) if unicodedata.category(chr(c))[0] in "LM"]
+    words = [w for c in letters for w in (f"x{c}!", f"{c}'a.", f"!{c}")]
+    words += ["DİYARBAKIR'dan", "İ.", "क़लम,", "e\u0301!", "x\u0338=", "=\u0338"]
+    for lo in range(0, len(words), 20_000):
+        some = words[lo : lo + 20_000]
+        e._learn({w.encode() for w in some})
+        want = t.encode_batch(some, add_special_tokens=False)
+        assert [w for w, x in zip(some, want, strict=True) if np.frombuffer(e.known[w.encode()], "<u4").tolist() != x.ids] == []
+
+
 def test_damaged_records_are_found():
     import io
 
