@@ -133,7 +133,7 @@ vim | vim | vim license
 beerware | beerware | beerware(?: license)?
 sspl-1.0 | server | server side public license(?: (?:version |v)?1)?
 elastic-2.0 | elastic | elastic license(?: (?:version |v)?2(?: 0)?)?
-openrail | openrail | (?:bigscience |creativeml )?openrail m?(?: license)?
+openrail | openrail | (?:bigscience |creativeml )?openrail(?: m)?(?: license)?
 llama-community | llama | llama (?:[23](?: [0-9])? )?community license
 proprietary | proprietary | proprietary(?: and confidential| license)?
 all-rights-reserved | reserved | all rights reserved
