@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import CACHES, bounded, claim, schema_of, table, texts_of
 
-_UNIT = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]")
+#: A word with all spaces before it, a run of spaces, or one other character of white space: no piece goes on from a word to a space.
+_UNIT = re.compile(rb" *[^ \t-\r]+| +|[\t-\r]")
 #: Units up to this many bytes advance together with others of their length.
 TOGETHER_BYTES = 512
-#: Score of a byte piece: worse than that of any other way.
-BYTE_SCORE = -1e6
+#: Score of a byte piece, at most; models with worse pieces give it BYTE_TIMES the score of the worst, so that no way that does without
+#: byte pieces, of up to so many pieces a byte, loses to one with them.
+BYTE_SCORE, BYTE_TIMES = -1e6, 64
 #: Units that a worker remembers, and bytes of the longest of them.
 CACHE_UNITS, CACHE_BYTES = 200_000, 64
 #: Bytes of the units of one length that advance together, and positions of a long unit that are probed at once.
@@ -61,6 +63,7 @@ class Pieces:
         self.keys, self.scores = keys[order], np.array([s for s, _ in found.values()])[order]
         self.ids = np.array([i for _, i in found.values()], np.int64)[order]
         self.lengths = np.array(sorted({len(p) for p in found}))
+        self.byte_score = min(BYTE_SCORE, BYTE_TIMES * float(self.scores.min(initial=0.0)))
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -90,7 +93,7 @@ class Pieces:
         best[0] = 0
         back, piece = np.ones((length + 1, n), np.int16), np.zeros((length + 1, n), np.int32)
         for j in range(1, length + 1):
-            best[j], piece[j] = best[j - 1] + BYTE_SCORE, self.byte_id[data[:, j - 1]]
+            best[j], piece[j] = best[j - 1] + self.byte_score, self.byte_id[data[:, j - 1]]
             for size in self.lengths[self.lengths <= j]:
                 h = prefix[j] - prefix[j - size] * power[size]
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -135,7 +138,7 @@ class Pieces:
         hits = self._hits(unit)
         hit, byte_id = next(hits, None), self.byte_id[np.frombuffer(unit, np.uint8)].tolist()
         for j in range(1, n + 1):
-            top, size, which = best[j - 1] + BYTE_SCORE, 1, byte_id[j - 1]
+            top, size, which = best[j - 1] + self.byte_score, 1, byte_id[j - 1]
             while hit and hit[0] == j:
                 _, k, score, i = hit
                 if best[j - k] + score > top and self.bytes[i] == unit[j - k : j]:

@@ -56,6 +56,12 @@ def test_license_scan(spark, none):
     assert license_scan.license_scan(none).count() == 0 and len(license_scan.rules()) > 300
 
 
+def test_openrail_without_m(spark):
+    rows = [(i, t) for i, t in enumerate(("OpenRAIL", "CreativeML OpenRAIL license", "BigScience OpenRAIL-M License", "openrail m", "openrailm"))]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("openrail" in got[i] for i in range(4)) and got[4] == ""
+
+
 def brute_license(text):
     low = (text or "").translate(str.maketrans(common.UPPER, common.LOWER))
     joined = " " + re.sub(license_scan.BETWEEN_WORDS, " ", low).strip() + " "
@@ -492,11 +498,11 @@ def best_path(p, unit):
     best = [0.0] + [-math.inf] * len(unit)
     longest = max(map(len, table))
     for j in range(1, len(unit) + 1):
-        best[j] = best[j - 1] + pieces.BYTE_SCORE
+        best[j] = best[j - 1] + p.byte_score
         for k in range(1, min(j, longest) + 1):
             if unit[j - k : j] in table:
                 best[j] = max(best[j], best[j - k] + table[unit[j - k : j]][0])
-    score = lambda ids: sum(table[p.bytes[i]][0] if table.get(p.bytes[i], (0, -1))[1] == i else pieces.BYTE_SCORE for i in ids)
+    score = lambda ids: sum(table[p.bytes[i]][0] if table.get(p.bytes[i], (0, -1))[1] == i else p.byte_score for i in ids)
     return best[-1], score
 
 
@@ -526,6 +532,20 @@ def test_pieces(spark, docs, monkeypatch):
     assert {(r.doc_id, bytes(r.ids), r.decoded) for r in rows} == {(r.doc_id, bytes(r.ids), r.decoded) for r in pieces.round_trip(docs, path).collect()}
 
 
+def test_runs_of_spaces_equal_the_optimum_over_the_text():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p, library = pieces.Pieces.of(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("x        y", "a  b", "   lead", "tail   ", "def f():\n    return  1", " " * 40, "a \t  b", "x" + " " * 700 + "y"):
+        ids = np.frombuffer(p.encode([text.encode()])[0], "<u2").tolist()
+        whole = p.prefix + text.encode()
+        best, score = best_path(p, whole)
+        assert b"".join(p.bytes[i] for i in ids) == whole and abs(score(ids) - best) < 1e-6 * abs(best), text
+        assert p.decode(p.encode([text.encode()])[0]).decode() == text
+    assert [p.bytes[i] for i in np.frombuffer(p.encode([b"x        y"])[0], "<u2")] == [x.replace("▁", " ").encode() for x in library.encode("x        y", out_type=str)]
+
+
 def test_records(spark, docs, none):
     from tokenizers import Tokenizer
 
