@@ -82,11 +82,11 @@ def _deal(cosine: float):
                 at = v @ directions(dim)[:CELL_DIMS].T / width
                 home = np.floor(at).astype(np.int64)
                 data = [x.tobytes() for x in v]
-                ids, labels = batch.column("vec_id").take(pa.array(rows)), batch.column("label").take(pa.array(rows))
+                ids, labels, copies = (batch.column(c).take(pa.array(rows)) for c in ("vec_id", "label", "copies"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, labels, pa.array(np.full(len(rows), dim)), pa.array(data, pa.binary()), *[pa.array(x) for x in home.T],
+                    [ids, labels, copies, pa.array(np.full(len(rows), dim)), pa.array(data, pa.binary()), *[pa.array(x) for x in home.T],
                      *[pa.array(x) for x in (np.floor(at + 0.5) - home).astype(np.int64).T]],
-                    names=["vec_id", "label", "dim", "unit", *[f"c{i}" for i in range(CELL_DIMS)], *[f"up{i}" for i in range(CELL_DIMS)]])
+                    names=["vec_id", "label", "copies", "dim", "unit", *[f"c{i}" for i in range(CELL_DIMS)], *[f"up{i}" for i in range(CELL_DIMS)]])
 
     return run
 
@@ -109,7 +109,7 @@ def _tie(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _compare(cosine: float):
-    """Links of the queries of one block with its candidates: per query their number of copies and, for components, a few edges."""
+    """Links of the queries of one block with its candidates: per query their number of copies and, for components, a few edges. vec_id is the key of a class of equal vectors."""
     least = least_collisions()
 
     def run(block: pa.Table) -> pa.Table:
@@ -161,15 +161,16 @@ def embedding_near_duplicates(vectors: DataFrame, *, cosine: float = 0.98) -> Da
     Equal vectors of a label are one class with its number of copies, compared once. A hot cell is dealt in blocks of queries by blocks of
     candidates. n_links counts other rows; links are counted where they are found, and only a spanning forest of each block is kept for
     components. Vectors that are null, empty, zero or hold null or non-finite components, and rows without label or vec_id, link with
-    nothing (their own component); vectors of different lengths are not compared; rows that repeat a vec_id count as copies if the vector
-    is the same; an empty table gives an empty result; other columns are not read."""
+    nothing (their own component); vectors of different lengths are not compared; rows that repeat a vec_id are vectors each, copies where
+    the vector is the same and links where it is near, and each has the links and component of its own vector; an empty table gives an empty
+    result; other columns are not read."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     label = dict(rows.dtypes)["label"]
-    classes = rows.filter("label is not null and vec_id is not null and embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = cut(classes, "vectors")
+    classes = rows.filter("label is not null and vec_id is not null and embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # the key of a class, since a vec_id may have several vectors
+    classes = cut(classes.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     ints = ", ".join(f"{c}{i} long" for c in ("c", "up") for i in range(CELL_DIMS))
-    dealt = classes.select("vec_id", "label", "embedding").mapInArrow(_deal(cosine), f"vec_id long, label {label}, dim long, unit binary, {ints}")
-    dealt = cut(dealt.join(classes.select("vec_id", "copies", "label").hint("merge"), ["vec_id", "label"]), "dealt")
+    dealt = cut(classes.select("vec_id", "label", "copies", "embedding").mapInArrow(_deal(cosine), f"vec_id long, label {label}, copies long, dim long, unit binary, {ints}"), "dealt")
     cell = [f"c{i}" for i in range(CELL_DIMS)]
     # a window as wide as a cell around a vector reaches into its own cell and, in each direction, the nearer neighbour
     probes = F.array(*[F.struct(*[(F.col(f"c{i}") + (F.when(F.col(f"up{i}") > 0, 1).otherwise(-1) if mask >> i & 1 else 0)).alias(f"c{i}") for i in range(CELL_DIMS)]) for mask in range(1 << CELL_DIMS)])
@@ -184,9 +185,12 @@ def embedding_near_duplicates(vectors: DataFrame, *, cosine: float = 0.98) -> Da
     found = dealt_out.groupBy("label", "dim", *cell, "i", "j").applyInArrow(_compare(cosine), "vec_id long, other long, links long")
     found = cut(found, "found")
     links = found.filter("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    comp = components(found.filter("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    result = classes.join(links.hint("merge"), "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id").hint("merge"), "vec_id", "left").select(
-        "label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "vec_id").alias("component"), F.col("vec_id").alias("rep"))
+    comp = cut(components(found.filter("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))), "components")
+    # the smallest vec_id of a component's classes
+    lowest = comp.join(classes.select(F.col("vec_id").alias("node"), "least").hint("merge"), "node").groupBy("component").agg(F.min("least").alias("lowest"))
+    comp = comp.join(lowest.hint("merge"), "component").select(F.col("node").alias("vec_id"), "lowest")
+    result = classes.join(links.hint("merge"), "vec_id", "left").join(comp.hint("merge"), "vec_id", "left").select(
+        "label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("lowest", "least").alias("component"), F.col("vec_id").alias("rep"))
     finite = F.expr("exists(embedding, x -> x <> 0) and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     out = rows.join(result.hint("merge"), ["label", "embedding"], "left").withColumn("good", F.coalesce(finite, F.lit(False)) & F.col("rep").isNotNull() & F.col("vec_id").isNotNull())
     return out.select(

@@ -117,6 +117,32 @@ def test_embeddings(spark):
     assert embed_dedup.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_repeated_ids_with_other_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)  # several blocks to a cell
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    rows = [(1, [1.0] + [0.0] * 7, 0), (1, [1.0, 0.001] + [0.0] * 6, 0), (2, [5.0] + [0.0] * 7, 0), (2, [5.0] + [0.0] * 7, 1)]
+    rows += [(int(rng.integers(0, 25)), (base[rng.integers(0, 12)] + 0.06 * rng.normal(size=8)).tolist(), int(rng.integers(0, 2))) for _ in range(120)]
+    rows += rows[10:30]
+    schema = "vec_id long, embedding array<double>, label int, copies long, unit int, c0 int, least int"
+    got = embed_dedup.embedding_near_duplicates(spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], schema).repartition(3)).collect()
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(rows), dtype=bool)
+    want = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(np.flatnonzero(near[todo.pop()]).tolist()) - seen
+            seen |= new
+            todo += new
+        low = min(rows[j][0] for j in seen)
+        want.append((rows[i][0], int(near[i].sum()), low, rows[i][0] == low))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_tie():
     rng = np.random.default_rng(4)
     for n, m in ((50, 20), (300, 400), (2000, 1500), (40, 1500)):
