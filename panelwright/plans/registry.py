@@ -836,10 +836,12 @@ def decisions(spark, d):
   o_ AS (SELECT *, abs(a) + abs(b) AS gross, abs(a + b) AS net, greatest(abs(a), abs(b)) AS pos, abs(a) + abs(b + 0.05) + abs(c) AS turn, row_number() OVER (PARTITION BY portfolio, decision_id ORDER BY seq) AS nr FROM e_),
   p_ AS (SELECT *, max(CASE WHEN nr = 1 THEN equity END) OVER (PARTITION BY portfolio ORDER BY seq) AS peak FROM o_)""",
        """SELECT portfolio, seq, decision_id, CASE WHEN nr > 1 THEN 'duplicate_decision_id' ELSE concat_ws(',', CASE WHEN age < 0 THEN 'future_data_availability' WHEN age > 345600 THEN 'stale_data' END, CASE WHEN gross > 1 THEN 'gross_exposure_limit' END, CASE WHEN net > 1 THEN 'net_exposure_limit' END, CASE WHEN pos > 0.1 THEN 'position_limit' END,
-  CASE WHEN turn > 0.3 THEN 'turnover_limit' END, CASE WHEN gross * equity > 260000 THEN 'notional_limit' END, CASE WHEN equity / peak - 1 < -0.15 THEN 'drawdown_limit' END, CASE WHEN equity / 1.05e6 - 1 < -0.047 THEN 'daily_loss_limit' END) END AS reasons FROM p_""")
+  CASE WHEN turn > 0.3 THEN 'turnover_limit' END, CASE WHEN gross * equity > 260000 THEN 'notional_limit' END, CASE WHEN equity / peak - 1 < -0.15 THEN 'drawdown_limit' END, CASE WHEN equity / 1.05e6 - 1 < -0.047 THEN 'daily_loss_limit' END) END AS reasons, CASE WHEN nr = 1 THEN gross END AS gross_exposure, CASE WHEN nr = 1 THEN net END AS absolute_net_exposure,
+  CASE WHEN nr = 1 THEN pos END AS maximum_position_weight, CASE WHEN nr = 1 THEN turn END AS turnover, CASE WHEN nr = 1 THEN gross * equity END AS notional, CASE WHEN nr = 1 THEN equity / peak - 1 END AS drawdown,
+  CASE WHEN nr = 1 THEN equity / 1.05e6 - 1 END AS daily_return, CASE WHEN nr = 1 THEN age END AS data_age_seconds FROM p_""", "gross_exposure absolute_net_exposure maximum_position_weight turnover notional drawdown daily_return data_age_seconds")
 def _(spark, d):
     limits = gate.Limits(maximum_turnover=0.3, maximum_notional=260_000.0, maximum_daily_loss=0.047)
-    return gate.batch_gate(decisions(spark, d), limits).select("portfolio", "seq", "decision_id", F.array_join("reasons", ",").alias("reasons"))
+    return gate.batch_gate(decisions(spark, d), limits).select("portfolio", "seq", "decision_id", F.array_join("reasons", ",").alias("reasons"), *[F.try_element_at("observed", F.lit(c)).alias(c) for c in gate.OBSERVED])
 
 
 _DENS = "exp(-0.5 * pow((r - {mu}) / {sd}, 2)) / {sd}"

@@ -24,11 +24,40 @@ def test_batch(spark):
     assert got == WANT
 
 
+def test_observed_values(spark):
+    rows = gate.batch_gate(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    got = {(r.portfolio, r.seq): r.observed for r in rows}
+    assert got[1, 2] == {} and got[1, 8] == {} and set(got[1, 6]) == set(gate.OBSERVED)
+    six = got[1, 6]
+    assert abs(six["drawdown"] + 0.2) < 1e-12 and six["gross_exposure"] == 0.05 and six["turnover"] == 0 and six["notional"] == 4 and six["data_age_seconds"] == 3600 and six["daily_return"] == 0
+
+
+def run(spark, stream, tmp_path, **options):
+    q = gate.stream_gate(stream, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     kill = row(9, None, kind="kill")
     spark.createDataFrame([*ROWS, kill, row(10, "h")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    q = gate.stream_gate(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.portfolio, r.seq): list(r.reasons) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    rows = run(spark, spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), tmp_path)
+    got = {(r.portfolio, r.seq): list(r.reasons) for r in rows}
     assert got == WANT | {(1, 10): ["manual_kill_switch"]}
+    batch = {(r.portfolio, r.seq): r.observed for r in gate.batch_gate(spark.createDataFrame(ROWS, SCHEMA)).collect()}
+    assert all(set(r.observed) == set(batch[r.portfolio, r.seq]) and all(abs(v - batch[r.portfolio, r.seq][k]) < 1e-9 for k, v in r.observed.items()) for r in rows if r.seq < 10)
+
+
+def test_expired_ids_stream_equals_batch(spark, tmp_path):
+    """Repeats within, and after, the time to live of three days, over several batches; one decision comes later than the watermark."""
+    day = lambda n: NOW + dt.timedelta(days=n)
+    at = lambda seq, id_, n, portfolio=1: (portfolio, seq, "decision", id_, day(n), day(n), {"A": 0.05}, {"A": 0.05}, 100.0, 100.0)
+    files = [[at(1, "a", 0), at(2, "b", 0), at(1, "a", 0, 2)], [at(3, "a", 2), at(4, "c", 10)], [at(5, "a", 11), at(6, "b", 10), at(2, "a", 12, 2), at(7, "c", 12)], [at(8, "late", 5), at(9, "a", 13.9)], [at(10, "d", 30)], [at(11, "a", 31), at(12, "d", 32)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.portfolio, r.seq): list(r.reasons) for r in run(spark, stream, tmp_path, ttl_days=3)}
+    kept = [r for rows in files for r in rows if r[3] != "late"]
+    batch = gate.batch_gate(spark.createDataFrame(kept, SCHEMA), ttl_days=3)
+    assert got == {(r.portfolio, r.seq): list(r.reasons) for r in batch.collect()}
+    assert {k for k, v in got.items() if v} == {(1, 3), (1, 7), (1, 9), (1, 12)}
