@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.plans.session import cut, ship
+
 PRICES = ["open", "high", "low", "close"]
 COLUMNS = ["date", "symbol", *PRICES, "volume"]
 
@@ -72,12 +79,47 @@ def write_run(tables: dict[str, DataFrame], folder: str, run_id: str) -> str:
     return f"{folder}/{run_id}"
 
 
+#: Bytes of a file that a task holds while it digests it.
+CHUNK = 4 << 20
+
+
+def file_digests(paths: DataFrame) -> DataFrame:
+    """(path, found_sha, found_rows) of the files of paths (path: URIs): sha256 over the bytes and the rows in a Parquet footer, null where a
+    file is no Parquet. Paths are dealt to tasks, and a file is read in chunks through its file system, so that a task holds one chunk of a
+    file of any size; a digest is sequential, so a file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                scheme, rest = path.split(":", 1)  # Spark's paths are not escaped
+                host, place = rest[2:].split("/", 1) if rest.startswith("//") else ("", rest.lstrip("/"))
+                store, place = fs.FileSystem.from_uri(f"{scheme}://{host}/{quote(place)}")
+                digest, block = hashlib.sha256(), bytearray(CHUNK)
+                with store.open_input_file(place) as file:
+                    while n := file.readinto(block):
+                        digest.update(memoryview(block)[:n])
+                    try:
+                        rows = pq.ParquetFile(file).metadata.num_rows
+                    except (pa.ArrowInvalid, OSError):
+                        rows = None
+                found.append((path, digest.hexdigest(), rows))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int64())], names=["path", "found_sha", "found_rows"])
+
+    ship(paths.sparkSession)
+    return paths.select("path").repartition("path").mapInArrow(run, "path string, found_sha string, found_rows long")
+
+
 def bundle_integrity(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(path, rule, expected, found) of every part that differs from the manifest (path, rows, sha256): missing and surplus files, hashes
-    and row counts. Empty when the bundle is whole."""
+    and row counts. Empty when the bundle is whole. Spark lists the folder, without files that
+    have no bytes, which count as missing; contents are read by file_digests() alone."""
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select(name("path").alias("file"), F.sha2("content", 256).alias("found_sha"))
-    rows = spark.read.option("recursiveFileLookup", True).parquet(folder).groupBy(name("_metadata.file_path").alias("file")).agg(F.count("*").alias("found_rows"))
-    both = manifest.select(name("path").alias("file"), "rows", "sha256").join(files, "file", "full_outer").join(rows, "file", "left")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select("path")
+    files = cut(file_digests(listed), "digests").select(name("path").alias("file"), "found_sha", "found_rows")
+    both = manifest.select(name("path").alias("file"), "rows", "sha256").hint("merge").join(files.hint("merge"), "file", "full_outer")
     rule = F.when(F.col("found_sha").isNull(), "missing").when(F.col("sha256").isNull(), "surplus").when(F.col("sha256") != F.col("found_sha"), "sha256").when(F.col("rows") != F.coalesce("found_rows", F.lit(0)), "rows")
     return both.withColumn("rule", rule).filter("rule is not null").select(F.col("file").alias("path"), "rule", F.concat_ws("/", F.col("rows").cast("string"), "sha256").alias("expected"), F.concat_ws("/", F.col("found_rows").cast("string"), "found_sha").alias("found"))

@@ -281,3 +281,16 @@ def test_validation_and_sources(spark, walk, tmp_path):
     for rows, sha, want in ((n, whole, set()), (n + 1, whole, {"rows"}), (n, "0" * 64, {"sha256"})):
         found = panels.bundle_integrity(spark, str(part.parent), spark.createDataFrame([(part.name, rows, sha)], "path string, rows long, sha256 string"))
         assert {r.rule for r in found.filter(F.col("path") == part.name).collect()} == want
+
+
+def test_digests_by_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(panels, "CHUNK", 1000)
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "bundle with space"))
+    part = next((tmp_path / "bundle with space").glob("*.parquet"))
+    (part.parent / "broken.parquet").write_bytes(b"no parquet" * 1000)
+    (part.parent / "empty.parquet").write_bytes(b"")
+    sha = {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in part.parent.glob("*.parquet")}
+    manifest = spark.createDataFrame([(part.name, 5000, sha[part.name]), ("broken.parquet", 7, sha["broken.parquet"]), ("empty.parquet", 0, sha["empty.parquet"]), ("gone.parquet", 1, "x")], "path string, rows long, sha256 string")
+    got = {r.path: (r.rule, r.found) for r in panels.bundle_integrity(spark, str(part.parent), manifest).collect()}
+    assert got == {"broken.parquet": ("rows", sha["broken.parquet"]), "gone.parquet": ("missing", ""), "empty.parquet": ("missing", "")}
+    assert {r.rule for r in panels.bundle_integrity(spark, str(part.parent), manifest.filter("path = 'none'")).collect()} == {"surplus"}
