@@ -9,9 +9,11 @@ that hold checksums stays meaningful.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
+import sys
 import unicodedata
 import uuid
 import zlib
@@ -48,6 +50,13 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_ADD) & 0xFFFFFFFF
 
 
+@functools.cache
+def marked_letters() -> frozenset[str]:
+    """Letters that the normalizer turns into a letter and a mark."""
+    letters = filter(str.isalpha, map(chr, range(0x80, sys.maxunicode + 1)))
+    return frozenset(c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha())
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose normalizer lower-cases and whose pre-tokenizer parts words at ASCII
     white space, and letters from signs: the ids of a text are then those of its words in turn, and those of letters with signs behind
@@ -87,10 +96,10 @@ class WordEncoder:
         """Add words to known, by their parts where a word is letters and signs."""
         if len(self.parts) > CACHE_PARTS:
             self.parts = {}
-        two, letters, others = [], set(), set()
+        two, letters, others, marked = [], set(), set(), marked_letters()
         for w in words:
             m = _LETTERS_SIGNS.fullmatch(w)
-            if m and (w.isascii() or unicodedata.normalize("NFC", m[1].decode()).lower().isalpha()):
+            if m and (w.isascii() or (text := m[1].decode()).isalpha() and marked.isdisjoint(text)):
                 body, signs = m[1].lower(), m[2]
                 two.append((w, body, signs))
                 letters.add(body)
