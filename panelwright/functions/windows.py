@@ -14,8 +14,8 @@ def by_symbol():
     return Window.partitionBy("symbol").orderBy("date")
 
 
-def by_date():
-    return Window.partitionBy("date")
+def by_date(*keys: str):
+    return Window.partitionBy(*keys, "date")
 
 
 def last_rows(n: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import PERIODS_PER_YEAR, by_symbol, dated, ratio
@@ -85,12 +85,15 @@ def size_orders(positions: DataFrame, targets: DataFrame, equity) -> DataFrame:
     return both.select("key", "symbol", (want - F.coalesce("shares", F.lit(0.0))).alias("requested_shares"))
 
 
-def fill(orders: DataFrame, costs: Costs, policy: Policy) -> DataFrame:
+def fill(orders: DataFrame, costs: Costs, policy: Policy, cap: Column | None = None) -> DataFrame:
     """Adds the fill to orders (requested_shares, price, adv, vol): a participation cap on lagged volume (no volume: rejected), half spread,
-    slippage and square-root impact in the price, commission beside it."""
+    slippage and square-root impact in the price, commission beside it. cap: a column of the orders instead of the policy's participation rate (null:
+    none); the costs may be columns as well."""
     rq = F.abs("requested_shares")
     adv_ok = F.coalesce(F.col("adv") > 0, F.lit(False))
-    size = rq if policy.max_participation_rate is None else F.when(adv_ok, F.least(rq, F.col("adv") * policy.max_participation_rate)).otherwise(0.0)
+    if cap is None and policy.max_participation_rate is not None:
+        cap = F.lit(policy.max_participation_rate)
+    size = rq if cap is None else F.when(cap.isNull(), rq).when(adv_ok, F.least(rq, F.col("adv") * cap)).otherwise(0.0)
     size = F.when(F.coalesce(F.col("price") > 0, F.lit(False)), F.coalesce(size, F.lit(0.0))).otherwise(0.0)
     df = orders.withColumn("q_", size)
     df = df.withColumn("participation", F.when(adv_ok & (F.col("q_") > 0), F.col("q_") / F.col("adv")).otherwise(0.0))

@@ -21,10 +21,11 @@ def drawdown(curve: DataFrame) -> DataFrame:
     return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far()) - 1)
 
 
-def trim_inactive(curve: DataFrame) -> DataFrame:
-    """Rows from the first with exposure on; all, if there never was any."""
+def trim_inactive(curve: DataFrame, *by: str) -> DataFrame:
+    """Rows (of each curve of the keys by) from the first with exposure on; all, if there never was any."""
     active = (F.coalesce(F.col("gross_exposure"), F.lit(0.0)) > 0).cast("int")
-    df = curve.withColumns({"a_": F.max(active).over(so_far()), "any_": F.max(active).over(Window.partitionBy())})
+    own = Window.partitionBy(*by)
+    df = curve.withColumns({"a_": F.max(active).over(own.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)), "any_": F.max(active).over(own)})
     return df.filter("a_ = 1 or any_ = 0").drop("a_", "any_")
 
 

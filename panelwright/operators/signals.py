@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_date, pct_rank, ratio
@@ -17,15 +17,19 @@ def select_model(predictions: DataFrame, model: str | None = None) -> DataFrame:
     return predictions.join(F.broadcast(best), "model", "left_semi")  # one row
 
 
+def tails(n: Column, rn: Column, quantile: Column | float) -> Column:
+    """1 for the quantile's highest of n ranks, at least one, -1 for as many lowest."""
+    k = F.greatest(F.lit(1), F.floor(n * quantile))
+    return F.when(n < 2, 0.0).when(rn > n - k, 1.0).when(rn <= k, -1.0).otherwise(0.0)
+
+
 def build_signals(predictions: DataFrame, strategy: str = "long_short", *, quantile: float = 0.2, top_k: int = 5, clip: float = 2.0, threshold: float = 0.0, allow_short: bool = True) -> DataFrame:
     """(date, symbol, prediction, signal), signal in [-1, 1]. Ties go by symbol."""
     p = F.col("prediction")
     df = predictions.select("date", "symbol", "prediction").filter(p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")))
     n = F.count("*").over(by_date())
     if strategy == "long_short":
-        k = F.greatest(F.lit(1), F.floor(n * quantile))
-        rn = F.row_number().over(by_date().orderBy("prediction", "symbol"))
-        signal = F.when(n < 2, 0.0).when(rn > n - k, 1.0).when(rn <= k, -1.0).otherwise(0.0)
+        signal = tails(n, F.row_number().over(by_date().orderBy("prediction", "symbol")), quantile)
     elif strategy == "long_only_topk":
         signal = F.when(F.row_number().over(by_date().orderBy(F.desc("prediction"), "symbol")) <= top_k, 1.0).otherwise(0.0)
     elif strategy == "rank_weighted":
@@ -54,20 +58,20 @@ def regime_filter(signals: DataFrame, features: DataFrame, column: str = "hmm_st
     return signals.join(per_date.hint("merge"), "date", "left").withColumn("signal", F.col("signal") * scale).drop("s_")
 
 
-def uncapped_weights(signals: DataFrame, vols: DataFrame | None = None, *, max_weight: float = 0.10, max_gross: float = 1.0) -> DataFrame:
+def uncapped_weights(signals: DataFrame, vols: DataFrame | None = None, *, max_weight: float = 0.10, max_gross: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(date, symbol, target_weight): scores over volatility (a missing one is the date's median, else 1), scaled to half the gross a side
-    when both are there, clipped by name, then scaled down to the gross."""
-    df = signals.select("date", "symbol", "signal")
+    when both are there, clipped by name, then scaled down to the gross. by: further keys of the signals; each has weights of its own."""
+    df, day = signals.select(*by, "date", "symbol", "signal"), by_date(*by)
     if vols is not None:
         df = df.join(vols.select("date", "symbol", "vol").hint("merge"), ["date", "symbol"], "left").withColumn("vol", F.when(F.col("vol") != 0, F.col("vol")))
-        df = df.withColumn("signal", F.col("signal") / F.coalesce("vol", F.percentile("vol", 0.5).over(by_date()), F.lit(1.0)))
+        df = df.withColumn("signal", F.col("signal") / F.coalesce("vol", F.percentile("vol", 0.5).over(day), F.lit(1.0)))
     df = df.withColumn("x", F.coalesce("signal", F.lit(0.0)))
-    df = df.withColumns({"p_": F.sum(F.greatest("x", F.lit(0.0))).over(by_date()), "m_": -F.sum(F.least("x", F.lit(0.0))).over(by_date())})
+    df = df.withColumns({"p_": F.sum(F.greatest("x", F.lit(0.0))).over(day), "m_": -F.sum(F.least("x", F.lit(0.0))).over(day)})
     two = (F.col("p_") > 0) & (F.col("m_") > 0)
     side = F.when(F.col("x") > 0, ratio(F.col("x"), F.col("p_"))).when(F.col("x") < 0, ratio(F.col("x"), F.col("m_"))).otherwise(0.0)
     w = F.when(two, side * (max_gross / 2)).otherwise(F.coalesce(ratio(F.col("x"), F.col("p_") + F.col("m_")), F.lit(0.0)) * max_gross)
-    df = df.withColumn("w_", F.greatest(F.least(w, F.lit(max_weight)), F.lit(-max_weight))).withColumn("g_", F.sum(F.abs("w_")).over(by_date()))
-    return df.select("date", "symbol", F.when(F.col("g_") > max_gross, F.col("w_") * max_gross / F.col("g_")).otherwise(F.col("w_")).alias("target_weight"))
+    df = df.withColumn("w_", F.greatest(F.least(w, F.lit(max_weight)), F.lit(-max_weight))).withColumn("g_", F.sum(F.abs("w_")).over(day))
+    return df.select(*by, "date", "symbol", F.when(F.col("g_") > max_gross, F.col("w_") * max_gross / F.col("g_")).otherwise(F.col("w_")).alias("target_weight"))
 
 
 def turnover_cap(weights: DataFrame, cap: float | None) -> DataFrame:

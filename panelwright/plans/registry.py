@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_symbol
-from panelwright.operators import capacity, evaluate, features, ledger, models, regimes, risk, signals, splits
+from panelwright.operators import capacity, evaluate, features, ledger, models, regimes, risk, signals, splits, stress
 from panelwright.operators.labels import build_labels
 from panelwright.sources import contract
 from panelwright.sources.adapter import BARS_SQL, BENCHMARK, table, ticks
@@ -17,7 +17,7 @@ from panelwright.streaming import gate
 
 from . import tables as t
 from .session import cut
-from .tables import CASH, CURVE, FILLS, PRED, S, WEIGHTS, avg_rank, full, pct, rows
+from .tables import CASH, CURVE, FILLS, PRED, STRESSED, S, WEIGHTS, avg_rank, full, pct, rows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -710,6 +710,31 @@ def _(spark, d):
     return ledger.replay(x.select("date", "symbol", "open", "close", "adv"), targets, scenarios(spark), cash=CASH)
 
 
+def _stressed(spark, d):
+    whole = t.once(spark, d)
+    return stress.stress_curves(t.one_model(spark, d, whole), t.names(spark, d, whole), t.STRESSES, t.POLICY, every=t.EVERY, cash=CASH)
+
+
+@query("stress_curves", STRESSED, 'SELECT * FROM scurve', '"return" equity turnover transaction_cost gross_exposure net_exposure', digits=3)
+def _(spark, d):
+    """Seven scenarios of the momentum book, session by session."""
+    return _stressed(spark, d)
+
+
+STRESS_LIVE = f"""{STRESSED}, act_ AS (SELECT *, max(CASE WHEN coalesce(gross_exposure, 0) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY scenario ORDER BY date) AS a FROM scurve),
+  live_ AS (SELECT *, equity / max(equity) OVER (PARTITION BY scenario ORDER BY date) - 1 AS dd, "return" AS r FROM act_ WHERE a = 1)"""
+#: Largest drawdown that a stressed book may have. The tables' prices jump at random and books lose more than they hold; at this limit some pass.
+STRESS_DRAWDOWN = 1.6
+
+
+@query("stress_results", STRESS_LIVE, f"""SELECT scenario, count(*) AS n_days, product(1 + r) - 1 AS total_return, stddev_samp(r) * sqrt(252) AS annual_volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe, min(dd) AS max_drawdown, avg(turnover) AS average_turnover,
+  sum(transaction_cost) AS transaction_cost_impact, min(dd) >= -{STRESS_DRAWDOWN} AS passed FROM live_ GROUP BY scenario""", "total_return annual_volatility sharpe max_drawdown average_turnover transaction_cost_impact")
+def _(spark, d):
+    """Performance of each scenario and whether its drawdown is within the limit."""
+    found = stress.results(_stressed(spark, d), STRESS_DRAWDOWN)
+    return found.select("scenario", "n_days", "total_return", "annual_volatility", "sharpe", "max_drawdown", "average_turnover", "transaction_cost_impact", "passed")
+
+
 # --- risk, capacity --------------------------------------------------------------------------------------------------------------
 
 

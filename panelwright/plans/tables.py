@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_symbol
-from panelwright.operators import ledger, signals
+from panelwright.operators import ledger, signals, stress
 from panelwright.operators.features import k_return
 from panelwright.operators.labels import build_labels
 from panelwright.sources.adapter import BARS_SQL, BENCHMARK, bars
@@ -158,3 +158,38 @@ before_ AS (SELECT e.*, coalesce(lag(equity) OVER (ORDER BY e.date), {CASH}) AS
 bench_ AS (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS b FROM panel WHERE symbol = 'BENCH'),
 curve AS (SELECT x.date, equity / prev - 1 AS "return", equity, coalesce(traded, 0) / prev AS turnover, coalesce(cost, 0) AS transaction_cost, gross / nullif(equity, 0) AS gross_exposure,
   market_value / nullif(equity, 0) AS net_exposure, gross > 0 AS active, coalesce(b, 0) AS benchmark_return FROM before_ x LEFT JOIN bench_ ON bench_.date = x.date)"""
+
+STRESSES = stress.scenarios(COSTS, POLICY)
+_TESTS = ", ".join(f"('{s.scenario}', {s.commission_bps}e0, {s.half_spread_bps}e0, {s.slippage_bps}e0, {s.quantile!r}e0, {s.lag}, {s.cap!r}e0)" for s in STRESSES)
+
+STRESSED = f"""{PRED},
+tests_ AS (SELECT * FROM (VALUES {_TESTS}) v(scenario, commission_bps, half_spread_bps, slippage_bps, quantile, lag, cap)),
+ranked_ AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY prediction, symbol) AS rn, count(*) OVER (PARTITION BY date) AS n FROM pred WHERE model = 'momentum'),
+sig_ AS (SELECT scenario, date, symbol, CASE WHEN n < 2 THEN 0.0 WHEN rn > n - greatest(1, floor(n * quantile)) THEN 1.0 WHEN rn <= greatest(1, floor(n * quantile)) THEN -1.0 ELSE 0.0 END AS signal FROM ranked_, tests_),
+sides_ AS (SELECT *, sum(greatest(signal, 0.0)) OVER (PARTITION BY scenario, date) AS p, -sum(least(signal, 0.0)) OVER (PARTITION BY scenario, date) AS m FROM sig_),
+raw_ AS (SELECT *, greatest(least(CASE WHEN p > 0 AND m > 0 THEN CASE WHEN signal > 0 THEN signal / p WHEN signal < 0 THEN signal / m ELSE 0 END * 0.5
+  ELSE coalesce(signal / nullif(p + m, 0), 0) END, 0.1), -0.1) AS w FROM sides_),
+books_ AS (SELECT scenario, date, symbol, CASE WHEN g > 1 THEN w / g ELSE w END AS target_weight FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY scenario, date) AS g FROM raw_)),
+wdays_ AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM books_)),
+pdays_ AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM bars)),
+placed_ AS (SELECT t.*, b.date, s.symbol, coalesce(w.target_weight, 0) AS target_weight FROM wdays_ d CROSS JOIN (SELECT DISTINCT symbol FROM books_) s CROSS JOIN tests_ t
+  LEFT JOIN books_ w ON w.date = d.date AND w.symbol = s.symbol AND w.scenario = t.scenario JOIN pdays_ a ON a.date = d.date JOIN pdays_ b ON b.idx = a.idx + t.lag WHERE d.idx % {EVERY} = 0),
+steps_ AS (SELECT *, target_weight - coalesce(lag(target_weight) OVER (PARTITION BY scenario, symbol ORDER BY date), 0) AS dw FROM placed_),
+rets_ AS (SELECT *, close / nullif(lag(close) {S}, 0) - 1 AS r FROM bars),
+inputs_ AS (SELECT date, symbol, open AS price,
+  CASE WHEN count(volume) OVER w = 4 THEN avg(volume) OVER w END AS adv, CASE WHEN count(r) OVER w = 4 THEN stddev_samp(r) OVER w END AS vol FROM rets_
+  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+orders_ AS (SELECT s.*, price, adv, vol, coalesce(s.dw * {CASH} / i.price, 0) AS wanted FROM steps_ s LEFT JOIN inputs_ i ON i.date = s.date AND i.symbol = s.symbol WHERE dw <> 0),
+sized_ AS (SELECT *, CASE WHEN coalesce(price > 0, false) AND coalesce(adv > 0, false) THEN least(abs(wanted), adv * cap) ELSE 0.0 END AS q FROM orders_),
+imp_ AS (SELECT *, CASE WHEN q > 0 THEN 0.05 * greatest(coalesce(vol, 0), 0) * 1e4 * sqrt(q / adv) ELSE 0 END AS impact_bps FROM sized_),
+sfills_ AS (SELECT *, sign(wanted) * q AS shares, CASE WHEN q > 0 THEN price * (1 + sign(wanted) * (impact_bps + half_spread_bps + slippage_bps) / 1e4) ELSE price END AS fill_price, q * coalesce(price, 0) * commission_bps / 1e4 AS commission,
+  q * coalesce(price, 0) * (commission_bps + half_spread_bps + slippage_bps + impact_bps) / 1e4 AS paid FROM imp_),
+flows_ AS (SELECT scenario, date, symbol, sum(shares) AS q, sum(-shares * fill_price - commission) AS flow, sum(abs(shares * fill_price)) AS traded, sum(paid) AS paid FROM sfills_ GROUP BY scenario, date, symbol),
+grid_ AS (SELECT s.scenario, d.date, s.symbol, f.q, coalesce(f.flow, 0) AS flow, f.traded, f.paid, b.close FROM pdays_ d JOIN (SELECT scenario, symbol, min(date) AS since FROM sfills_ GROUP BY scenario, symbol) s ON d.date >= since
+  LEFT JOIN flows_ f ON f.date = d.date AND f.symbol = s.symbol AND f.scenario = s.scenario LEFT JOIN bars b ON b.date = d.date AND b.symbol = s.symbol),
+values_ AS (SELECT *, sum(coalesce(q, 0)) OVER w * coalesce(last_value(close IGNORE NULLS) OVER w, 0) AS market_value FROM grid_ WINDOW w AS (PARTITION BY scenario, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+daily_ AS (SELECT t.scenario, d.date, coalesce(sum(flow), 0) AS flow, coalesce(sum(traded), 0) AS traded, coalesce(sum(paid), 0) AS paid, coalesce(sum(market_value), 0) AS market_value, coalesce(sum(abs(market_value)), 0) AS gross
+  FROM pdays_ d CROSS JOIN tests_ t LEFT JOIN values_ v ON v.date = d.date AND v.scenario = t.scenario GROUP BY t.scenario, d.date),
+equity_ AS (SELECT *, {CASH} + sum(flow) OVER (PARTITION BY scenario ORDER BY date) + market_value AS equity FROM daily_),
+before_ AS (SELECT *, coalesce(lag(equity) OVER (PARTITION BY scenario ORDER BY date), {CASH}) AS prev FROM equity_),
+scurve AS (SELECT scenario, date, equity / prev - 1 AS "return", equity, traded / prev AS turnover, paid AS transaction_cost, gross / nullif(equity, 0) AS gross_exposure, market_value / nullif(equity, 0) AS net_exposure FROM before_)"""

@@ -11,7 +11,7 @@ from panelwright.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["bars", "quality_report", "decision_panel", "features_levels", "features_rsi", "features_beta", "labels_forward", "walk_forward_windows", "combinatorial_cv", "ic_summary", "quantile_returns", "portfolio_weights", "fills", "equity_curve", "performance_summary", "capacity_curve", "control_gate", "flagship_momentum"]
+SOME = ["bars", "quality_report", "decision_panel", "features_levels", "features_rsi", "features_beta", "labels_forward", "walk_forward_windows", "combinatorial_cv", "ic_summary", "quantile_returns", "portfolio_weights", "fills", "equity_curve", "performance_summary", "stress_curves", "stress_results", "capacity_curve", "control_gate", "flagship_momentum"]
 
 
 def comparable(df: pd.DataFrame) -> pd.DataFrame:
