@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
+A gear rolling hash over the last SPAN bytes decides at every word start whether a chunk ends there, so that cuts depend on nearby text only
 and an insertion moves no other cut. As chunks of a few words repeat by chance, what is deduplicated by digest is, from each chunk on, as
 many chunks as hold WINDOW_WORDS words or RUN_BYTES bytes: a variable chunk of its own whose ends are content-defined. In long stretches
 without white space the hash decides at every character. What a text has left from its last run on, all of a short text, is compared too. The
@@ -21,31 +21,30 @@ from pyspark.sql import functions as F
 from .common import _SPACE, bounded, claim, cut, fresh, quoted, schema_of, slices, table, texts_of, with_bitmap
 
 #: One word start in CUT_ONE_IN ends a chunk; LONG_BYTES after the start of a word, one character in LONG_ONE_IN as well.
-CUT_ONE_IN, LONG_BYTES, LONG_ONE_IN = 4, 48, 16
-#: Least words of the runs of chunks that are compared. A repeated passage of 51 words holds such a run but for one case in 800.
-#: Runs of longer words, as in text without spaces, end at RUN_BYTES.
+CUT_ONE_IN, LONG_BYTES, LONG_ONE_IN = 2, 48, 8
+#: Bytes that the rolling hash looks back on, a power of two: so much of a passage's start takes its cuts from what stands before it.
+SPAN = 8
+#: Least words of the runs of chunks that are compared. Runs of longer words, as in text without spaces, end at RUN_BYTES.
 WINDOW_WORDS, RUN_BYTES = 15, 256
-#: Least words or bytes of what is cut out. Of a repeated passage of 51 words, the chunks inside it cover as much but for one case in 250.
+#: Least words or bytes of what is cut out. Of a passage that repeats amid other text, the chunks inside it cover as much in 95 cases of 100 or more
+#: from PASSAGE_WORDS words on (unspaced: from PASSAGE_BYTES on); of 38 words and more, in all of some thousand tried.
 LEAST_WORDS, LEAST_BYTES = 25, 400
+PASSAGE_WORDS, PASSAGE_BYTES = 34, 600
 #: Repeated runs that a task remembers, at most; beyond it, it starts anew.
 COMMON = 100_000
 _GEAR = np.random.default_rng(19).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + G[byte] after each byte, over the last 16 bytes of the same text, by doubling the span four times. Texts
-    begin at first."""
-    h = _GEAR[data]
-    for k in range(4):
-        step = 1 << k
-        if step >= len(h):
-            break
+def gear(data: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The gear hash h = (h << 1) + G[byte] after each byte, over the last span bytes (a power of two) of the same text, by doubling. Texts begin
+    at first."""
+    h, step = _GEAR[data], 1
+    while step < min(span, len(h)):
         earlier = np.zeros_like(h)
         earlier[step:] = h[:-step] << np.uint32(step)
         at_start = (first[:, None] + np.arange(step)).ravel()
         earlier[at_start[at_start < len(h)]] = 0
-        longer = h + earlier
-        h = longer
+        h, step = h + earlier, 2 * step
     return h
 
 
@@ -187,7 +186,8 @@ def _remove(nrs_name: str):
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with text cut and two more columns, removed_words and removed_chars.
 
-    Of passages that repeat across documents, those of the document with the smallest doc_id stay. Only documents with a run that an earlier
+    Of passages of PASSAGE_WORDS words or more (PASSAGE_BYTES, where there are no spaces) that repeat across documents, those of the document with the
+    smallest doc_id stay; shorter ones are found less and less often, those under LEAST_WORDS words and LEAST_BYTES bytes never. Only documents with a run that an earlier
     one has are touched or moved; the others pass through as they are. Text that is left is as it was, white space included. Null texts stay
     null, empty ones empty; a text that repeats another whole one goes, however short; one character that goes on and on is a single chunk;
     rows with a null doc_id stay as they are; rows that repeat a doc_id are one document; an empty table gives an empty result; further columns are kept whatever their names, but those named removed_words and

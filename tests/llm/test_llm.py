@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -19,6 +20,8 @@ from panelwright.llm import cdc, chat, common, embed_dedup, license_scan, lm, mi
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
 HARD = [None, "", " ", "one", "two words", "a\tb\x0bc\n\n\nd", "x" * 5000, "Ünï çödé " * 40, "日本語テキスト", "<|endoftext|> it's a<|im_end|>"]
 
+FOLDER = "/root/testdata/sf0.01"
+
 
 def corpus(n=60, seed=1):
     rng = random.Random(seed)
@@ -281,6 +284,62 @@ def test_substring_dedup(spark, none):
     assert cdc.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_finds_passages_of_the_least_length(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 10))) for _ in range(5000)]
+    fresh = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    cjk = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    rows, kind = [], {}
+    for words in (18, cdc.PASSAGE_WORDS, 40, 51, 100, -(cdc.PASSAGE_BYTES // 3)):
+        for _ in range(200):
+            of, passage = (fresh, fresh(words)) if words > 0 else (cjk, cjk(-words))
+            join = " " if words > 0 else ""
+            for _ in range(2):
+                kind[len(rows)] = words
+                rows.append((len(rows), of(60) + join + passage + join + of(60)))
+    got = cdc.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.removed_chars == 0 for r in got if r.doc_id % 2 == 0)
+    found = {k: sum(r.removed_chars > 0 for r in got if kind[r.doc_id] == k and r.doc_id % 2) / 200 for k in set(kind.values())}
+    assert found.pop(18) == 0 and min(found.values()) >= 0.95, found
+    assert all(found[k] == 1 for k in (40, 51, 100)), found
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver tables")
+def test_substring_dedup_against_all_repeated_runs(spark):
+    """Every run of WINDOW_WORDS words, compared as text: nothing is cut out beyond what such runs of earlier documents cover, and what they cover
+    at length is cut out of."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = {r.doc_id: r for r in cdc.substring_dedup(docs).collect()}
+    seen, long_runs, touched = {}, 0, 0
+    for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()):
+        raw = text.encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        n = len(at)
+        if n < cdc.WINDOW_WORDS:
+            continue
+        covered, longest, run = [False] * n, 0, 0
+        for k in range(n - cdc.WINDOW_WORDS + 1):
+            key = raw[at[k][0] : at[k + cdc.WINDOW_WORDS - 1][1]]
+            if seen.setdefault(key, doc_id) < doc_id:
+                covered[k : k + cdc.WINDOW_WORDS] = [True] * cdc.WINDOW_WORDS
+                run += 1
+                longest = max(longest, run + cdc.WINDOW_WORDS - 1)
+            else:
+                run = 0
+        most, k = 0, 0
+        while k < n:
+            end = k
+            while end < n and covered[end]:
+                end += 1
+            if end - k >= cdc.LEAST_WORDS or end > k and at[end - 1][1] - at[k][0] >= cdc.LEAST_BYTES - 1 or all(covered):
+                most += end - k
+            k = max(end, k + 1)
+        assert got[doc_id].removed_words <= most, doc_id
+        if longest > 50 and len(set(raw.split())) > 20:
+            long_runs, touched = long_runs + 1, touched + (got[doc_id].removed_words > 0)
+    assert long_runs > 50 and touched >= 0.98 * long_runs, (touched, long_runs)
+
+
 def test_substring_dedup_leaves_short_repeats(spark):
     rng = random.Random(11)
     fresh = lambda n: " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(n))
