@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import struct
 import sys
 import unicodedata
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from .common import CACHES, bounded, claim, cut, shared_path, table
 
 MASK_ADD = 0xA282EAD8
-#: Words, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PARTS = 500_000, 500_000
+#: Words that are more than ASCII letters and signs, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PARTS = 200_000, 800_000
 #: Bytes of text whose words are told apart at once.
 ENCODE_BYTES = 4 << 20
 #: A word of letters with ASCII signs behind it that no contraction or special token holds.
-_LETTERS_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-%(-/:;=?@\[-`{}~]*)")
+_SIGNS = r"!-%(-/:;=?@\[-`{}~"
+_LETTERS_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([%s]*)" % _SIGNS.encode())
+#: The same without letters beyond ASCII, for Arrow, and all its signs.
+_PLAIN, _EACH_SIGN = f"^[A-Za-z]+[{_SIGNS}]*$", "".join(re.findall(f"[{_SIGNS}]", bytes(range(33, 127)).decode()))
 #: Records that stand one after another are read at once up to this many bytes; entries of an index that are held together.
 READ_BYTES, ENTRIES = 4 << 20, 8192
 #: One entry of an index: offset and length of a record, ids before it in the file, doc_id.
@@ -92,10 +96,15 @@ class WordEncoder:
         data, cuts = ids.tobytes(), [0, *(4 * after).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _learn_parts(self, letters: set[bytes], others: set[bytes]) -> None:
+        for found, encode, step in ((letters, self._letters, 500), (others, self._single, 50_000)):
+            new = list(found - self.parts.keys())
+            for lo in range(0, len(new), step):
+                some = new[lo : lo + step]
+                self.parts.update(zip(some, encode([w.decode() for w in some]), strict=True))
+
     def _learn(self, words: set[bytes]) -> None:
         """Add words to known, by their parts where a word is letters and signs."""
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
         two, letters, others, marked = [], set(), set(), marked_letters()
         for w in words:
             m = _LETTERS_SIGNS.fullmatch(w)
@@ -108,31 +117,47 @@ class WordEncoder:
             else:
                 two.append((w, w, b""))
                 others.add(w)
-        for found, encode, step in ((letters, self._letters, 500), (others, self._single, 50_000)):
-            new = list(found - self.parts.keys())
-            for lo in range(0, len(new), step):
-                some = new[lo : lo + step]
-                self.parts.update(zip(some, encode([w.decode() for w in some]), strict=True))
+        self._learn_parts(letters, others)
         self.known.update((w, self.parts[body] + self.parts[signs] if signs else self.parts[body]) for w, body, signs in two)
 
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (u32) of distinct words, one after another, and how many each has. Words of ASCII letters and signs are parted in Arrow, so that Python
+        sees their distinct parts only."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        plain = pc.match_substring_regex(words, _PLAIN)
+        two, rest = words.filter(plain), words.filter(pc.invert(plain)).cast(pa.binary()).to_pylist()
+        body = pc.ascii_lower(pc.ascii_rtrim(two, characters=_EACH_SIGN)).dictionary_encode()
+        signs = pc.ascii_ltrim(two, characters=string.ascii_letters).dictionary_encode()
+        bodies, tails = (x.dictionary.cast(pa.binary()).to_pylist() for x in (body, signs))
+        self._learn_parts(set(bodies), set(tails) - {b""})
+        self._learn({w for w in rest if w not in self.known} - {b""})
+        found = [b"", *[self.parts[x] for x in bodies], *[self.parts[x] if x else b"" for x in tails], *[self.known[w] if w else b"" for w in rest]]
+        # of each word, where its first and second part stand in found
+        slot, plain = np.zeros((len(words), 2), np.int64), plain.to_numpy(zero_copy_only=False)
+        slot[plain, 0], slot[plain, 1] = 1 + body.indices.to_numpy(), 1 + len(bodies) + signs.indices.to_numpy()
+        slot[~plain, 0] = 1 + len(bodies) + len(tails) + np.arange(len(rest))
+        size = np.array([len(x) // 4 for x in found], np.int32)
+        return _gathered(np.frombuffer(b"".join(found), "<u4"), size, slot.ravel())[0], size[slot].sum(1, dtype=np.int32)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids (u32) of each text. Words are split and told apart in Arrow; ids are gathered by word."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        self._learn({w for w in words if w not in self.known} - {b""})
-        found = [self.known[w] if w else b"" for w in words]
-        size = np.array([len(x) // 4 for x in found], np.int32)
-        all_ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int32) - size
-        word = coded.indices.to_numpy()
-        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(size[word], dtype=np.int32)))
-        ids = all_ids[np.repeat(starts[word] - ends[:-1], size[word]) + np.arange(ends[-1], dtype=np.int32)]
+        ids, ends = _gathered(*self._ids_of(coded.dictionary), coded.indices.to_numpy())
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _gathered(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of ids that follow one another, size long, the ones of which in turn; and where each ends in them, after a 0."""
+    starts, long = np.cumsum(size, dtype=np.int32) - size, size[which]
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(long, dtype=np.int32)))
+    return ids[np.repeat(starts[which] - ends[:-1], long) + np.arange(ends[-1], dtype=np.int32)], ends
+
+
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     payload = struct.pack("<qBBQ", doc_id or 0, doc_id is None, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
     head = struct.pack("<Q", len(payload))

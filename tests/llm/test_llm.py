@@ -737,3 +737,22 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.same for r in out) and json.dumps([r.n_ids for r in out])
     assert isinstance(pa.array([r.ids for r in out]), pa.Array)
+
+
+def test_record_encoder_on_mixed_words_and_small_caches(monkeypatch):
+    """Whole texts of letters, signs, marks, contractions and special tokens, also where the caches start anew with every batch."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    bits = ["Abc", "abc", "don't", "x", "ÉT", "İ", "straße", "日本", "é", "़", "!", "...", "?!", "(", ")", "'", "'s", "&", "<", "|>", "<|endoftext|>", "9", "3.14", "_", "`", "~", "#", "-", "\x7f", "\x1c", "\u00a0", "\u2003"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " ", "  ", "\n", "\t", "\x0b"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", " ", "!", "a!"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for words, parts in ((records.CACHE_WORDS, records.CACHE_PARTS), (0, 0)):
+        monkeypatch.setattr(records, "CACHE_WORDS", words)
+        monkeypatch.setattr(records, "CACHE_PARTS", parts)
+        e = records.WordEncoder(path)
+        for lo in range(0, len(texts), 500):
+            got = e.encode(pa.array(texts[lo : lo + 500], pa.string()))
+            assert [x.tolist() for x in got] == want[lo : lo + 500]
+    assert [len(x) for x in e.encode(pa.array([None, ""], pa.string()))] == [0, 0] and e.encode(pa.array([], pa.string())) == []
