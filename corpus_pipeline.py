@@ -15,21 +15,30 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts have no words and go. A doc_id that repeats goes with all its rows if the rules reject one of them; rows with a null
+    doc_id stay. Null languages and sources are groups of their own. An empty table gives an empty one; columns beyond those of documents are dropped."""
     prepared(spark)
     rejected = quality.quality_rules(docs).filter("not kept").select("doc_id")
     return without_ids(docs, rejected).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id.
+
+    Null and empty texts are duplicates of nothing and stay, as do rows with a null doc_id; rows that repeat a doc_id are one document and
+    stay or go together. An empty table gives an empty one."""
     prepared(spark)
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     return without_ids(docs, found.filter("not kept").select("doc_id")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds; documents of which nothing is left go."""
+    """Texts without the passages that a document with a smaller doc_id holds; documents of which nothing is left go.
+
+    Untouched documents stay as they are, null and empty texts too, and rows with a null doc_id; rows that repeat a doc_id are one document.
+    n_chars is counted anew (null for a null text). An empty table gives an empty one."""
     prepared(spark)
     left = cdc.substring_dedup(docs)
     whole = (F.col("removed_words") == 0) | (F.length(F.trim("text")) > 0)
@@ -37,13 +46,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; of the last one of a shard, the words that it takes."""
+    """Documents as often as the mix takes them; of the last one of a shard, the words that it takes.
+
+    A text that is taken twice is two rows with one doc_id. Texts without words and rows with a null doc_id are not taken; ties of quotients and
+    of seeded places fall by source and doc_id. A null source is a source of its own. An empty table gives an empty one."""
     prepared(spark)
     return mix.mixed_documents(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_ids, ids and whether decoding them gives the text."""
+    """doc_id, source, n_ids, ids and whether decoding them gives the text.
+
+    A null text counts as empty; of ways with equal scores one is taken, the same in every run. Repeated rows are encoded each, null ids and
+    sources are kept. An empty table gives an empty one."""
     import public_tokenizers
 
     prepared(spark)
