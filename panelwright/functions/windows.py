@@ -57,7 +57,7 @@ def dated(df: DataFrame, column: str = "date") -> DataFrame:
 
 def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
     """Adds a column for each entry out: (value, alpha) of means: the bias-adjusted exponential mean of value along each symbol; null values
-    take no weight but time goes on, and after the first value the mean is never null again.
+    and NaN take no weight but time goes on, and after the first value the mean is never null again.
 
     With r = 1 - alpha, sums of value r^-j over the first j rows of a block of rows, times r^j, are sums of value decayed by age. A block is
     as long as r^-j stays far from overflow (r^-length up to 1e100), so that what stands before the block before a row's own weighs less
@@ -69,7 +69,7 @@ def ewm_means(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
     for out, (value, alpha) in means.items():
         if not 0 < alpha <= 1:
             raise ValueError("alpha must be in (0, 1]")
-        x, r = F.col(value), 1.0 - alpha
+        x, r = F.nullif(F.col(value).cast("double"), F.lit(float("nan"))), 1.0 - alpha
         if r == 0:  # nothing but the latest value counts
             rows = rows.withColumn(out, F.last(x, ignorenulls=True).over(so_far))
             continue

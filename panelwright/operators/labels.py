@@ -24,6 +24,6 @@ def build_labels(panel: DataFrame, benchmark_symbol: str | None = None, horizons
     if benchmark_symbol:
         bench = panel.filter(F.col("symbol") == benchmark_symbol)
         bench = bench.select("date", *[(ratio(F.lead("close", h).over(by_symbol()), F.col("close")) - 1).alias(f"b_{h}") for h in horizons])
-        df = df.join(bench, "date", "left").withColumns({f"fwd_excess_{h}": F.col(f"fwd_ret_{h}") - F.col(f"b_{h}") for h in horizons})
+        df = df.join(bench.hint("merge"), "date", "left").withColumns({f"fwd_excess_{h}": F.col(f"fwd_ret_{h}") - F.col(f"b_{h}") for h in horizons})
     df = df.withColumns({f"fwd_rank_{h}": pct_rank(F.col(f"fwd_ret_{h}"), by_date()) for h in horizons})
     return df.select("date", "symbol", *[c for c in df.columns if c.startswith("fwd_")])

@@ -57,8 +57,8 @@ def on_sessions(names: DataFrame, days: DataFrame) -> DataFrame:
 
 def unknown_targets(weights: DataFrame, panel: DataFrame) -> DataFrame:
     """(kind, value) of target symbols and dates that the panel does not have."""
-    a = weights.select("symbol").distinct().join(panel.select("symbol").distinct(), "symbol", "left_anti").select(F.lit("symbol").alias("kind"), F.col("symbol").alias("value"))
-    b = weights.select("date").distinct().join(panel.select("date").distinct(), "date", "left_anti").select(F.lit("date").alias("kind"), F.col("date").cast("string").alias("value"))
+    a = weights.select("symbol").distinct().join(panel.select("symbol").distinct().hint("merge"), "symbol", "left_anti").select(F.lit("symbol").alias("kind"), F.col("symbol").alias("value"))
+    b = weights.select("date").distinct().join(panel.select("date").distinct().hint("merge"), "date", "left_anti").select(F.lit("date").alias("kind"), F.col("date").cast("string").alias("value"))
     return a.union(b)
 
 
@@ -66,7 +66,7 @@ def with_fill_date(decisions: DataFrame, panel: DataFrame, lag: int = 1) -> Data
     """Adds fill_date, the lag-th session after; decisions too late for one drop."""
     days = dated(panel)
     ahead = days.select((F.col("idx") - lag).alias("idx"), F.col("date").alias("fill_date"))
-    return decisions.join(days, "date").join(ahead, "idx").drop("idx")
+    return decisions.join(days.hint("merge"), "date").join(ahead.hint("merge"), "idx").drop("idx")
 
 
 def lagged_inputs(panel: DataFrame, policy: Policy) -> DataFrame:
@@ -80,7 +80,7 @@ def lagged_inputs(panel: DataFrame, policy: Policy) -> DataFrame:
 def size_orders(positions: DataFrame, targets: DataFrame, equity) -> DataFrame:
     """(key, symbol, requested_shares): target weight times equity over price, less what is held; a held symbol without target goes to 0.
     positions: key, symbol, shares; targets: key, symbol, target_weight, price; equity: a column of targets or a number."""
-    both = targets.withColumn("eq_", F.col(equity) if isinstance(equity, str) else F.lit(float(equity))).join(positions, ["key", "symbol"], "full_outer")
+    both = targets.withColumn("eq_", F.col(equity) if isinstance(equity, str) else F.lit(float(equity))).join(positions.hint("merge"), ["key", "symbol"], "full_outer")
     want = F.coalesce(F.col("target_weight") * F.col("eq_") / F.when(F.col("price") > 0, F.col("price")), F.lit(0.0))
     return both.select("key", "symbol", (want - F.coalesce("shares", F.lit(0.0))).alias("requested_shares"))
 
@@ -179,14 +179,14 @@ def risk_scale(equity: DataFrame, *, vol_target: float | None = None, lookback:
 def missing_prices(required: DataFrame, panel: DataFrame, column: str = "open") -> DataFrame:
     """Required (date, symbol) without a finite, positive price."""
     ok = panel.filter((F.col(column) > 0) & (F.abs(column) < float("inf"))).select("date", "symbol")
-    return required.select("date", "symbol").distinct().join(ok, ["date", "symbol"], "left_anti")
+    return required.select("date", "symbol").distinct().join(ok.hint("merge"), ["date", "symbol"], "left_anti")
 
 
 def with_liquidation(targets: DataFrame, panel: DataFrame, sessions: int, lag: int = 1) -> DataFrame:
     """Targets with a zero snapshot so many sessions after the last decision, and nothing after its fill."""
     days = dated(panel)
-    last = targets.agg(F.max("date").alias("date")).join(days, "date").select((F.col("idx") + sessions).alias("idx"))
-    end = last.join(days, "idx").select("date")
+    last = targets.agg(F.max("date").alias("date")).join(days.hint("merge"), "date").select((F.col("idx") + sessions).alias("idx"))
+    end = last.join(days.hint("merge"), "idx").select("date")
     return targets.unionByName(targets.select("symbol").distinct().join(F.broadcast(end)).select("date", "symbol", F.lit(0.0).alias("target_weight")))
 
 

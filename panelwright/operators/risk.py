@@ -63,7 +63,7 @@ def monthly_returns(curve: DataFrame) -> DataFrame:
 
 def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:
     """Performance of the days of each regime (date, regime); drawdown compounds those days only."""
-    df = trim_inactive(curve).join(regimes, "date").filter("regime is not null")
+    df = trim_inactive(curve).join(regimes.hint("merge"), "date").filter("regime is not null")
     w = Window.partitionBy("regime").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("e_", F.product(1 + F.col("return")).over(w)).withColumn("dd_", F.col("e_") / F.max("e_").over(w) - 1)
     r = F.col("return")
@@ -82,7 +82,7 @@ def exposure(weights: DataFrame) -> DataFrame:
 def stress(weights: DataFrame, scenarios: DataFrame, betas: DataFrame | None = None) -> DataFrame:
     """Each scenario's shock on the latest weight of every symbol, through its beta (1 where unknown)."""
     last = weights.groupBy("symbol").agg(F.max_by("weight", "date").alias("w"))
-    last = last.join(betas.select("symbol", "beta"), "symbol", "left") if betas is not None else last.withColumn("beta", F.lit(1.0))
+    last = last.join(betas.select("symbol", "beta").hint("merge"), "symbol", "left") if betas is not None else last.withColumn("beta", F.lit(1.0))
     one = last.agg(F.sum(F.col("w") * F.coalesce("beta", F.lit(1.0))).alias("portfolio_beta"), F.sum(F.abs("w")).alias("gross_exposure"), F.sum("w").alias("net_exposure"))
     return scenarios.crossJoin(F.broadcast(one)).select("scenario", "market_shock", "portfolio_beta", (F.col("portfolio_beta") * F.col("market_shock")).alias("estimated_portfolio_return"), "gross_exposure", "net_exposure")
 

@@ -205,7 +205,7 @@ REGIME = f"""{BARS_SQL}, q_ AS (SELECT *, close / nullif(lag(close) {S}, 0) - 1
 
 @query("market_regime", REGIME, "SELECT * FROM regime", "bench_ret bench_vol vol_percentile bench_trend high_vol_regime")
 def _(spark, d):
-    return features.market_regime(t.bench(spark, d), 20, 10, 30)
+    return features.market_regime(cut(t.bench(spark, d), "benchmark"), 20, 10, 30)
 
 
 @query("features_cross_section", TECH, f"SELECT date, symbol, {pct('r', 'date')} AS ret_1_rank, {pct('r5', 'date')} AS ret_5_rank FROM r_", "ret_1_rank ret_5_rank")
@@ -604,7 +604,7 @@ def _(spark, d):
 
 @query("decision_targets", FILLS, "SELECT * FROM targets", "target_weight")
 def _(spark, d):
-    return ledger.decision_targets(t.weights(spark, d), t.EVERY)
+    return ledger.decision_targets(cut(t.weights(spark, d), "weights"), t.EVERY)
 
 
 @query("lagged_inputs", FILLS, "SELECT * FROM inputs", "price adv vol")
@@ -666,7 +666,8 @@ def _(spark, d):
 
 @query("missing_prices", FILLS, "SELECT DISTINCT t.date, t.symbol FROM targets t WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.date = t.date AND b.symbol = t.symbol AND b.open > 0)")
 def _(spark, d):
-    return ledger.missing_prices(ledger.decision_targets(t.weights(spark, d), t.EVERY), t.names(spark, d))
+    p = t.once(spark, d)
+    return ledger.missing_prices(ledger.decision_targets(cut(t.weights(spark, d, p), "weights"), t.EVERY), t.names(spark, d, p))
 
 
 @query("unknown_targets", BARS_SQL, "SELECT 'date' AS kind, CAST(date AS VARCHAR) AS value FROM (SELECT DISTINCT date FROM bars) WHERE date < DATE '1996-06-01' UNION ALL SELECT 'symbol', symbol FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol < 'NATION_12'")
@@ -677,7 +678,9 @@ def _(spark, d):
 
 @query("terminal_liquidation", FILLS, "SELECT date, count(*) AS n, sum(abs(target_weight)) AS gross FROM (SELECT * FROM targets UNION ALL SELECT p.date, s.symbol, 0 FROM (SELECT DISTINCT symbol FROM targets) s, pdays_ p WHERE p.idx = (SELECT idx + 2 FROM pdays_ WHERE date = (SELECT max(date) FROM targets))) GROUP BY date", "gross")
 def _(spark, d):
-    x = ledger.with_liquidation(ledger.decision_targets(t.weights(spark, d), t.EVERY), t.names(spark, d), 2)
+    p = t.once(spark, d)
+    targets = cut(ledger.decision_targets(cut(t.weights(spark, d, p), "weights"), t.EVERY), "targets")
+    x = ledger.with_liquidation(targets, t.names(spark, d, p), 2)
     return x.groupBy("date").agg(F.count("*").alias("n"), F.sum(F.abs("target_weight")).alias("gross"))
 
 
@@ -704,9 +707,10 @@ def scenarios(spark):
 
 @query("scenario_replay")
 def _(spark, d):
-    p = t.names(spark, d)
-    x = ledger.lagged_inputs(p, t.POLICY).select("date", "symbol", "adv").join(p, ["date", "symbol"])
-    targets = ledger.decision_targets(t.weights(spark, d), t.EVERY).withColumn("portfolio", F.lit("momentum"))
+    whole = t.once(spark, d)
+    p = t.names(spark, d, whole)
+    x = ledger.lagged_inputs(p, t.POLICY).select("date", "symbol", "adv").join(p.hint("merge"), ["date", "symbol"])
+    targets = ledger.decision_targets(cut(t.weights(spark, d, whole), "weights"), t.EVERY).withColumn("portfolio", F.lit("momentum"))
     return ledger.replay(x.select("date", "symbol", "open", "close", "adv"), targets, scenarios(spark), cash=CASH)
 
 
@@ -912,6 +916,7 @@ def _(spark, d):
 @query("flagship_momentum", f"{ICS}, {WEIGHTS.replace(PRED + ',', '')}", """SELECT i.date, i.n, i.rank_ic, w.gross, w.net FROM ics i JOIN (SELECT date, sum(abs(target_weight)) AS gross, sum(target_weight) AS net FROM weights GROUP BY date) w ON w.date = i.date WHERE model = 'momentum'""", "rank_ic gross net")
 def _(spark, d):
     """Weekly rank IC of a momentum rule beside the exposure of its target weights."""
-    ic = evaluate.ic_by_date(t.one_model(spark, d)).select("date", "n", "rank_ic")
-    w = t.weights(spark, d).groupBy("date").agg(F.sum(F.abs("target_weight")).alias("gross"), F.sum("target_weight").alias("net"))
-    return ic.join(w, "date")
+    p = t.once(spark, d)
+    ic = evaluate.ic_by_date(t.one_model(spark, d, p)).select("date", "n", "rank_ic")
+    w = t.weights(spark, d, p).groupBy("date").agg(F.sum(F.abs("target_weight")).alias("gross"), F.sum("target_weight").alias("net"))
+    return ic.join(w.hint("merge"), "date")

@@ -47,7 +47,7 @@ def quality_report(panel: DataFrame) -> DataFrame:
         F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("rows"), F.count_if(F.col("close").isNull()).alias("null_close"),
         F.count_if(F.col("volume") == 0).alias("zero_volume"), F.count_if(F.col("r") > 0.40).alias("extreme_returns"), F.max("r").alias("max_abs_return"))
     # one row per date on one side, one per symbol on the other
-    at = lambda c, n: calendar.select(F.col("date").alias(c), F.col("idx").alias(n))
+    at = lambda c, n: calendar.select(F.col("date").alias(c), F.col("idx").alias(n)).hint("merge")
     both = rows.join(at("start", "i0"), "start").join(at("end", "i1"), "end")
     return both.select("symbol", "start", "end", "rows", (F.col("i1") - F.col("i0") + 1 - F.col("rows")).alias("missing_sessions"), "null_close", "zero_volume", "extreme_returns", "max_abs_return")
 

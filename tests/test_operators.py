@@ -40,7 +40,8 @@ def test_features_do_not_look_ahead(spark, walk):
 
 def test_ewm_equals_pandas(spark):
     rng = np.random.default_rng(8)
-    rows = [(days(3000)[i], s, None if s == "b" and (i < 3 or i % 7 == 2) else float(x)) for s in "ab" for i, x in enumerate(100 + np.cumsum(rng.normal(size=3000)))]
+    missing = lambda s, i: s == "b" and (i < 3 or i % 7 == 2)
+    rows = [(days(3000)[i], s, (None, float("nan"))[i % 2] if missing(s, i) else float(x)) for s in "ab" for i, x in enumerate(100 + np.cumsum(rng.normal(size=3000)))]
     spans = {"short": 2 / 27, "mid": 2 / 201, "long": 2 / 1001, "longest": 2 / 3001, "quick": 0.99, "last": 1.0}
     df = spark.createDataFrame(rows, "date date, symbol string, v double")
     got = windows.ewm_means(df, {k: ("v", a) for k, a in spans.items()}).toPandas()
