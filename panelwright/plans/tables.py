@@ -24,8 +24,8 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def once(spark: SparkSession, d: str) -> DataFrame:
-    """The panel, written out, for queries whose plan reads it in many places."""
-    return cut(bars(spark, d), "panel")
+    """The panel, for queries whose plan reads it in many places: bars() writes it at each call."""
+    return bars(spark, d)
 
 
 # p, where a query has it: its panel
