@@ -7,16 +7,16 @@ not, are the tail class, whose shares come from exact counts of the whole traini
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded, claim, cut, table, texts_of
+from .common import bounded, claim, cut, table
 
 #: Words with counts that each worker holds, at most; words in small classes, and their number in one; units of the state.
 HEAD, SMALL, SLOTS, HIDDEN = 200_000, 512, 16, 16
@@ -27,8 +27,8 @@ LANGS, BANDS = 6, 4
 STREAMS, STEPS, RATE, ROUNDS = 512, 16, 0.01, 2
 #: Windows that a partition's streams have at least; fewer tokens go in fewer streams.
 LEAST_WINDOWS = 64
-#: Counts that a worker gathers before it sends them on; documents and tokens that are scored together; rows of one softmax.
-FLUSH, SCORED_DOCS, SCORED_TOKENS, ROWS = 500_000, 8192, 8_000_000, 65_536
+#: Counts that a worker gathers before it sends them on; documents and tokens that are scored together; rows of one softmax, which a cache holds.
+FLUSH, SCORED_DOCS, SCORED_TOKENS, ROWS = 500_000, 8192, 8_000_000, 8192
 WINDOW = 64
 #: The end of a document; no word holds white space.
 END = b"\n"
@@ -39,29 +39,54 @@ def crc(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in turn, A-Z lower-cased, and where each text's begin in them (one bound more than texts). A null text is empty."""
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty string there
+    bounds = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    return words.filter(real), bounds[offsets - offsets[0]]
+
+
 # --- counts ------------------------------------------------------------------------------------------------------
 
 
 def _count(langs: list[str]):
     slot = {lang: k for k, lang in enumerate(langs)}
-    fields = ["word", *[f"c{k}" for k in range(len(langs) + 1)]]
+    n = len(langs) + 1
+    fields = ["word", *[f"c{k}" for k in range(n)]]
 
-    def rows(counts: list[Counter]) -> pa.RecordBatch:
-        words = list(set().union(*counts))
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), *[pa.array([c.get(w, 0) for w in words], pa.int64()) for c in counts]], names=fields)
+    def merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        """Distinct words and their counts by language."""
+        words = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+        which, counts = words.indices.to_numpy(), np.concatenate([c for _, c in parts])
+        return words.dictionary, np.stack([np.bincount(which, c, len(words.dictionary)) for c in counts.T], 1).astype(np.int64)
+
+    def rows(words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([words, *[pa.array(np.ascontiguousarray(c)) for c in counts.T]], names=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lm")
-        counts = [Counter() for _ in range(len(langs) + 1)]
+        parts, held, ends = [], 0, np.zeros((1, n), np.int64)
         for batch in bounded(batches):
-            for text, lang in zip(texts_of(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
-                own = counts[slot.get(lang, len(langs))]
-                own.update(text.lower().split())
-                own[END] += 1
-                if len(own) > FLUSH:
-                    yield rows(counts)
-                    counts = [Counter() for _ in counts]
-        yield rows(counts)
+            words, bounds = words_of(batch.column("text"))
+            own = np.array([slot.get(lang, n - 1) for lang in batch.column("lang").to_pylist()], np.int64)
+            ends[0] += np.bincount(own, minlength=n)
+            coded = words.dictionary_encode()
+            key = coded.indices.to_numpy() * np.int64(n) + np.repeat(own, np.diff(bounds))
+            parts.append((coded.dictionary, np.bincount(key, minlength=n * len(coded.dictionary)).reshape(-1, n)))
+            held += len(coded.dictionary)
+            if held > 2 * FLUSH:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > FLUSH:
+                    yield rows(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield rows(*merged(parts))
+        yield rows(pa.array([END.decode()]), ends)
 
     return run
 
@@ -126,36 +151,56 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
             "Ws": small(v.n_small, SLOTS, HIDDEN), "bs": v.slot_bias.astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def gates(p: dict) -> tuple[np.ndarray, ...]:
+    """E and U of the gates z and r, then of the candidate c, laid out and scaled so that each is a function of exp of a sum of both."""
+    e, u = (w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2) for w in (p["E"], p["U"]))
+    return -e[:2], -u[:2], -2 * e[2], -2 * u[2]
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+def advance(w: tuple[np.ndarray, ...], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """New state after the inputs x, and what its derivative needs."""
-    g = p["E"][x]
-    zr = _sigmoid(g[:, : 2 * HIDDEN] + h @ p["U"][:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    c = np.tanh(g[:, 2 * HIDDEN :] + (r * h) @ p["U"][:, 2 * HIDDEN :])
-    return h + z * (c - h), z, r, c
+    e_zr, u_zr, e_c, u_c = w
+    zr = e_zr.take(x, axis=1)
+    zr += np.matmul(h, u_zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r = zr
+    c = e_c.take(x, axis=0)
+    c += (r * h) @ u_c
+    np.exp(c, out=c)
+    c += 1
+    np.divide(2, c, out=c)
+    c -= 1
+    new = c - h
+    new *= z
+    new += h
+    return new, z, r, c
+
+
+def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    with np.errstate(over="ignore"):
+        return advance(gates(p), x, h)
 
 
 def _log_share(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at its place which. logits are overwritten."""
-    top = logits.max(1)
-    picked = logits[np.arange(len(which)), which] - top
-    logits -= top[:, None]
+    """Log of the softmax of each column at its place which. logits are overwritten."""
+    top = logits.max(0)
+    picked = logits[which, np.arange(len(which))] - top
+    logits -= top
     np.exp(logits, out=logits)
-    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    return picked - np.log(np.ones(len(logits), logits.dtype) @ logits)
 
 
-def _slots(p: dict, c: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Logits of all slots of each state's small class c."""
-    out = np.empty((len(c), SLOTS), h.dtype)
-    order = np.argsort(c, kind="stable")
-    rows = np.split(order, np.searchsorted(c[order], np.arange(1, len(p["Ws"]))))
-    for s, r in enumerate(rows):
-        out[r] = h[r] @ p["Ws"][s].T + p["bs"][s]
-    return out
+def _slots(p: dict, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Logits of all slots of each state's small class c, a column each, and the columns of each class; c ascends."""
+    bounds = np.searchsorted(c, np.arange(len(p["Ws"]) + 1)).tolist()
+    out = p["bs"].T.take(c, axis=1)
+    ranges = list(zip(bounds[:-1], bounds[1:], strict=True))
+    for s, (lo, hi) in enumerate(ranges):
+        if hi > lo:
+            out[:, lo:hi] += p["Ws"][s] @ h[lo:hi].T
+    return out, ranges
 
 
 def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -164,19 +209,22 @@ def log_probability(p: dict, v: Vocabulary, h: np.ndarray, tokens: np.ndarray) -
     for lo in range(0, len(tokens), ROWS):
         t, hh = tokens[lo : lo + ROWS], h[lo : lo + ROWS]
         cls, slot = v.cls[t], v.slot[t]
-        some = _log_share(hh @ p["W"] + p["b"], cls) + v.log_share[t]
-        in_slot = np.flatnonzero(slot >= 0)
-        if len(in_slot):
-            some[in_slot] += _log_share(_slots(p, cls[in_slot], hh[in_slot]), slot[in_slot])
+        logits = p["W"].T @ hh.T
+        logits += p["b"][:, None]
+        some = _log_share(logits, cls) + v.log_share[t]
+        k = np.flatnonzero(slot >= 0)
+        if len(k):
+            k = k[np.argsort(cls[k].astype(np.int32), kind="stable")]
+            some[k] += _log_share(_slots(p, cls[k], hh[k])[0], slot[k])
         out[lo : lo + ROWS] = some
     return out
 
 
 def _probabilities(logits: np.ndarray) -> np.ndarray:
-    """Softmax in place."""
-    logits -= logits.max(1, keepdims=True)
+    """Softmax of each column, in place."""
+    logits -= logits.max(0)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    logits /= np.ones(len(logits), logits.dtype) @ logits
     return logits
 
 
@@ -184,68 +232,71 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, fresh: np.ndarray, target:
     """Mean gradients over one window (steps by streams) that starts in state h, its last state, and the mean loss of the classes."""
     steps, b = x.shape
     n = steps * b
-    kept, hs = [], np.empty((steps, b, HIDDEN), h.dtype)
-    inputs = v.input[x]
-    for t in range(steps):
-        before = np.where(fresh[t][:, None], h.dtype.type(0), h)
-        h, z, r, c = step(p, inputs[t], before)
-        kept.append((before, z, r, c))
-        hs[t] = h
+    before, z, r, c, hs = (np.empty((steps, b, HIDDEN), h.dtype) for _ in range(5))
+    inputs, go_on, w = v.input[x], (~fresh)[:, :, None].astype(h.dtype), gates(p)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            np.multiply(h, go_on[t], out=before[t])
+            h, z[t], r[t], c[t] = advance(w, inputs[t], before[t])
+            hs[t] = h
     hs, y = hs.reshape(n, HIDDEN), target.ravel()
     cls, slot = v.cls[y], v.slot[y]
-    probs = _probabilities(hs @ p["W"] + p["b"])
-    loss = -float(np.log(probs[np.arange(n), cls] + 1e-30).mean())
-    probs[np.arange(n), cls] -= 1
-    g = {"W": hs.T @ probs / n, "b": probs.sum(0) / n, "E": np.zeros_like(p["E"]), "U": np.zeros_like(p["U"]), "Ws": np.zeros_like(p["Ws"]), "bs": np.zeros_like(p["bs"])}
-    dhs = probs @ p["W"].T
+    probs = p["W"].T @ hs.T
+    probs += p["b"][:, None]
+    _probabilities(probs)
+    loss = -float(np.log(probs[cls, np.arange(n)] + 1e-30).mean())
+    probs[cls, np.arange(n)] -= 1
+    g = {"W": (probs @ hs).T / n, "b": probs.sum(1) / n, "E": np.zeros_like(p["E"]), "U": np.empty_like(p["U"]), "Ws": np.zeros_like(p["Ws"]), "bs": np.zeros_like(p["bs"])}
+    dhs = probs.T @ p["W"].T
     k = np.flatnonzero(slot >= 0)
     if len(k):
         # in order of their classes, so that those of one class stand together
-        k = k[np.argsort(cls[k], kind="stable")]
-        bounds = np.searchsorted(cls[k], np.arange(len(p["Ws"]) + 1)).tolist()
+        k = k[np.argsort(cls[k].astype(np.int32), kind="stable")]
         own, back = hs[k], np.empty((len(k), HIDDEN), hs.dtype)
-        q = np.empty((len(k), SLOTS), hs.dtype)
-        for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if hi > lo:
-                np.matmul(own[lo:hi], p["Ws"][s].T, out=q[lo:hi])
-                q[lo:hi] += p["bs"][s]
+        q, ranges = _slots(p, cls[k], own)
         _probabilities(q)
-        q[np.arange(len(k)), slot[k]] -= 1
-        for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        q[slot[k], np.arange(len(k))] -= 1
+        for s, (lo, hi) in enumerate(ranges):
             if hi > lo:
-                g["Ws"][s], g["bs"][s] = q[lo:hi].T @ own[lo:hi] / n, q[lo:hi].sum(0) / n
-                np.matmul(q[lo:hi], p["Ws"][s], out=back[lo:hi])
+                g["Ws"][s], g["bs"][s] = q[:, lo:hi] @ own[lo:hi] / n, q[:, lo:hi].sum(1) / n
+                np.matmul(q[:, lo:hi].T, p["Ws"][s], out=back[lo:hi])
         dhs[k] += back
     dhs = dhs.reshape(steps, b, HIDDEN)
     dhs /= n
+    # what a step's derivatives are multiplied by, of all steps at once
+    by_z, by_r, by_c, stay = (c - before) * z * (1 - z), before * r * (1 - r), z * (1 - c * c), 1 - z
     down = np.zeros((b, HIDDEN), h.dtype)
-    u_zr, u_c = p["U"][:, : 2 * HIDDEN].T.copy(), p["U"][:, 2 * HIDDEN :].T.copy()
-    da, rh = np.empty((steps, b, 3 * HIDDEN), dhs.dtype), np.empty((steps, b, HIDDEN), dhs.dtype)
+    u_z, u_r, u_c = (p["U"][:, i * HIDDEN : (i + 1) * HIDDEN].T.copy() for i in range(3))
+    da = np.empty((3, steps, b, HIDDEN), dhs.dtype)
     for t in range(steps - 1, -1, -1):
-        before, z, r, c = kept[t]
-        dh = dhs[t] + down
-        da_z, da_r, da_c = (da[t, :, i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
-        np.multiply(dh * z, 1 - c * c, out=da_c)
+        dh = dhs[t]
+        dh += down
+        da_z, da_r, da_c = da[:, t]
+        np.multiply(dh, by_c[t], out=da_c)
         d_rh = da_c @ u_c
-        np.multiply(dh * (c - before), z * (1 - z), out=da_z)
-        np.multiply(d_rh * before, r * (1 - r), out=da_r)
-        np.multiply(r, before, out=rh[t])
-        down = dh * (1 - z) + d_rh * r + da[t, :, : 2 * HIDDEN] @ u_zr
-        down[fresh[t]] = 0
-    da = da.reshape(n, -1)
-    g["U"][:, : 2 * HIDDEN] = np.concatenate([k[0] for k in kept]).T @ da[:, : 2 * HIDDEN]
-    g["U"][:, 2 * HIDDEN :] = rh.reshape(n, HIDDEN).T @ da[:, 2 * HIDDEN :]
+        np.multiply(dh, by_z[t], out=da_z)
+        np.multiply(d_rh, by_r[t], out=da_r)
+        np.multiply(dh, stay[t], out=down)
+        d_rh *= r[t]
+        down += d_rh
+        down += da_z @ u_z
+        down += da_r @ u_r
+        down *= go_on[t]
+    da, before, rh = da.reshape(3, n, HIDDEN), before.reshape(n, HIDDEN), (r * before).reshape(n, HIDDEN)
+    for i, of in enumerate((before, before, rh)):
+        g["U"][:, i * HIDDEN : (i + 1) * HIDDEN] = of.T @ da[i]
     inputs = inputs.ravel()
-    order = np.argsort(inputs, kind="stable")
-    which, first = np.unique(inputs[order], return_index=True)
-    g["E"][which] = np.add.reduceat(da[order], first)
+    order = np.argsort(inputs.astype(np.int16), kind="stable")  # two bytes are sorted by counting
+    inputs = inputs[order]
+    first = np.flatnonzero(np.diff(inputs, prepend=-1))
+    g["E"][inputs[first]] = np.add.reduceat(np.concatenate(da, axis=1).take(order, axis=0), first)
     return g, h, loss
 
 
 def train(p: dict, v: Vocabulary, tokens: np.ndarray) -> dict:
     """Adam over the tokens of whole documents (each ends with END), dealt into parallel streams; the state carries on from window to
     window and starts anew at each document. What the streams leave over, less than a token each, is a last window of single steps."""
-    end = v.index()[END]
+    end = v.words.index(END)
     p = {k: x.copy() for k, x in p.items()}
     streams = max(1, min(STREAMS, len(tokens) // (STEPS * LEAST_WINDOWS)))
     whole = len(tokens) // streams * streams
@@ -266,9 +317,14 @@ def train(p: dict, v: Vocabulary, tokens: np.ndarray) -> dict:
     return p
 
 
-def numbers(v: Vocabulary, index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    tail = len(v.words)
-    return np.array([index.get(w, tail) for w in words], np.int32)
+def numbers(v: Vocabulary, head: pa.Array, words: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts in turn, an end behind each, and how many each text has. head: the words of v."""
+    found = pc.index_in(words, value_set=head).fill_null(len(head)).to_numpy()
+    return np.insert(found, bounds[1:], v.words.index(END)), np.diff(bounds) + 1
+
+
+def _head(v: Vocabulary) -> pa.Array:
+    return pa.array(v.words, pa.binary()).cast(pa.string())
 
 
 def _flat(p: dict) -> bytes:
@@ -288,17 +344,15 @@ def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lm")
         v, p = shared.value
-        index, parts, held = v.index(), [], 0
-        end = np.array([index[END]], np.int32)
+        head, parts, held = _head(v), [], 0
         models: list[tuple[bytes, int]] = []
         for batch in bounded(batches):
-            for text in texts_of(batch.column("text")):
-                parts += [numbers(v, index, text.lower().split()), end]
-                held += len(parts[-2]) + 1
+            parts.append(numbers(v, head, *words_of(batch.column("text")))[0])
+            held += len(parts[-1])
             if held > SCORED_TOKENS:  # goes on from here, so that what is held is bounded
                 p = train(p, v, np.concatenate(parts))
                 models, parts, held = [(_flat(p), (models[0][1] if models else 0) + held)], [], 0
-        if parts:
+        if held:
             p = train(p, v, np.concatenate(parts))
             models = [(_flat(p), (models[0][1] if models else 0) + held)]
         for data, n in models:
@@ -333,29 +387,29 @@ def fit(training: DataFrame, v: Vocabulary) -> dict:
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
-def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each token sequence (ending with END) but for the shares of tail words. All documents advance together, the
-    longest first in order; states carry on from window to window until the document ends."""
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lens = np.array([len(docs[i]) for i in order])
-    offsets = np.concatenate(([0], np.cumsum(lens)))[:-1]
-    flat = np.concatenate([docs[i] for i in order])
-    total, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
-    end = docs[0][-1]
-    longest = int(lens[0])
+def score_documents(p: dict, v: Vocabulary, tokens: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Natural log-likelihood of each document but for the shares of tail words; tokens are those of all documents in turn (each ends with
+    END), lens long. All documents advance together, the longest first in order; states carry on from window to window until the document
+    ends."""
+    order = np.argsort(-lens, kind="stable")
+    starts, less = (np.cumsum(lens) - lens)[order], -lens[order]
+    # the input of a document's first word is the end before it, in a fresh state
+    inputs = v.input[np.append(tokens[-1], tokens[:-1])].astype(np.int32)
+    total, h, w = np.zeros(len(lens)), np.zeros((len(lens), HIDDEN), np.float32), gates(p)
+    longest = -int(less[0])
     for lo in range(0, longest, WINDOW):
-        states, targets, rows = [], [], []
-        for t in range(lo, min(lo + WINDOW, longest)):
-            n = int(np.searchsorted(-lens, -t))  # documents with more than t tokens
-            at = offsets[:n] + t
-            x = flat[at - 1] if t else np.full(n, end)
-            h = step(p, v.input[x], h[:n])[0]
-            states.append(h)
-            targets.append(flat[at])
-            rows.append(np.arange(n))
-        some = log_probability(p, v, np.concatenate(states), np.concatenate(targets))
-        total[: len(rows[0])] += np.bincount(np.concatenate(rows), some, minlength=len(rows[0]))
-    out = np.empty(len(docs))
+        live = np.searchsorted(less, -np.arange(lo, min(lo + WINDOW, longest)))  # documents with more than t tokens
+        ends = np.cumsum(live).tolist()
+        rows = np.arange(ends[-1]) - np.repeat(np.cumsum(live) - live, live)
+        at = starts[rows] + np.repeat(np.arange(lo, lo + len(live)), live)
+        x, states, before = inputs[at], np.empty((ends[-1], HIDDEN), np.float32), 0
+        with np.errstate(over="ignore"):
+            for end in ends:
+                h = advance(w, x[before:end], h[: end - before])[0]
+                states[before:end] = h
+                before = end
+        total[: live[0]] += np.bincount(rows, log_probability(p, v, states, tokens[at]), minlength=live[0])
+    out = np.empty(len(lens))
     out[order] = total
     return out
 
@@ -363,42 +417,50 @@ def score_documents(p: dict, v: Vocabulary, docs: list[np.ndarray]) -> np.ndarra
 def _score(shared, log_total: float, doc_type: pa.DataType):
     names = ["rid", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
 
-    def scored(v: Vocabulary, p: dict, base: np.ndarray, counted: np.ndarray, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """rows: rid, doc_id, tokens and tail words of each document. A row per document, and one per document and tail word."""
-        rid, doc_id, docs, rare = zip(*rows, strict=True)
-        n, kind = len(rows), doc_type
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rid, pa.int64()), pa.array(doc_id, kind), pa.array([f"\n{i}" for i in rid]), pa.array(np.zeros(n, np.int64)),
-             pa.array([len(d) for d in docs], pa.int64()), pa.array([int(counted[d].sum()) for d in docs], pa.int64()), pa.array([base[d].sum() for d in docs], pa.float64()),
-             pa.array(score_documents(p, v, list(docs)) / math.log(10))], names=names)
-        for lo in range(0, n, 1024):
-            some = range(lo, min(lo + 1024, n))
-            of = [i for i in some for _ in rare[i]]
-            m = len(of)
-            zero, none = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rid[i] for i in of], pa.int64()), pa.array([doc_id[i] for i in of], kind), pa.array([w for i in some for w in rare[i]], pa.binary()).cast(pa.string()),
-                 pa.array([k for i in some for k in rare[i].values()], pa.int64()), zero, zero, none, none], names=names)
+    def tails(rid: pa.Array, doc_id: pa.Array, words: pa.Array, of: np.ndarray) -> pa.RecordBatch:
+        """A row per document and tail word; of: each word's document."""
+        coded = words.dictionary_encode()
+        pairs, tf = np.unique(of * np.int64(len(coded.dictionary) + 1) + coded.indices.to_numpy(), return_counts=True)
+        doc, word = (pa.array(k) for k in np.divmod(pairs, len(coded.dictionary) + 1))
+        zero, none = pa.array(np.zeros(len(tf), np.int64)), pa.array(np.zeros(len(tf)))
+        return pa.RecordBatch.from_arrays([rid.take(doc), doc_id.take(doc), coded.dictionary.take(word), pa.array(tf.astype(np.int64)), zero, zero, none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("lm")
         v, p = shared.value
-        index, tail = v.index(), len(v.words)
+        head, tail = _head(v), len(v.words)
         base = np.append(np.log10(v.counts + 0.5) - log_total, 0.0)
         counted = np.append(v.counts >= 1, False)
-        rows, held = [], 0
+
+        def scored(rows: list[tuple]) -> pa.RecordBatch:
+            """A row per document; rows: rid, doc_id, tokens and number of tokens of documents."""
+            rid, doc_id, tokens, lens = zip(*rows, strict=True)
+            rid, tokens, lens = pa.concat_arrays(rid), np.concatenate(tokens), np.concatenate(lens)
+            first = np.cumsum(lens) - lens
+            known, sums = np.add.reduceat(counted[tokens].astype(np.int64), first), np.add.reduceat(base[tokens], first)
+            marks = pa.array([f"\n{i}" for i in rid.to_pylist()])
+            return pa.RecordBatch.from_arrays(
+                [rid, pa.concat_arrays(doc_id), marks, pa.array(np.zeros(len(lens), np.int64)), pa.array(lens.astype(np.int64)), pa.array(known), pa.array(sums),
+                 pa.array(score_documents(p, v, tokens, lens) / math.log(10))], names=names)
+
+        rows, docs, held = [], 0, 0
         # documents advance together whatever batches they come in, as each step of the longest costs the same for one as for many
         for batch in bounded(batches):
-            for rid, doc_id, text in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                words = text.lower().split()
-                tokens = np.append(numbers(v, index, words), index[END])
-                rows.append((rid, doc_id, tokens, Counter([words[k] for k in np.flatnonzero(tokens == tail).tolist()])))
-                held += len(tokens)
-                if len(rows) >= SCORED_DOCS or held >= SCORED_TOKENS:
-                    yield from scored(v, p, base, counted, rows)
-                    rows, held = [], 0
+            if not batch.num_rows:
+                continue
+            rid, doc_id = batch.column("rid"), batch.column("doc_id").cast(doc_type)
+            words, bounds = words_of(batch.column("text"))
+            tokens, lens = numbers(v, head, words, bounds)
+            of = np.repeat(np.arange(len(lens)), lens)[tokens == tail]
+            rare = np.delete(tokens == tail, np.cumsum(lens) - 1)
+            yield tails(rid, doc_id, words.filter(pa.array(rare)), of)
+            rows.append((rid, doc_id, tokens, lens))
+            docs, held = docs + len(lens), held + len(tokens)
+            if docs >= SCORED_DOCS or held >= SCORED_TOKENS:
+                yield scored(rows)
+                rows, docs, held = [], 0, 0
         if rows:
-            yield from scored(v, p, base, counted, rows)
+            yield scored(rows)
 
     return run
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -260,6 +261,56 @@ def test_lm_gains_on_held_out_documents(spark):
     assert (held.score / held.n_tokens).mean() > (held.base_score / held.n_tokens).mean() + 0.25
 
 
+@pytest.mark.parametrize("texts", [[], [None, "", "  "], [" A\tb\x0b\x0cC\r\n", None, "\x1cÀ Ünd\u00a0x\u2003y \x00 z\x1f", "b b B", " q"], ["x"] * 3])
+def test_lm_words_of_hard_texts(texts):
+    """Words are those of bytes parted at ASCII white space, each text's own; a token stands for each, and an end behind each text."""
+    v = lm.Vocabulary([b"b", b"z", b"q", lm.END], np.array([9.0, 5.0, 3.0, 4.0]), np.zeros(4, int), 1, 6.0)
+    want = [(t or "").encode().lower().split() for t in texts]
+    words, bounds = lm.words_of(pa.array(texts, pa.string()))
+    assert [[w.encode() for w in words[a:b].to_pylist()] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] == want
+    tokens, lens = lm.numbers(v, lm._head(v), words, bounds)
+    index = v.index()
+    assert tokens.tolist() == [index.get(w, len(v.words)) for d in want for w in [*d, lm.END]] and lens.tolist() == [len(d) + 1 for d in want]
+
+
+def test_lm_tasks_take_no_call_a_word(monkeypatch):
+    """Counting, training and scoring make far fewer calls in Python than texts have words, and give what a walk from word to word gives."""
+    monkeypatch.setattr(lm, "claim", lambda owner: None)
+    rng = random.Random(4)
+    texts = [" ".join(f"n{int(rng.expovariate(0.01))}" for _ in range(1000)) for _ in range(60)]
+    counts = Counter(w for t in texts for w in t.split())
+    words = [*sorted(w.encode() for w in counts if counts[w] > 20), lm.END]
+    v = lm.Vocabulary(words, np.array([float(counts.get(w.decode(), 60)) for w in words]), np.zeros(len(words), int), 1, float(sum(c for c in counts.values() if c <= 20)))
+    p = {k: x * 3 if k != "bs" else x for k, x in lm.initial(v).items()}
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(60)), "doc_id": pa.array(range(60)), "text": pa.array(texts), "lang": pa.array(["en"] * 60)})
+    calls = Counter()
+
+    class Shared:
+        value = (v, p)
+
+    def counted(run):
+        before = sys.getprofile()
+        sys.setprofile(lambda frame, event, arg: calls.update([event]) if event in ("call", "c_call") else None)
+        try:
+            return list(run(iter([batch])))
+        finally:
+            sys.setprofile(before)
+
+    found = counted(lm._count(["en"]))
+    scored = counted(lm._score(Shared, 5.0, pa.int64()))
+    assert calls.total() < 60 * 1000 / 2
+    assert {w: n for b in found for w, n in zip(b.column("word").to_pylist(), b.column("c0").to_pylist(), strict=True)} == counts | {lm.END.decode(): 60}
+    index, rows = v.index(), [r for b in scored for r in b.to_pylist()]
+    assert {(r["doc_id"], r["word"]): r["tf"] for r in rows if r["tf"]} == {(i, w): n for i, t in enumerate(texts) for w, n in Counter(t.split()).items() if w.encode() not in index}
+    docs = {r["doc_id"]: r for r in rows if not r["tf"]}
+    for i in (0, 7, 59):
+        h, total, last = np.zeros((1, lm.HIDDEN), np.float32), 0.0, index[lm.END]
+        for k in [*(index.get(w.encode(), len(words)) for w in texts[i].split()), index[lm.END]]:
+            h, last = lm.step(p, v.input[[last]], h)[0], k
+            total += lm.log_probability(p, v, h, np.array([k]))[0]
+        assert docs[i]["n_tokens"] == 1001 and abs(docs[i]["score"] - total / math.log(10)) < 1e-2
+
+
 def test_lm_trains_on_every_document(spark, monkeypatch):
     v = lm.Vocabulary([b"a", b"b", b"c", lm.END], np.array([9.0, 5.0, 3.0, 4.0]), np.array([0, 0, 0, 0]), 1, 6.0)
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) // 5 % 8 > 1]
