@@ -31,15 +31,16 @@ from pyspark.sql import functions as F
 from .common import CACHES, bounded, claim, cut, shared_path, table
 
 MASK_ADD = 0xA282EAD8
-#: Words that are more than ASCII letters and signs, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
+#: Words that are more than Latin letters and signs, and parts of words, whose ids a Python worker remembers; beyond it, it starts anew.
 CACHE_WORDS, CACHE_PARTS = 200_000, 800_000
 #: Bytes of text whose words are told apart at once.
 ENCODE_BYTES = 4 << 20
-#: A word of letters with ASCII signs behind it that no contraction or special token holds.
+#: A word of letters with ASCII signs behind it that no contraction or special token holds, and all those signs.
 _SIGNS = r"!-%(-/:;=?@\[-`{}~"
 _LETTERS_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([%s]*)" % _SIGNS.encode())
-#: The same without letters beyond ASCII, for Arrow, and all its signs.
-_PLAIN, _EACH_SIGN = f"^[A-Za-z]+[{_SIGNS}]*$", "".join(re.findall(f"[{_SIGNS}]", bytes(range(33, 127)).decode()))
+_EACH_SIGN = "".join(re.findall(f"[{_SIGNS}]", bytes(range(33, 127)).decode()))
+#: Letters of ASCII, Latin-1 and Latin Extended-A: each stands for itself whatever letters stand beside it.
+_LATIN = string.ascii_letters + "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha())
 #: Records that stand one after another are read at once up to this many bytes; entries of an index that are held together.
 READ_BYTES, ENTRIES = 4 << 20, 8192
 #: One entry of an index: offset and length of a record, ids before it in the file, doc_id.
@@ -65,17 +66,25 @@ class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose normalizer lower-cases and whose pre-tokenizer parts words at ASCII
     white space, and letters from signs: the ids of a text are then those of its words in turn, and those of letters with signs behind
     them are the ids of both in turn. Letters are what the normalizer (NFC, lower case) leaves as letters: some become a letter and a
-    mark, which joins the signs, so that their words go whole. Each distinct part is encoded once."""
+    mark, which joins the signs, so that their words go whole. Each distinct part is encoded once, Latin letters by the tokenizer's model
+    alone, on what its normalizer and pre-tokenizer make of each letter."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        # ids by bytes of a word or part; of Latin letters by the text
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        made = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c)) for c in _LATIN if c not in marked_letters()}
+        self.letter = {ord(c): m[0][0] for c, m in made.items()}
+        if len(self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(made))) != 1 or any(len(m) != 1 for m in made.values()):
+            raise ValueError("the tokenizer parts letters")
+        self.latin, self.model = "".join(made), self.tokenizer.model
+        self.plain = f"^[{self.latin}]+[{_SIGNS}]*$"
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -84,12 +93,12 @@ class WordEncoder:
         return _encoders[path]
 
     def _single(self, some: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(some, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in got]
 
     def _letters(self, some: list[str]) -> list[bytes]:
         """Ids of words of letters only, encoded in one text and parted after each token that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
         after = np.flatnonzero(self.ends[ids]) + 1
         if len(after) != len(some) or not len(ids) or after[-1] != len(ids):
             return self._single(some)
@@ -120,26 +129,37 @@ class WordEncoder:
         self._learn_parts(letters, others)
         self.known.update((w, self.parts[body] + self.parts[signs] if signs else self.parts[body]) for w, body, signs in two)
 
+    def _latin_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters only."""
+        tokenize, letter, ids, cuts = self.model.tokenize, self.letter, [], [0]
+        new = [w for w in words if w not in self.parts]
+        for w in new:
+            ids += [token.id for token in tokenize(w.translate(letter))]
+            cuts.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        self.parts.update(zip(new, [data[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        return [self.parts[w] for w in words]
+
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (u32) of distinct words, one after another, and how many each has. Words of ASCII letters and signs are parted in Arrow, so that Python
+        """Ids (u32) of distinct words, one after another, and how many each has. Words of Latin letters and signs are parted in Arrow, so that Python
         sees their distinct parts only."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         if len(self.parts) > CACHE_PARTS:
             self.parts = {}
-        plain = pc.match_substring_regex(words, _PLAIN)
-        two, rest = words.filter(plain), words.filter(pc.invert(plain)).cast(pa.binary()).to_pylist()
+        plain = pc.match_substring_regex(words, self.plain)
+        two, rest = words.filter(plain), _values(words.filter(pc.invert(plain)).cast(pa.binary()))
         body = pc.ascii_lower(pc.ascii_rtrim(two, characters=_EACH_SIGN)).dictionary_encode()
-        signs = pc.ascii_ltrim(two, characters=string.ascii_letters).dictionary_encode()
-        bodies, tails = (x.dictionary.cast(pa.binary()).to_pylist() for x in (body, signs))
-        self._learn_parts(set(bodies), set(tails) - {b""})
+        signs = pc.utf8_ltrim(two, characters=self.latin).dictionary_encode()
+        bodies, tails = _values(body.dictionary), _values(signs.dictionary.cast(pa.binary()))
+        self._learn_parts(set(), set(tails) - {b""})
         self._learn({w for w in rest if w not in self.known} - {b""})
-        found = [b"", *[self.parts[x] for x in bodies], *[self.parts[x] if x else b"" for x in tails], *[self.known[w] if w else b"" for w in rest]]
+        found = [b"", *self._latin_ids(bodies), *[self.parts[x] if x else b"" for x in tails], *[self.known[w] if w else b"" for w in rest]]
         # of each word, where its first and second part stand in found
         slot, plain = np.zeros((len(words), 2), np.int64), plain.to_numpy(zero_copy_only=False)
         slot[plain, 0], slot[plain, 1] = 1 + body.indices.to_numpy(), 1 + len(bodies) + signs.indices.to_numpy()
         slot[~plain, 0] = 1 + len(bodies) + len(tails) + np.arange(len(rest))
-        size = np.array([len(x) // 4 for x in found], np.int32)
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         return _gathered(np.frombuffer(b"".join(found), "<u4"), size, slot.ravel())[0], size[slot].sum(1, dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -151,6 +171,11 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _values(words: pa.Array) -> list:
+    """The same as to_pylist, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _gathered(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of stretches of ids that follow one another, size long, the ones of which in turn; and where each ends in them, after a 0."""
     starts, long = np.cumsum(size, dtype=np.int32) - size, size[which]

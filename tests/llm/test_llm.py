@@ -807,3 +807,31 @@ def test_record_encoder_on_mixed_words_and_small_caches(monkeypatch):
             got = e.encode(pa.array(texts[lo : lo + 500], pa.string()))
             assert [x.tolist() for x in got] == want[lo : lo + 500]
     assert [len(x) for x in e.encode(pa.array([None, ""], pa.string()))] == [0, 0] and e.encode(pa.array([], pa.string())) == []
+
+
+def test_latin_letters_beside_each_other():
+    """What the model makes of Latin words is what the whole tokenizer makes of them, whatever letters, cases and signs stand together."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e, rng = Tokenizer.from_file(path), records.WordEncoder(path), random.Random(11)
+    letters = records._LATIN + "\u0130\u00d7\u00f7\u00aa\u00ba\u0301\u0327\u03a3\u0431\u0958\ud55c"
+    words = [a + b for a in records._LATIN for b in rng.sample(letters, 12)]
+    words += ["".join(rng.choices(letters if k % 3 else records._LATIN, k=rng.choice((1, 2, 5, 9, 30)))) + "".join(rng.choices("!.,;:-('\u2019<|", k=k % 4)) for k in range(4000)]
+    words += ["\u00c9" * 400, "a" * 700 + "!", "STRASSE\u00df", "\u0130!", "d'\u00c9t\u00e9", "\u00c9t\u00e9's"]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)]
+    for text, ids in zip(texts, e.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_known_latin_words_with_new_signs_take_no_call_each():
+    e, rng = records.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    words = sorted({"\u00e9" + "".join(rng.choices("abcde\u00f6\u00fc\u0161", k=7)) for _ in range(3000)})
+    e.encode(pa.array([" ".join(words), "!!!"]))
+    again, calls, before = pa.array([" ".join(f"{w}!!!" for w in words)]), Counter(), sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]) if event in ("call", "c_call") else None)
+    try:
+        e.encode(again)
+    finally:
+        sys.setprofile(before)
+    assert calls.total() < len(words) / 4
